@@ -58,17 +58,24 @@ def session_label(ts: Column, offset: int | Column = 0) -> Column:
 
 
 def fmt_k(n: Column) -> Column:
-    """``950``, ``1.2K``, ``3M``."""
-    def short(x: Column, unit: str, drop: bool) -> Column:
-        s = F.format_string("%.1f" + unit, x)
-        return F.regexp_replace(s, r"\.0" + unit + "$", unit) if drop else s
-
-    d = n.cast("double")
-    return (
-        F.when(n >= 1_000_000, short(d / 1_000_000.0, "M", True))
-        .when(n >= 1_000, short(d / 1_000.0, "K", True))
-        .otherwise(n.cast("string"))
-    )
+    """``950``, ``1.2K``, ``3M``, in whole-number arithmetic.
+
+    A tie between two tenths is settled as printing the quotient does: by which side of the tie
+    the floating-point quotient lies on, to even when it is exact.
+    """
+    def short(size: int, unit: str) -> Column:
+        tenth, half = size // 10, size // 20
+        low = F.floor(n / tenth)
+        m = (n / half).cast("long")
+        q = m / F.lit(20.0)
+        s = q * 16.0 + q * 4.0
+        side = (s - m) + (q * 4.0 - (s - q * 16.0))
+        up = F.when(n % tenth != half, n % tenth > half).otherwise((side > 0) | ((side == 0) & (low % 2 == 1)))
+        t = low + up.cast("long")
+        whole = F.floor(t / 10).cast("string")
+        return F.concat(whole, F.when(t % 10 == 0, "").otherwise(F.concat(F.lit("."), (t % 10).cast("string"))), F.lit(unit))
+
+    return F.when(n >= 1_000_000, short(1_000_000, "M")).when(n >= 1_000, short(1_000, "K")).otherwise(n.cast("string"))
 
 
 def fmt_duration(secs: Column) -> Column:

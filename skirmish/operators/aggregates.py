@@ -177,7 +177,7 @@ def summary_line(snapshot: DataFrame, which: str, keys: list[str] = KEYS) -> Dat
     unit, per = ("dmg", "dps") if which in ("damage", "tanking") else ("heal", "hps")
     entry = F.concat(
         F.col("rank").cast("string"), F.lit(". "), F.col("player"), F.lit(" "), times.fmt_k(F.col("amount")),
-        F.lit(" ("), F.format_string("%.0f", F.col("share") * 100.0), F.lit("%)"))
+        F.lit(" ("), F.rint(F.col("share") * 100.0).cast("long").cast("string"), F.lit("%)"))
     rows = snapshot.withColumn("_e", F.struct("rank", entry.alias("t")))
     out = rows.groupBy(*keys, "mob", "name", "group_total", "footer_rate", "elapsed").agg(F.array_sort(F.collect_list("_e")).alias("_l"))
     head = F.concat(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skirmish.operators.ordered import Carry, scan, stage
 from skirmish.operators.sessions import sessionize, session_reanchor, sessions
 
 KEYS = ["stream_id"]
@@ -38,15 +39,13 @@ def prune_store(spark: SparkSession, path: str, cutoff: int) -> None:
     day = F.to_date(F.timestamp_add("SECOND", F.lit(cutoff), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")))
     edge = df.filter((F.col("log_date") == day) & (F.col("ts") >= cutoff))
     old = [r["log_date"] for r in df.filter(F.col("log_date") < day).select("log_date").distinct().collect()]
-    from skirmish.operators.ordered import stage
-
     edge = stage(edge)
     edge.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream_id", "log_date").parquet(path)
     _delete_folders(spark, path, [f"stream_id=*/log_date={d}" for d in old])
-    left = {r["stream_id"] for r in edge.select("stream_id").distinct().collect()}
-    at_edge = {r["stream_id"] for r in df.filter(F.col("log_date") == day).select("stream_id").distinct().collect()}
     edge_day = spark.range(1).select(day.alias("d")).first()["d"]
-    _delete_folders(spark, path, [f"stream_id={s}/log_date={edge_day}" for s in at_edge - left])
+    emptied = df.filter(F.col("log_date") == day).select("stream_id").distinct().join(edge.select("stream_id").distinct(), "stream_id", "left_anti")
+    for r in emptied.toLocalIterator():  # folder names only; the rows stay on the cluster
+        _delete_folders(spark, path, [f"stream_id={r['stream_id']}/log_date={edge_day}"])
 
 
 def _delete_folders(spark: SparkSession, path: str, globs: list[str]) -> None:
@@ -90,8 +89,6 @@ def add_markers(markers: DataFrame, fresh: DataFrame) -> DataFrame:
     """New markers with the next ids of their stream, at most one per second and kind."""
     new = fresh.dropDuplicates(["stream_id", "ts", "kind"]).join(markers.select("stream_id", "ts", "kind"), ["stream_id", "ts", "kind"], "left_anti")
     top = markers.groupBy("stream_id").agg(F.max("id").alias("_top"))
-    from skirmish.operators.ordered import Carry, scan
-
     new = new.withColumn("_pos", F.col("ts") * 8 + F.pmod(F.xxhash64("kind"), F.lit(8)))
     new = scan(new, ["stream_id"], "_pos", [Carry("_n", "sum", F.lit(1).cast("long"))], 1 << 24)
     new = new.join(top, "stream_id", "left").withColumn("id", F.coalesce("_top", F.lit(0)) + F.col("_n"))

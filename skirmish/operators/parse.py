@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.functions import chatter, mods, names, times
+from skirmish.operators.once import once
 from skirmish.operators.patterns import FIELDS, LOGIN_LINE, ZONE_PATTERNS, Pattern, cascade
 
 _SEP = "\u0001"
@@ -33,10 +34,10 @@ def match_lines(lines: DataFrame, raw: str = "raw", spell_before_melee: bool = F
     ``pattern`` is null where nothing matched.  The work is one projection; no shuffle.
     """
     combat = cascade(spell_before_melee, owner_death)
-    out = lines.withColumn("body", times.strip_prefix(F.col(raw)))
+    out = once(lines, body=times.strip_prefix(F.col(raw)))
     body = F.col("body")
-    out = out.withColumn("mods", mods.suffix_mods(body))
-    out = out.withColumn("_line", mods.strip_mods(body, F.col("mods")))
+    out = once(out, mods=mods.suffix_mods(body))
+    out = once(out, _line=mods.strip_mods(body, F.col("mods")))
     line = F.col("_line")
 
     name = F.when(body == LOGIN_LINE, "login")
@@ -45,7 +46,7 @@ def match_lines(lines: DataFrame, raw: str = "raw", spell_before_melee: bool = F
     name = name.when(chatter.is_chat(body), "chat")
     for p in combat:
         name = name.when(_test(line, p), p.name)
-    out = out.withColumn("pattern", name)
+    out = once(out, pattern=name)
 
     pat = F.col("pattern")
     caps = F
@@ -53,7 +54,7 @@ def match_lines(lines: DataFrame, raw: str = "raw", spell_before_melee: bool = F
         caps = caps.when(pat == p.name, _captures(body, p))
     for p in combat:
         caps = caps.when(pat == p.name, _captures(line, p))
-    out = out.withColumn("_caps", caps)
+    out = once(out, _caps=caps)
     fields = [F.nullif(F.col("_caps")[i], F.lit("")).alias(f"c_{f}") for i, f in enumerate(FIELDS)]
     return out.select(*[c for c in out.columns if c not in ("_line", "_caps")], *fields)
 
@@ -142,7 +143,7 @@ def parse_lines(
     classes = F.when(is_("who"), names.parse_who_classes(c["sp"]))
     damage = is_("hit_by_spell", "melee", "spell_attr", "spell_hit", "dot", "riposte", "damage_shield",
                  "shield_proc", "shield_burn", "has_taken", "extra_damage")
-    out = m.withColumn("_mark", mark).withColumn("classes", classes)
+    out = once(m, _mark=mark, classes=classes)
     mark = F.col("_mark")
     kept = F.size(F.col("classes")) > 0
     cols = {
@@ -167,10 +168,8 @@ def parse_lines(
         "zone_num": F.when(is_("instance_create"), num),
         "verb": F.when(is_("melee"), c["x"]),
     }
-    drop = {"_mark", *[f"c_{f}" for f in FIELDS], *cols}
-    return out.withColumns({f"_n_{a}": e for a, e in cols.items()}).select(
-        *[x for x in out.columns if x not in drop], *[F.col(f"_n_{a}").alias(a) for a in cols]
-    )
+    drop = {"_mark", *[f"c_{f}" for f in FIELDS]}
+    return once(out, **cols).drop(*drop)
 
 
 def carry_ts(parsed: DataFrame, keys: list[str] | None = None, order: str = "line_no", **kw) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.operators.instances import GAP, PARK_SECS
-from skirmish.operators.ordered import SPAN, Carry, scan
+from skirmish.operators.ordered import SPAN, Carry, scan, stage
 
 KEYS = ["stream_id"]
 
@@ -46,11 +46,13 @@ def pulls(
         Carry("_reach", "max", F.col("_end"), inclusive=False),
         Carry("_looted", "max", F.col("_loot"), inclusive=False),
     ], span * 2)
+    rows = stage(rows)
     gap_cut = F.col("_reach").isNull() | (F.col("first_ts") - F.col("_reach") > gap)
     rows = rows.withColumn("_chain_cut", F.when(F.col("first_ts").isNotNull(), gap_cut.cast("long")).otherwise(F.lit(0).cast("long")))
     rows = scan(rows, keys, "_pos", [Carry("_chain", "sum", F.col("_chain_cut"))], span * 2).filter(mob)
     died = F.coalesce("slain_ts", F.lit(_FOREVER))
     rows = scan(rows, [*keys, "_chain"], "_pos", [Carry("_all_dead", "max", died, inclusive=False)], span * 2)
+    rows = stage(rows)
     corpse_cut = (F.col("_all_dead") <= F.col("first_ts")) & (F.col("_looted") >= F.col("_all_dead"))
     opens = F.col("_all_dead").isNull() | F.coalesce(corpse_cut, F.lit(False))
     rows = scan(rows.withColumn("_open", opens.cast("long")), keys, "_pos", [Carry("pull", "sum", F.col("_open"))], span * 2)
