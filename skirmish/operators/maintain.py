@@ -40,10 +40,11 @@ def prune_store(spark: SparkSession, path: str, cutoff: int) -> None:
     edge = df.filter((F.col("log_date") == day) & (F.col("ts") >= cutoff))
     old = [r["log_date"] for r in df.filter(F.col("log_date") < day).select("log_date").distinct().collect()]
     edge = stage(edge)
+    at_edge = stage(df.filter(F.col("log_date") == day).select("stream_id").distinct())
     edge.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stream_id", "log_date").parquet(path)
     _delete_folders(spark, path, [f"stream_id=*/log_date={d}" for d in old])
     edge_day = spark.range(1).select(day.alias("d")).first()["d"]
-    emptied = df.filter(F.col("log_date") == day).select("stream_id").distinct().join(edge.select("stream_id").distinct(), "stream_id", "left_anti")
+    emptied = at_edge.join(edge.select("stream_id").distinct(), "stream_id", "left_anti")
     for r in emptied.toLocalIterator():  # folder names only; the rows stay on the cluster
         _delete_folders(spark, path, [f"stream_id={r['stream_id']}/log_date={edge_day}"])
 

@@ -266,9 +266,9 @@ _LOOTED = INST.replace("mt0 AS (\n  SELECT *, lower(CASE WHEN touch THEN mob_nam
                        "mt0 AS (\n  SELECT *, lower(CASE WHEN touch THEN mob_name WHEN k = 'slay' THEN tgt WHEN k = 'heal' THEN CASE WHEN line_no % 5 = 0 THEN 'a stranger' ELSE " + pick(["a gnoll", "an orc pawn", "a fire beetle", "Emperor Crush", "orc legionnaire", "Lord Nagafen"], "line_no") + " END END) AS mk FROM ev)")
 
 
-@query("attribute_loot", f"""WITH {_LOOTED}, kl AS (SELECT *, max_by(ts, line_no) FILTER (k = 'slay') OVER w AS kts, max_by(own, line_no) FILTER (k = 'slay') OVER w AS kmob FROM ai
+@query("attribute_loot", f"""WITH {_LOOTED}, kl AS (SELECT *, max_by({{'t': ts, 'm': own}}, line_no) FILTER (k = 'slay') OVER w AS kill FROM ai
   WINDOW w AS (PARTITION BY stream_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT stream_id, line_no, coalesce(own, CASE WHEN ts - kts <= 120 THEN kmob END) AS mob FROM kl WHERE k = 'heal'""")
+SELECT stream_id, line_no, coalesce(own, CASE WHEN ts - kill.t <= 120 THEN kill.m END) AS mob FROM kl WHERE k = 'heal'""")
 def attribute_loot(spark, sf):
     ev = combat_events(spark, sf)
     i = F.col("line_no")
