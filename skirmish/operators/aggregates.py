@@ -306,3 +306,9 @@ def find_stream(streams: DataFrame, wanted: DataFrame) -> DataFrame:
     key = lambda d: d.withColumns({f"_{c}": F.lower(c) for c in ("game", "server", "player")})
     w = key(wanted).select("_game", "_server", "_player").distinct()
     return key(streams).join(w, ["_game", "_server", "_player"], "left_semi").drop("_game", "_server", "_player")
+
+
+def since_reset(events: DataFrame, ts: int) -> DataFrame:
+    """Rows counted after a reset at ``ts``.  Classes, levels and pet owners outlive a reset: they
+    come from :func:`class_list` and the pet tables over all rows, so they are kept here too."""
+    return events.filter((F.col("ts") >= ts) | F.col("k").isin("who", "pet"))

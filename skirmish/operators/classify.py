@@ -182,7 +182,7 @@ def known_players(parsed: DataFrame, pets: DataFrame | None = None, keys: list[s
         new = stage(
             unsure.join(k.select(*keys, F.col("name").alias("st"), F.col("k").alias("kt")), [*keys, "st"], "left")
             .join(hit, [*keys, "name"], "left").join(bad, [*keys, "name"], "left")
-            .select(*keys, "name", ~(less("kt") | less("hit_at") | less("b") | F.coalesce("missed_player", F.lit(False))).alias("player_by_swing"))
+            .select(*keys, "name", (~(less("kt") | less("hit_at") | less("b") | F.coalesce("missed_player", F.lit(False)))).alias("player_by_swing"))
         )
         changed = not new.exceptAll(verdict).isEmpty()
         verdict = new
@@ -236,9 +236,10 @@ def direct(parsed: DataFrame, k: DataFrame, keys: list[str] = KEYS, order: str =
     )
     rows = rows.withColumn("src_is_mob", F.coalesce(is_mob, F.lit(False)))
     m = F.col("src_is_mob")
-    tracked = ~F.coalesce(tgt.endswith("'s corpse"), F.lit(True)) & ~F.col("_tp")
+    # A name that is a player by now is no mob; that includes one who just struck itself.
+    tracked = ~F.coalesce(tgt.endswith("'s corpse"), F.lit(True)) & ~F.coalesce(F.col("_kt") <= line, F.lit(False))
     about = (
-        F.when(m & (p != "spell_hit"), F.when(~src.endswith("'s corpse"), src))
+        F.when(m & (p != "spell_hit"), F.when(F.col("_np") & ~src.endswith("'s corpse"), src))
         .when(F.col("_player_hit") & tracked, tgt)
         .when(p.isin("cc_park", "cc_wake") & tracked, tgt)
     )

@@ -94,3 +94,8 @@ def add_markers(markers: DataFrame, fresh: DataFrame) -> DataFrame:
     new = scan(new, ["stream_id"], "_pos", [Carry("_n", "sum", F.lit(1).cast("long"))], 1 << 24)
     new = new.join(top, "stream_id", "left").withColumn("id", F.coalesce("_top", F.lit(0)) + F.col("_n"))
     return markers.unionByName(new.select(*markers.columns))
+
+
+def retention(spark: SparkSession, path: str, now: int, days: int) -> None:
+    """The scheduled job: prune every stream to the last ``days`` days."""
+    prune_store(spark, path, cutoff_of(now, days=days))

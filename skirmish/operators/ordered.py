@@ -136,7 +136,7 @@ def segment(
 
     ``state`` is a struct kept from the latest member row; ``cut(prev, cur)`` compares two
     such structs and says whether the current member opens a new segment.  A ``breaker`` row
-    after the latest member forces one.  The first member always opens a segment.  Adds the
+    at or after the latest member forces one.  The first member always opens a segment.  Adds the
     order value of the opening row and the 1-based segment number; rows before any member get
     null and 0, other non-members belong to the segment open at that point.
     """
@@ -159,7 +159,7 @@ def segment(
     p, m = F.col("_p"), F.col("_m")
     local = F.when(
         m.isNotNull() & p.isNotNull(),
-        F.coalesce(cut(p["s"], m["s"]), F.lit(False)) | F.coalesce(F.col("_pb") > p["o"], F.lit(False)),
+        F.coalesce(cut(p["s"], m["s"]), F.lit(False)) | F.coalesce(F.col("_pb") >= p["o"], F.lit(False)),
     )
     rows = rows.withColumn("_cut", F.coalesce(local, F.lit(False)))
     rows = rows.withColumns({
@@ -186,7 +186,7 @@ def segment(
         first.isNotNull(),
         F.when(pm.isNull(), F.lit(True)).otherwise(
             F.coalesce(cut(pm["s"], first["s"]), F.lit(False))
-            | F.coalesce(F.col("_pmb") > pm["o"], F.lit(False))
+            | F.coalesce(F.col("_pmb") >= pm["o"], F.lit(False))
             | F.coalesce(F.col("_fb") < first["o"], F.lit(False))
         ),
     )

@@ -133,10 +133,14 @@ class _Eval:
             self.named[n] = F.coalesce(mine, self.named[n]) if n in self.named else mine
         return passed
 
-    def values(self) -> dict[str, Column]:
-        """Every name a template can use: positions, named captures, variables."""
-        out = dict(self.variables)
-        out.update({n: F.coalesce(v, self.variables[n]) if n in self.variables else v for n, v in self.named.items()})
+    def values(self, stored: dict[str, Column] | None = None) -> dict[str, Column]:
+        """Every name a template can use: positions, named captures, then variables.
+
+        ``stored`` are variables written by earlier actions of the same rule.
+        """
+        variables = {**self.variables, **(stored or {})}
+        out = dict(variables)
+        out.update({n: F.coalesce(v, variables[n]) if n in variables else v for n, v in self.named.items()})
         for i in {i for _, numbered in self.positional for i in numbered}:
             case = F
             for passed, numbered in self.positional:
@@ -260,15 +264,14 @@ def apply_rules(
     rows, compiled, evals = _evaluated(lines, rules, raw, seeds, keys, order, span)
     fired = []
     for rule, ev in zip(compiled, evals):
-        values = ev.values()
         acts = []
         stored: dict[str, Column] = {}
         for n, a in enumerate(rule.get("actions", [])):
             if a["type"] == "store":
                 if a.get("var_name"):
-                    stored[a["var_name"]] = templates.resolve_template(a.get("value", ""), {**values, **stored})
+                    stored[a["var_name"]] = templates.resolve_template(a.get("value", ""), ev.values(stored))
                 continue
-            text = templates.resolve_template(a.get(_VISIBLE[a["type"]], "") if _VISIBLE[a["type"]] else "", {**stored, **values})
+            text = templates.resolve_template(a.get(_VISIBLE[a["type"]], "") if _VISIBLE[a["type"]] else "", ev.values(stored))
             sounds = [F.lit(s) for s in a.get("sounds", [])]
             row = F.struct(
                 F.lit(rule.get("rule_id", 0)).alias("rule_id"), F.lit(rule["name"]).alias("rule"), F.lit(n).alias("action"),

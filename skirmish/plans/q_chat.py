@@ -156,16 +156,16 @@ def rank_archetypes(spark, sf):
     return C.rank_archetypes(C.speaker_features(_doc_corpus(spark, sf)), 3).withColumn("dist", F.round("dist", 6))
 
 
-@query("suggest_map", f"WITH {_RANK} SELECT speaker, archetype FROM rr WHERE rank = 1 AND NOT starts_with(speaker, 'en')")
+@query("suggest_map", f"WITH {_RANK} SELECT speaker, archetype FROM rr WHERE rank = 1 AND NOT ends_with(speaker, '1')")
 def suggest_map(spark, sf):
-    known = _doc_corpus(spark, sf).filter(F.col("speaker").startswith("en")).select("speaker", F.lit("RaidLeader").alias("archetype")).distinct()
+    known = _doc_corpus(spark, sf).filter(F.col("speaker").endswith("1")).select("speaker", F.lit("RaidLeader").alias("archetype")).distinct()
     return C.suggest_map(C.speaker_features(_doc_corpus(spark, sf)), known)
 
 
-@query("update_archetype_map", f"WITH {_RANK} SELECT speaker, CASE WHEN starts_with(speaker, 'en') THEN 'RaidLeader' ELSE archetype END AS archetype FROM rr WHERE rank = 1")
+@query("update_archetype_map", f"WITH {_RANK} SELECT speaker, CASE WHEN ends_with(speaker, '1') THEN 'RaidLeader' ELSE archetype END AS archetype FROM rr WHERE rank = 1")
 def update_archetype_map(spark, sf):
     f = C.speaker_features(_doc_corpus(spark, sf))
-    known = f.filter(F.col("speaker").startswith("en")).select("speaker", F.lit("RaidLeader").alias("archetype"))
+    known = f.filter(F.col("speaker").endswith("1")).select("speaker", F.lit("RaidLeader").alias("archetype"))
     return T.update_archetype_map(known, C.rank_archetypes(f, 1).select("speaker", "archetype"))
 
 

@@ -13,20 +13,14 @@ FILE_SPAN = 1 << 28
 LOG_GLOB = "eqlog_*.txt"
 
 
-def _rows(text: DataFrame) -> DataFrame:
-    path = F.col("_metadata.file_path")
-    name = F.col("_metadata.file_name")
-    # Rows of a task are numbered in reading order.  A task holds less than two splits' worth of
-    # bytes and so of rows, hence twice the block offset plus the row number is in file order.
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return text.select(
+def _identity():
+    path, name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+    return [
         F.regexp_replace(name, r"\.[^.]*$", "").alias("stream_id"),
         player_from_filename(path).alias("player"),
         server_from_filename(path).alias("server"),
         name.alias("source_file"),
-        (F.col("_metadata.file_block_start") * 2 + row).alias("line_no"),
-        F.make_valid_utf8(F.col("value")).alias("raw"),
-    )
+    ]
 
 
 def read_logs(spark: SparkSession, path: str, pattern: str | None = LOG_GLOB) -> DataFrame:
@@ -38,7 +32,12 @@ def read_logs(spark: SparkSession, path: str, pattern: str | None = LOG_GLOB) ->
     reader = spark.read
     if pattern and not path.endswith(".txt"):
         reader = reader.option("pathGlobFilter", pattern)
-    return _rows(reader.text(path)).filter(F.col("raw") != "")
+    # Rows of a task are numbered in reading order.  A task holds less than two splits' worth of
+    # bytes and so of rows, hence twice the block offset plus the row number is in file order.
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    line_no = (F.col("_metadata.file_block_start") * 2 + row).alias("line_no")
+    rows = reader.text(path).select(*_identity(), line_no, F.make_valid_utf8(F.col("value")).alias("raw"))
+    return rows.filter(F.col("raw") != "")
 
 
 def list_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -54,10 +53,15 @@ def list_logs(spark: SparkSession, path: str) -> DataFrame:
 def stream_logs(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Lines of closed log chunks as they arrive in a folder.
 
-    The file source delivers a file once, so a shipper must rotate chunks rather than append.
-    Files of one stream must sort by name in time order.
+    The file source delivers a file once, so a shipper must rotate chunks rather than append, at
+    most a million lines each.  Chunks are ordered by their closing time: ``line_no`` holds the
+    file time in milliseconds and the line's place in the file.
     """
-    reader = spark.readStream.option("pathGlobFilter", LOG_GLOB).option("latestFirst", "false")
+    reader = spark.readStream.option("pathGlobFilter", LOG_GLOB).option("wholetext", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return _rows(reader.text(path)).filter(F.col("raw") != "")
+    at = F.unix_millis("_metadata.file_modification_time")
+    lines = F.posexplode(F.split(F.make_valid_utf8(F.col("value")), "\r?\n")).alias("_pos", "raw")
+    rows = reader.text(path).select(*_identity(), at.alias("_at"), lines)
+    rows = rows.select("stream_id", "player", "server", "source_file", (F.col("_at") * (1 << 20) + F.col("_pos")).alias("line_no"), "raw")
+    return rows.filter(F.col("raw") != "")
