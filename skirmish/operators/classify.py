@@ -156,36 +156,41 @@ def known_players(parsed: DataFrame, pets: DataFrame | None = None, keys: list[s
     names = names.withColumn("open", is_open)
     unsure = names.filter("open").select(*keys, "name", F.col("s.line").alias("sl"), F.col("s.st").alias("st"), "b")
 
-    # Attacks on unsettled names, per attacker: the first of all, and the first once the
-    # attacker is a player for an unconditional reason.
-    tgts = unsure.select(*keys, F.col("name").alias("tgt"))
-    attack = ev.filter(F.col("hurts") & F.col("cat").isin("U", "H", "C", "S") & ~F.coalesce(F.col("tgt").endswith("'s corpse"), F.lit(True)))
-    attack = attack.join(tgts, [*keys, "tgt"], "left_semi").join(
-        names.select(*keys, F.col("name").alias("src"), "u"), [*keys, "src"])
-    attack = stage(attack.groupBy(*keys, "tgt", "src").agg(
-        F.min(order).alias("m_all"), F.min(F.when(line >= F.col("u"), line)).alias("m_u")))
-    # Swings that missed before the first hit: telling when the target was a player by then.
-    miss = ev.filter(F.col("cat") == "M").join(unsure.select(*keys, F.col("name").alias("src"), "sl"), [*keys, "src"]).filter(line < F.col("sl"))
-    miss = stage(miss.groupBy(*keys, F.col("src").alias("name"), F.col("tgt").alias("mt")).agg(
-        F.max(order).alias("ml"), F.max(F.col("tgt") == F.col("player")).alias("mine")))
-
-    verdict = unsure.select(*keys, "name", F.lit(True).alias("player_by_swing"))
+    # What can unsettle them, in one small table.  Attacks, per attacker: the first of all, and the
+    # first once the attacker is a player for an unconditional reason (a name with a blank in it
+    # has no other).  Swings that missed before the first hit, which tell when the target was a
+    # player by then.
+    who = names.select(*keys, F.col("name").alias("src"), "u", F.col("open").alias("src_open"), F.col("s.line").alias("sl"))
+    hits = F.col("hurts") & F.col("cat").isin("U", "H", "C", "S") & ~F.coalesce(F.col("tgt").endswith("'s corpse"), F.lit(True))
+    pairs = ev.filter(hits | (F.col("cat") == "M")).join(who, [*keys, "src"]).filter(
+        F.when(F.col("cat") == "M", F.col("src_open") & (line < F.col("sl"))).otherwise(F.col("src_open") | (line >= F.col("u"))))
+    pairs = pairs.join(unsure.select(*keys, F.col("name").alias("tgt"), F.lit(True).alias("tgt_open")), [*keys, "tgt"], "left")
+    pairs = pairs.filter((F.col("cat") == "M") | F.col("tgt_open"))
+    pairs = stage(pairs.groupBy(*keys, "src", "tgt", (F.col("cat") == "M").alias("miss")).agg(
+        F.min(order).alias("m_all"), F.min(F.when(line >= F.col("u"), line)).alias("m_u"), F.max(order).alias("ml"),
+        F.max(F.coalesce(F.col("tgt") == F.col("player"), F.lit(False))).alias("mine")))
+    attack = pairs.filter(~F.col("miss")).select(*keys, "src", "tgt", "m_all", "m_u")
+    miss = pairs.filter("miss").select(*keys, F.col("src").alias("name"), F.col("tgt").alias("mt"), "ml", "mine")
+
+    verdict = unsure.select(*keys, "name", F.lit(True).alias("flag"))
     while True:
         k = names.join(verdict, [*keys, "name"], "left").select(
-            *keys, "name", F.least("u", F.when(F.coalesce("player_by_swing", F.lit(False)), F.col("s.line"))).alias("k"))
+            *keys, "name", F.least("u", F.when(F.coalesce("flag", F.lit(False)), F.col("s.line"))).alias("k"))
         hit = attack.join(verdict.withColumnRenamed("name", "src"), [*keys, "src"], "left").groupBy(*keys, F.col("tgt").alias("name")).agg(
-            F.min(F.when(F.coalesce("player_by_swing", F.lit(False)), F.col("m_all")).otherwise(F.col("m_u"))).alias("hit_at"))
+            F.min(F.when(F.coalesce("flag", F.lit(False)), F.col("m_all")).otherwise(F.col("m_u"))).alias("hit_at"))
         bad = miss.join(k.withColumnRenamed("name", "mt"), [*keys, "mt"], "left").groupBy(*keys, "name").agg(
-            F.max(F.coalesce("mine", F.lit(False)) | F.coalesce(F.col("k") < F.col("ml"), F.lit(False))).alias("missed_player"))
+            F.max(F.col("mine") | F.coalesce(F.col("k") < F.col("ml"), F.lit(False))).alias("missed_player"))
         sl = F.col("sl")
         less = lambda c: F.coalesce(F.col(c) < sl, F.lit(False))
+        mob = less("kt") | less("hit_at") | less("b") | F.coalesce("missed_player", F.lit(False))
         new = stage(
-            unsure.join(k.select(*keys, F.col("name").alias("st"), F.col("k").alias("kt")), [*keys, "st"], "left")
+            unsure.join(verdict.withColumnRenamed("flag", "was"), [*keys, "name"])
+            .join(k.select(*keys, F.col("name").alias("st"), F.col("k").alias("kt")), [*keys, "st"], "left")
             .join(hit, [*keys, "name"], "left").join(bad, [*keys, "name"], "left")
-            .select(*keys, "name", (~(less("kt") | less("hit_at") | less("b") | F.coalesce("missed_player", F.lit(False)))).alias("player_by_swing"))
+            .select(*keys, "name", "was", (~mob).alias("flag"))
         )
-        changed = not new.exceptAll(verdict).isEmpty()
-        verdict = new
+        changed = not new.filter("flag <> was").isEmpty()
+        verdict = new.drop("was")
         if not changed:
             return k.filter(F.col("k").isNotNull())
 

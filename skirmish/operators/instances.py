@@ -46,15 +46,17 @@ def assign_instances(
     rows = rows.withColumn("_own", own)
     rows = scan(rows, keys, order, [
         Carry("_active", "last", F.when(F.col("touch"), F.col("_own"))),
-        Carry("_kill", "last", F.when(k == "slay", F.struct(F.col("ts").alias("ts"), F.col("_own").alias("mob")))),
+        # Plain numbers rather than a struct keep the chunk summaries a hash aggregate.
+        Carry("_kill_ts", "last", F.when(k == "slay", F.col("ts"))),
+        Carry("_kill", "last", F.when(k == "slay", F.coalesce("_own", F.lit(-1)))),
     ], span)
-    fresh = F.when(F.col("ts") - F.col("_kill.ts") <= LOOT_SECS, F.col("_kill.mob"))
+    fresh = F.when((F.col("ts") - F.col("_kill_ts") <= LOOT_SECS) & (F.col("_kill") >= 0), F.col("_kill"))
     mob = (
         F.when(k.isin(*_LOOT), F.coalesce("_own", fresh))
         .when(F.col("touch") | (k == "slay"), F.col("_own"))
         .when(k.isin(*_CARRIED), F.col("_active"))
     )
-    return rows.withColumn("mob", mob).drop("_mob", "_own", "_n", "_active", "_kill")
+    return rows.withColumn("mob", mob).drop("_mob", "_own", "_n", "_active", "_kill", "_kill_ts")
 
 
 def mob_instances(events: DataFrame, keys: list[str] = KEYS, order: str = "line_no") -> DataFrame:

@@ -45,16 +45,8 @@ def chunk_of(order: str, span: int) -> Column:
 
 
 def _join_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on (keys, chunk); keys may be null."""
-    names = [*keys, _C]
-    right = carry
-    for n in names:
-        right = right.withColumnRenamed(n, f"_r_{n}")
-    cond = None
-    for n in names:
-        c = rows[n].eqNullSafe(right[f"_r_{n}"])
-        cond = c if cond is None else cond & c
-    return rows.join(right, cond, "left").drop(*[f"_r_{n}" for n in names])
+    """Left join on (keys, chunk), the partitioning the rows already have from their window."""
+    return rows.join(carry, [*keys, _C], "left")
 
 
 @dataclass(frozen=True)
@@ -75,7 +67,10 @@ _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def scan(df: DataFrame, keys: list[str], order: str, carries: list[Carry], span: int = SPAN) -> DataFrame:
-    """Running values along ``order`` per ``keys``.  ``order`` must be unique per key."""
+    """Running values along ``order`` per ``keys``.  ``order`` must be unique per key.
+
+    Rows with a null key belong to no sequence; what they get is not defined.
+    """
     cols = df.columns
     rows = df.withColumn(_C, chunk_of(order, span))
     w = Window.partitionBy(*keys, _C).orderBy(order)
@@ -138,7 +133,8 @@ def segment(
     such structs and says whether the current member opens a new segment.  A ``breaker`` row
     at or after the latest member forces one.  The first member always opens a segment.  Adds the
     order value of the opening row and the 1-based segment number; rows before any member get
-    null and 0, other non-members belong to the segment open at that point.
+    null and 0, other non-members belong to the segment open at that point.  Rows with a null key
+    belong to no sequence; what they get is not defined.
     """
     cols = df.columns
     o = F.col(order)

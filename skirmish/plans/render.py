@@ -203,7 +203,7 @@ def loot_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def loot_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The same as log text; the price is spelled in coins."""
-    ev = loot_events(spark, sf)
+    ev = spread(loot_events(spark, sf))
     c = F.col("copper")
     coins = F.concat(
         F.expr("copper div 1000").cast("string"), F.lit(" platinum, "), F.expr("copper div 100 % 10").cast("string"), F.lit(" gold, "),
