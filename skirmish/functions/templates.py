@@ -7,6 +7,7 @@ run on the cluster.
 from __future__ import annotations
 
 import re
+from re import _parser  # the standard library's own reader of its patterns
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,9 +85,46 @@ def to_java(pattern: str) -> tuple[str, dict[str, int]]:
     """
     if re.search(r"\(\?(?:=|!|<=|<!|>)|\\[1-9]|\\k<|\(\?P=|[*+?}]\+", pattern):
         raise ValueError("look-around, back-references and possessive repeats are not allowed")
-    compiled = re.compile(re.sub(r"\(\?<(?=[A-Za-z_])", "(?P<", pattern))
+    compiled = re.compile(_python_names(pattern))
     plain = re.sub(r"\(\?P?<[A-Za-z_]\w*>", "(", pattern)
-    return "(?Ud)" + plain, dict(compiled.groupindex)
+    # Word, digit and blank classes mean all of Unicode, at a cost; so only where one is used.
+    return ("(?Ud)" if re.search(r"\\[wWdDsSbB]", plain) else "(?d)") + plain, dict(compiled.groupindex)
+
+
+def _python_names(pattern: str) -> str:
+    return re.sub(r"\(\?<(?=[A-Za-z_])", "(?P<", pattern)
+
+
+def required_texts(pattern: str) -> list[str]:
+    """Literal texts (three characters or more) every match of the pattern holds.
+
+    They are cheap to test before the regex is tried.  Optional parts and alternatives count for
+    nothing, and neither does a pattern that ignores case.
+    """
+    try:
+        tree = _parser.parse(_python_names(pattern))
+    except re.error:
+        return []
+    if tree.state.flags & re.IGNORECASE:
+        return []
+    runs: list[str] = [""]
+
+    def walk(items) -> None:
+        for op, arg in items:
+            if op is _parser.LITERAL:
+                runs[-1] += chr(arg)
+            elif op is _parser.SUBPATTERN and not arg[1] and not arg[2]:
+                walk(arg[3])
+            elif op is _parser.AT:
+                continue
+            else:
+                if op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[0] >= 1:
+                    runs.append("")
+                    walk(arg[2])
+                runs.append("")
+
+    walk(tree)
+    return sorted({r for r in runs if len(r) >= 3})
 
 
 def resolve_template(template: str, values: dict[str, Column], extra: Column | None = None) -> Column:

@@ -51,15 +51,15 @@ def preset_rules() -> list[dict]:
     ]
 
 
+def _source(cond: dict) -> str:
+    text = cond.get("pattern", "")
+    return templates.glob_to_regex(text) if cond.get("match_type", "regex") == "glob" else templates.escape_literal_groups(text)
+
+
 def _regex(cond: dict) -> tuple[str, dict[str, int]] | None:
     """Spark pattern and group numbers of a regex or glob condition; None when invalid."""
-    text = cond.get("pattern", "")
-    if cond.get("match_type", "regex") == "glob":
-        text = templates.glob_to_regex(text)
-    else:
-        text = templates.escape_literal_groups(text)
     try:
-        return templates.to_java(text)
+        return templates.to_java(_source(cond))
     except (ValueError, re.error):
         return None
 
@@ -75,6 +75,7 @@ def compile_rules(rules: list[dict]) -> list[dict]:
             c = dict(c)
             if c["type"] in ("match", "chat") and c.get("match_type", "regex") != "exact":
                 c["compiled"] = _regex(c)
+                c["texts"] = templates.required_texts(_source(c)) if c["compiled"] else []
             conds.append(c)
         out.append({**rule, "conditions": conds})
     return out
@@ -92,7 +93,7 @@ def discover_variables(rules: list[dict]) -> list[str]:
 
 
 def _groups(pattern: str) -> int:
-    return re.compile(re.sub(r"^\(\?Ud\)", "", pattern)).groups
+    return re.compile(re.sub(r"^\(\?U?d\)", "", pattern)).groups
 
 
 class _Eval:
@@ -120,7 +121,8 @@ class _Eval:
             return F.lit(False)
         else:
             rx, index = c["compiled"]
-            passed = gate & text.rlike(rx)
+            holds = [F.contains(text, F.lit(t)) for t in c["texts"]]
+            passed = reduce(lambda a, b: a & b, [gate, *holds, text.rlike(rx)])
             group = lambda i: F.nullif(F.regexp_extract(text, rx, i), F.lit(""))
             numbered = {str(i): group(i) for i in range(_groups(rx) + 1)}
             named = {n: group(i) for n, i in index.items()}

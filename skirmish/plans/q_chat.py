@@ -9,7 +9,7 @@ from skirmish.operators import chat as C
 from skirmish.operators import rules as R
 from skirmish.operators.ordered import stage
 from skirmish.plans.registry import query
-from skirmish.plans.render import EPOCH, chat_lines, combat_lines, table, wide_lines
+from skirmish.plans.render import EPOCH, chat_lines, combat_lines, spread, table, wide_lines
 from skirmish.plans.sql import BASE, EV, letters, pick
 from skirmish.sources import tables as T
 
@@ -134,7 +134,7 @@ ft AS (SELECT *, least(avg_words / greatest(max(avg_words) OVER (), 1.0), 1.0) A
 
 
 def _doc_corpus(spark, sf):
-    return table(spark, sf, "documents").select(F.concat("lang", F.lit("/"), "source").alias("speaker"), "text")
+    return spread(table(spark, sf, "documents").select(F.concat("lang", F.lit("/"), "source").alias("speaker"), "text"))
 
 
 _ROUND = ["avg_words", "humor_frac", "exclaim_frac", "caps_frac", "verbosity", "humor", "patience"]

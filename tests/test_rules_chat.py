@@ -75,6 +75,15 @@ def test_discover_and_presets():
     assert len(R.preset_rules()) == 16 and all(c["compiled"] for r in R.compile_rules(R.preset_rules()) for c in r["conditions"])
 
 
+@pytest.mark.parametrize("pattern,want", [
+    (r"You (?:have )?looted (?P<item>.+?) from (?P<mob>.+?)'s corpse", [" from ", "'s corpse", "You ", "looted "]), (r"(abc|xyz) def", [" def"]), (r"(?i)abcdef", []), (r"(abc)+d?efg", ["abc", "efg"]), (r"^abc{2}d$", []),
+])
+def test_required_texts(pattern, want):
+    from skirmish.functions.templates import required_texts
+
+    assert required_texts(pattern) == sorted(want)
+
+
 def test_chat_corpus(lines, spark):
     df = lines([
         (0, "You have slain a gnoll!"), (10, "Bob tells the group, 'nice'"), (50, "Al says out of character, 'hm'"), (61, "Bob says, \"late\""), (62, "Bob begins casting Ice Comet."), (62, "You tell your party, 'go'"), (63, "Al tells the raid, 'no'"),
