@@ -208,7 +208,12 @@ def classify(
     return direct(parsed, k, keys, order)
 
 
-def direct(parsed: DataFrame, k: DataFrame, keys: list[str] = KEYS, order: str = "line_no") -> DataFrame:
+def explain_events(parsed: DataFrame, pets: DataFrame | None = None, keys: list[str] = KEYS, order: str = "line_no") -> DataFrame:
+    """:func:`classify` with ``direction_rule``: what decided who the mob is, null where nothing had to."""
+    return direct(parsed, known_players(parsed, pets, keys, order), keys, order, reasons=True)
+
+
+def direct(parsed: DataFrame, k: DataFrame, keys: list[str] = KEYS, order: str = "line_no", reasons: bool = False) -> DataFrame:
     """:func:`classify` with the player table given."""
     line, p = F.col(order), F.col("pattern")
     src, tgt = F.col("src"), F.col("tgt")
@@ -263,7 +268,20 @@ def direct(parsed: DataFrame, k: DataFrame, keys: list[str] = KEYS, order: str =
         "typ": F.when(dmg_mob & (p == "hit_by_spell"), "hit").otherwise(F.col("typ")),
         "mob_name": about,
         "touch": about.isNotNull(),
-    }).select(*parsed.columns, "src_is_mob", "tank", "mob_name", "touch")
+        "direction_rule": (
+            F.when(p == "shield_burn", "burns the owner")
+            .when(sure_player, "only players do this")
+            .when(~(swing | p.isin("miss", "heal", "spell_hit")), F.lit(None))
+            .when(F.col("_ks") < line, "known player")
+            .when((p == "melee") & F.col("verb").isin("hit", "hits") & m, "verb of mobs")
+            .when(spaced & m, "blank in the name")
+            .when(earlier & m, "seen as a mob")
+            .when(F.col("_tp") & m, "target is a player")
+            .when(mine & m, "target is the owner")
+            .when(F.col("_player_hit"), "first swing of a player")
+            .otherwise("no evidence")
+        ),
+    }).select(*parsed.columns, "src_is_mob", "tank", "mob_name", "touch", *(["direction_rule"] if reasons else []))
 
 
 def confirmed_mobs(classified: DataFrame, k: DataFrame, keys: list[str] = KEYS) -> DataFrame:

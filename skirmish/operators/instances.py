@@ -78,12 +78,20 @@ def mob_instances(events: DataFrame, keys: list[str] = KEYS, order: str = "line_
     )
 
 
-def mob_list(instances: DataFrame, as_of: Column | int, gap: int = GAP) -> DataFrame:
-    """Status of each instance at a moment: dead (slain, or idle unless parked) or active."""
+def mob_list(instances: DataFrame, as_of: Column | int, gap: int = GAP, fight: DataFrame | None = None, keys: list[str] = KEYS) -> DataFrame:
+    """Status of each instance at a moment: dead (slain, or idle unless parked) or active.
+
+    With the fight window of each stream, also how long after its start the mob was first and
+    last seen; null when that lies before it.
+    """
     now = F.lit(as_of) if isinstance(as_of, int) else as_of
     idle = now - F.col("last_ts")
     out = instances.withColumn("timed_out", ~F.col("parked") & (idle >= gap))
     out = out.withColumn("is_dead", F.col("slain_ts").isNotNull() | F.col("timed_out"))
+    if fight is not None:
+        at = lambda c: F.when(F.col(c) >= F.col("_start"), F.col(c) - F.col("_start"))
+        out = out.join(fight.select(*keys, F.col("start_ts").alias("_start")), keys, "left").withColumns(
+            {"first_offset": at("first_ts"), "last_offset": at("last_ts")}).drop("_start")
     return out.withColumns({
         "is_active": ~F.col("is_dead") & (idle < ACTIVE_SECS),
         "encounter_secs": F.col("last_ts") - F.col("first_ts"),

@@ -180,14 +180,18 @@ def carry_ts(parsed: DataFrame, keys: list[str] | None = None, order: str = "lin
     return out.withColumn("ts", F.coalesce("ts", F.lit(0).cast("long")))
 
 
-def explain_lines(matched: DataFrame, keywords: list[str] | None = None, only_matched: bool = False) -> DataFrame:
-    """Trace of :func:`match_lines`: which pattern took each line, and its captures."""
+def explain_lines(matched: DataFrame, keywords: list[str] | None = None, only_matched: bool = False, max_lines: int | None = None) -> DataFrame:
+    """Trace of :func:`match_lines`: which pattern took each line, and its captures.
+
+    ``max_lines`` is for a look at a few; :func:`skirmish.operators.classify.explain_events` goes on
+    with the direction of each row.
+    """
     out = matched
     if only_matched:
         out = out.filter(F.col("pattern").isNotNull())
     for word in keywords or []:
         out = out.filter(F.contains(F.lower("body"), F.lit(word.lower())))
-    return out
+    return out if max_lines is None else out.limit(max_lines)
 
 
 def parse_coverage(matched: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ SPLIT_SECS = 60
 MAX_WINDOWS = 20_000
 RUN_STRIDE = 1_000_000
 ACTIVE_IDLE = 30
-DAY = 86_400
+HOUR = 3_600
 
 
 def batch_by_second(events: DataFrame, keys: list[str] = KEYS, order: str = "line_no") -> DataFrame:
@@ -46,7 +46,7 @@ def throttle_heartbeats(events: DataFrame, keys: list[str] = KEYS, order: str =
     """At most one heartbeat per log second; none before the first time of the log."""
     hb = F.col("k") == "hb"
     first = events.filter(hb & (F.col("ts") != 0)).groupBy(*keys, "ts").agg(F.min(order).alias(order)).select(*keys, order)
-    return events.filter(~F.coalesce(hb, F.lit(False))).unionByName(events.join(first, [*keys, order], "left_semi"))
+    return events.filter(~F.coalesce(hb, F.lit(False))).unionByName(events.filter(hb).join(first, [*keys, order], "left_semi"))
 
 
 def sessionize(
@@ -168,7 +168,7 @@ def zone_instance_changes(parsed: DataFrame, keys: list[str] = KEYS, order: str
         *keys, order, "ts", F.lit("raid_mark").alias("k"), F.lit("instance").alias("kind"), label.alias("label"))
 
 
-def segments(sessions_: DataFrame, marks_: DataFrame, keys: list[str] = KEYS, span: int = DAY) -> DataFrame:
+def segments(sessions_: DataFrame, marks_: DataFrame, keys: list[str] = KEYS, span: int = HOUR) -> DataFrame:
     """Timeline of each stream: sessions, and inside them raids and zone instances.
 
     Every session start and mark opens a segment that lasts to the next one; ``raid_end`` opens
@@ -183,7 +183,7 @@ def segments(sessions_: DataFrame, marks_: DataFrame, keys: list[str] = KEYS, sp
     return scan(rows, keys, "_pos", [Carry("end_ts", "next", F.col("start_ts")), Carry("segment", "sum", F.lit(1).cast("long"))], span * 4).drop("_pos")
 
 
-def assign_scope(rows: DataFrame, scopes: DataFrame, keys: list[str] = KEYS, ts: str = "ts", span: int = DAY, scope: str = "segment") -> DataFrame:
+def assign_scope(rows: DataFrame, scopes: DataFrame, keys: list[str] = KEYS, ts: str = "ts", span: int = HOUR, scope: str = "segment") -> DataFrame:
     """Add the scope whose window ``[start_ts, end_ts)`` holds each row; null outside all.
 
     Windows of one stream do not overlap, so the latest start decides.
@@ -194,7 +194,7 @@ def assign_scope(rows: DataFrame, scopes: DataFrame, keys: list[str] = KEYS, ts:
     return out.withColumn(scope, F.when(inside, F.col("_scope.v"))).drop("_scope")
 
 
-def marker_pairs(marks_: DataFrame, keys: list[str] = KEYS, span: int = DAY) -> DataFrame:
+def marker_pairs(marks_: DataFrame, keys: list[str] = KEYS, span: int = HOUR) -> DataFrame:
     """Raid windows: each ``raid_start`` to the next raid mark of its stream, open at the end."""
     rows = marks_.filter(F.col("kind").isin("raid_start", "raid_end"))
     rows = rows.withColumn("_pos", F.col("ts") * 2 + (F.col("kind") == "raid_start").cast("long"))

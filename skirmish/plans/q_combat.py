@@ -135,12 +135,13 @@ def fight_window(spark, sf):
     return wall(combat_events(spark, sf))
 
 
-@query("mob_list", f"""WITH {INST}, o AS (SELECT *, {NOW} - last_ts AS idle FROM ins)
+@query("mob_list", f"""WITH {INST}, o AS (SELECT ins.*, {NOW} - last_ts AS idle, (SELECT min(ts) FROM ev WHERE dmg IS NOT NULL AND ev.stream_id = ins.stream_id) AS st FROM ins)
 SELECT stream_id, mob, name, first_ts, last_ts, slain_ts, false AS parked, touches, idle >= 15 AS timed_out,
   slain_ts IS NOT NULL OR idle >= 15 AS is_dead, NOT (slain_ts IS NOT NULL OR idle >= 15) AND idle < 5 AS is_active,
+  CASE WHEN first_ts >= st THEN first_ts - st END AS first_offset, CASE WHEN last_ts >= st THEN last_ts - st END AS last_offset,
   last_ts - first_ts AS encounter_secs, CASE WHEN idle >= 15 THEN 15 ELSE idle END AS last_seen_secs FROM o""")
 def mob_list(spark, sf):
-    return I.mob_list(I.mob_instances(instanced(spark, sf)), NOW)
+    return I.mob_list(I.mob_instances(instanced(spark, sf)), NOW, fight=wall(combat_events(spark, sf)))
 
 
 for _name, _taken in [("hit_ranges", False), ("hit_ranges_taken", True)]:

@@ -76,6 +76,15 @@ def classified_events(spark, sf):
     return C.classify(parsed).select(*_EVENT_COLS)
 
 
+@query("explain_events", f"""WITH {EV}, f AS (SELECT stream_id, src, min(line_no) AS first FROM dm GROUP BY ALL)
+SELECT ev.stream_id, line_no, CASE WHEN k = 'slay' THEN NULL WHEN src_is_mob THEN 'blank in the name' WHEN first < line_no THEN 'known player'
+  WHEN first = line_no THEN 'first swing of a player' ELSE 'no evidence' END AS direction_rule FROM ev LEFT JOIN f ON f.stream_id = ev.stream_id AND f.src = ev.src""")
+def explain_events(spark, sf):
+    parsed = stage(parse_lines(combat_lines(spark, sf)).select(
+        "stream_id", "line_no", "player", "pattern", "ts", "k", "src", "tgt", "dmg", "amt", "typ", "sp", "mods", "off", "verb"))
+    return C.explain_events(parsed).select("stream_id", "line_no", "direction_rule")
+
+
 @query("parse_loot_lines", f"WITH {LOOT} SELECT stream_id, line_no, ts, k, item, qty, copper, 'a gnoll' AS tgt FROM lt")
 def parse_loot_lines(spark, sf):
     return parse_lines(loot_lines(spark, sf)).select("stream_id", "line_no", "ts", "k", "item", "qty", "copper", "tgt")
@@ -177,7 +186,7 @@ def marks(spark, sf):
 
 @query("heartbeats", f"WITH {BASE} SELECT stream_id, ts, min(line_no) AS line_no FROM base WHERE line_no % {_N} = 9 GROUP BY ALL")
 def heartbeats(spark, sf):
-    rows = parse_lines(wide_lines(spark, sf)).filter("k = 'hb'").select("stream_id", "line_no", "ts", "k")
+    rows = stage(parse_lines(wide_lines(spark, sf)).filter("k = 'hb'").select("stream_id", "line_no", "ts", "k"))
     return S.throttle_heartbeats(rows).select("stream_id", "ts", "line_no")
 
 

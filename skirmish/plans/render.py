@@ -72,9 +72,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _micros(ts: Column) -> Column:
-    """Micros of a time column, read as UTC whatever its type."""
-    return F.unix_micros(ts.cast("timestamp"))
+# Micros of a time column that carries no zone; the session's zone plays no part.
+_MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({} as timestamp_ntz))"
 
 
 def _pick(values: list[str], i: Column) -> Column:
@@ -96,7 +95,7 @@ def base_events(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("s"), sid.cast("string")).alias("stream_id"),
         F.col("event_id").alias("line_no"),
         owner.alias("player"),
-        F.expr(f"{EPOCH} + (unix_micros(cast(ts as timestamp)) - {EPOCH}000000) div {SPEEDUP}000000").alias("ts"),
+        F.expr(f"{EPOCH} + ({_MICROS.format('ts')} - {EPOCH}000000) div {SPEEDUP}000000").alias("ts"),
         F.when(mine, owner).otherwise(F.concat(F.lit("P"), letters(F.col("user_id")))).alias("actor"),
         mine.alias("mine"),
         _pick(MOBS, F.col("event_id")).alias("mobn"),
@@ -193,7 +192,7 @@ def loot_events(spark: SparkSession, sf: str) -> DataFrame:
     return li.select(
         F.concat(F.lit("s"), (F.col("l_suppkey") % STREAMS).cast("string")).alias("stream_id"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_no"),
-        F.expr("unix_micros(cast(l_shipdate as timestamp)) div 1000000").alias("ts"),
+        F.expr(f"{_MICROS.format('l_shipdate')} div 1000000").alias("ts"),
         F.when(kept, "item_loot").when(sold, "item_sell").otherwise("item_hoard").alias("k"),
         F.col("p_name").alias("item"),
         F.when(kept, F.lit(1).cast("long")).when(sold, F.col("l_quantity").cast("long")).alias("qty"),
@@ -221,8 +220,8 @@ def order_batches(spark: SparkSession, sf: str) -> DataFrame:
     """``orders`` as stored batches of one stream per customer; arrival order is the order key."""
     return table(spark, sf, "orders").select(
         F.col("o_custkey").alias("stream_id"), F.col("o_orderkey").alias("id"),
-        F.expr("unix_micros(cast(o_orderdate as timestamp)) div 1000000").alias("log_ts"),
-        F.expr("unix_micros(cast(o_orderdate as timestamp)) div 1000000 + o_orderkey % 7").alias("wall_ts"),
+        F.expr(f"{_MICROS.format('o_orderdate')} div 1000000").alias("log_ts"),
+        F.expr(f"{_MICROS.format('o_orderdate')} div 1000000 + o_orderkey % 7").alias("wall_ts"),
         (F.col("o_orderkey") % 5).alias("seq"),
         (F.col("o_orderpriority") == "1-URGENT").alias("login"),
     )

@@ -61,13 +61,13 @@ def with_date(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn("log_date", F.to_date(F.timestamp_add("SECOND", F.col(ts), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))))
 
 
-def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
+def write_events(events: DataFrame, path: str, mode: str = "append", span: int = 1 << 22) -> None:
     """Append events to the store, by stream and log day.
 
-    Rows are spread over (stream, day) plus a slice of the line number, so that one busy day
-    is written by several tasks, each into few files.
+    Rows are spread over (stream, day) plus a slice of ``span`` line numbers, so that one busy day
+    is written by several tasks, each into few files.  Pass ``FILE_SPAN`` for lines read from files.
     """
-    rows = with_date(events).withColumn("_slice", F.expr("line_no div 4194304"))
+    rows = with_date(events).withColumn("_slice", F.expr(f"line_no div {int(span)}"))
     rows = rows.repartition("stream_id", "log_date", "_slice").sortWithinPartitions("stream_id", "log_date", "line_no").drop("_slice")
     rows.write.mode(mode).partitionBy("stream_id", "log_date").parquet(path)
 
