@@ -20,8 +20,12 @@ K = ["stream_id"]
 NOW = 1704067200 + 20_000
 
 
+# Chunks of the ordered operators, small enough that every stream spans several of them.
+_SPAN = 1 << 12
+
+
 def instanced(spark, sf):
-    return I.assign_instances(combat_events(spark, sf))
+    return I.assign_instances(combat_events(spark, sf), span=_SPAN)
 
 
 def stored(spark, sf):
@@ -231,7 +235,7 @@ def summary_line(spark, sf):
 r AS (SELECT *, CAST(sum(dmg) OVER w AS BIGINT) AS total, ts - first_value(ts) OVER w AS age FROM p WINDOW w AS (PARTITION BY stream_id, player ORDER BY ts))
 SELECT stream_id, player, ts, dmg, total, CAST(round(total / greatest(CAST(age AS DOUBLE), 0.001)) AS BIGINT) AS rate FROM r""")
 def timeline(spark, sf):
-    return A.timeline(combat_events(spark, sf))
+    return A.timeline(combat_events(spark, sf), span=_SPAN)
 
 
 _NAMED = """nm0 AS (SELECT stream_id, CASE WHEN k = 'slay' THEN tgt ELSE mob_name END AS w FROM ev),
@@ -248,12 +252,12 @@ def _mob_word():
 
 @query("named_mobs", f"WITH {EV}, {_NAMED} SELECT * FROM nd")
 def named_mobs(spark, sf):
-    return P.named_mobs(combat_events(spark, sf), _mob_word())
+    return P.named_mobs(combat_events(spark, sf), _mob_word(), span=_SPAN)
 
 
 @query("corpse_concurrency", f"WITH {EV}, {_NAMED} SELECT stream_id, name, deaths, concurrent FROM dd")
 def corpse_concurrency(spark, sf):
-    return P.corpse_concurrency(combat_events(spark, sf).filter("k = 'slay'"))
+    return P.corpse_concurrency(combat_events(spark, sf).filter("k = 'slay'"), span=_SPAN)
 
 
 
@@ -276,7 +280,7 @@ pl AS (SELECT *, CAST(sum(CASE WHEN reach IS NULL OR first_ts - reach > 15 THEN
 
 @query("pulls", f"WITH {INST}, {_PULLS} SELECT stream_id, mob, name, first_ts, last_ts, slain_ts, touches, false AS parked, pull FROM pl")
 def pulls(spark, sf):
-    return P.pulls(stage(I.mob_instances(instanced(spark, sf))))
+    return P.pulls(stage(I.mob_instances(instanced(spark, sf))), span=_SPAN)
 
 
 @query("pulls_with_loot", f"""WITH {INST}, {_PULLS}, hl AS (SELECT stream_id, line_no, ts FROM ev WHERE k = 'heal'),
@@ -288,7 +292,7 @@ def pulls_with_loot(spark, sf):
     """Corpse-boundary cut; heal lines stand in for loot lines."""
     ev = stored(spark, sf)
     loots = ev.filter("k = 'heal'").select("stream_id", "line_no", "ts")
-    return P.pulls(stage(I.mob_instances(ev)), loots)
+    return P.pulls(stage(I.mob_instances(ev)), loots, span=_SPAN)
 
 
 @query("pull_summary", f"""WITH {INST}, {_PULLS}, {_NAMED}, d AS (SELECT stream_id, mob, {big('dmg')} AS dmg FROM iv WHERE dmg IS NOT NULL AND NOT tank AND mob IS NOT NULL GROUP BY ALL),
@@ -300,7 +304,7 @@ SELECT *, CAST(round(dmg / greatest(CAST(end_ts - start_ts AS DOUBLE), 0.001)) A
 def pull_summary(spark, sf):
     ev = stored(spark, sf)
     dmg = A.instance_bucket(ev, "damage").groupBy("stream_id", "mob").agg(F.sum("amount").alias("dmg"))
-    return P.pull_summary(P.pulls(stage(I.mob_instances(ev))), dmg, P.named_mobs(ev, _mob_word()))
+    return P.pull_summary(P.pulls(stage(I.mob_instances(ev)), span=_SPAN), dmg, P.named_mobs(ev, _mob_word()))
 
 
 @query("player_evidence", f"""WITH {EV}, a AS (

@@ -25,7 +25,8 @@ def _twice(spark: SparkSession, df: DataFrame, first, build, mode: str = "append
     for part in (first, ~first):
         df.filter(part).write.mode("append").parquet(src)
         stream = build(spark.readStream.schema(df.schema).parquet(src))
-        q = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        with live.sized(spark):
+            q = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
         q.awaitTermination()
     return spark.read.parquet(out)
 
@@ -66,7 +67,9 @@ def live_totals(spark, sf):
     for part in (F.col("ts") < EPOCH + 10_000, F.col("ts") >= EPOCH + 10_000):
         ev.filter(part).write.mode("append").parquet(src)
         s = live.live_totals(spark.readStream.schema(ev.schema).parquet(src))
-        s.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+        with live.sized(spark):
+            q = s.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        q.awaitTermination()
     rows = spark.read.parquet(out)
     return rows.groupBy("stream_id", "player").agg(F.max_by(F.struct("dmg", "hits"), "epoch").alias("v")).select("stream_id", "player", "v.*")
 

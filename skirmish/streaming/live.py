@@ -1,12 +1,14 @@
 """Structured Streaming forms: sessions, instances and rules with state per stream.
 
-State is small per key: the last log time, the open instances of one mob name, or the
-variables of one stream.  It lives in the RocksDB state store.
+State is small per key: the last log time, the open instance of one mob name, or the
+variables of one stream.  It lives in the RocksDB state store.  The rows of one key within one
+micro-batch are handled together, so bound the micro-batch at the source (``maxFilesPerTrigger``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,21 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+@contextmanager
+def sized(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Start streams with a state partition per core, or the number given.
+
+    A stream keeps the number it first starts with, and adaptive execution does not change it.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(partitions or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class _Sessions(StatefulProcessor):
     """Session number per stream; state is the last log time and the number."""
 
