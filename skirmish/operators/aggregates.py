@@ -164,9 +164,17 @@ def breakdown(events: DataFrame, by: list[str] = KEYS, elapsed: DataFrame | None
     return both
 
 
-def meter_snapshot(events: DataFrame, instances: DataFrame, which: str, rows: int, keys: list[str] = KEYS) -> DataFrame:
-    """Top players of each instance with rate, share of all players, and the footer total."""
-    per = group_share(instance_bucket(events, which, keys), [*keys, "mob"])
+def meter_snapshot(
+    events: DataFrame, instances: DataFrame, which: str, rows: int, keys: list[str] = KEYS, mobs: DataFrame | None = None
+) -> DataFrame:
+    """Top players of each instance with rate, share of all players, and the footer total.
+
+    With the confirmed mobs given, the tanking meter leaves them out.
+    """
+    per = instance_bucket(events, which, keys)
+    if mobs is not None and which == "tanking":
+        per = drop_confirmed_mobs(per, mobs, keys)
+    per = group_share(per, [*keys, "mob"])
     per = per.join(instances.select(*keys, "mob", "name", F.greatest(F.col("last_ts") - F.col("first_ts"), F.lit(0)).alias("elapsed")), [*keys, "mob"])
     top = ranked(per, [*keys, "mob"], [F.col("amount").desc(), F.col("player")], rows)
     return top.withColumns({"rate": times.rate(F.col("amount"), F.col("elapsed")), "footer_rate": times.rate(F.col("group_total"), F.col("elapsed"))})

@@ -35,11 +35,25 @@ def find_public(streams: DataFrame) -> DataFrame:
     return streams.filter("public_stream")
 
 
+CONFIG = f"rules ARRAY<STRUCT<{RULE.replace(' INT,', ': INT,').replace('name STRING,', 'name: STRING,').replace('enabled BOOLEAN', 'enabled: BOOLEAN').replace('logic STRING', 'logic: STRING').replace('conditions ARRAY', 'conditions: ARRAY').replace('actions ARRAY', 'actions: ARRAY')}>>, reference_groups MAP<STRING, MAP<STRING, STRING>>, active_reference_group STRING"
+
+
 def read_rules(spark: SparkSession, path: str) -> list[dict]:
     """The rules of a JSON file (a list), with free text trimmed.  A rule file is small and is
     needed on the driver to build the plan."""
-    df = spark.read.schema(RULE).option("multiLine", True).json(path)
-    trim = lambda a, fields: F.transform(a, lambda s: s.withField(fields[0], F.trim(s[fields[0]])) if len(fields) == 1 else _trim_all(s, fields))
+    return _rules(spark.read.schema(RULE).option("multiLine", True).json(path))
+
+
+def read_rule_config(spark: SparkSession, path: str) -> tuple[list[dict], dict[str, str]]:
+    """Rules of a JSON object with reference groups, and the variables of the active group."""
+    raw = spark.read.schema(CONFIG).option("multiLine", True).json(path)
+    seeds = raw.select(F.explode(F.try_element_at("reference_groups", F.col("active_reference_group"))).alias("k", "v"))
+    rules = _rules(raw.select(F.inline("rules")))
+    return rules, {r["k"].strip(): r["v"].strip() for r in seeds.collect()}
+
+
+def _rules(df: DataFrame) -> list[dict]:
+    trim = lambda a, fields: F.transform(a, lambda s: _trim_all(s, fields))
     df = df.withColumns({
         "name": F.trim("name"),
         "conditions": trim("conditions", ["pattern", "var_name", "value", "custom_channel"]),
@@ -50,7 +64,7 @@ def read_rules(spark: SparkSession, path: str) -> list[dict]:
 
 def _trim_all(s, fields):
     for f in fields:
-        s = s.withField(f, F.trim(s[f]))
+        s = s.withField(f, F.regexp_replace(s[f], r"^\s+|\s+$", ""))
     return s
 
 

@@ -75,7 +75,12 @@ def test_rules_and_presets(spark, tmp_path):
     p = tmp_path / "rules.json"
     p.write_text(json.dumps([{"rule_id": 1, "name": " a ", "enabled": True, "logic": "all", "conditions": [{"type": "match", "match_type": "regex", "pattern": "x \r\n"}], "actions": [{"type": "alert", "message": " hi "}]}]))
     r = tables.read_rules(spark, str(p))[0]
-    assert (r["name"], r["conditions"][0]["pattern"].strip(), r["actions"][0]["message"]) == ("a", "x", "hi")
+    assert (r["name"], r["conditions"][0]["pattern"], r["actions"][0]["message"]) == ("a", "x", "hi")
+    c = tmp_path / "config.json"
+    c.write_text(json.dumps({"rules": [{"rule_id": 1, "name": "a", "enabled": True, "logic": "any", "conditions": [], "actions": [{"type": "store", "var_name": " x ", "value": "1"}]}],
+                             "reference_groups": {"raid": {"limit": "50"}, "solo": {"limit": "5"}}, "active_reference_group": "raid"}))
+    rules, seeds = tables.read_rule_config(spark, str(c))
+    assert rules[0]["actions"] == [{"type": "store", "var_name": "x", "value": "1"}] and seeds == {"limit": "50"}
     assert tables.read_presets(spark).count() == 16
     q = tmp_path / "p.json"
     q.write_text(json.dumps({"version": 1, "presets": []}))
@@ -91,6 +96,16 @@ def test_archetypes(spark, tmp_path):
     assert sorted(tuple(r) for r in tables.update_archetype_map(known, new).collect()) == [("Al", "QuietAnchor"), ("Bob", "RaidLeader")]
 
 
+def test_corpus_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("Bob", "hi", [("slay", "x slew y")])], "speaker string, text string, context array<struct<kind:string,summary:string>>")
+    tables.write_corpus(rows, str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "c")).first().context[0].kind == "slay"
+    seqs = spark.createDataFrame([([1, 2], 1, "train"), ([3, 4], 1, "val")], "seq array<int>, prefix_len int, split string")
+    tables.write_training_set(seqs, {"max_len": 2}, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t/sequences")).filter("split = 'val'").first().seq == [3, 4]
+    assert spark.read.json(str(tmp_path / "t/meta")).first().value == "2"
+
+
 def batch_rows(spark, pairs):
     return spark.createDataFrame([("s", i + 1, w, l) for i, (w, l) in enumerate(pairs)], "stream_id string, id long, wall_ts long, log_ts long")
 
