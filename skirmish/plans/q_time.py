@@ -92,14 +92,14 @@ def prune(spark, sf):
     return M.prune(order_batches(spark, sf), M.cutoff_of(NOW, before=CUT)).groupBy("stream_id").agg(F.count(F.lit(1)).alias("batches"), F.min("log_ts").alias("first"))
 
 
-@query("rebuild_sessions", f"""WITH {BATCH}, p AS (SELECT *, lag(log_ts) OVER (PARTITION BY stream_id ORDER BY id) AS prev FROM bt WHERE stream_id % 3 <> 0),
+@query("rebuild_sessions", f"""WITH {BATCH}, p AS (SELECT *, lag(log_ts) OVER (PARTITION BY stream_id ORDER BY id) AS prev FROM bt WHERE stream_id NOT IN (SELECT stream_id FROM bt WHERE login)),
 x AS (SELECT *, sum(CASE WHEN prev IS NULL OR log_ts - prev >= 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY id) AS num FROM p),
-o AS (SELECT stream_id, min(log_ts) AS start_log_ts FROM bt WHERE stream_id % 3 = 0 GROUP BY ALL)
+o AS (SELECT stream_id, min(log_ts) AS start_log_ts FROM bt WHERE login GROUP BY ALL)
 SELECT stream_id, CAST(num AS BIGINT) AS num, min_by(log_ts, id) AS start_log_ts FROM x GROUP BY stream_id, num UNION ALL SELECT stream_id, 1, start_log_ts FROM o""")
 def rebuild_sessions(spark, sf):
-    """Streams of every third customer already have one session and keep it."""
+    """Streams with a login already have one session and keep it."""
     b = order_batches(spark, sf)
-    old = b.filter("stream_id % 3 = 0").groupBy("stream_id").agg(F.min("log_ts").alias("start_log_ts")).select("stream_id", F.lit(1).cast("long").alias("num"), "start_log_ts")
+    old = b.filter("login").groupBy("stream_id").agg(F.min("log_ts").alias("start_log_ts")).select("stream_id", F.lit(1).cast("long").alias("num"), "start_log_ts")
     return M.rebuild_sessions(old, b)
 
 
@@ -121,14 +121,13 @@ def seek_by_time(spark, sf):
     return order_batches(spark, sf).filter(F.col("log_ts") >= CUT).groupBy("stream_id").agg(F.min("id").alias("id"))
 
 
-# Marks from the batches: every seventh opens or closes a raid.
+# Marks from the batches: each one opens or closes a raid.
 _MARKS = BATCH + """, mk AS (SELECT stream_id, log_ts AS ts, CASE WHEN id % 2 = 0 THEN 'raid_start' ELSE 'raid_end' END AS kind, min(CAST(id % 100 AS VARCHAR)) AS label
-  FROM bt WHERE seq = 3 GROUP BY ALL)"""
+  FROM bt GROUP BY ALL)"""
 
 
 def _marks(spark, sf):
-    b = order_batches(spark, sf).filter("seq = 3")
-    return b.groupBy("stream_id", F.col("log_ts").alias("ts"), F.when(F.col("id") % 2 == 0, "raid_start").otherwise("raid_end").alias("kind")).agg(
+    return order_batches(spark, sf).groupBy("stream_id", F.col("log_ts").alias("ts"), F.when(F.col("id") % 2 == 0, "raid_start").otherwise("raid_end").alias("kind")).agg(
         F.min((F.col("id") % 100).cast("string")).alias("label"))
 
 
@@ -228,12 +227,12 @@ def find_stream(spark, sf):
     return A.find_stream(st, want).select("stream_id", "player")
 
 
-@query("class_cache", f"""WITH {STREAM}, c AS (SELECT player AS name, min(game) AS a FROM st WHERE stream_id % 2 = 0 GROUP BY ALL), f AS (SELECT player AS name, max(game) AS b FROM st WHERE stream_id % 3 = 0 GROUP BY ALL)
+@query("class_cache", f"""WITH {STREAM}, c AS (SELECT player AS name, min(game) AS a FROM st WHERE NOT public_stream GROUP BY ALL), f AS (SELECT player AS name, max(game) AS b FROM st WHERE public_stream GROUP BY ALL)
 SELECT name, coalesce(b, a) AS classes FROM c FULL JOIN f USING (name)""")
 def class_cache(spark, sf):
     st = streams(spark, sf)
-    cache = st.filter("stream_id % 2 = 0").groupBy(F.col("player").alias("name")).agg(F.array(F.min("game")).alias("classes"))
-    fresh = st.filter("stream_id % 3 = 0").groupBy(F.col("player").alias("name")).agg(F.array(F.max("game")).alias("classes"))
+    cache = st.filter("NOT public_stream").groupBy(F.col("player").alias("name")).agg(F.array(F.min("game")).alias("classes"))
+    fresh = st.filter("public_stream").groupBy(F.col("player").alias("name")).agg(F.array(F.max("game")).alias("classes"))
     return A.update_class_cache(cache, fresh).withColumn("classes", F.element_at("classes", 1))
 
 
