@@ -127,12 +127,10 @@ def _evidence(parsed: DataFrame, pets: DataFrame | None, keys: list[str], order:
         .when(p == "miss", "M")
         .when(p == "shield_burn", "B")
     )
-    out = parsed.select(*keys, order, cat.alias("cat"), "src", F.when(cat != "S", tgt).alias("st"), "tgt", "player",
-                        (p != "miss").alias("hurts")).filter(F.col("cat").isNotNull())
+    out = parsed.select(*keys, order, cat.alias("cat"), "src", "tgt", "player", (p != "miss").alias("hurts")).filter(F.col("cat").isNotNull())
     if pets is not None:
         none = F.lit(None).cast("string")
-        out = out.unionByName(pets.select(*keys, order, F.lit("U").alias("cat"), F.col("name").alias("src"), none.alias("st"),
-                                          none.alias("tgt"), none.alias("player"), F.lit(False).alias("hurts")))
+        out = out.unionByName(pets.select(*keys, order, F.lit("U").alias("cat"), F.col("name").alias("src"), none.alias("tgt"), none.alias("player"), F.lit(False).alias("hurts")))
     return out
 
 
@@ -141,41 +139,41 @@ def known_players(parsed: DataFrame, pets: DataFrame | None = None, keys: list[s
     ev = _evidence(parsed, pets, keys, order)
     line = F.col(order)
     swing = F.col("cat").isin("H", "C", "S")
+    mine = F.coalesce(F.col("tgt") == F.col("player"), F.lit(False))
+    open_swing = (F.col("cat") == "S") | ((F.col("cat") == "C") & ~mine)
+    # Only numbers and flags in the buffers, so that this pass over all rows is a hash aggregate.
     names = stage(ev.groupBy(*keys, F.col("src").alias("name")).agg(
         F.min(F.when(F.col("cat") == "U", line)).alias("u"),
         F.min(F.when(F.col("cat") == "B", line)).alias("b"),
-        F.min_by(F.struct(line.alias("line"), F.col("cat"), F.col("st"), (F.col("tgt") == F.col("player")).alias("mine")),
-                 F.when(swing, line)).alias("s"),
+        F.min(F.when(swing, line)).alias("sl"),
+        F.min_by(open_swing, F.when(swing, line)).alias("so"),
     ))
-    s = F.col("s")
-    is_open = (
-        s.isNotNull() & ~F.contains("name", F.lit(" ")) & (s["cat"] != "H")
-        & ((s["cat"] == "S") | ~F.coalesce(s["mine"], F.lit(False)))
-        & (F.col("u").isNull() | (F.col("u") > s["line"]))
-    )
+    is_open = F.coalesce(F.col("so"), F.lit(False)) & ~F.contains("name", F.lit(" ")) & (F.col("u").isNull() | (F.col("u") > F.col("sl")))
     names = names.withColumn("open", is_open)
-    unsure = names.filter("open").select(*keys, "name", F.col("s.line").alias("sl"), F.col("s.st").alias("st"), "b")
+    unsure = names.filter("open").select(*keys, "name", "sl", "b")
 
     # What can unsettle them, in one small table.  Attacks, per attacker: the first of all, and the
     # first once the attacker is a player for an unconditional reason (a name with a blank in it
     # has no other).  Swings that missed before the first hit, which tell when the target was a
     # player by then.
-    who = names.select(*keys, F.col("name").alias("src"), "u", F.col("open").alias("src_open"), F.col("s.line").alias("sl"))
+    who = names.select(*keys, F.col("name").alias("src"), "u", F.col("open").alias("src_open"), "sl")
     hits = F.col("hurts") & F.col("cat").isin("U", "H", "C", "S") & ~F.coalesce(F.col("tgt").endswith("'s corpse"), F.lit(True))
     pairs = ev.filter(hits | (F.col("cat") == "M")).join(who, [*keys, "src"]).filter(
         F.when(F.col("cat") == "M", F.col("src_open") & (line < F.col("sl"))).otherwise(F.col("src_open") | (line >= F.col("u"))))
     pairs = pairs.join(unsure.select(*keys, F.col("name").alias("tgt"), F.lit(True).alias("tgt_open")), [*keys, "tgt"], "left")
-    pairs = pairs.filter((F.col("cat") == "M") | F.col("tgt_open"))
+    first = F.col("src_open") & (line == F.col("sl"))
+    pairs = pairs.filter((F.col("cat") == "M") | F.col("tgt_open") | first)
     pairs = stage(pairs.groupBy(*keys, "src", "tgt", (F.col("cat") == "M").alias("miss")).agg(
         F.min(order).alias("m_all"), F.min(F.when(line >= F.col("u"), line)).alias("m_u"), F.max(order).alias("ml"),
-        F.max(F.coalesce(F.col("tgt") == F.col("player"), F.lit(False))).alias("mine")))
+        F.max(mine).alias("mine"), F.max(first & (F.col("cat") != "S")).alias("first")))
+    unsure = unsure.join(pairs.filter("first").select(*keys, F.col("src").alias("name"), F.col("tgt").alias("st")), [*keys, "name"], "left")
     attack = pairs.filter(~F.col("miss")).select(*keys, "src", "tgt", "m_all", "m_u")
     miss = pairs.filter("miss").select(*keys, F.col("src").alias("name"), F.col("tgt").alias("mt"), "ml", "mine")
 
     verdict = unsure.select(*keys, "name", F.lit(True).alias("flag"))
     while True:
         k = names.join(verdict, [*keys, "name"], "left").select(
-            *keys, "name", F.least("u", F.when(F.coalesce("flag", F.lit(False)), F.col("s.line"))).alias("k"))
+            *keys, "name", F.least("u", F.when(F.coalesce("flag", F.lit(False)), F.col("sl"))).alias("k"))
         hit = attack.join(verdict.withColumnRenamed("name", "src"), [*keys, "src"], "left").groupBy(*keys, F.col("tgt").alias("name")).agg(
             F.min(F.when(F.coalesce("flag", F.lit(False)), F.col("m_all")).otherwise(F.col("m_u"))).alias("hit_at"))
         bad = miss.join(k.withColumnRenamed("name", "mt"), [*keys, "mt"], "left").groupBy(*keys, "name").agg(
