@@ -15,10 +15,11 @@ the lineage first with :func:`stage`.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Rows per chunk when the order column is dense.  A chunk is one window partition.
@@ -27,16 +28,25 @@ SPAN = 1 << 20
 _C = "_chunk"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share for intermediate data; an error on a cluster that names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from there.
 
-    Uses the folder of ``spark.checkpoint.dir``; only where none is set (tests, a
-    laptop) a temporary one is made.
+    The folder is that of ``spark.checkpoint.dir``, which all executors share.  Where none is set, only a
+    session whose driver and executors are one process gets a temporary folder; a cluster is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
