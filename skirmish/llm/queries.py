@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import decontam, lines, mixing, simhash
-from skirmish.llm.base import read
+from skirmish.llm import cotrain, decontam, langid, lines, loglik, mixing, passages, simhash, tools, toxicity
+from skirmish.llm.base import in_fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,3 +76,40 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", in_fold(F.col("doc_id"), 5, 0))
+    return langid.label_languages(docs, docs.filter("not held_out")).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+@query()
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    scored = cotrain.score_quality(docs, read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "text_score", "page_score", "score", "kept")
+
+
+@query()
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    judged = loglik.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
+    return judged.select("doc_id", *loglik.COUNTS, "base_failed", "kept", "score")
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", in_fold(F.col("doc_id"), 4, 2))
+    labels = read(spark, sf_dir, "labels").filter(~in_fold(F.col("doc_id"), 4, 2))
+    return toxicity.score_toxicity(docs, docs.filter("not held_out"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.format_calls(*tools.calls_of(read(spark, sf_dir, "conversations")), tools.SCHEMAS)
+
+
+@query()
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read(spark, sf_dir, "documents")).drop("removed")
