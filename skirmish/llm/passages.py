@@ -99,7 +99,7 @@ class Paragraphs:
         if not len(self.code):
             return [np.zeros(0, np.uint64) for _ in range(count)]
         starts = np.searchsorted(self.owner, np.arange(len(self.code)))
-        return [np.minimum.reduceat(_mix(self.shingles * (_P * np.uint64(2 * k + 1)) + np.uint64(k)), starts) for k in range(count)]
+        return [np.minimum.reduceat(_mix(self.shingles * np.uint64(int(_P) * (2 * k + 1) % (1 << 64)) + np.uint64(k)), starts) for k in range(count)]
 
 
 def _distinct(docs: DataFrame, bands: int, rows: int) -> DataFrame:

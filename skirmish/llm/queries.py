@@ -105,9 +105,27 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, docs.filter("not held_out"), labels).select("doc_id", "held_out", "score", "predicted")
 
 
-@query()
+OP7_SQL = r"""
+with u as (select conv_id, turn, text, len(string_split(coalesce(text, ''), ' ')) as n from conversations where role = 'user'),
+w as (select *, n % 5 = 0 as waits, 'c' || conv_id || '_' || turn as call_id from u),
+linked as (select a.*, b.turn is not null as has_next from w a left join w b on b.conv_id = a.conv_id and b.turn = a.turn + 2),
+ends as (select a.conv_id, a.turn, min(s.turn) as last
+         from linked a join linked s on s.conv_id = a.conv_id and s.turn >= a.turn and (s.turn - a.turn) % 2 = 0 and not (s.waits and s.has_next) group by all),
+r as (select conv_id, turn - 1 as turn, min(text) as result, count(*) as n_results from conversations where role = 'assistant' group by all)
+select l.conv_id as conv, l.turn, l.call_id, e.last as rank_turn, cast((e.last - l.turn) / 2 as integer) as rank_hops,
+       array_to_string(list_sort(list_filter([case when coalesce(r.n_results, 0) = 0 then 'result: missing' when r.n_results > 1 then 'result: repeated' end,
+                                   case when l.waits and not l.has_next then 'uses c' || l.conv_id || '_' || (l.turn + 2) || ': missing' end], lambda x: x is not null)), '; ') as problems,
+       coalesce(r.n_results, 0) = 1 and not (l.waits and not l.has_next) as valid,
+       '{"arguments":{"query":' || to_json(l.text)::varchar || ',"words":' || l.n || '},"call_id":"' || l.call_id || '","result":' || coalesce(to_json(r.result)::varchar, 'null')
+         || ',"tool":"' || case when l.n > 30 then 'summarise' else 'lookup' end || '"}' as json
+from linked l join ends e using (conv_id, turn) left join r using (conv_id, turn)
+"""
+
+
+@query(OP7_SQL)
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.format_calls(*tools.calls_of(read(spark, sf_dir, "conversations")), tools.SCHEMAS)
+    calls = tools.format_calls(*tools.calls_of(read(spark, sf_dir, "conversations")), tools.SCHEMAS)
+    return calls.withColumn("problems", F.array_join("problems", "; "))
 
 
 @query()
