@@ -105,16 +105,17 @@ def instance_label(zone: Column) -> Column:
 
 
 def parse_copper(text: Column) -> Column:
-    """Money in copper: ``2 platinum, 1 gold`` is 2100."""
+    """Money in copper: ``2 platinum, 1 gold`` is 2100; null where the sum passes what a long holds."""
     worth = F.create_map(*[F.lit(x) for kv in (("platinum", 1000), ("gold", 100), ("silver", 10), ("copper", 1)) for x in kv])
-    rx = r"(\d{1,15})\s*(platinum|gold|silver|copper)"
+    rx = r"(\d+)\s*(platinum|gold|silver|copper)"
     part = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(rx), 1).alias("n"), F.regexp_extract_all(text, F.lit(rx), 2).alias("u")
     )
     total = F.aggregate(
-        part, F.lit(0).cast("long"), lambda acc, p: acc + p["n"].cast("long") * F.element_at(worth, p["u"])
+        part, F.lit(0).cast("decimal(38,0)"),
+        lambda acc, p: F.try_add(acc, F.try_multiply(p["n"].try_cast("decimal(32,0)"), F.element_at(worth, p["u"]).cast("decimal(4,0)"))).cast("decimal(38,0)"),
     )
-    return F.least(total, F.lit((1 << 32) - 1))
+    return total.try_cast("long")
 
 
 def player_from_filename(path: Column) -> Column:

@@ -16,7 +16,6 @@ KEYS = ["stream_id"]
 CORRELATE_SECS = 30
 CONTEXT_SECS = 60
 MIN_MESSAGES = 15
-MAX_LEN = 128
 
 # Archetypes with verbosity, humor and patience.
 ARCHETYPES = {
@@ -297,10 +296,12 @@ def training_prefix(corpus: DataFrame) -> DataFrame:
 
 
 def training_set(
-    prefixed: DataFrame, encode, vocab_size: int, eos: int, pad: int, max_len: int = MAX_LEN, val_frac: float = 0.05, key: str = "line_no",
+    prefixed: DataFrame, encode, vocab_size: int, eos: int, pad: int, max_len: int | None = None, val_frac: float = 0.05, key: str = "line_no",
 ) -> DataFrame:
-    """Padded id sequences with their prefix length and split.
+    """Id sequences with the prefix length, the full length and the split.
 
+    With ``max_len`` every sequence is cut or padded to that length, the response first and then the prefix;
+    ``full_len`` tells what it was.  Without it sequences keep their own length.
     ``encode`` turns a text into a list of ids; it runs on Arrow batches inside tasks.  The
     split takes the lowest hashes of the row key: ``max(1, n * val_frac)`` rows are held out.
     """
@@ -308,19 +309,19 @@ def training_set(
 
     def batches(frames):
         for pdf in frames:
-            prefix, seqs = [], []
+            prefix, seqs, lengths = [], [], []
             for tokens, slot, text in zip(pdf["tokens"], pdf["slot"], pdf["text"]):
                 p = [ids[t] for t in tokens] + (list(encode(slot)) if slot else []) + [ids["[RESPONSE]"]]
                 full = p + (list(encode(text)) + [eos])
-                if len(full) > max_len:
-                    full = p + full[len(p):][: max_len - len(p)]
-                prefix.append(len(p))
-                seqs.append(full + [pad] * (max_len - len(full)))
-            yield pdf[["_key"]].assign(seq=seqs, prefix_len=prefix)
+                size = len(full) if max_len is None else max_len
+                prefix.append(min(len(p), size))
+                lengths.append(len(full))
+                seqs.append((full + [pad] * (size - len(full)))[:size])
+            yield pdf[["_key"]].assign(seq=seqs, prefix_len=prefix, full_len=lengths)
 
     rows = prefixed.select(F.struct(*[F.col(c) for c in _row_key(prefixed, key)]).alias("_k"), "tokens", "slot", "text")
     rows = rows.select(F.xxhash64("_k").alias("_key"), "tokens", "slot", "text")
-    out = rows.mapInPandas(batches, "_key long, seq array<int>, prefix_len int")
+    out = rows.mapInPandas(batches, "_key long, seq array<int>, prefix_len int, full_len int")
     # The cut comes from counts per hash range (at most 65,536 rows), then from the one range
     # that crosses it; no global sort.
     part = F.shiftright("_key", 48)
@@ -341,10 +342,11 @@ def _row_key(df: DataFrame, key: str) -> list[str]:
     return [c for c in ("stream_id", key) if c in df.columns]
 
 
-def ngram_precision(hyps: DataFrame, refs: DataFrame, n: int) -> DataFrame:
+def ngram_precision(hyps: DataFrame, refs: DataFrame, n: int, group: str = "id") -> DataFrame:
     """Clipped n-gram precision of each hypothesis: best overlap with one of its references.
 
-    ``hyps`` is (id, text), ``refs`` is (id, ref_id, text).
+    ``hyps`` is (id, text), ``refs`` is (``group``, ref_id, text); hypotheses that share references have ``group`` as a
+    column too, so that each reference is cut into n-grams once.
     """
     def grams(df: DataFrame, keys: list[str]) -> DataFrame:
         words = F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda x: x != "")
@@ -354,9 +356,9 @@ def ngram_precision(hyps: DataFrame, refs: DataFrame, n: int) -> DataFrame:
         rows = rows.select(*keys, F.explode(F.transform(at, lambda i: F.array_join(F.slice("w", i, n), " "))).alias("gram"))
         return rows.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("c"))
 
-    h = grams(hyps, ["id"])
-    r = grams(refs, ["id", "ref_id"]).withColumnRenamed("c", "rc")
+    h = grams(hyps, list(dict.fromkeys(["id", group])))
+    r = grams(refs, [group, "ref_id"]).withColumnRenamed("c", "rc")
     total = h.groupBy("id").agg(F.sum("c").alias("total"))
-    match = h.join(r, ["id", "gram"]).groupBy("id", "ref_id").agg(F.sum(F.least("c", "rc")).alias("m")).groupBy("id").agg(F.max("m").alias("m"))
+    match = h.join(r, [group, "gram"]).groupBy("id", "ref_id").agg(F.sum(F.least("c", "rc")).alias("m")).groupBy("id").agg(F.max("m").alias("m"))
     out = hyps.select("id").join(total, "id", "left").join(match, "id", "left")
     return out.select("id", F.when(F.coalesce("total", F.lit(0)) > 0, F.coalesce("m", F.lit(0)) / F.col("total")).otherwise(F.lit(0.0)).alias("precision"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skirmish.operators.ordered import Carry, scan, stage
@@ -90,8 +90,12 @@ def add_markers(markers: DataFrame, fresh: DataFrame) -> DataFrame:
     """New markers with the next ids of their stream, at most one per second and kind."""
     new = fresh.dropDuplicates(["stream_id", "ts", "kind"]).join(markers.select("stream_id", "ts", "kind"), ["stream_id", "ts", "kind"], "left_anti")
     top = markers.groupBy("stream_id").agg(F.max("id").alias("_top"))
-    new = new.withColumn("_pos", F.col("ts") * 8 + F.pmod(F.xxhash64("kind"), F.lit(8)))
-    new = scan(new, ["stream_id"], "_pos", [Carry("_n", "sum", F.lit(1).cast("long"))], 1 << 24)
+    # Kinds of one second follow each other by name, numbered inside their second.
+    at = Window.partitionBy("stream_id", "ts").orderBy("kind")
+    new = new.withColumns({"_place": F.row_number().over(at), "_of": F.count("*").over(Window.partitionBy("stream_id", "ts"))})
+    seconds = new.groupBy("stream_id", "ts").agg(F.max("_of").alias("_of"))
+    upto = scan(seconds, ["stream_id"], "ts", [Carry("_upto", "sum", F.col("_of"))], 1 << 24).select("stream_id", "ts", "_upto")
+    new = new.join(upto, ["stream_id", "ts"]).withColumn("_n", F.col("_upto") - F.col("_of") + F.col("_place"))
     new = new.join(top, "stream_id", "left").withColumn("id", F.coalesce("_top", F.lit(0)) + F.col("_n"))
     return markers.unionByName(new.select(*markers.columns))
 

@@ -14,7 +14,6 @@ KEYS = ["stream_id"]
 SESSION_GAP = 3600
 CREATE_SECS = 600
 SPLIT_SECS = 60
-MAX_WINDOWS = 20_000
 RUN_STRIDE = 1_000_000
 ACTIVE_IDLE = 30
 HOUR = 3_600
@@ -28,17 +27,16 @@ def batch_by_second(events: DataFrame, keys: list[str] = KEYS, order: str = "lin
     )
 
 
-def split_batches(batch_events: DataFrame, keys: list[str], secs: int = SPLIT_SECS, cap: int = MAX_WINDOWS) -> DataFrame:
+def split_batches(batch_events: DataFrame, keys: list[str], secs: int = SPLIT_SECS) -> DataFrame:
     """Window number of each event inside its batch, counted from the batch's own minimum.
 
-    A batch spanning at most ``secs`` stays whole; outliers land in the last window.
+    A batch spanning at most ``secs`` stays whole.  Windows have no upper number.
     """
     spans = batch_events.groupBy(*keys).agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi"))
     rows = batch_events.join(spans, keys)
-    slot = F.floor((F.col("ts") - F.col("_lo")) / secs)
-    last = F.least(F.floor((F.col("_hi") - F.col("_lo")) / secs) + 1, F.lit(cap)) - 1
+    slot = F.expr(f"(ts - _lo) div {int(secs)}")
     return rows.withColumn(
-        "slot", F.when(F.col("_hi") - F.col("_lo") <= secs, F.lit(0)).otherwise(F.least(slot, last)).cast("long")
+        "slot", F.when(F.col("_hi") - F.col("_lo") <= secs, F.lit(0)).otherwise(slot).cast("long")
     ).drop("_lo", "_hi")
 
 

@@ -22,7 +22,7 @@ _EVD = ["a gnoll", "a Bat Meat", "Pab", "3 gold", "", "", ""]
 _CTK = ["slay", "", "death", "", "", "", "cast"]
 _CTS = ["You slew a gnoll", "", "Pab slain by a gnoll", "", "", "", "You casting Ice Comet"]
 
-CHAT = f"""cv AS (SELECT 'c' || (conv_id % 8) AS stream_id, conv_id * 64 + turn * 2 AS line_no, {EPOCH} + conv_id * 100 + turn * 12 AS ets,
+CHAT = f"""cv AS (SELECT 'c' || (conv_id % 8) AS stream_id, conv_id * 1048576 + turn * 2 AS line_no, {EPOCH} + conv_id * 100 + turn * 12 AS ets,
     {EPOCH} + conv_id * 100 + turn * 12 + 7 AS ts, conv_id * 3 + turn AS e,
     CASE WHEN turn % 4 = 3 THEN 'Izzin' ELSE upper(role[1]) || role[2:] || {letters('conv_id % 10')} END AS speaker,
     trim(regexp_replace(text, '[''"\\r\\n\\t]', ' ', 'g'), ' ') AS text, turn FROM conversations),
@@ -74,7 +74,7 @@ def _archetypes(spark, sf):
     """Labels of half of the speakers, from their names."""
     t = table(spark, sf, "conversations").select("conv_id", "role").distinct()
     n = F.col("conv_id") % 10
-    name = F.concat(F.upper(F.substring("role", 1, 1)), F.substring("role", 2, 100), F.translate(n.cast("string"), "0123456789", "abcdefghij"))
+    name = F.concat(F.upper(F.substring("role", 1, 1)), F.expr("substring(role, 2)"), F.translate(n.cast("string"), "0123456789", "abcdefghij"))
     lab = F.element_at(F.array(*[F.lit(a) for a in C.ARCHETYPES]), (n % 5).cast("int") + 1)
     return t.filter(n % 2 == 0).select(name.alias("speaker"), lab.alias("archetype")).distinct()
 
@@ -119,10 +119,21 @@ def training_prefix(spark, sf):
 def training_set(spark, sf):
     """Sequences by a word-length tokenizer; sizes of the two splits."""
     rows = stage(C.training_prefix(corpus(spark, sf)).select("stream_id", "line_no", "tokens", "slot", "text"))
-    out = C.training_set(rows, lambda s: [len(w) for w in s.split()], vocab_size=1000, eos=2, pad=0)
+    out = C.training_set(rows, lambda s: [len(w) for w in s.split()], vocab_size=1000, eos=2, pad=0, max_len=128)
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("seq")).cast("long").alias("ids"))
 
 
+@query("training_lengths", f"""WITH {_LAB}, k AS (SELECT *, kinds[-1] AS last_k FROM lc), t AS (SELECT *, {_TRIG} AS trigger, {_REG} AS register FROM k),
+p AS (SELECT text, 6 + len(list_filter(string_split(CASE archetype {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _BUCKET.items())} END, ' '), lambda x: x <> ''))
+  + CASE trigger WHEN 'MobKilled' THEN 2 WHEN 'PlayerDied' THEN 2 WHEN 'Wipe' THEN 2 WHEN 'Incoming' THEN 2 ELSE 0 END + 1 AS prefix_len FROM t)
+SELECT CAST(prefix_len AS INTEGER) AS prefix_len, CAST(prefix_len + len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) + 1 AS INTEGER) AS full_len, count(*) AS n FROM p GROUP BY ALL""")
+def training_lengths(spark, sf):
+    """Sequences at their own length: how many of each prefix and full length."""
+    rows = stage(C.training_prefix(corpus(spark, sf)).select("stream_id", "line_no", "tokens", "slot", "text"))
+    out = C.training_set(rows, lambda s: [len(w) for w in s.split()], vocab_size=1000, eos=2, pad=0)
+    return out.filter(F.size("seq") == F.col("full_len")).groupBy("prefix_len", "full_len").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Documents as a corpus: language and source as the speaker.
 _HUM = r"""(?i)(?:^|[^\p{L}\p{N}_])(?:(?:lol|lmao|lmfao|rofl|haha|hehe|heh|xd|kek|gg)(?:$|[^\p{L}\p{N}_])|:[-o]?[)DdPp3]|;-?[)])"""
 _FEAT = f"""dc AS (SELECT lang || '/' || source AS speaker, text, len(list_filter(regexp_split_to_array(text, '[\\s\\p{{Z}}\\x{{85}}\\x0B]+'), lambda x: x <> '')) AS wc FROM documents),
@@ -176,13 +187,13 @@ c AS (SELECT conv_id, turn, role, gram, count(*) AS c FROM g GROUP BY ALL),
 t AS (SELECT conv_id, turn, sum(c) AS total FROM c WHERE role = 'user' GROUP BY ALL),
 m AS (SELECT h.conv_id, h.turn, r.turn AS rt, sum(least(h.c, r.c)) AS m FROM c h JOIN c r ON h.conv_id = r.conv_id AND h.gram = r.gram WHERE h.role = 'user' AND r.role = 'assistant' GROUP BY ALL),
 b AS (SELECT conv_id, turn, max(m) AS m FROM m GROUP BY ALL)
-SELECT q.conv_id * 64 + q.turn AS id, round(coalesce(b.m / t.total, 0), 9) AS precision FROM conversations q LEFT JOIN t USING (conv_id, turn) LEFT JOIN b USING (conv_id, turn) WHERE q.role = 'user'"""
+SELECT q.conv_id, q.turn, round(coalesce(b.m / t.total, 0), 9) AS precision FROM conversations q LEFT JOIN t USING (conv_id, turn) LEFT JOIN b USING (conv_id, turn) WHERE q.role = 'user'"""
 
     def _ngrams(spark, sf, n=_n):
-        c = table(spark, sf, "conversations").withColumn("id", F.col("conv_id") * 64 + F.col("turn"))
-        hyps = c.filter("role = 'user'").select("conv_id", "id", "text")
-        refs = hyps.select("conv_id", "id").join(c.filter("role = 'assistant'").select("conv_id", F.col("id").alias("ref_id"), "text"), "conv_id")
-        return C.ngram_precision(hyps.select("id", "text"), refs.select("id", "ref_id", "text"), n).withColumn("precision", F.round("precision", 9))
+        c = table(spark, sf, "conversations")
+        hyps = c.filter("role = 'user'").select(F.struct("conv_id", "turn").alias("id"), F.col("conv_id").alias("of"), "text")
+        refs = c.filter("role = 'assistant'").select(F.col("conv_id").alias("of"), F.col("turn").alias("ref_id"), "text")
+        return C.ngram_precision(hyps, refs, n, "of").select("id.*", F.round("precision", 9).alias("precision"))
 
     query(f"ngram_precision_{_n}", _sql)(_ngrams)
 

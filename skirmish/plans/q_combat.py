@@ -336,7 +336,7 @@ def headline_mob(spark, sf):
 def confirmed_mobs_removed(spark, sf):
     ev = combat_events(spark, sf)
     names = ev.filter("k <> 'slay'").groupBy("stream_id", F.col("src").alias("player")).agg(F.count(F.lit(1)).alias("n"))
-    mobs = ev.filter(F.col("mob_name").isNotNull()).select("stream_id", F.explode(F.array("mob_name", F.concat(F.upper(F.substring("mob_name", 1, 1)), F.substring("mob_name", 2, 100)))).alias("name")).distinct()
+    mobs = ev.filter(F.col("mob_name").isNotNull()).select("stream_id", F.explode(F.array("mob_name", F.concat(F.upper(F.substring("mob_name", 1, 1)), F.expr("substring(mob_name, 2)")))).alias("name")).distinct()
     return A.drop_confirmed_mobs(names, mobs)
 
 

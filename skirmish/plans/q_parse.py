@@ -129,12 +129,13 @@ def name_functions(spark, sf):
         names.warder_owner(pet).alias("owner"), names.instance_label(F.concat(F.lit("Hole "), (i % 9).cast("string"), F.lit(" (Refined)"))).alias("zone"))
 
 
-@query("parse_copper", "SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS copper FROM lineitem")
+@query("parse_copper", """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN NULL ELSE CAST(floor(l_extendedprice) AS BIGINT) + CASE WHEN l_linenumber = 2 THEN 9000000000000000000 ELSE 0 END END AS copper FROM lineitem""")
 def parse_copper(spark, sf):
-    """A price spelled in coins and read back."""
+    """A price spelled in coins and read back; some have 16 digits of platinum, some more than a long holds."""
     c = F.floor("l_extendedprice").cast("long")
     li = table(spark, sf, "lineitem").withColumn("c", c)
-    text = F.concat(F.expr("c div 1000").cast("string"), F.lit(" platinum "), F.expr("c div 100 % 10").cast("string"), F.lit(" gold and "),
+    more = F.when(F.col("l_linenumber") == 2, F.lit(9_000_000_000_000_000)).otherwise(F.lit(0))
+    text = F.concat((F.expr("c div 1000") + more).cast("string"), F.when(F.col("l_linenumber") == 3, "1000000000000000000").otherwise(""), F.lit(" platinum "), F.expr("c div 100 % 10").cast("string"), F.lit(" gold and "),
                     (F.col("c") % 100).cast("string"), F.lit(" copper"))
     return li.select("l_orderkey", "l_linenumber", names.parse_copper(text).alias("copper"))
 

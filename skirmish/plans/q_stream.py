@@ -31,6 +31,25 @@ def _twice(spark: SparkSession, df: DataFrame, first, build, mode: str = "append
     return spark.read.parquet(out)
 
 
+def _merged(spark: SparkSession, df: DataFrame, first, build, keys: list[str]) -> DataFrame:
+    """As ``_twice`` in output mode update: the last row of every key."""
+    live.use_rocksdb(spark)
+    src, out, cp = folder(spark), folder(spark), folder(spark)
+
+    def write(rows, epoch):
+        rows.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+
+    for part in (first, ~first):
+        df.filter(part).write.mode("append").parquet(src)
+        stream = build(spark.readStream.schema(df.schema).parquet(src))
+        with live.sized(spark):
+            q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        q.awaitTermination()
+    rows = spark.read.parquet(out)
+    values = [c for c in rows.columns if c not in (*keys, "epoch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("v")).select(*keys, "v.*")
+
+
 @query("stream_sessions", f"""WITH {BATCH}, p AS (SELECT *, lag(log_ts) OVER (PARTITION BY stream_id ORDER BY id) AS prev FROM bt)
 SELECT CAST(stream_id AS VARCHAR) AS stream_id, id, log_ts, CAST(sum(CASE WHEN prev IS NULL OR login OR log_ts - prev >= {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY id) AS BIGINT) AS session FROM p""")
 def stream_sessions(spark, sf):
@@ -47,31 +66,16 @@ def stream_instances(spark, sf):
 
 @query("stream_seconds", f"WITH {EV} SELECT stream_id, ts, count(*) AS events, min(line_no) AS first_line FROM ev GROUP BY ALL")
 def stream_seconds(spark, sf):
-    """One row per second once the watermark passed; one late row far ahead flushes the rest."""
+    """Seconds of a stream whose second half holds the early times: however late, no row is lost."""
     ev = combat_events(spark, sf).select("stream_id", "ts", "line_no")
-    flush = ev.limit(1).select(F.lit("~").alias("stream_id"), F.lit(EPOCH + 10_000_000).cast("long").alias("ts"), F.lit(0).cast("long").alias("line_no"))
-    rows = ev.unionByName(flush)
-    return _twice(spark, rows, F.col("stream_id") != "~", live.batches_by_second).filter("stream_id <> '~'")
+    return _merged(spark, ev, F.col("ts") >= EPOCH + 10_000, live.batches_by_second, ["stream_id", "ts"])
 
 
 @query("live_totals", f"WITH {EV} SELECT stream_id, src AS player, {big('dmg')} AS dmg, count(*) AS hits FROM dm GROUP BY ALL")
 def live_totals(spark, sf):
     """Running totals, each micro-batch's changed rows merged into a table by key."""
     ev = combat_events(spark, sf).select("stream_id", "ts", "k", "src", "dmg", "tank")
-    live.use_rocksdb(spark)
-    src, out, cp = folder(spark), folder(spark), folder(spark)
-
-    def write(df, epoch):
-        df.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
-
-    for part in (F.col("ts") < EPOCH + 10_000, F.col("ts") >= EPOCH + 10_000):
-        ev.filter(part).write.mode("append").parquet(src)
-        s = live.live_totals(spark.readStream.schema(ev.schema).parquet(src))
-        with live.sized(spark):
-            q = s.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", cp).trigger(availableNow=True).start()
-        q.awaitTermination()
-    rows = spark.read.parquet(out)
-    return rows.groupBy("stream_id", "player").agg(F.max_by(F.struct("dmg", "hits"), "epoch").alias("v")).select("stream_id", "player", "v.*")
+    return _merged(spark, ev, F.col("ts") < EPOCH + 10_000, live.live_totals, ["stream_id", "player"])
 
 
 @query("stream_ingest", f"WITH {EV} SELECT stream_id, k, count(*) AS n FROM ev GROUP BY ALL UNION ALL SELECT stream_id, 'rejected', count(DISTINCT ts) FROM ev GROUP BY ALL")
@@ -93,7 +97,7 @@ def stream_ingest(spark, sf):
 def stream_dedupe(spark, sf):
     """Every batch sent twice; the copies are dropped while the stream runs."""
     b = order_batches(spark, sf).select(F.col("stream_id").cast("string").alias("stream_id"), "id", "log_ts", "seq").withColumn("run", F.col("id"))
-    return _twice(spark, b.unionByName(b), F.col("id") >= 0, lambda s: live.drop_resent(s, "10000 days")).select("id", "log_ts")
+    return _twice(spark, b.unionByName(b), F.col("id") >= 0, live.drop_resent).select("id", "log_ts")
 
 
 @query("replay_range", f"WITH {BATCH} SELECT id, log_ts FROM bt WHERE id BETWEEN 1000 AND 9000")

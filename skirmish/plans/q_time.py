@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from skirmish.operators import aggregates as A
 from skirmish.operators import maintain as M
 from skirmish.operators import sessions as S
-from skirmish.operators.ordered import stage
+from skirmish.operators.ordered import shared_folder, stage
 from skirmish.plans.registry import query
 from skirmish.plans.render import combat_events, order_batches, streams
 from skirmish.plans.sql import BATCH, EV, SESS, SESS_GAP, STREAM, big
@@ -23,9 +22,8 @@ NOW = 1000000000
 
 
 def folder(spark) -> str:
-    """A fresh folder in the shared checkpoint folder; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root}/{uuid.uuid4().hex}"
+    """A fresh folder in the folder that driver and executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def sessioned(spark, sf):

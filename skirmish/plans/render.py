@@ -67,9 +67,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give regex work every core when a table is one small file; larger inputs come split."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows out to ``skirmish.spread`` tasks where a session sets it, as a bench on one unsplittable file does."""
+    tasks = df.sparkSession.conf.get("skirmish.spread", None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 # Micros of a time column that carries no zone; the session's zone plays no part.
@@ -143,7 +143,7 @@ def log_prefix(ts: Column) -> Column:
 
 
 def _cap(name: Column) -> Column:
-    return F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, 2, 100))
+    return F.concat(F.upper(F.substring(name, 1, 1)), F.substr(name, F.lit(2)))
 
 
 def combat_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -264,4 +264,4 @@ def chat_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("c"), (conv % STREAMS).cast("string")).alias("stream_id"), F.lit("Izzin").alias("player"), conv, turn, at.alias("at"),
         F.posexplode(F.array(game, msg)).alias("pos", "body"))
     rows = once(rows, raw=F.concat(log_prefix(F.col("at") + F.col("pos") * 7), F.col("body")))
-    return rows.select("stream_id", "player", (F.col("conv_id") * 64 + F.col("turn") * 2 + F.col("pos")).alias("line_no"), "raw")
+    return rows.select("stream_id", "player", (F.col("conv_id") * (1 << 20) + F.col("turn") * 2 + F.col("pos")).alias("line_no"), "raw")

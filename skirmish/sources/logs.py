@@ -50,18 +50,25 @@ def list_logs(spark: SparkSession, path: str) -> DataFrame:
         server_from_filename(F.col("path")).alias("server"), "length", "modificationTime")
 
 
+# Lines that a streamed chunk may hold.
+CHUNK_LINES = 1 << 20
+
+
 def stream_logs(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Lines of closed log chunks as they arrive in a folder.
 
     The file source delivers a file once, so a shipper must rotate chunks rather than append, at
-    most a million lines each.  Chunks are ordered by their closing time: ``line_no`` holds the
-    file time in milliseconds and the line's place in the file.
+    most ``CHUNK_LINES`` lines each; a longer one is an error.  ``line_no`` holds the chunk's number and the line's place in
+    it.  The number is the digits before ``.txt`` when the shipper counts its chunks (``eqlog_P_S.17.txt``), else the file time in
+    milliseconds; a shipper that may close two chunks of a stream in one millisecond must count them.
     """
     reader = spark.readStream.option("pathGlobFilter", LOG_GLOB).option("wholetext", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    at = F.unix_millis("_metadata.file_modification_time")
+    counted = F.regexp_extract("_metadata.file_name", r"\.(\d+)\.txt$", 1).try_cast("long")
+    at = F.coalesce(counted, F.unix_millis("_metadata.file_modification_time"))
     lines = F.posexplode(F.split(F.make_valid_utf8(F.col("value")), "\r?\n")).alias("_pos", "raw")
     rows = reader.text(path).select(*_identity(), at.alias("_at"), lines)
-    rows = rows.select("stream_id", "player", "server", "source_file", (F.col("_at") * (1 << 20) + F.col("_pos")).alias("line_no"), "raw")
+    line_no = F.when(F.col("_pos") < CHUNK_LINES, F.col("_at") * CHUNK_LINES + F.col("_pos")).otherwise(F.raise_error(F.concat(F.lit("too many lines in "), "source_file")))
+    rows = rows.select("stream_id", "player", "server", "source_file", line_no.alias("line_no"), "raw")
     return rows.filter(F.col("raw") != "")

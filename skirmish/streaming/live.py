@@ -153,17 +153,26 @@ def live_totals(events: DataFrame) -> DataFrame:
     return hit.groupBy("stream_id", F.col("src").alias("player")).agg(F.sum("dmg").alias("dmg"), F.count(F.lit(1)).alias("hits"))
 
 
-def batches_by_second(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """One row per stream and log second, emitted once the watermark has passed it."""
-    at = F.timestamp_seconds("ts")
-    rows = events.withColumn("at", at).withWatermark("at", late)
+def batches_by_second(events: DataFrame, late: str | None = None) -> DataFrame:
+    """One row per stream and log second.
+
+    No row is ever too late: write with output mode ``update`` and merge by key.  With ``late`` a second is
+    emitted once (mode ``append``) when the watermark has passed it, and rows later than that are lost.
+    """
+    rows = events.withColumn("at", F.timestamp_seconds("ts"))
+    rows = rows.withWatermark("at", late) if late else rows
     return rows.groupBy("stream_id", F.window("at", "1 second")).agg(
         F.count(F.lit(1)).alias("events"), F.min("line_no").alias("first_line")).select(
         "stream_id", F.unix_seconds("window.start").alias("ts"), "events", "first_line")
 
 
-def drop_resent(batches: DataFrame, late: str = "1 day") -> DataFrame:
-    """Resent batches dropped while the stream runs (same run, seq and log time)."""
+def drop_resent(batches: DataFrame, late: str | None = None) -> DataFrame:
+    """Resent batches dropped while the stream runs (same run, seq and log time).
+
+    State keeps every key; ``late`` bounds it, and a batch resent later than that comes through again.
+    """
+    if not late:
+        return batches.dropDuplicates(["stream_id", "run", "seq", "log_ts"])
     rows = batches.withColumn("at", F.timestamp_seconds("log_ts")).withWatermark("at", late)
     return rows.dropDuplicatesWithinWatermark(["stream_id", "run", "seq", "log_ts"]).drop("at")
 

@@ -186,3 +186,14 @@ def test_glob():
 def test_mod_flags(spark):
     df = spark.createDataFrame([(5,)], "m int")
     assert df.select(*[mods.has_flag(F.col("m"), f) for f in ("critical", "twincast", "lucky")]).first() == (True, False, True)
+
+
+def test_long_names_and_large_amounts(spark):
+    from skirmish.functions import names
+    from skirmish.plans.render import _cap
+
+    name = "a " + "very " * 40 + "long name"
+    texts = [("99999999999 copper",), ("9000000 platinum",), ("12345678901234567 silver",), ("9" * 30 + " platinum",), ("5" * 60 + " gold",), ("none",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(texts, "t string").select(names.parse_copper(F.col("t"))).collect()]
+    assert got == [99999999999, 9000000000, 123456789012345670, None, None, 0, None]
+    assert spark.createDataFrame([(name,)], "n string").select(_cap(F.col("n"))).first()[0] == name[0].upper() + name[1:]

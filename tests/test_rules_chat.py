@@ -117,3 +117,12 @@ def test_training_set_cuts_the_response(spark):
     rows = C.training_set(C.training_prefix(df), lambda s: [1] * len(s.split()), 100, 2, 0, max_len=32, val_frac=0.1).collect()
     assert all(len(r.seq) == 32 for r in rows) and sum(r.split == "val" for r in rows) == 4
     assert {r.prefix_len for r in rows} == {11}  # six labels, two buckets, two slot words, the response mark
+
+
+def test_training_set_at_full_length(spark):
+    ctx = "array<struct<kind:string,summary:string>>"
+    df = spark.createDataFrame([(i, "RaidLeader", "w " * 300, [("slay", "You slew a rat")]) for i in range(3)], f"line_no long, archetype string, text string, context {ctx}")
+    rows = C.training_set(C.training_prefix(df), lambda s: [1] * len(s.split()), 100, 2, 0).collect()
+    assert {(len(r.seq), r.prefix_len, r.full_len) for r in rows} == {(312, 11, 312)}
+    cut = C.training_set(C.training_prefix(df), lambda s: [1] * len(s.split()), 100, 2, 0, max_len=5).collect()
+    assert {(len(r.seq), r.prefix_len, r.full_len) for r in cut} == {(5, 5, 312)}

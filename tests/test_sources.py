@@ -129,7 +129,7 @@ def test_reanchor(spark):
 def test_split_batches(spark):
     df = spark.createDataFrame([(1, 0), (1, 59), (1, 60), (1, 130), (2, 5), (2, 65), (3, 0), (3, 60 * 30_000)], "batch long, ts long")
     got = sorted((r.batch, r.ts, r.slot) for r in S.split_batches(df, ["batch"]).collect())
-    assert got == [(1, 0, 0), (1, 59, 0), (1, 60, 1), (1, 130, 2), (2, 5, 0), (2, 65, 0), (3, 0, 0), (3, 1_800_000, 19_999)]
+    assert got == [(1, 0, 0), (1, 59, 0), (1, 60, 1), (1, 130, 2), (2, 5, 0), (2, 65, 0), (3, 0, 0), (3, 1_800_000, 30_000)]
 
 
 def test_cutoff():
@@ -137,3 +137,29 @@ def test_cutoff():
     for bad in ({}, {"days": 1, "before": 2}):
         with pytest.raises(ValueError):
             M.cutoff_of(0, **bad)
+
+
+def test_stage_needs_a_shared_folder(spark, monkeypatch):
+    from skirmish.operators import ordered
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(RuntimeError):
+        ordered.shared_folder(Session())
+    Session.conf = {"spark.checkpoint.dir": "/shared"}
+    assert ordered.shared_folder(Session()) == "/shared"
+    Session.conf, Context.master = {}, "local[4]"
+    assert ordered.shared_folder(Session())
+
+
+def test_markers_of_one_second_get_their_own_ids(spark):
+    kinds = [f"kind{k}" for k in range(12)]
+    old = spark.createDataFrame([("s", 7, 5, "kind0")], "stream_id string, id long, ts long, kind string")
+    new = spark.createDataFrame([("s", 0, t, k) for t in (9, 5) for k in kinds], "stream_id string, id long, ts long, kind string")
+    got = [(r.id, r.ts, r.kind) for r in M.add_markers(old, new).orderBy("id").collect()]
+    want = [(5, k) for k in sorted(kinds) if k != "kind0"] + [(9, k) for k in sorted(kinds)]
+    assert got == [(7, 5, "kind0")] + [(8 + n, t, k) for n, (t, k) in enumerate(want)]
