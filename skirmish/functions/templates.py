@@ -7,8 +7,9 @@ run on the cluster.
 from __future__ import annotations
 
 import re
-from re import _parser  # the standard library's own reader of its patterns
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,7 +84,8 @@ def to_java(pattern: str) -> tuple[str, dict[str, int]]:
 
     Look-around and back-references are refused, so that a rule keeps a plain meaning.
     """
-    if re.search(r"\(\?(?:=|!|<=|<!|>)|\\[1-9]|\\k<|\(\?P=|[*+?}]\+", pattern):
+    # An escaped character starts no reference and no repeat.
+    if re.search(r"\(\?(?:=|!|<=|<!|>)|\\[1-9]|\\k<|\(\?P=|[*+?}]\+", re.sub(r"\\[^0-9k]", "..", pattern)):
         raise ValueError("look-around, back-references and possessive repeats are not allowed")
     compiled = re.compile(_python_names(pattern))
     plain = re.sub(r"\(\?P?<[A-Za-z_]\w*>", "(", pattern)
@@ -102,29 +104,77 @@ def required_texts(pattern: str) -> list[str]:
     nothing, and neither does a pattern that ignores case.
     """
     try:
-        tree = _parser.parse(_python_names(pattern))
+        flags = re.compile(_python_names(pattern)).flags
     except re.error:
         return []
-    if tree.state.flags & re.IGNORECASE:
+    if flags & (re.IGNORECASE | re.VERBOSE):
         return []
-    runs: list[str] = [""]
-
-    def walk(items) -> None:
-        for op, arg in items:
-            if op is _parser.LITERAL:
-                runs[-1] += chr(arg)
-            elif op is _parser.SUBPATTERN and not arg[1] and not arg[2]:
-                walk(arg[3])
-            elif op is _parser.AT:
-                continue
-            else:
-                if op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[0] >= 1:
-                    runs.append("")
-                    walk(arg[2])
+    return sorted({r for r in _literal_runs(pattern) if len(r) >= 3})
+
+
+# One element of a pattern, and a repeat.
+_ELEMENT = re.compile(
+    r"(?P<open>\((?:\?(?:P?<[A-Za-z_]\w*>|:))?(?!\?))|(?P<other>\(\?)|(?P<close>\))|(?P<bar>\|)|(?P<anchor>[\^$]|\\[AzZbB])"
+    r"|(?P<set>\[\^?\]?(?:\\.|[^\]\\])*\]|\.|\\[A-Za-z0-9])|\\(?P<escaped>.)|(?P<plain>.)", re.S)
+_REPEAT = re.compile(r"(?:[*+?]|\{\d*,?\d*\})[?+]?")
+
+
+def _literal_runs(pattern: str) -> list[str]:
+    """Texts between elements that vary.  A group counts where it must occur and has no alternatives."""
+    stack: list[list] = [[[""], False]]  # per open group: its runs, and whether it has alternatives
+    at = 0
+    while at < len(pattern):
+        m = _ELEMENT.match(pattern, at)
+        at = m.end()
+        if m["open"]:
+            stack.append([[""], False])
+            continue
+        if m["other"]:  # flags or look-around: nothing is sure
+            return []
+        if m["bar"]:
+            stack[-1][1] = True
+            continue
+        if m["anchor"]:
+            continue
+        rep = _REPEAT.match(pattern, at)
+        must = not rep or rep[0][0] == "+" or bool(re.match(r"\{0*[1-9]", rep[0]))
+        at = rep.end() if rep else at
+        if m["close"]:
+            inner, either = stack.pop()
+            runs = stack[-1][0]
+            if either or not must:
                 runs.append("")
+            elif rep:
+                runs += [*inner, ""]
+            else:
+                runs[-1] += inner[0]
+                runs += inner[1:]
+            continue
+        runs, text = stack[-1][0], m["escaped"] or m["plain"]
+        if text is None or rep:
+            runs.append("")
+        else:
+            runs[-1] += text
+    return [] if stack[0][1] else stack[0][0]
+
+
+@lru_cache(maxsize=4096)
+def _compiled(pattern: str) -> re.Pattern | None:
+    try:
+        to_java(pattern)
+        return re.compile(_python_names(pattern))
+    except (ValueError, re.error):
+        return None
+
+
+def matches(text: Column, pattern: Column) -> Column:
+    """Whether ``text`` has a match of a pattern that differs by row; false for one that is no pattern or is not allowed."""
+
+    def run(texts: pd.Series, patterns: pd.Series) -> pd.Series:
+        found = ((_compiled(p) if p is not None else None, t) for t, p in zip(texts, patterns))
+        return pd.Series([rx is not None and t is not None and rx.search(t) is not None for rx, t in found], dtype=bool)
 
-    walk(tree)
-    return sorted({r for r in runs if len(r) >= 3})
+    return F.pandas_udf(run, "boolean")(text, pattern)
 
 
 def resolve_template(template: str, values: dict[str, Column], extra: Column | None = None) -> Column:
@@ -149,7 +199,8 @@ def resolve_template(template: str, values: dict[str, Column], extra: Column | N
 
 
 def cmp_numeric(left: Column, right: Column, op: str) -> Column:
-    """Numeric comparison; false unless both sides read as numbers."""
-    a, b = F.trim(left).try_cast("double"), F.trim(right).try_cast("double")
+    """Numeric comparison; false unless both sides are numbers and nothing else, not even blanks."""
+    number = r"^[+-]?(?i:inf|infinity|nan|(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?)$"
+    a, b = (F.when(x.rlike(number), x.try_cast("double")) for x in (left, right))
     test = {"gt": a > b, "gte": a >= b, "lt": a < b, "lte": a <= b}[op]
     return F.coalesce(test, F.lit(False))

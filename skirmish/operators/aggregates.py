@@ -26,8 +26,9 @@ def tank_rows(events: DataFrame) -> DataFrame:
 
 
 def _crits(flag: str = "critical") -> Column:
-    # Shields and extra procs carry no crit of their own.
-    return F.count_if(mods.has_flag(F.col("mods"), flag) & (F.col("k") != "ds"))
+    # Damage shields carry no flags of their own, and ripostes count as crits only.
+    none = ["ds"] if flag == "critical" else ["ds", "rip"]
+    return F.count_if(mods.has_flag(F.col("mods"), flag) & ~F.col("k").isin(none))
 
 
 def damage_by_player(events: DataFrame, by: list[str] = KEYS, elapsed: DataFrame | None = None) -> DataFrame:
@@ -226,7 +227,8 @@ def apply_roster(rows: DataFrame, exclusions: DataFrame, by: list[str], name: st
 
 
 def drop_confirmed_mobs(rows: DataFrame, mobs: DataFrame, keys: list[str] = KEYS, name: str = "player") -> DataFrame:
-    return rows.join(mobs.select(*keys, F.col("name").alias(name)), [*keys, name], "left_anti")
+    """Drop names that are mobs, in any case."""
+    return apply_roster(rows, mobs, keys, name)
 
 
 def class_list(events: DataFrame, keys: list[str] = KEYS, order: str = "line_no") -> DataFrame:

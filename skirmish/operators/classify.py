@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.functions import names as nm
-from skirmish.operators.ordered import SPAN, Carry, scan, stage
+from skirmish.operators.once import once
+from skirmish.operators.ordered import SPAN, Carry, scan, small, stage
 
 KEYS = ["stream_id"]
 
@@ -101,6 +102,9 @@ def attribute_spell(parsed: DataFrame, keys: list[str] = KEYS, order: str = "lin
 
     ``Denon's Discord hit X`` is tried as one spell name first; only without such a cast does
     the possessive name the caster.  Adds ``caster``.
+
+    Where lines were parsed with ``spell_before_melee``, a plain hit by a name that no one has cast as a spell
+    becomes the melee swing it reads as.
     """
     p = F.col("pattern")
     spell = F.when(p == "spell_attr", F.concat("src", F.lit("'s "), "sp")).when(p.isin("spell_hit", "cast"), F.col("sp"))
@@ -108,11 +112,17 @@ def attribute_spell(parsed: DataFrame, keys: list[str] = KEYS, order: str = "lin
     out = scan(rows, [*keys, "_spell"], order, [Carry("caster", "last", F.when(p == "cast", F.col("src")), inclusive=False)], span)
     mine = p.isin("spell_attr", "spell_hit")
     whole = (p == "spell_attr") & F.col("caster").isNotNull()
-    return out.withColumns({
+    out = out.withColumns({
         "sp": F.when(whole, F.col("_spell")).otherwise(F.col("sp")),
         "src": F.when(mine & F.col("caster").isNotNull(), F.col("caster")).otherwise(F.col("src")),
         "caster": F.when(mine, F.col("caster")),
     }).drop("_spell")
+    if "plain" in parsed.columns:
+        swing = F.coalesce((p == "spell_hit") & F.col("caster").isNull() & F.col("plain").isNotNull(), F.lit(False))
+        new = {c: F.when(swing, F.col(f"plain.{c}")).otherwise(F.col(c)) for c in ("src", "tgt", "dmg", "typ", "verb")}
+        new |= {"pattern": F.when(swing, "melee").otherwise(p), "k": F.when(swing, "melee").otherwise(F.col("k")), "sp": F.when(swing, F.lit(None)).otherwise(F.col("sp"))}
+        out = once(out, **new).select(*[c for c in parsed.columns if c != "plain"], "caster")
+    return out
 
 
 def _evidence(parsed: DataFrame, pets: DataFrame | None, keys: list[str], order: str) -> DataFrame:
@@ -202,39 +212,58 @@ def classify(
     row keeps that mob's instance open); ``k``, ``sp`` and ``typ`` become those of the final
     event.  ``k`` turns null for rows that emit none.
     """
+    parsed = _attributed(parsed, keys, order)
     k = known_players(parsed, pets, keys, order)
     return direct(parsed, k, keys, order)
 
 
 def explain_events(parsed: DataFrame, pets: DataFrame | None = None, keys: list[str] = KEYS, order: str = "line_no") -> DataFrame:
     """:func:`classify` with ``direction_rule``: what decided who the mob is, null where nothing had to."""
+    parsed = _attributed(parsed, keys, order)
     return direct(parsed, known_players(parsed, pets, keys, order), keys, order, reasons=True)
 
 
-def direct(parsed: DataFrame, k: DataFrame, keys: list[str] = KEYS, order: str = "line_no", reasons: bool = False) -> DataFrame:
-    """:func:`classify` with the player table given."""
+def _attributed(parsed: DataFrame, keys: list[str], order: str) -> DataFrame:
+    return stage(attribute_spell(parsed, keys, order)) if "plain" in parsed.columns else parsed
+
+
+def _sides(rows: DataFrame, names: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Who strikes in every row, as flags, from a table of names (``k``: player from that line on; other columns join by source)."""
     line, p = F.col(order), F.col("pattern")
     src, tgt = F.col("src"), F.col("tgt")
-    rows = parsed.join(k.select(*keys, F.col("name").alias("src"), F.col("k").alias("_ks")), [*keys, "src"], "left")
-    rows = rows.join(k.select(*keys, F.col("name").alias("tgt"), F.col("k").alias("_kt")), [*keys, "tgt"], "left")
+    more = [c for c in names.columns if c not in (*keys, "name", "k")]
+    rows = rows.join(small(names.select(*keys, F.col("name").alias("src"), F.col("k").alias("_ks"), *more)), [*keys, "src"], "left")
+    rows = rows.join(small(names.filter("k is not null").select(*keys, F.col("name").alias("tgt"), F.col("k").alias("_kt"))), [*keys, "tgt"], "left")
     not_player = F.col("_ks").isNull() | (line < F.col("_ks"))
-    tgt_player = F.coalesce(F.col("_kt") < line, F.lit(False))
-    spaced = F.coalesce(F.contains(src, F.lit(" ")), F.lit(False))
-    mine = F.coalesce(tgt == F.col("player"), F.lit(False))
-    caster = F.col("caster").isNotNull() if "caster" in parsed.columns else F.lit(False)
+    caster = F.col("caster").isNotNull() if "caster" in rows.columns else F.lit(False)
     swing = p.isin(*_EITHER) & src.isNotNull() & ~((p == "has_taken") & (src == F.col("player")))
     lost = p.isin("spell_attr", "spell_hit") & ~caster & ((p == "spell_hit") | not_player)
     sure_player = p.isin(*_ALWAYS_PLAYER) | (p == "spell_attr") | ((p == "has_taken") & (src == F.col("player")))
     mob_hit = ((swing | (p == "spell_hit")) & not_player) & ~lost
     player_hit = ((swing | sure_player | (p == "spell_hit")) & ~mob_hit) & ~lost
-    rows = rows.withColumns({"_mob_hit": F.coalesce(mob_hit, F.lit(False)), "_player_hit": F.coalesce(player_hit, F.lit(False)),
-                             "_lost": F.coalesce(lost, F.lit(False)), "_np": not_player, "_tp": tgt_player})
+    return rows.withColumns({
+        "_mob_hit": F.coalesce(mob_hit, F.lit(False)), "_player_hit": F.coalesce(player_hit, F.lit(False)), "_lost": F.coalesce(lost, F.lit(False)),
+        "_np": not_player, "_tp": F.coalesce(F.col("_kt") < line, F.lit(False)), "_swing": swing, "_sure": sure_player,
+        "_spaced": F.coalesce(F.contains(src, F.lit(" ")), F.lit(False)), "_mine": F.coalesce(tgt == F.col("player"), F.lit(False)),
+    })
+
 
-    on_src = F.col("_mob_hit") | (p == "shield_burn") | ((p == "miss") & F.col("_np") & (spaced | F.col("_tp") | mine))
+def direct(parsed: DataFrame, k: DataFrame, keys: list[str] = KEYS, order: str = "line_no", reasons: bool = False) -> DataFrame:
+    """:func:`classify` with the player table given."""
+    line, p = F.col(order), F.col("pattern")
+    src, tgt = F.col("src"), F.col("tgt")
+    k = stage(k.select(*keys, "name", "k"))
+    # First the line from which each name is a mob, from the few columns that tell, then all that is known
+    # of the names in one table, which the whole rows meet twice: as source and as target.
+    some = [*keys, order, "pattern", "src", "tgt", "player", "caster", "verb"]
+    told = _sides(parsed.select(*[c for c in some if c in parsed.columns]), k, keys, order)
+    on_src = F.col("_mob_hit") | (p == "shield_burn") | ((p == "miss") & F.col("_np") & (F.col("_spaced") | F.col("_tp") | F.col("_mine")))
     on_tgt = F.col("_player_hit") & ~F.coalesce(tgt.endswith("'s corpse"), F.lit(True))
-    seen = rows.select(*keys, order, F.when(on_src, src).when(on_tgt, tgt).alias("name")).filter(F.col("name").isNotNull())
+    seen = told.select(*keys, order, F.when(on_src, src).when(on_tgt, tgt).alias("name")).filter(F.col("name").isNotNull())
     mobs = seen.groupBy(*keys, "name").agg(F.min(order).alias("_e"))
-    rows = rows.join(mobs.withColumnRenamed("name", "src"), [*keys, "src"], "left")
+    known = stage(k.join(mobs, [*keys, "name"], "full_outer"))
+    rows = _sides(parsed, known, keys, order)
+    spaced, mine, swing, sure_player = F.col("_spaced"), F.col("_mine"), F.col("_swing"), F.col("_sure")
     earlier = F.coalesce(F.col("_e") < line, F.lit(False))
     is_mob = (
         F.when(p == "shield_burn", F.lit(True))

@@ -76,8 +76,13 @@ def rebuild_sessions(existing: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows replace those of the same key; names are compared in lower case."""
+    """Rows replace those of the same key; names are compared in lower case.  Of several new rows of a key the greatest stays."""
     low = rows.withColumn("name", F.lower("name")) if "name" in keys else rows
+    rest = [c for c in table.columns if c not in keys]
+    if rest:
+        low = low.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, "_row.*")
+    else:
+        low = low.select(*keys).distinct()
     return table.join(low.select(*keys), keys, "left_anti").unionByName(low.select(*table.columns))
 
 

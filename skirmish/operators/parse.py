@@ -56,6 +56,12 @@ def match_lines(lines: DataFrame, raw: str = "raw", spell_before_melee: bool = F
         caps = caps.when(pat == p.name, _captures(line, p))
     out = once(out, _caps=caps)
     fields = [F.nullif(F.col("_caps")[i], F.lit("")).alias(f"c_{f}") for i, f in enumerate(FIELDS)]
+    if spell_before_melee:
+        # What the line says as plain melee, for when its words name no spell that anybody cast.
+        melee = next(p for p in combat if p.name == "melee")
+        out = once(out, _plain=F.when((pat == "spell_hit") & _test(line, melee), _captures(line, melee)))
+        fields.append(F.when(F.col("_plain").isNotNull(), F.struct(*[F.col("_plain")[i].alias(f) for i, f in enumerate(FIELDS)])).alias("c_plain"))
+        return out.select(*[c for c in out.columns if c not in ("_line", "_caps", "_plain")], *fields)
     return out.select(*[c for c in out.columns if c not in ("_line", "_caps")], *fields)
 
 
@@ -72,7 +78,8 @@ def parse_lines(
     Columns added: ``ts`` (epoch seconds, null for a line without a time), ``k`` (event kind,
     direction still open), ``src``, ``tgt``, ``dmg``, ``amt``, ``typ``, ``sp``, ``item``,
     ``qty``, ``copper``, ``result``, ``name``, ``classes``, ``level``, ``kind``, ``label``,
-    ``off``, ``mods``.
+    ``off``, ``mods``.  The option ``spell_before_melee`` adds ``plain``, which
+    :func:`skirmish.operators.classify.attribute_spell` uses up.
     """
     m = match_lines(lines, raw, **options)
     who = F.col(player)
@@ -168,7 +175,12 @@ def parse_lines(
         "zone_num": F.when(is_("instance_create"), num),
         "verb": F.when(is_("melee"), c["x"]),
     }
-    drop = {"_mark", *[f"c_{f}" for f in FIELDS]}
+    if "c_plain" in m.columns:
+        v = F.col("c_plain")
+        cols["plain"] = F.when(v.isNotNull(), F.struct(
+            n(v["src"]).alias("src"), n(v["tgt"]).alias("tgt"), F.coalesce(v["num"].try_cast("long"), F.lit(0).cast("long")).alias("dmg"),
+            names.normalize_verb(v["x"]).alias("typ"), v["x"].alias("verb")))
+    drop = {"_mark", "c_plain", *[f"c_{f}" for f in FIELDS]}
     return once(out, **cols).drop(*drop)
 
 

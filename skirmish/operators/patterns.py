@@ -123,7 +123,7 @@ def cascade(spell_before_melee: bool = False, owner_death: bool = False) -> list
     if spell_before_melee:
         spells = [p for p in out if p.name in ("spell_attr", "spell_hit")]
         rest = [p for p in out if p not in spells]
-        # Keep plain melee out of their way: a spell line names a spell, not an article.
+        # They also take plain swings; attribution gives back those whose words name no spell cast before.
         at = next(i for i, p in enumerate(rest) if p.name == "melee")
         out = rest[:at] + spells + rest[at:]
     if owner_death:

@@ -109,7 +109,7 @@ def named_mobs(events: DataFrame, mob: Column, keys: list[str] = KEYS, secs: int
 
 
 def apply_mob_overrides(named: DataFrame, overrides: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """The owner's own verdict (named or trash) beats the computed one."""
-    o = overrides.select(*keys, F.lower("name").alias("name"), F.col("kind").alias("_kind"))
+    """The owner's own verdict (named or trash) beats the computed one; of two on one name the later in the alphabet holds."""
+    o = overrides.groupBy(*keys, F.lower("name").alias("name")).agg(F.max("kind").alias("_kind"))
     return named.join(o, [*keys, "name"], "left").withColumn(
         "is_named", F.coalesce(F.col("_kind") == "named", F.col("is_named"))).drop("_kind")

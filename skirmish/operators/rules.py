@@ -168,7 +168,7 @@ class _Eval:
                     return stored.rlike(templates.to_java(c.get("value", ""))[0])
                 except (ValueError, re.error):
                     return F.lit(False)
-            return F.regexp_like(stored, value)
+            return templates.matches(stored, value)
         return templates.cmp_numeric(stored, value, op)
 
     def fired(self) -> Column:

@@ -163,7 +163,23 @@ def test_spell_before_melee_attribution(lines):
     df = lines(["Rysk begins casting Denon's Discord.", "Denon's Discord hit a gnoll for 5 points of damage.", "Flame Lick hit a gnoll for 5 points of damage.", "Bob begins casting Flame Lick.", "Flame Lick hit a gnoll for 7 points of damage."])
     parsed = C.attribute_spell(parse_lines(df, spell_before_melee=True)).cache()
     rows = C.classify(parsed).orderBy("line_no").collect()
-    assert [(r.k, r.src, r.sp) for r in rows if r.pattern != "cast"] == [("spell", "Rysk", "Denon's Discord"), (None, None, "Flame Lick"), ("spell", "Bob", "Flame Lick")]
+    # Before anyone has cast Flame Lick the line reads as a swing.
+    assert [(r.k, r.src, r.sp) for r in rows if r.pattern != "cast"] == [("spell", "Rysk", "Denon's Discord"), ("melee", "Flame Lick", None), ("spell", "Bob", "Flame Lick")]
+
+
+@pytest.mark.parametrize("before", [True, False])
+def test_plain_hits_survive_spell_before_melee(lines, before):
+    df = lines(["Rysk hit a rat for 7 points of damage.", "You hit a rat for 9 points of damage.", "a rat hits YOU for 3 points of damage."])
+    rows = C.classify(parse_lines(df, spell_before_melee=before)).orderBy("line_no").collect()
+    assert [(r.pattern, r.k, r.src, r.tgt, r.dmg, r.typ) for r in rows] == [
+        ("melee", "melee", "Rysk", "a rat", 7, "hit"), ("melee", "melee", "Izzin", "a rat", 9, "hit"), ("melee", "melee", "a rat", "Izzin", 3, "hit")]
+
+
+def test_direction_joins_whole_rows_twice(lines):
+    parsed = parse_lines(lines([HIT, "You hit a rat for 9 points of damage."]))
+    k = C.known_players(parsed)
+    plan = C.direct(parsed, k)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2
 
 
 @pytest.mark.parametrize("span", [3])

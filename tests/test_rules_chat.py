@@ -126,3 +126,22 @@ def test_training_set_at_full_length(spark):
     assert {(len(r.seq), r.prefix_len, r.full_len) for r in rows} == {(312, 11, 312)}
     cut = C.training_set(C.training_prefix(df), lambda s: [1] * len(s.split()), 100, 2, 0, max_len=5).collect()
     assert {(len(r.seq), r.prefix_len, r.full_len) for r in cut} == {(5, 5, 312)}
+
+
+def test_templated_patterns_that_are_none(spark):
+    from skirmish.functions import templates
+
+    rows = [("abc", "b"), ("abc", "a(b"), ("abc", "(?=a)"), ("ABC", "(?P<x>B)"), (None, "a"), ("a", None), ("x.y", r"x\\.y")]
+    df = spark.createDataFrame(rows, "t string, p string")
+    assert [r[0] for r in df.select(templates.matches(F.col("t"), F.col("p"))).collect()] == [True, False, False, True, False, False, False]
+    numbers = [("5", "4"), (" 5 ", "4"), ("5.", ".5"), ("1e1", "9"), ("x", "1"), ("5d", "4"), (None, "1"), ("inf", "9")]
+    df = spark.createDataFrame(numbers, "a string, b string")
+    assert [r[0] for r in df.select(templates.cmp_numeric(F.col("a"), F.col("b"), "gt")).collect()] == [True, False, True, True, False, False, False, True]
+
+
+def test_escaped_backslash_is_no_reference():
+    from skirmish.functions.templates import to_java
+
+    assert to_java(r"a\\1")[0] == r"(?d)a\\1"
+    with pytest.raises(ValueError):
+        to_java(r"(a)\1")

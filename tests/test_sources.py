@@ -163,3 +163,9 @@ def test_markers_of_one_second_get_their_own_ids(spark):
     got = [(r.id, r.ts, r.kind) for r in M.add_markers(old, new).orderBy("id").collect()]
     want = [(5, k) for k in sorted(kinds) if k != "kind0"] + [(9, k) for k in sorted(kinds)]
     assert got == [(7, 5, "kind0")] + [(8 + n, t, k) for n, (t, k) in enumerate(want)]
+
+
+def test_upsert_takes_one_row_per_key(spark):
+    old = spark.createDataFrame([("s", "rat", "trash")], "stream_id string, name string, kind string")
+    new = spark.createDataFrame([("s", "Rat", "named"), ("s", "RAT", "trash"), ("s", "bat", "named")], "stream_id string, name string, kind string")
+    assert sorted(map(tuple, M.upsert(old, new, ["stream_id", "name"]).collect())) == [("s", "bat", "named"), ("s", "rat", "trash")]
