@@ -251,7 +251,16 @@ def pet_owner_by_buff(spark, sf):
     return C.pet_owner_by_buff(rows, span=1 << 12)
 
 
-@query("pet_owner_by_summon")
+# Sightings one by one: a name and a cast are used up by the first that fits.
+@query("pet_owner_by_summon", f"""WITH RECURSIVE {EV}, c AS (SELECT stream_id, line_no, ts, src AS owner FROM ev WHERE k = 'heal'), s AS (SELECT stream_id, line_no, ts, {pick(_PETS, 'line_no')} AS name FROM ev WHERE k = 'miss'),
+j AS (SELECT s.*, c.owner, c.line_no AS cl, c.ts AS cts FROM s ASOF JOIN c ON s.stream_id = c.stream_id AND s.line_no > c.line_no),
+h AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY line_no) AS n FROM j WHERE greatest(ts - cts, 0) <= 60 AND owner <> name),
+r AS (SELECT DISTINCT stream_id, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS names, CAST([] AS BIGINT[]) AS casts, false AS won FROM h
+  UNION ALL SELECT h.stream_id, h.n,
+    CASE WHEN list_contains(names, h.name) OR list_contains(casts, h.cl) THEN names ELSE list_append(names, h.name) END,
+    CASE WHEN list_contains(names, h.name) OR list_contains(casts, h.cl) THEN casts ELSE list_append(casts, h.cl) END,
+    NOT (list_contains(names, h.name) OR list_contains(casts, h.cl)) FROM r JOIN h ON h.stream_id = r.stream_id AND h.n = r.n + 1)
+SELECT h.stream_id, h.line_no, h.ts, h.name, h.owner FROM r JOIN h USING (stream_id, n) WHERE won""")
 def pet_owner_by_summon(spark, sf):
     """Heals stand in for summon casts, misses for the first swings of pets."""
     ev, i, cast, pet = _cast_rows(spark, sf)
