@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.functions import names, times
@@ -98,6 +98,20 @@ def resolve_session(sessions_: DataFrame, which: str | int, keys: list[str] = KE
     return rows.select(*keys, "num", F.col("start_log_ts").alias("from_ts"), "until")
 
 
+def in_window(rows: DataFrame, sessions_: DataFrame, start: int | None = None, end: int | None = None, session: str | int | None = None,
+              keys: list[str] = KEYS, ts: str = "ts") -> DataFrame:
+    """The rows of an explicit time range, else of a session, else all: an explicit bound beats the session.
+
+    A stream without that session keeps its whole timeline.
+    """
+    if start is not None or end is not None or session is None:
+        return time_range(rows, start, end, ts)
+    window = resolve_session(sessions_, session, keys).select(*keys, F.col("from_ts").alias("_from"), F.col("until").alias("_until"))
+    out = rows.join(window, keys, "left")
+    inside = F.coalesce(F.col(ts) >= F.col("_from"), F.lit(True)) & F.coalesce(F.col(ts) < F.col("_until"), F.lit(True))
+    return out.filter(inside).drop("_from", "_until")
+
+
 def session_reanchor(sessions_: DataFrame, survivors: DataFrame, keys: list[str] = KEYS, order: str = "id") -> DataFrame:
     """Sessions after pruning: the newest one starting before the survivors moves to the first
     of them, earlier ones go; streams without survivors lose all."""
@@ -206,8 +220,11 @@ def time_range(rows: DataFrame, start: int | None, end: int | None, ts: str = "t
     return out if end is None else out.filter(F.col(ts) <= end)
 
 
-def last_lines(rows: DataFrame, n: int, order: str = "line_no") -> DataFrame:
-    """The last ``n`` rows, in order."""
+def last_lines(rows: DataFrame, n: int, order: str = "line_no", keys: list[str] | None = None) -> DataFrame:
+    """The last ``n`` rows, in order; with ``keys`` the last ``n`` of each, limited before the shuffle."""
+    if keys:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
+        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
     return rows.orderBy(F.col(order).desc()).limit(n).orderBy(order)
 
 

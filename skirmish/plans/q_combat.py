@@ -374,6 +374,11 @@ def last_lines(spark, sf):
     return S.last_lines(combat_events(spark, sf).select("stream_id", "line_no", "ts", "k"), 50)
 
 
+@query("last_lines_by_stream", f"WITH {EV} SELECT stream_id, line_no, ts, k FROM ev QUALIFY row_number() OVER (PARTITION BY stream_id ORDER BY line_no DESC) <= 20")
+def last_lines_by_stream(spark, sf):
+    return S.last_lines(combat_events(spark, sf).select("stream_id", "line_no", "ts", "k"), 20, keys=["stream_id"])
+
+
 @query("ranked_damage", f"""WITH {EV}, d AS (SELECT stream_id, src AS player, {big('dmg')} AS dmg FROM dm GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY stream_id ORDER BY dmg DESC, player) AS INT) AS rank FROM d QUALIFY rank <= 5""")
 def ranked_damage(spark, sf):

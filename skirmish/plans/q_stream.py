@@ -88,11 +88,28 @@ def stream_ingest(spark, sf):
         b.filter(part).write.mode("append").parquet(src)
         s = spark.readStream.schema(b.schema).parquet(src)
         live.ingest(s, store, rejects, cp).trigger(availableNow=True).start().awaitTermination()
-    good = spark.read.parquet(store).groupBy("stream_id", "k").agg(F.count(F.lit(1)).alias("n"))
+    good = B.read_events(spark, store).groupBy("stream_id", "k").agg(F.count(F.lit(1)).alias("n"))
     bad = spark.read.schema("stream_id STRING, batch STRING").json(rejects).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"))
     return good.unionByName(bad.select("stream_id", F.lit("rejected").alias("k"), "n"))
 
 
+@query("stream_ingest_once", f"WITH {EV} SELECT stream_id, k, ts, count(*) AS n, sum(coalesce(dmg, 0)) AS dmg FROM ev WHERE ts BETWEEN {EPOCH + 3_000} AND {EPOCH + 15_000} GROUP BY ALL".replace("sum(coalesce(dmg, 0))", "CAST(sum(coalesce(dmg, 0)) AS BIGINT)"))
+def stream_ingest_once(spark, sf):
+    """Every batch sent in both halves of a stream, the second time resent; a time range of the store read back."""
+    b = B.to_batches(combat_events(spark, sf), ["stream_id"]).withColumns({"run": F.lit(1), "seq": F.col("log_ts")})
+    b = stage(b)
+    src, store, rejects, cp = (folder(spark) for _ in range(4))
+    live.use_rocksdb(spark)
+    for part in (F.col("log_ts") < EPOCH + 10_000, F.col("log_ts") >= EPOCH + 5_000):
+        b.filter(part).write.mode("append").parquet(src)
+        s = spark.readStream.schema(b.schema).parquet(src)
+        with live.sized(spark):
+            q = live.ingest(s, store, rejects, cp).trigger(availableNow=True).start()
+        q.awaitTermination()
+    ev = B.read_events(spark, store, from_ts=EPOCH + 3_000, to_ts=EPOCH + 15_000)
+    return ev.groupBy("stream_id", "k", "ts").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("dmg", F.lit(0))).alias("dmg"))
+
+
 @query("stream_dedupe", f"WITH {BATCH} SELECT id, log_ts FROM bt")
 def stream_dedupe(spark, sf):
     """Every batch sent twice; the copies are dropped while the stream runs."""

@@ -62,6 +62,29 @@ def numbered_session(spark, sf):
     return S.resolve_session(stage(S.sessions(sessioned(spark, sf))), 2)
 
 
+@query("session_window", f"""WITH {SESS}, w AS (SELECT stream_id, num, start_log_ts AS from_ts, lead(start_log_ts) OVER (PARTITION BY stream_id ORDER BY num) AS until FROM ss)
+SELECT b.stream_id, b.id, b.log_ts FROM bt b LEFT JOIN (SELECT * FROM w WHERE num = 2) w USING (stream_id) WHERE coalesce(b.log_ts >= w.from_ts, true) AND coalesce(b.log_ts < w.until, true)""")
+def session_window(spark, sf):
+    """Batches of the second session; streams with fewer keep all."""
+    rows = order_batches(spark, sf).select("stream_id", "id", "log_ts")
+    return S.in_window(rows, stage(S.sessions(sessioned(spark, sf))), session=2, ts="log_ts")
+
+
+@query("explicit_window", f"WITH {BATCH} SELECT stream_id, id, log_ts FROM bt WHERE log_ts >= {CUT}")
+def explicit_window(spark, sf):
+    """An explicit start beats the session asked for."""
+    rows = order_batches(spark, sf).select("stream_id", "id", "log_ts")
+    return S.in_window(rows, stage(S.sessions(sessioned(spark, sf))), start=CUT, session=2, ts="log_ts")
+
+
+@query("store_positions", f"WITH {EV} SELECT stream_id, line_no, ts, k FROM ev WHERE line_no BETWEEN 1000 AND 4000")
+def store_positions(spark, sf):
+    """Stored events of a range of positions."""
+    path = folder(spark)
+    B.write_events(combat_events(spark, sf), path)
+    return B.read_events(spark, path, from_id=1000, to_id=4000).select("stream_id", "line_no", "ts", "k")
+
+
 @query("client_runs", f"""WITH {BATCH}, r AS (SELECT stream_id, id, seq, lag(seq) OVER (PARTITION BY stream_id ORDER BY id) AS p FROM bt)
 SELECT stream_id, id, CAST(sum(CASE WHEN p IS NULL OR (seq = 0 AND p <> 0) THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY id) AS BIGINT) AS run FROM r""")
 def client_runs(spark, sf):

@@ -31,8 +31,13 @@ def read_event_batches(df: DataFrame, column: str = "batch") -> DataFrame:
     Unknown kinds stay as rows with time 0 and no payload; text that is no batch yields nothing
     here and one row in :func:`rejected_batches`.
     """
-    rows = _parsed(df, column).filter(F.col("_b._bad").isNull() & F.col("_b.events").isNotNull())
-    keep = [c for c in df.columns if c not in (column, "seq")]
+    return events_of(_parsed(df, column), column)
+
+
+def events_of(parsed: DataFrame, column: str = "batch") -> DataFrame:
+    """:func:`read_event_batches` on rows parsed already."""
+    rows = parsed.filter(F.col("_b._bad").isNull() & F.col("_b.events").isNotNull())
+    keep = [c for c in parsed.columns if c not in (column, "seq", "_b")]
     out = rows.select(*keep, F.col("_b.seq").alias("seq"), F.posexplode("_b.events").alias("pos", "e")).select(*keep, "seq", "pos", "e.*")
     known = F.col("k").isin(KINDS)
     return out.withColumn("ts", F.when(known, F.col("ts")).otherwise(F.lit(0).cast("long")))
@@ -40,7 +45,11 @@ def read_event_batches(df: DataFrame, column: str = "batch") -> DataFrame:
 
 def rejected_batches(df: DataFrame, column: str = "batch") -> DataFrame:
     """Rows whose text is not a batch."""
-    return _parsed(df, column).filter(F.col("_b").isNull() | F.col("_b._bad").isNotNull() | F.col("_b.events").isNull()).drop("_b")
+    return rejects_of(_parsed(df, column))
+
+
+def rejects_of(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col("_b").isNull() | F.col("_b._bad").isNotNull() | F.col("_b.events").isNull()).drop("_b")
 
 
 def max_log_ts(df: DataFrame, column: str = "batch") -> DataFrame:
@@ -74,12 +83,18 @@ def write_events(events: DataFrame, path: str, mode: str = "append", span: int =
 
 def read_events(
     spark: SparkSession, path: str, streams: list[str] | None = None, from_ts: int | None = None, to_ts: int | None = None,
+    from_id: int | None = None, to_id: int | None = None, order: str = "line_no",
 ) -> DataFrame:
-    """Stored events of some streams and of a range of log time.
+    """Stored events of some streams and of a range of log time or of positions, ends included.
 
-    The stream and the day select folders, the time is pushed to Parquet.
+    The stream and the day select folders; time and position are pushed to Parquet.  Reads what :func:`write_events`
+    wrote and what a stream ingested.
     """
-    df = spark.read.parquet(path).withColumn("stream_id", F.col("stream_id").cast("string"))
+    df = spark.read.parquet(path).withColumn("stream_id", F.col("stream_id").cast("string")).drop("epoch")
+    if from_id is not None:
+        df = df.filter(F.col(order) >= from_id)
+    if to_id is not None:
+        df = df.filter(F.col(order) <= to_id)
     day = lambda t: F.to_date(F.timestamp_add("SECOND", F.lit(t), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")))
     if streams is not None:
         df = df.filter(F.col("stream_id").isin(streams))

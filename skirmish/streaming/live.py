@@ -180,16 +180,21 @@ def drop_resent(batches: DataFrame, late: str | None = None) -> DataFrame:
 def ingest(batches: DataFrame, store: str, rejects: str, checkpoint: str, column: str = "batch"):
     """Store the events of a stream of batches; text that is no batch goes to ``rejects``.
 
-    Each micro-batch is written under its own id, so a repeated one overwrites itself.
+    The store has the layout of :func:`skirmish.sources.batches.write_events` with the micro-batch below the day, and
+    :func:`skirmish.sources.batches.read_events` reads it.  A repeated micro-batch overwrites its own folders.  Batches that
+    carry ``run``, ``seq`` and ``log_ts`` are stored once however often they are sent.  Each micro-batch is parsed once.
     """
-    from skirmish.sources.batches import read_event_batches, rejected_batches
+    from skirmish.sources.batches import _parsed, events_of, rejects_of, with_date
 
     def write(df: DataFrame, epoch: int) -> None:
-        read_event_batches(df, column).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(store)
-        rejected_batches(df, column).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("epoch").json(rejects)
-
+        parsed = _parsed(df, column).persist()
+        put = lambda rows: rows.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        put(with_date(events_of(parsed, column))).partitionBy("stream_id", "log_date", "epoch").parquet(store)
+        put(rejects_of(parsed)).partitionBy("epoch").json(rejects)
+        parsed.unpersist()
+
+    if {"stream_id", "run", "seq", "log_ts"} <= set(batches.columns):
+        batches = drop_resent(batches)
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
