@@ -195,6 +195,51 @@ def segments(sessions_: DataFrame, marks_: DataFrame, keys: list[str] = KEYS, sp
     return scan(rows, keys, "_pos", [Carry("end_ts", "next", F.col("start_ts")), Carry("segment", "sum", F.lit(1).cast("long"))], span * 4).drop("_pos")
 
 
+# Scopes by level: what opens one, and what ends it.
+_LEVELS = {
+    "session": ("session", ("session",)),
+    "raid": ("raid_start", ("session", "raid_start", "raid_end")),
+    "instance": ("instance", ("session", "instance")),
+}
+
+
+def nested_scopes(sessions_: DataFrame, marks_: DataFrame, keys: list[str] = KEYS, span: int = HOUR) -> DataFrame:
+    """Sessions, raids and zone instances as scopes that hold each other: (keys, level, scope, start_ts, end_ts, label).
+
+    A raid lasts to the next raid mark and a zone instance to the next instance, both at most to the next session, so
+    an instance does not cut the raid it happens in.  ``scope`` counts each level from 1; a null ``end_ts`` is open.
+    """
+    rank = F.when(F.col("kind") == "session", 0).when(F.col("kind") == "raid_end", 1).when(F.col("kind") == "raid_start", 2).otherwise(3)
+    rows = sessions_.select(*keys, F.col("start_log_ts").alias("start_ts"), F.lit("session").alias("kind"), "label").unionByName(
+        marks_.select(*keys, F.col("ts").alias("start_ts"), "kind", "label"))
+    rows = rows.groupBy(*keys, (F.col("start_ts") * 4 + rank).alias("_pos"), "start_ts", "kind").agg(F.min("label").alias("label"))
+    out = []
+    for level, (opens, ends) in _LEVELS.items():
+        opening = F.col("kind") == opens
+        part = scan(rows.filter(F.col("kind").isin(*ends)), keys, "_pos", [
+            Carry("end_ts", "next", F.col("start_ts")), Carry("scope", "sum", F.when(opening, F.lit(1).cast("long")))], span * 4)
+        out.append(part.filter(opening).select(*keys, F.lit(level).alias("level"), "scope", "start_ts", "end_ts", "label"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def assign_scopes(rows: DataFrame, scopes: DataFrame, keys: list[str] = KEYS, ts: str = "ts", span: int = HOUR) -> DataFrame:
+    """Add ``session``, ``raid`` and ``instance``: the scope of each level that holds the row, null outside all."""
+    for level in _LEVELS:
+        own = scopes.filter(F.col("level") == level).select(*keys, "start_ts", "end_ts", F.col("scope").alias(level))
+        rows = assign_scope(rows, own, keys, ts, span, level)
+    return rows
+
+
+def number_pulls(rows: DataFrame, within: list[str], keys: list[str] = KEYS, pull: str = "pull", span: int = SPAN) -> DataFrame:
+    """Add ``number``: pulls counted from 1 in every scope of ``within`` (columns of scopes) of the stream."""
+    some = rows.select(*keys, *within, pull).filter(F.col(pull).isNotNull()).distinct()
+    # Null scopes are a scope of their own.
+    safe = [F.coalesce(F.col(c), F.lit(-1)).alias(f"_{c}") for c in within]
+    by = [*keys, *[f"_{c}" for c in within]]
+    numbered = scan(some.select(*keys, *safe, pull), by, pull, [Carry("number", "sum", F.lit(1).cast("long"))], span)
+    return rows.select("*", *safe).join(numbered, [*by, pull], "left").drop(*[f"_{c}" for c in within])
+
+
 def assign_scope(rows: DataFrame, scopes: DataFrame, keys: list[str] = KEYS, ts: str = "ts", span: int = HOUR, scope: str = "segment") -> DataFrame:
     """Add the scope whose window ``[start_ts, end_ts)`` holds each row; null outside all.
 

@@ -189,6 +189,47 @@ def segment_totals(spark, sf):
     return rows.join(seg.select("stream_id", "segment", "kind"), ["stream_id", "segment"], "left").groupBy("kind").agg(F.count(F.lit(1)).alias("batches"))
 
 
+def _three_marks(spark, sf):
+    kind = F.element_at(F.array(F.lit("raid_start"), F.lit("raid_end"), F.lit("instance")), (F.col("id") % 3).cast("int") + 1)
+    return order_batches(spark, sf).groupBy("stream_id", F.col("log_ts").alias("ts"), kind.alias("kind")).agg(F.min((F.col("id") % 100).cast("string")).alias("label"))
+
+
+_NEST = SESS + f""", mk3 AS (SELECT stream_id, log_ts AS ts, CASE id % 3 WHEN 0 THEN 'raid_start' WHEN 1 THEN 'raid_end' ELSE 'instance' END AS kind, min(CAST(id % 100 AS VARCHAR)) AS label FROM bt GROUP BY ALL),
+b3 AS (SELECT stream_id, start_log_ts AS start_ts, 'session' AS kind, {_LABEL} AS label, 0 AS r FROM ss UNION ALL SELECT stream_id, ts, kind, label, CASE kind WHEN 'raid_end' THEN 1 WHEN 'raid_start' THEN 2 ELSE 3 END FROM mk3),
+b4 AS (SELECT stream_id, start_ts, kind, r, min(label) AS label FROM b3 GROUP BY ALL),
+ns AS (""" + " UNION ALL ".join(
+    f"""SELECT stream_id, '{level}' AS level, CAST(n AS BIGINT) AS scope, start_ts, end_ts, label FROM (
+  SELECT *, lead(start_ts) OVER w AS end_ts, count(*) FILTER (kind = '{opens}') OVER w AS n FROM b4 WHERE kind IN {tuple(ends) if len(ends) > 1 else f"('{ends[0]}')"} WINDOW w AS (PARTITION BY stream_id ORDER BY start_ts, r)) WHERE kind = '{opens}'"""
+    for level, (opens, ends) in S._LEVELS.items()) + ")"
+
+
+@query("nested_scopes", f"WITH {_NEST} SELECT * FROM ns")
+def nested_scopes(spark, sf):
+    """Sessions, raids and instances that hold each other."""
+    return S.nested_scopes(stage(S.sessions(sessioned(spark, sf))), _three_marks(spark, sf), span=1 << 26)
+
+
+_IN = " ".join(
+    f"ASOF LEFT JOIN (SELECT * FROM ns WHERE level = '{x}' AND (end_ts IS NULL OR end_ts > start_ts)) {x[0]} ON bt.stream_id = {x[0]}.stream_id AND bt.log_ts >= {x[0]}.start_ts" for x in S._LEVELS)
+_VALS = ", ".join(f"CASE WHEN {x[0]}.end_ts IS NULL OR bt.log_ts < {x[0]}.end_ts THEN {x[0]}.scope END AS {x}" for x in S._LEVELS)
+
+
+@query("raid_totals", f"WITH {_NEST}, x AS (SELECT bt.stream_id, {_VALS} FROM bt {_IN}) SELECT stream_id, raid, count(*) AS batches, count(DISTINCT instance) AS instances FROM x WHERE raid IS NOT NULL GROUP BY ALL")
+def raid_totals(spark, sf):
+    """Batches of every raid, over all the zone instances inside it."""
+    sc = stage(S.nested_scopes(stage(S.sessions(sessioned(spark, sf))), _three_marks(spark, sf), span=1 << 26))
+    rows = S.assign_scopes(order_batches(spark, sf), sc, ts="log_ts", span=1 << 26)
+    return rows.filter("raid is not null").groupBy("stream_id", "raid").agg(F.count("*").alias("batches"), F.count_distinct("instance").alias("instances"))
+
+
+@query("numbered_pulls", f"WITH {_NEST}, x AS (SELECT bt.stream_id, bt.id // 3 AS pull, {_VALS} FROM bt {_IN}), d AS (SELECT DISTINCT stream_id, session, raid, pull FROM x) SELECT *, row_number() OVER (PARTITION BY stream_id, session, raid ORDER BY pull) AS number FROM d")
+def numbered_pulls(spark, sf):
+    """Pulls (three batches each) counted anew in every session and raid."""
+    sc = stage(S.nested_scopes(stage(S.sessions(sessioned(spark, sf))), _three_marks(spark, sf), span=1 << 26))
+    rows = S.assign_scopes(order_batches(spark, sf).withColumn("pull", F.expr("id div 3")), sc, ts="log_ts", span=1 << 26)
+    return S.number_pulls(stage(rows.select("stream_id", "session", "raid", "pull").distinct()), ["session", "raid"], span=1 << 20)
+
+
 @query("add_markers", f"""WITH {_MARKS}, old AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts) AS id FROM mk WHERE kind = 'raid_start'),
 nw AS (SELECT *, coalesce((SELECT max(id) FROM old WHERE old.stream_id = mk.stream_id), 0) + row_number() OVER (PARTITION BY stream_id ORDER BY ts) AS id FROM mk WHERE kind = 'raid_end')
 SELECT stream_id, id, ts, kind, label FROM old UNION ALL SELECT stream_id, id, ts, kind, label FROM nw""")
