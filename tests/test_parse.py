@@ -197,3 +197,13 @@ def test_long_names_and_large_amounts(spark):
     got = [r[0] for r in spark.createDataFrame(texts, "t string").select(names.parse_copper(F.col("t"))).collect()]
     assert got == [99999999999, 9000000000, 123456789012345670, None, None, 0, None]
     assert spark.createDataFrame([(name,)], "n string").select(_cap(F.col("n"))).first()[0] == name[0].upper() + name[1:]
+
+
+def test_generated_code_reads_the_same(spark, lines):
+    df = lines([g[0] for g in GOLDEN])
+    plain = sorted(map(str, parse_lines(df).collect()))
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    try:
+        assert sorted(map(str, parse_lines(df).collect())) == plain
+    finally:
+        spark.conf.set("spark.sql.codegen.wholeStage", "false")
