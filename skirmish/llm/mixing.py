@@ -161,15 +161,16 @@ def mixed_blocks(docs: DataFrame, mix: Mix, key: str = "doc_id", text: str = "te
     b = mix.block_words
     none = F.lit("0").cast(docs.schema[key].dataType)
     by = {"k": F.coalesce(F.col("key"), none), "nil": F.col("key").isNull(), "hash": F.col("hash")}
-    whole = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), words(F.col(text)).alias("w")).select(*(c.alias(n) for n, c in by.items()), "w")
+    whole = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.col(text).alias("text")).select(*(c.alias(n) for n, c in by.items()), "text")
     # Rows of one key and text are alike, so one of them stands for all.
-    spread = mix.docs.filter("size > 0").withColumns(by).join(whole.dropDuplicates([*by]), [*by])
+    spread = mix.docs.filter("size > 0").withColumns(by).join(whole.dropDuplicates([*by]), [*by]).withColumn("w", words(F.col("text")))
     cut = spread.select("sid", "key", "start", "size", "w", F.explode(F.sequence(F.expr(f"start div {b}"), F.expr(f"(start + size - 1) div {b}"))).alias("block"))
     begin = F.greatest(F.col("start"), F.col("block") * b)
-    piece = F.slice("w", (begin - F.col("start") + 1).cast("int"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - begin).cast("int"))
-    parts = cut.select("sid", "block", F.struct(begin.alias("at"), F.col("key").alias("doc"), piece.alias("w")).alias("piece"))
+    n = (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - begin).cast("int")
+    piece = F.array_join(F.slice("w", (begin - F.col("start") + 1).cast("int"), n), " ")
+    parts = cut.select("sid", "block", F.struct(begin.alias("at"), F.col("key").alias("doc"), n.alias("n"), piece.alias("text")).alias("piece"))
     packed = parts.groupBy("sid", "block").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
-    packed = packed.select("sid", "block", F.array_distinct("pieces.doc").alias("doc_ids"), F.flatten("pieces.w").alias("w"))
-    packed = packed.select("sid", "block", "doc_ids", F.size("w").alias("n_words"), F.array_join("w", " ").alias("text"))
+    n_words = F.aggregate("pieces.n", F.lit(0), lambda x, y: x + y)
+    packed = packed.select("sid", "block", n_words.alias("n_words"), F.array_distinct("pieces.doc").alias("doc_ids"), F.array_join("pieces.text", " ").alias("text"))
     names = mix.sources.select("sid", "source")
     return mix.slots.join(packed, ["sid", "block"]).join(names, "sid").select("shard", "place", "source", "block", "n_words", "doc_ids", "text")
