@@ -150,7 +150,10 @@ def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", widt
     prints = stage(docs.select(key, F.xxhash64(text).alias("place"), fingerprint(F.col(text), width, seed).alias("fp")))
     classes = near_classes(prints, key, max_bucket)
     chosen = prints.join(classes, "fp").filter(F.col(key).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("place", key)).alias("first"))
-    root, of, place = fresh(docs, "root", "of", "place")
-    chosen = chosen.select(F.col("root").alias(root), F.col(f"first.{key}").alias(of), F.col("first.place").alias(place))
-    kept = docs.join(chosen, F.col(key).eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(place)))
-    return kept.groupBy(root).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    # Grouping by the join's own keys and the class needs no other shuffle of the texts.
+    root, of, nil, place = fresh(docs, "root", "of", "nil", "place")
+    none = F.lit("0").cast(docs.schema[key].dataType)
+    by = lambda k, p: [F.coalesce(k, none).alias(of), k.isNull().alias(nil), p.alias(place)]
+    chosen = chosen.select(F.col("root").alias(root), *by(F.col(f"first.{key}"), F.col("first.place")))
+    kept = docs.select("*", *by(F.col(key), F.xxhash64(text))).join(chosen, [of, nil, place])
+    return kept.groupBy(of, nil, place, root).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
