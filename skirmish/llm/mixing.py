@@ -14,7 +14,8 @@ SHARE = 1.5
 REPEATS = 2
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
-_BUCKET_ROWS = 20_000
+_BUCKET_ROWS = 4_000
+_TASK_SLOTS = 100_000
 _ROUNDS = 16
 
 
@@ -145,6 +146,8 @@ def _slots(sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     first = F.sum("n").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     start = F.sum("n").over(Window.partitionBy("shard").orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     spans = final.withColumns({"first": first, "start": start}).join(sources.select("sid", "blocks", "full"), "sid")
+    # A few counts make many slots, so they are dealt out before they are unrolled.
+    spans = spans.repartition(-(-max(n_slots, 1) // _TASK_SLOTS), "shard", "sid")
     each = spans.select("shard", "sid", "blocks", "full", "start", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     each = each.withColumns({"turn": F.expr("(first + k) div blocks"), "index": F.expr("(first + k) % blocks")})
     block = F.when(F.col("index") < F.col("full"), permuted(F.col("index"), F.greatest("full", F.lit(1)), F.col("sid"), F.col("turn"), seed)).otherwise(F.col("index"))
