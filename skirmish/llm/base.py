@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.operators.ordered import stage
+from skirmish.operators.ordered import small, stage
 
 __all__ = ["BLANKS", "components", "fresh", "in_fold", "read", "small", "stage", "words"]
 
@@ -61,8 +61,3 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-
-
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows (narrow ones), else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
