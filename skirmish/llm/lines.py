@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 from skirmish.llm.base import BLANKS, fresh, stage
 
 _SEGMENT = 1 << 16
+# Copies of each repeated key in the join with its holders, so that a line of very many documents meets in many tasks.
+_SALTS = 8
 _STRIP = BLANKS.encode()
 
 
@@ -108,7 +110,9 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
     found = stage(ids.mapInPandas(suspects, "id string, line binary").withColumn("id", F.col("id").cast(kind)))
     repeated = found.groupBy("line").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs).drop("n")
     names = fresh(docs, "drop_id", "drop_lines", "rewritten")
-    drops = found.join(repeated, "line").filter(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy(F.col("id").alias(names[0])).agg(F.collect_set("line").alias(names[1]))
+    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    holders = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int"))
+    drops = holders.join(salted, ["line", "salt"]).filter(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy(F.col("id").alias(names[0])).agg(F.collect_set("line").alias(names[1]))
 
     def rewrite(texts: pd.Series, dropped: pd.Series) -> pd.DataFrame:
         rows = []
