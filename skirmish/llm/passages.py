@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skirmish.llm.base import components, fresh, small, stage
+from skirmish.llm.base import components, fresh, stage
 from skirmish.llm.grams import chunks, flatten, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
 MIN_RUN = 30
 _LONG = 10
+# Paragraphs to look up in their documents that may be broadcast, 8 bytes each; more are joined by document.
+_BROADCAST = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 # Marks that end a sentence, and marks that do not count in comparisons.
@@ -168,6 +170,8 @@ def _links(docs: DataFrame, distinct: DataFrame, bands: int, bucket: int) -> Dat
     members = stage(keyed.join(sizes, "band").withColumn("blocks", F.ceil(F.col("count") / bucket)))
     wanted = members.select(F.col("least").alias("of"), F.col("code").alias("want")).distinct()
     exemplars = wanted.groupBy("of").agg(F.collect_list("want").alias("want"))
+    if wanted.limit(_BROADCAST + 1).count() <= _BROADCAST:
+        exemplars = F.broadcast(exemplars)
 
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -183,7 +187,7 @@ def _links(docs: DataFrame, distinct: DataFrame, bands: int, bucket: int) -> Dat
                         sets.append(np.unique(p.shingles[starts[k] : starts[k + 1]]).view(np.int64))
             yield pd.DataFrame({"code": pd.Series(codes, dtype="int64"), "set": pd.Series(sets, dtype=object)})
 
-    sets = docs.join(small(exemplars, 200_000), docs["key"] == F.col("of")).select("text", "want").mapInPandas(shingle, "code long, set array<long>")
+    sets = docs.join(exemplars, docs["key"] == F.col("of")).select("text", "want").mapInPandas(shingle, "code long, set array<long>")
     sets = stage(sets.dropDuplicates(["code"]))
     block = F.pmod(F.xxhash64("code"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("x"), F.greatest(x, F.col("block")).alias("y")))
