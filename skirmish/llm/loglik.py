@@ -63,9 +63,11 @@ def shapes(text: Column) -> Column:
 def ngrams(w: Column, s: Column, buckets: int = BUCKETS) -> Column:
     """Hash buckets of the text's n-grams: its words in the lower half, pairs of neighboring word shapes in the upper."""
     half = buckets // 2
-    single = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(half)).cast("int"))
-    pairs = _neighbors(s, lambda a, b: (F.pmod(F.xxhash64(a, b), F.lit(half)) + half).cast("int"))
-    return F.concat(single, pairs)
+    return F.concat(F.transform(w, lambda x: _bucket(half, 0, x)), _neighbors(s, lambda a, b: _bucket(half, half, a, b)))
+
+
+def _bucket(n: int, first: int, *parts: Column) -> Column:
+    return (F.pmod(F.xxhash64(*parts), F.lit(n)) + first).cast("int")
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> np.ndarray:
@@ -77,7 +79,11 @@ def ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     half = buckets // 2
     marked = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(small(trusted.select(F.col(key).alias("good")).distinct()), F.col("key") == F.col("good"), "left")
     grams = marked.select(F.col("good").isNotNull().cast("int").alias("good"), words(F.col("text")).alias("w"), words(shapes(F.col("text"))).alias("s"))
-    rows = grams.select("good", F.explode(ngrams(F.col("w"), F.col("s"), buckets)).alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.sum("good").alias("t")).collect()
+    # Words and shapes have the same places, and unrolled places keep the hashing in generated code.
+    placed = grams.filter("size(w) > 0").select("good", "w", "s", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+    at = lambda c, k: F.get(F.col(c), F.col("i") + k)
+    pair = F.when(F.col("i") + 1 < F.size("s"), _bucket(half, half, at("s", 0), at("s", 1)))
+    rows = placed.select("good", F.explode(F.array(_bucket(half, 0, at("w", 0)), pair)).alias("b")).filter("b is not null").groupBy("b").agg(F.count("*").alias("n"), F.sum("good").alias("t")).collect()
     n, t = np.zeros(buckets), np.zeros(buckets)
     for r in rows:
         n[r.b], t[r.b] = r.n, r.t
