@@ -79,18 +79,21 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray | None, int]], select: int = 400
     if not len(y) or y.min() == y.max():
         return Weights(none.index, none.value, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
     lengths = np.array([len(r[0]) for r in rows])
-    flat, doc = np.concatenate([r[0] for r in rows]), np.repeat(np.arange(len(rows)), lengths)
-    pos = np.bincount(flat[y[doc] == 1], minlength=ROWS).astype(float)
-    df = np.bincount(flat, minlength=ROWS).astype(float)
+    flat, doc = np.concatenate([r[0] for r in rows]), np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+    df = np.bincount(flat, minlength=ROWS)
+    some = np.flatnonzero((df >= 4) & (df < len(y)))
+    df = df[some].astype(float)
+    pos = np.bincount(np.concatenate([r[0] for r in rows if r[2] == 1]), minlength=ROWS)[some].astype(float)
     rate = y.mean()
-    expect = df * rate
-    chi = np.where((df >= 4) & (df < len(y)), (pos - expect) ** 2 / np.maximum(expect * (1 - rate), 1e-9), 0)
-    index = np.sort(np.argsort(-chi, kind="stable")[:select])
-    index = index[chi[index] > 12]
-    place = np.full(ROWS, -1, np.int64)
+    chi = (pos - df * rate) ** 2 / np.maximum(df * rate * (1 - rate), 1e-9)
+    best = np.argsort(-chi, kind="stable")[:select]
+    index = np.sort(some[best[chi[best] > 12]])
+    del df, pos, chi, some
+    place = np.full(ROWS, -1, np.int32)
     place[index] = np.arange(len(index))
     at = place[flat]
     d, f = doc[at >= 0], at[at >= 0]
+    del flat, doc, at
     cd, cf, cv = [], [], []
     n_swaps = 0
     for before, after, _ in rows:
