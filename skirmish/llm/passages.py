@@ -1,4 +1,4 @@
-"""Passages repeated across documents, by MinHash banding of their paragraphs."""
+"""Passages repeated across documents, by MinHash banding of their paragraphs and by shared word runs at any place."""
 
 from __future__ import annotations
 
@@ -17,6 +17,13 @@ SHINGLE = 5
 SIMILARITY = 0.8
 MIN_RUN = 30
 _LONG = 10
+# A passage of WHOLE words that another document holds is found wherever it starts: word runs of GRAM words are compared, and of
+# every _SPREAD neighboring ones at least one is an anchor (GRAM + _SPREAD - 1 words, fewer than WHOLE).
+WHOLE = 50
+GRAM = 8
+_SPREAD = 32
+# Words between two shared runs that may differ.
+GAP = 4
 # Paragraphs to look up in their documents that may be broadcast, 8 bytes each; more are joined by document.
 _BROADCAST = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -243,6 +250,161 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_RUN, bucket: int = 2
     return passages.filter(F.col("n_words") >= min_words).select(F.col("doc").alias(key), "first_word", "last_word", "n_words", "removed_words", "kept_in", "removed")
 
 
+def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, place, hash) of every run of ``GRAM`` words, case and marks aside, in order; places are word numbers."""
+    flat = flatten(texts)
+    letters = flat.data.copy()
+    letters[np.isin(letters, _MARKS)] = 32
+    words = word_hashes(type(flat)(letters, flat.starts, flat.doc, flat.lengths, flat.bounds))
+    n = len(words) - GRAM + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    code = words.copy()
+    for k in range(1, GRAM):
+        code[: len(words) - k] = _mix(code[: len(words) - k]) + words[k:]
+    inside = np.flatnonzero(flat.doc[:n] == flat.doc[GRAM - 1 :])
+    doc = flat.doc[inside]
+    heads = np.cumsum(flat.lengths) - flat.lengths
+    return doc, inside - heads[doc], _mix(code[inside])
+
+
+def _anchors(doc: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Indexes of the grams that are the least of some ``_SPREAD`` neighbors of their document: of equal stretches the same ones."""
+    n = len(code) - _SPREAD + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    low = code
+    width = 1
+    while width < _SPREAD:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    low = np.where(doc[:n] == doc[_SPREAD - 1 :], low, np.uint64(0))
+    high = np.concatenate([np.zeros(_SPREAD - 1, np.uint64), low, np.zeros(_SPREAD - 1, np.uint64)])
+    width = 1
+    while width < _SPREAD:
+        high = np.maximum(high[:-width], high[width:])
+        width *= 2
+    return np.flatnonzero(high == code)
+
+
+def _around(hits: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``places`` grams of a document with shared anchors at ``hits`` (sorted): those within ``_SPREAD`` of one, and
+    whether each is open, that is not between two anchors with at most ``GAP`` words between them."""
+    every = np.arange(places)
+    after = np.searchsorted(hits, every)
+    left, right = hits[np.maximum(after - 1, 0)], hits[np.minimum(after, len(hits) - 1)]
+    near = (np.abs(every - left) <= _SPREAD) | (np.abs(right - every) <= _SPREAD)
+    closed = (right == every) | ((left < every) & (every < right) & (right - left <= GRAM + GAP))
+    return every[near], ~closed[near]
+
+
+def shared_runs(ids: DataFrame) -> DataFrame:
+    """Runs of words (doc, first, last, keeper) of ``ids`` (key, text) that another document holds too, ``keeper`` the smallest.
+
+    Anchors are compared first.  Around shared ones every gram is, so a stretch of ``GRAM + _SPREAD - 1`` shared words or more is
+    covered from its first to its last word, whatever its marks; at most ``GAP`` words between two shared anchors go unchecked.
+    Only hashes, documents and places are shuffled, and counted by hash, so no group is gathered and no pair is made.
+    """
+    kind = ids.schema["key"].dataType.simpleString()
+
+    def lists(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        return [values[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = 0
+            for run in chunks(list(b["text"])):
+                doc, place, code = _grams(run)
+                some = _anchors(doc, code)
+                bounds = np.searchsorted(doc[some], np.arange(len(run) + 1))
+                yield pd.DataFrame({"doc": b["key"].to_numpy()[at : at + len(run)], "at": lists(place[some].astype(np.int32), bounds), "code": lists(code[some].view(np.int64), bounds)})
+                at += len(run)
+
+    # One row per document is stored: 12 or 13 bytes a gram.
+    anchors = stage(ids.mapInPandas(mark, f"doc {kind}, at array<int>, code array<long>").filter("size(code) > 0"))
+    each = anchors.select("doc", F.explode(F.arrays_zip("at", "code")).alias("x")).select("doc", "x.at", "x.code")
+    common = anchors.select("doc", F.explode("code").alias("code")).groupBy("code").agg(F.min("doc").alias("keeper"), F.max("doc").alias("most")).filter("keeper <> most").select("code", "keeper")
+    hits = stage(each.join(common, "code").select("doc", "at", "keeper"))
+    marked = hits.groupBy(F.col("doc").alias("of")).agg(F.sort_array(F.collect_set("at")).alias("hits"))
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = 0
+            for run in chunks(list(b["text"])):
+                doc, _, code = _grams(run)
+                bounds = np.searchsorted(doc, np.arange(len(run) + 1))
+                places, codes, opens = [], [], []
+                for own, hit in zip(lists(code, bounds), b["hits"].iloc[at : at + len(run)]):
+                    place, is_open = _around(np.asarray(hit, np.int64), len(own))
+                    places.append(place.astype(np.int32))
+                    codes.append(own[place].view(np.int64))
+                    opens.append(is_open)
+                yield pd.DataFrame({"doc": b["key"].to_numpy()[at : at + len(run)], "at": places, "code": codes, "open": opens})
+                at += len(run)
+
+    spelled = stage(ids.join(marked, F.col("key") == F.col("of")).select("key", "text", "hits").mapInPandas(spell, f"doc {kind}, at array<int>, code array<long>, open array<boolean>"))
+    told = spelled.select("doc", F.explode(F.arrays_zip("code", "open")).alias("x")).select("doc", "x.code", "x.open")
+    known = told.groupBy("code").agg(F.min("doc").alias("keeper"), F.max("doc").alias("most"), F.max("open").alias("open")).filter("open and keeper <> most").select("code", "keeper")
+    wanted = spelled.select("doc", F.explode(F.filter(F.arrays_zip("at", "code", "open"), lambda x: x["open"])).alias("x")).select("doc", "x.at", "x.code")
+    found = wanted.join(known, "code").select("doc", "at", "keeper")
+    return hits.unionByName(found).select("doc", F.col("at").alias("first"), (F.col("at") + GRAM - 1).alias("last"), "keeper")
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans (first, last) merged where at most ``GAP`` words lie between them."""
+    out: list[list[int]] = []
+    for first, last in sorted(spans):
+        if out and first <= out[-1][1] + 1 + GAP:
+            out[-1][1] = max(out[-1][1], last)
+        else:
+            out.append([first, last])
+    return out
+
+
+def whole_passages(docs: DataFrame, least: int = WHOLE, min_words: int = MIN_RUN, bucket: int = 256, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Passages that repeat across documents, from their first to their last word; columns as ``repeated_passages`` has them.
+
+    Paragraphs' passages (``repeated_passages``) and ``shared_runs`` are merged where at most ``GAP`` words, edits say, lie between them.
+    What has ``least`` words or more is reported, and what holds a paragraphs' passage of ``min_words``.  A passage that
+    starts or ends inside a sentence, or has no marks at all, is found like any.  ``n_words`` counts all words from first to
+    last; ``removed`` are the words whose copies stay in smaller keys, with the edits between them.  Null keys take no
+    part, rows that repeat a key are one document.
+    """
+    ids = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    kind = ids.schema["key"].dataType.simpleString()
+    mine = F.col("keeper") == F.col("doc")
+    runs = shared_runs(ids).groupBy("doc", "keeper").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    runs = runs.select("doc", "spans", F.when(mine, F.array().cast("array<struct<first:int,last:int>>")).otherwise(F.col("spans")).alias("removed"), F.array("keeper").alias("kept_in"), F.lit(False).alias("sure"))
+    near = repeated_passages(ids, 1, bucket, "key", "text").select(
+        F.col("key").alias("doc"), F.array(F.struct(F.col("first_word").alias("first"), F.col("last_word").cast("int").alias("last"))).alias("spans"),
+        F.col("removed").cast("array<struct<first:int,last:int>>").alias("removed"), "kept_in", (F.col("n_words") >= min_words).alias("sure"),
+    )
+    parts = runs.unionByName(near).groupBy("doc").agg(F.collect_list(F.struct("spans", "removed", "kept_in", "sure")).alias("parts"))
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc, parts in zip(b["doc"], b["parts"]):
+                whole = _joined([(s["first"], s["last"]) for p in parts for s in p["spans"]])
+                heads = np.array([w[0] for w in whole])
+                keepers, gone, sure = [set() for _ in whole], [[] for _ in whole], [False] * len(whole)
+                for p in parts:
+                    for s in p["spans"]:
+                        k = int(np.searchsorted(heads, s["first"], "right")) - 1
+                        keepers[k].update(p["kept_in"])
+                        sure[k] |= bool(p["sure"])
+                    for s in p["removed"]:
+                        gone[int(np.searchsorted(heads, s["first"], "right")) - 1].append((s["first"], s["last"]))
+                for (first, last), kept, cuts, safe in zip(whole, keepers, gone, sure):
+                    if safe or last - first + 1 >= least:
+                        cuts = _joined(cuts)
+                        out.append((doc, first, last, last - first + 1, sum(y - x + 1 for x, y in cuts), sorted(kept), [{"first": x, "last": y} for x, y in cuts]))
+            yield pd.DataFrame(out, columns=["doc", "first_word", "last_word", "n_words", "removed_words", "kept_in", "removed"])
+
+    made = parts.mapInPandas(merge, f"doc {kind}, first_word int, last_word int, n_words long, removed_words long, kept_in array<{kind}>, removed array<struct<first:int,last:int>>")
+    return made.withColumnRenamed("doc", key)
+
+
 def remove_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the words that ``repeated_passages`` marks as removed; untouched texts stay as they are."""
     of, cuts = fresh(docs, "of", "cuts")

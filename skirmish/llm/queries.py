@@ -130,4 +130,4 @@ def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(read(spark, sf_dir, "documents")).drop("removed")
+    return passages.whole_passages(read(spark, sf_dir, "documents")).drop("removed")

@@ -113,3 +113,46 @@ def test_empty(make):
     assert passages.repeated_passages(make([])).count() == 0
     df = make([(1, None)])
     assert passages.remove_passages(df, passages.repeated_passages(df)).count() == 1
+
+
+def shared_windows(rows, size):
+    """Words (doc, place) in a run of ``size`` words that another document has, by brute force."""
+    held = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - size + 1):
+            held.setdefault(tuple(w[i : i + size]), []).append((d, i))
+    return {(d, i + k) for at in held.values() if len({d for d, _ in at}) > 1 for d, i in at for k in range(size)}
+
+
+def test_passages_at_any_place(make):
+    middle = " ".join(prose(200, 300).split()[3:57])
+    bare = prose(55, 301).replace(".", "").lower()
+    sentence = prose(52, 302).replace(".", "") + "."
+    long = prose(120, 303).replace(".", "")
+    edited = " ".join("other" if k in (30, 62, 90) else x for k, x in enumerate(long.split()))
+    rows = []
+    for n, (a, b) in enumerate([(middle, middle), (bare, bare), (sentence, sentence), (long, edited)]):
+        rows += [(10 * n + k, f"{prose(43 + 5 * k, 900 + 10 * n + k)[:-1]} {part} so {prose(38 + k, 950 + 10 * n + k)}") for k, part in enumerate((a, b))]
+    rows += [(100, prose(300, 777)), (101, prose(300, 778)), (102, "")]
+    got = passages.whole_passages(make(rows)).collect()
+    covered = {(r.doc_id, k) for r in got for k in range(r.first_word, r.last_word + 1)}
+    want = shared_windows(rows, 50)
+    assert {d for d, _ in want} == {0, 1, 10, 11, 20, 21} and want <= covered
+    assert {d for d, _ in covered} == {0, 1, 10, 11, 20, 21, 30, 31}
+    assert all(r.n_words >= 118 for r in got if r.doc_id in (30, 31)) and len(covered) <= 2 * (54 + 55 + 52 + 120) + 8 * 4
+    assert all((r.removed_words == 0) == (r.doc_id % 10 == 0) and r.kept_in == [r.doc_id // 10 * 10] for r in got)
+
+
+def test_whole_passages_keep_one_copy(make):
+    rows = cases()
+    df = make(rows)
+    found = passages.whole_passages(df)
+    out = passages.remove_passages(df, found)
+    lost = {}
+    for r in found.collect():
+        lost[r.doc_id] = lost.get(r.doc_id, 0) + r.removed_words
+    for r in out.collect():
+        before = next(x[1] for x in rows if x[0] == r.doc_id)
+        assert len((before or "").split()) - len((r.text or "").split()) == lost.get(r.doc_id, 0)
+    assert lost[1] == 0 and lost[2] >= 68 and passages.whole_passages(make([])).count() == 0
