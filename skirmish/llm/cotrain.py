@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.llm.base import fresh
+from skirmish.llm.base import fresh, small, stage
 from skirmish.llm.grams import Flat, chunks, flatten, ngram_rows, sums, word_hashes
 
 THRESHOLD = 0.5
@@ -25,6 +25,10 @@ TEXT_FEATURES = _ROWS + 3
 _HASHED = 32
 _LAYOUT = 9
 PAGE_FEATURES = _LAYOUT + 2 * _HASHED
+# Pseudo-labelled documents are summed up by class and by a hash of their language and source; sums are whole numbers of 1/_UNIT, so
+# their order does not matter.
+_GROUPS = 8
+_UNIT = float(1 << 20)
 
 
 @dataclass(frozen=True)
@@ -75,16 +79,22 @@ def repetition(flat: Flat, n: int) -> tuple[np.ndarray, np.ndarray]:
     return same / total, 1 - np.maximum(np.bincount(d, weights=new, minlength=n), (total == 1)) / total
 
 
+def _text_parts(run: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(feature of every byte or 0, first byte of every text, n-grams per text, and its two shares of repetition)."""
+    flat = flatten(run, lower=False)
+    rows = ngram_rows(flat.data, _N, _ROWS)
+    starts = flat.bounds[:-1]
+    n = np.maximum(sums((rows > 0).astype(np.float64)[:, None], starts, len(run))[:, 0], 1)
+    return rows, starts, n, *repetition(flat, len(run))
+
+
+def _text_odds(view: np.ndarray, rows: np.ndarray, starts: np.ndarray, n: np.ndarray, same: np.ndarray, again: np.ndarray) -> np.ndarray:
+    return _SCALE * sums(view[rows][:, None], starts, len(n))[:, 0] / n + 10 * (view[_SAME] * same + view[_AGAIN] * again)
+
+
 def text_sums(view: np.ndarray, texts: list[str | None]) -> np.ndarray:
     """Mean weight of the character n-grams of every text, times a scale, and the weights of repetition."""
-    out = []
-    for run in chunks(texts):
-        flat = flatten(run, lower=False)
-        rows = ngram_rows(flat.data, _N, _ROWS)
-        starts = flat.bounds[:-1]
-        n = np.maximum(sums((rows > 0).astype(np.float64)[:, None], starts, len(run))[:, 0], 1)
-        same, again = repetition(flat, len(run))
-        out.append(_SCALE * sums(view[rows][:, None], starts, len(run))[:, 0] / n + 10 * (view[_SAME] * same + view[_AGAIN] * again))
+    out = [_text_odds(view, *_text_parts(run)) for run in chunks(texts)]
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -115,11 +125,14 @@ class Sparse:
         return np.bincount(d, weights=v * w[f], minlength=len(at))
 
 
-def fit_linear(x: Sparse, at: np.ndarray, y: np.ndarray, steps: int = 150, decay: float = 1e-4) -> Linear:
-    """Logistic regression by Adam; both classes weigh the same."""
+def fit_linear(x: Sparse, at: np.ndarray, y: np.ndarray, steps: int = 150, decay: float = 1e-4, weight: np.ndarray | None = None) -> Linear:
+    """Logistic regression by Adam; both classes weigh the same, rows of a class as ``weight`` says."""
     d, f, v = x.take(at)
     w, b = np.zeros(x.width), 0.0
-    balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    if weight is None:
+        balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    else:
+        balance = weight * np.where(y == 1, 0.5 / max(1e-9, weight[y == 1].sum()), 0.5 / max(1e-9, weight[y == 0].sum()))
     m1, m2 = np.zeros(x.width + 1), np.zeros(x.width + 1)
     for t in range(1, steps + 1):
         z = b + np.bincount(d, weights=v * w[f], minlength=len(at))
@@ -177,12 +190,86 @@ def cotrain(text: Sparse, page: Sparse, y: np.ndarray, rounds: int = 4, per_roun
     return tuple(calibrate(m, m.bias + v.dot(m.weight, test), y[test].astype(float)) for m, v in zip(models, views))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, labelled: int, unlabelled: int, key: str, text: str, lang: str, source: str, label: str) -> tuple[Sparse, Sparse, np.ndarray]:
-    """At most ``labelled`` labelled and ``unlabelled`` other documents, those of least key hash, in both views."""
-    known = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).groupBy("id").agg(F.min("y").alias("y"))
-    first = known.orderBy(F.xxhash64("id"), "id").limit(labelled)
-    others = docs.select(F.col(key).alias("id")).filter("id is not null").join(known, "id", "left_anti").distinct().orderBy(F.xxhash64("id"), "id").limit(unlabelled)
-    chosen = first.unionByName(others.withColumn("y", F.lit(-1)))
+def confident_sums(docs: DataFrame, models: list[Linear], bound: float) -> list[dict[tuple[int, int], tuple[int, np.ndarray]]]:
+    """What each view (text, page) is taught by the other: {(class, group): (documents, mean features)}.
+
+    Every row of ``docs`` (text, lang, source) is scored by both views; where one is surer than ``bound`` log-odds, the
+    other's features of the row are added to the sums of that class.  Only sums leave the tasks.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast([(m.weight, m.bias) for m in models])
+    cells = 2 * _GROUPS
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (tw, tb), (pw, pb) = sent.value
+        total = [np.zeros(cells * TEXT_FEATURES), np.zeros(cells * PAGE_FEATURES)]
+        count = [np.zeros(cells), np.zeros(cells)]
+        for b in batches:
+            at = 0
+            for run in chunks(list(b["text"])):
+                part = b.iloc[at : at + len(run)]
+                at += len(run)
+                page = np.array([page_features(*x) for x in zip(part["text"], part["lang"], part["source"])]).reshape(-1, PAGE_FEATURES)
+                group = np.array([zlib.crc32(f"{x or ''} {y or ''}".encode("utf-8", "surrogatepass")) % _GROUPS for x, y in zip(part["lang"], part["source"])], int)
+                rows, starts, n, same, again = _text_parts(run)
+                by_text, by_page = tb + _text_odds(tw, rows, starts, n, same, again), pb + page @ pw
+                for k, z in ((0, by_page), (1, by_text)):
+                    sure = np.flatnonzero(np.abs(z) >= bound)
+                    cell = np.full(len(run), -1)
+                    cell[sure] = (z[sure] > 0) * _GROUPS + group[sure]
+                    count[k] += np.bincount(cell[sure], minlength=cells)
+                    if k:
+                        where = cell[sure][:, None] * PAGE_FEATURES + np.arange(PAGE_FEATURES)
+                        total[k] += np.bincount(where.ravel(), page[sure].ravel(), cells * PAGE_FEATURES)
+                    elif len(sure):
+                        doc = np.repeat(np.arange(len(run)), np.diff(np.append(starts, len(rows))))
+                        here = np.flatnonzero((rows > 0) & (cell[doc] >= 0))
+                        total[k] += np.bincount(cell[doc[here]] * TEXT_FEATURES + rows[here], _SCALE / n[doc[here]], cells * TEXT_FEATURES)
+                        for feature, share in ((_SAME, same), (_AGAIN, again)):
+                            total[k] += np.bincount(cell[sure] * TEXT_FEATURES + feature, 10 * share[sure], cells * TEXT_FEATURES)
+        for k, width in ((0, TEXT_FEATURES), (1, PAGE_FEATURES)):
+            used = np.flatnonzero(total[k])
+            yield pd.DataFrame({"view": k, "cell": used // width, "feature": used % width, "total": np.rint(total[k][used] * _UNIT).astype(np.int64)})
+            used = np.flatnonzero(count[k])
+            yield pd.DataFrame({"view": k, "cell": used, "feature": -1, "total": count[k][used].astype(np.int64)})
+
+    got = docs.mapInPandas(add, "view int, cell int, feature int, total long").groupBy("view", "cell", "feature").agg(F.sum("total").alias("total")).collect()
+    counts = {(r.view, r.cell): r.total for r in got if r.feature < 0}
+    means = {(k, c): np.zeros((TEXT_FEATURES, PAGE_FEATURES)[k], np.float64) for k, c in counts}
+    for r in got:
+        if r.feature >= 0:
+            means[r.view, r.cell][r.feature] = r.total / _UNIT / counts[r.view, r.cell]
+    return [{(c // _GROUPS, c % _GROUPS): (counts[v, c], means[v, c]) for v, c in sorted(counts) if v == k} for k in (0, 1)]
+
+
+def cotrain_all(text: Sparse, page: Sparse, y: np.ndarray, docs: DataFrame, rounds: int = 4, confident: float = 0.95, held_back: float = 0.25) -> tuple[Linear, Linear]:
+    """As ``cotrain``, but all rows of ``docs`` (text, lang, source) are the pool and no number bounds what a view passes.
+
+    A round's pseudo-labels replace those of the round before.  They reach the other view as means by class and group,
+    weighted by their documents; together they weigh as much as the labels of the class do.
+    """
+    cut = int(len(y) * (1 - held_back)) if len(y) >= 40 else len(y)
+    train, test = np.arange(cut), np.arange(cut, len(y)) if cut < len(y) else np.arange(len(y))
+    views = [text, page]
+    taught: list[dict[tuple[int, int], tuple[int, np.ndarray]]] = [{}, {}]
+    models: list[Linear] = []
+    for n in range(rounds + 1):
+        models = []
+        for v, extra in zip(views, taught):
+            rows, labels, weight = [v.rows[i] for i in train], [float(y[i]) for i in train], [1.0] * len(train)
+            for (c, _), (count, mean) in extra.items():
+                there = np.flatnonzero(mean)
+                rows.append((there, mean[there]))
+                labels.append(float(c))
+                weight.append(max(1, int((y[train] == c).sum())) * count / sum(m for (d, _), (m, _) in extra.items() if d == c))
+            models.append(fit_linear(Sparse(rows, v.width), np.arange(len(rows)), np.array(labels), weight=np.array(weight)))
+        if n < rounds:
+            taught = confident_sums(docs, models, float(np.log(confident / (1 - confident))))
+    return tuple(calibrate(m, m.bias + v.dot(m.weight, test), y[test].astype(float)) for m, v in zip(models, views))
+
+
+def training_rows(docs: DataFrame, known: DataFrame, labelled: int, key: str, text: str, lang: str, source: str) -> tuple[Sparse, Sparse, np.ndarray]:
+    """At most ``labelled`` documents with a label in ``known`` (id, y), those of least key hash, in both views."""
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(labelled)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -203,22 +290,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, labelled: int, unlabelled:
     )
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, labelled: int = 3000, unlabelled: int = 3000, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text",
+def score_quality(docs: DataFrame, labels: DataFrame, labelled: int = 3000, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text",
                   lang: str = "lang", source: str = "source", label: str = "quality") -> DataFrame:
     """Add ``text_score``, ``page_score``, ``score`` (0 to 1, P(quality = 1)) and ``kept`` to every row of ``docs``.
 
-    Both views learn from at most ``labelled`` labelled and ``unlabelled`` other documents (see ``cotrain``) and then score all; the
-    final score averages their calibrated log-odds.  Keys labelled twice count as the lower label.  Null and
+    Both views learn from at most ``labelled`` labelled documents and from all others (see ``cotrain_all``), which are read once a round, and then
+    score all; the final score averages their calibrated log-odds.  Keys labelled twice count as the lower label.  Null and
     empty texts, null languages and sources are features like any.  Without labels of both classes every row scores
     by what is there: all kept if no bad label is known.  Added columns replace those of the same name; others pass through.
     """
-    words, pages, y = training_rows(docs, labels, labelled, unlabelled, key, text, lang, source, label)
+    known = stage(labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).groupBy("id").agg(F.min("y").alias("y")))
+    words, pages, y = training_rows(docs, known, labelled, key, text, lang, source)
     (both,) = fresh(docs, "both")
     kind = T.StructType.fromDDL("text_score double, page_score double, score double")
     if not (y == 0).any() or not (y == 1).any():
         flat = 1.0 if not (y == 0).any() else 0.0
         return docs.withColumns({"text_score": F.lit(flat), "page_score": F.lit(flat), "score": F.lit(flat), "kept": F.lit(flat >= threshold)})
-    models = docs.sparkSession.sparkContext.broadcast(cotrain(words, pages, y))
+    rest = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    rest = rest.join(small(known.select("id")), F.col("key") == F.col("id"), "left_anti").select("text", "lang", "source")
+    models = docs.sparkSession.sparkContext.broadcast(cotrain_all(words, pages, y, rest))
 
     def run(texts: pd.Series, langs: pd.Series, sources: pd.Series) -> pd.DataFrame:
         tm, pm = models.value

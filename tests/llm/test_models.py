@@ -158,3 +158,21 @@ def test_queries_hold_out(spark, make, tmp_path, tagged):
     for name, of, fold in (("op2_language_id", 5, 0), ("op6_toxicity", 4, 2)):
         out = QUERIES[name](spark, str(tmp_path)).collect()
         assert len(out) == len(tagged) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % of == fold) for r in out)
+
+
+def test_all_unlabelled_documents_teach(spark, make):
+    """The sums hold every document that a view is sure of, whatever their number, and agree with their features."""
+    rows = [(k, prose(60, k), "en", f"s{k % 5}") for k in range(3500)]
+    docs = make(rows).select("text", "lang", "source").repartition(7)
+    r = np.random.default_rng(1)
+    models = [cotrain.Linear(r.normal(size=cotrain.TEXT_FEATURES), 0.0), cotrain.Linear(r.normal(size=cotrain.PAGE_FEATURES), 0.0)]
+    text, page = cotrain.confident_sums(docs, models, 0.0)
+    assert sum(n for n, _ in text.values()) == sum(n for n, _ in page.values()) == len(rows)
+    for c in (0, 1):
+        of = [x for x in rows if (cotrain.page_features(x[1], x[2], x[3]) @ models[1].weight > 0) == bool(c)]
+        want = np.zeros(cotrain.TEXT_FEATURES)
+        for x in of:
+            at, values = cotrain.text_features(x[1])
+            want[at] += values
+        got = sum((n * m for (d, _), (n, m) in text.items() if d == c), np.zeros(cotrain.TEXT_FEATURES))
+        assert np.abs(got - want).sum() <= 2e-3 * want.sum()  # features are rounded to single precision, blanks count with the next text
