@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import cotrain, decontam, langid, lines, loglik, mixing, passages, simhash, tools, toxicity
+from skirmish.llm import bpe, cotrain, decontam, langid, lines, loglik, mixing, passages, search, simhash, tools, toxicity, trie
 from skirmish.llm.base import in_fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +132,56 @@ def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.whole_passages(read(spark, sf_dir, "documents")).drop("removed")
+
+
+# Prefixes as lists of turns, sums over a subtree by way of every node's ancestors; crc32 bit by bit.
+OP11_SQL = r"""
+with t as (select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x, turn from conversations where conv_id is not null),
+lists as (select c, list({'r': r, 'x': x} order by turn nulls first, r, x) as turns from t group by c),
+heads as (select c, turns, c - c % 5 as base,
+                 xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda ch: ascii(ch)::bigint)),
+                   lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, i: xor(y // 2, (y % 2) * 3988292384)))) % 9 as h from lists),
+built as (select a.c, coalesce(b.turns[1:a.h], []) || a.turns[a.h + 1:] as turns from heads a left join lists b on b.c = a.base),
+prefix as (select c, len(turns) as n, turns, unnest(range(0, len(turns) + 1)) as d from built),
+node as (select turns[1:d] as k, d, min(c) as conv_id, count(*) as n_convs,
+                sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where n = d), '')) as ends_sha256,
+                coalesce(strlen(any_value(turns[d].x)), 0) as bytes from prefix group by turns[1:d], d),
+kids as (select k[1:d - 1] as k, count(*) as n from node where d > 0 group by 1),
+full_node as (select a.*, coalesce(b.n, 0) as n_children from node a left join kids b using (k)),
+up as (select n_children, (n_convs - 1) * bytes as saved, k, unnest(range(0, d + 1)) as e from full_node),
+sums as (select k[1:e] as k, count(*) filter (where n_children = 0) as n_leaves, sum(saved) as saved_tokens from up group by 1)
+select a.conv_id, a.d as depth, p.conv_id as parent_conv_id, a.n_convs, a.n_children, s.n_leaves, cast(s.saved_tokens as bigint) as saved_tokens, a.ends_sha256
+from full_node a join sums s using (k) left join node p on a.d > 0 and p.k = a.k[1:a.d - 1]
+"""
+
+
+@query(OP11_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.regraft(trie.turn_lists(read(spark, sf_dir, "conversations"))))
+
+
+OP12_SQL = r"""
+with d as (select row_number() over () as row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+b as (select row_number() over () as item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+q as (select item, item_id, t, count(*) as times from b group by all),
+s as (select count(*) as n_docs, sum(len(w))::bigint as n_terms from d where len(w) > 0),
+tf as (select row, doc_id, n, t, count(*) as tf from (select row, doc_id, len(w)::bigint as n, unnest(w) as t from d) group by all),
+w as (select t, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::bigint as w from tf, s group by t),
+scored as (select q.item, q.item_id, tf.row, tf.doc_id, sum(q.times * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * tf.n * s.n_docs) // s.n_terms))))::bigint as score
+           from q join tf using (t) join w using (t), s group by all)
+select item_id, cast(row_number() over (partition by item order by score desc, doc_id nulls last) as integer) as rank, doc_id, score
+from scored where score > 0 qualify rank <= 20
+"""
+
+
+@query(OP12_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
+@query()
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = bpe.vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
+    docs = bpe.decode(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), spec), spec)
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
