@@ -8,6 +8,7 @@ from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from pathlib import Path
 
 import numpy as np
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 # Chunks of text that a task remembers; beyond that it forgets them all and starts anew.
-_REMEMBERED = 1 << 18
-# Distinct pieces that are indexed together.
-_INDEXED = 1 << 16
-# A mark between pieces that belongs to no rule.
-_WALL = 1 << 31
+_REMEMBERED = 1 << 19
+# Characters of text whose new pieces are indexed together.
+_INDEXED = 1 << 20
+# Bits of a symbol; the largest is a mark between pieces that belongs to no rule.
+_BITS = 24
+_WALL = (1 << _BITS) - 1
 
 
 class Merges:
@@ -35,12 +37,13 @@ class Merges:
             raise ValueError("a plain BPE vocabulary is expected")
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
-        self.rules: dict[tuple[int, int], tuple[int, int]] = {}
+        # By both symbols in one number.
+        self.rank: dict[int, int] = {}
         self.pairs: list[tuple[int, int, int]] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             left, right, into = self.ids[a], self.ids[b], self.ids[a + b]
-            self.rules[left, right] = rank, into
+            self.rank[left << _BITS | right] = rank
             self.pairs.append((left, right, into))
 
     def symbols(self, piece: str) -> list[int]:
@@ -65,19 +68,17 @@ class Merges:
             sym += self.symbols(piece)
             sym.append(_WALL)
         after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
-        rule = self.rules.get
+        rule = self.rank.get
         places: dict[int, list[int]] = defaultdict(list)
         for i, pair in enumerate(zip(sym, sym[1:])):
-            hit = rule(pair)
-            if hit:
-                places[hit[0]].append(i)
+            rank = rule(pair[0] << _BITS | pair[1])
+            if rank is not None:
+                places[rank].append(i)
         active = list(places)
         heapq.heapify(active)
         while active:
             rank = heapq.heappop(active)
-            at = places.pop(rank, None)
-            if at is None:
-                continue
+            at = places.pop(rank)
             at.sort()
             left, right, into = self.pairs[rank]
             waiting: set[int] = set()
@@ -90,21 +91,21 @@ class Merges:
                     put_off.append(i)
                     continue
                 k = after[j]
+                h = before[i]
                 sym[i], sym[j] = into, -1
                 after[i], before[k] = k, i
-                h = before[i]
-                for place, pair in ((h, (sym[h], into)), (i, (into, sym[k]))):
-                    hit = rule(pair)
-                    if hit:
-                        new = hit[0]
+                for place, key in ((h, sym[h] << _BITS | into), (i, into << _BITS | sym[k])):
+                    new = rule(key)
+                    if new is not None:
                         if new not in places:
                             heapq.heappush(active, new)
                         places[new].append(place)
                         if new < rank:
                             waiting.add(bisect_right(starts, i))
             if put_off:
+                if rank not in places:
+                    heapq.heappush(active, rank)
                 places[rank] += put_off
-                heapq.heappush(active, rank)
         out = []
         for i in starts:
             ids = []
@@ -116,7 +117,7 @@ class Merges:
 
 
 class _Coder:
-    """Texts to ids, with the pieces seen so far remembered."""
+    """Texts to ids, with the chunks seen so far remembered."""
 
     def __init__(self, spec: str):
         parsed = json.loads(spec)
@@ -124,40 +125,51 @@ class _Coder:
         added = parsed["added_tokens"]
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError("added tokens are expected to match as they stand")
-        self.added = {t["content"]: t["id"] for t in added}
+        self.added = {t["content"]: np.array([t["id"]], np.int32).tobytes() for t in added}
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if added else None
         # Only the file's rules for normal forms and for word bounds are left to the library.
         rest = Tokenizer.from_str(json.dumps({**parsed, "added_tokens": [], "model": {**parsed["model"], "vocab": {}, "merges": []}}))
-        self.normal, self.split = rest.normalizer, rest.pre_tokenizer
-        self.known: dict[str, np.ndarray] = {}
+        self.normal, self.split = rest.normalizer.normalize_str, rest.pre_tokenizer.pre_tokenize_str
+        blanks = [chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000 and c != 32 and self.normal(chr(c)) == " "]
+        self.blank = regex.compile("[" + "".join(map(regex.escape, blanks)) + "]")
+        self.known: dict[str, bytes] = {}
 
     def segments(self, text: str) -> list[str]:
-        """Chunks between spaces and line ends, and added tokens.  No piece and no normal form reaches over a space."""
+        """Chunks between blanks, and added tokens.  No piece and no normal form reaches over a blank."""
         parts = self.cut.split(text) if self.cut else [text]
         out = []
         for n, part in enumerate(parts):
-            out += [part] if n % 2 else part.replace("\n", " ").split(" ")
+            out += [part] if n % 2 else self.blank.sub(" ", part).split(" ")
+        return [c for c in out if c]
+
+    def pieces(self, chunks: list[str]) -> list[list[str]]:
+        """The pieces of each chunk, all chunks in one line."""
+        line = self.normal(" ".join(chunks))
+        ends = list(accumulate(len(c) + 1 for c in line.split(" ")))
+        if len(ends) != len(chunks):
+            # Some chunk became a blank or several chunks.
+            return [[p for p, _ in self.split(self.normal(c))] for c in chunks]
+        out: list[list[str]] = [[] for _ in chunks]
+        at = 0
+        for piece, (start, _) in self.split(line):
+            while start >= ends[at]:
+                at += 1
+            out[at].append(piece)
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > _REMEMBERED:
-            self.known = {}
-        self.known.update({t: np.array([i], np.int32) for t, i in self.added.items()})
-        split = {c: [p for p, _ in self.split.pre_tokenize_str(self.normal.normalize_str(c))] for c in chunks if c not in self.known}
-        pieces = list(dict.fromkeys(p for ps in split.values() for p in ps))
-        ids: dict[str, list[int]] = {}
-        for i in range(0, len(pieces), _INDEXED):
-            part = pieces[i : i + _INDEXED]
-            ids.update(zip(part, self.merges.encode(part)))
-        for c, ps in split.items():
-            self.known[c] = np.array([i for p in ps for i in ids[p]], np.int32)
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         rows = [self.segments(t) for t in texts]
-        chunks = {c for r in rows for c in r}
-        self.learn({c for c in chunks if c not in self.known} if len(self.known) + len(chunks) <= _REMEMBERED else chunks)
+        used = {c for r in rows for c in r}
+        if len(self.known) + len(used) > _REMEMBERED:
+            self.known = {c: self.known[c] for c in used if c in self.known}
         known = self.known
-        return [np.concatenate([known[c] for c in r]) for r in rows]
+        known.update(self.added)
+        new = [c for c in used if c not in known]
+        split = self.pieces(new)
+        pieces = list({p for ps in split for p in ps})
+        ids = {p: np.array(i, np.int32).tobytes() for p, i in zip(pieces, self.merges.encode(pieces))}
+        known.update((c, b"".join([ids[p] for p in ps])) for c, ps in zip(new, split))
+        return [np.frombuffer(b"".join([known[c] for c in r]), np.int32) for r in rows]
 
 
 @lru_cache(maxsize=2)
@@ -174,16 +186,22 @@ def encode(docs: DataFrame, spec: Broadcast, text: str = "text", out: str = "ids
     """``docs`` with the token ids of ``text`` as ``out`` (array of int), which replaces a column of that name.
 
     Added tokens that stand in a text become their ids; none are put around it; nothing is cut or padded.  A null or empty text has no ids.
-    Rows are independent: repeats, other columns and empty tables pass through.  A task remembers up to 2^18 chunks of
-    text between spaces and indexes the distinct pieces of each Arrow batch together; its memory follows the batch,
-    of which a very long text may be one.
+    Rows are independent: repeats, other columns and empty tables pass through.  A task remembers up to 2^19 chunks of
+    text between blanks and indexes the new pieces of about a million characters together; a longer text is one such part.
     """
 
     @F.pandas_udf("array<int>")
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = _coder(spec.value)
         for t in texts:
-            yield pd.Series(coder.encode([x or "" for x in t]), dtype=object)
+            out, part, size = [], [], 0
+            for x in t:
+                part.append(x)
+                size += len(x)
+                if size >= _INDEXED:
+                    out += coder.encode(part)
+                    part, size = [], 0
+            yield pd.Series(out + coder.encode(part), dtype=object)
 
     return docs.withColumn(out, ids(F.coalesce(F.col(text), F.lit(""))))
 
