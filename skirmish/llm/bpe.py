@@ -4,25 +4,23 @@ from __future__ import annotations
 
 import heapq
 import json
-from bisect import bisect_right
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 # Chunks of text that a task remembers; beyond that it forgets them all and starts anew.
 _REMEMBERED = 1 << 19
 # Characters of text whose new pieces are indexed together.
-_INDEXED = 1 << 20
+_INDEXED = 1 << 23
 # Bits of a symbol; the largest is a mark between pieces that belongs to no rule.
 _BITS = 24
 _WALL = (1 << _BITS) - 1
@@ -45,6 +43,13 @@ class Merges:
             left, right, into = self.ids[a], self.ids[b], self.ids[a + b]
             self.rank[left << _BITS | right] = rank
             self.pairs.append((left, right, into))
+        part_of: dict[int, int] = {}
+        for rank, (left, right, _) in reversed([*enumerate(self.pairs)]):
+            part_of[left] = part_of[right] = rank
+        # Rules whose symbol has a part in a rule of lower rank.
+        self.late = {rank for rank, (_, _, into) in enumerate(self.pairs) if part_of.get(into, rank) < rank}
+        self.keys, at = np.unique(np.array(list(self.rank), np.int64), return_index=True)
+        self.ranks = np.array(list(self.rank.values()), np.int64)[at]
 
     def symbols(self, piece: str) -> list[int]:
         """The symbols of a piece, its last with the mark of a word's end; those the vocabulary lacks are left out."""
@@ -53,67 +58,74 @@ class Merges:
         got = map(self.ids.get, [*piece[:-1], piece[-1] + self.suffix])
         return [i for i in got if i is not None]
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
+    def _ranked(self, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[list[int], list[int]]:
+        """The places ``at`` whose pair of symbols has a rule, and the ranks."""
+        if not len(self.keys):
+            return [], []
+        keys = left << _BITS | right
+        near = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = self.keys[near] == keys
+        return at[hit].tolist(), self.ranks[near[hit]].tolist()
+
+    def encode(self, pieces: list[str]) -> list[np.ndarray]:
         """The ids of each piece.
 
         All pieces stand in one line of symbols, with walls between.  An index maps each pair that has a
-        rule to all places where it stands; the active ranks are applied in ascending order, each to all its places from
-        the left, and a merge updates the lists of the pairs to its left and right.  Where it makes a pair of lower rank, the
-        piece waits until that one has been applied, as it would if it were encoded alone.
+        rule to all places where it stands; the active ranks are applied in ascending order, each to all its places at
+        once, overlapping ones from the left, and the merges add the pairs they make to the index; places that no longer hold their pair are
+        passed over.  A rule whose symbol also has a part in rules of lower rank is applied once per piece at a time, so
+        that these come first, as they would if the piece were encoded alone.
         """
-        sym: list[int] = [_WALL]
+        flat: list[int] = [_WALL]
         starts: list[int] = []
         for piece in pieces:
-            starts.append(len(sym))
-            sym += self.symbols(piece)
-            sym.append(_WALL)
-        after, before = list(range(1, len(sym) + 1)), list(range(-1, len(sym) - 1))
-        rule = self.rank.get
-        places: dict[int, list[int]] = defaultdict(list)
-        for i, pair in enumerate(zip(sym, sym[1:])):
-            rank = rule(pair[0] << _BITS | pair[1])
-            if rank is not None:
-                places[rank].append(i)
-        active = list(places)
-        heapq.heapify(active)
+            starts.append(len(flat))
+            flat += self.symbols(piece)
+            flat.append(_WALL)
+        sym, begins = np.array(flat, np.int64), np.array(starts, np.int64)
+        del flat
+        after, before = np.arange(1, len(sym) + 1), np.arange(-1, len(sym) - 1)
+        places: dict[int, list[int]] = {}
+        active: list[int] = []
+
+        def add(found: tuple[list[int], list[int]]) -> None:
+            for place, rank in zip(*found):
+                if rank in places:
+                    places[rank].append(place)
+                else:
+                    places[rank] = [place]
+                    heapq.heappush(active, rank)
+
+        add(self._ranked(np.arange(len(sym) - 1), sym[:-1], sym[1:]))
         while active:
             rank = heapq.heappop(active)
-            at = places.pop(rank)
-            at.sort()
             left, right, into = self.pairs[rank]
-            waiting: set[int] = set()
-            put_off: list[int] = []
-            for i in at:
-                j = after[i]
-                if sym[i] != left or sym[j] != right:
-                    continue
-                if waiting and bisect_right(starts, i) in waiting:
-                    put_off.append(i)
-                    continue
-                k = after[j]
-                h = before[i]
-                sym[i], sym[j] = into, -1
-                after[i], before[k] = k, i
-                for place, key in ((h, sym[h] << _BITS | into), (i, into << _BITS | sym[k])):
-                    new = rule(key)
-                    if new is not None:
-                        if new not in places:
-                            heapq.heappush(active, new)
-                        places[new].append(place)
-                        if new < rank:
-                            waiting.add(bisect_right(starts, i))
-            if put_off:
-                if rank not in places:
-                    heapq.heappush(active, rank)
-                places[rank] += put_off
-        out = []
-        for i in starts:
-            ids = []
-            while sym[i] != _WALL:
-                ids.append(sym[i])
-                i = after[i]
-            out.append(ids)
-        return out
+            i = np.unique(np.array(places.pop(rank)))
+            j = after[i]
+            holds = (sym[i] == left) & (sym[j] == right)
+            i, j = i[holds], j[holds]
+            if rank in self.late and len(i):
+                first = np.unique(np.searchsorted(begins, i, "right"), return_index=True)[1]
+                rest = np.delete(i, first).tolist()
+                if rest:
+                    add((rest, [rank] * len(rest)))
+                i, j = i[first], j[first]
+            elif left == right and len(i) > 1:
+                # In a run of equal symbols every second place.
+                run = np.maximum.accumulate(np.where(np.append(True, j[:-1] != i[1:]), np.arange(len(i)), 0))
+                odd = (np.arange(len(i)) - run) % 2 == 0
+                i, j = i[odd], j[odd]
+            k = after[j]
+            sym[i], sym[j] = into, -1
+            after[i], before[k] = k, i
+            h = before[i]
+            add(self._ranked(h, sym[h], np.full(len(h), into)))
+            # A pair of two new symbols was added from its right one.
+            open_ = sym[k] != into
+            add(self._ranked(i[open_], np.full(int(open_.sum()), into), sym[k[open_]]))
+        # What is left of the line, cut at its walls.
+        rest = sym[sym != -1]
+        return np.split(rest[rest != _WALL].astype(np.int32), (np.flatnonzero(rest == _WALL) - np.arange(len(pieces) + 1))[1:-1]) if pieces else []
 
 
 class _Coder:
@@ -157,19 +169,25 @@ class _Coder:
             out[at].append(piece)
         return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        rows = [self.segments(t) for t in texts]
-        used = {c for r in rows for c in r}
+    def learn(self, texts: list[str]) -> None:
+        """Remember all chunks of the texts."""
+        used: set[str] = set()
+        for t in texts:
+            used.update(self.segments(t))
         if len(self.known) + len(used) > _REMEMBERED:
             self.known = {c: self.known[c] for c in used if c in self.known}
-        known = self.known
-        known.update(self.added)
-        new = [c for c in used if c not in known]
+        self.known.update(self.added)
+        new = [c for c in used if c not in self.known]
+        del used
         split = self.pieces(new)
         pieces = list({p for ps in split for p in ps})
-        ids = {p: np.array(i, np.int32).tobytes() for p, i in zip(pieces, self.merges.encode(pieces))}
-        known.update((c, b"".join([ids[p] for p in ps])) for c, ps in zip(new, split))
-        return [np.frombuffer(b"".join([known[c] for c in r]), np.int32) for r in rows]
+        ids = {p: i.tobytes() for p, i in zip(pieces, self.merges.encode(pieces))}
+        self.known.update((c, b"".join([ids[p] for p in ps])) for c, ps in zip(new, split))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self.learn(texts)
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, self.segments(t))), np.int32) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -182,28 +200,59 @@ def vocabulary(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The rows in parts of about ``_INDEXED`` characters, with their texts."""
+    for b in batches:
+        texts = [t or "" for t in b[text].to_pylist()]
+        start, size = 0, 0
+        for n, t in enumerate(texts):
+            size += len(t)
+            if size >= _INDEXED or n == len(texts) - 1:
+                yield b.slice(start, n + 1 - start), texts[start : n + 1]
+                start, size = n + 1, 0
+
+
+def _with(b: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*b.columns, column], names=[*b.schema.names, name])
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], spec: Broadcast, text: str, out: str) -> Iterator[pa.RecordBatch]:
+    coder = _coder(spec.value)
+    for b, texts in _parts(batches, text):
+        ids = coder.encode(texts)
+        ends = np.append(0, np.cumsum([len(i) for i in ids])).astype(np.int32)
+        yield _with(b, out, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], spec: Broadcast, ids: str, out: str) -> Iterator[pa.RecordBatch]:
+    token = _tokens(spec.value)
+    for b in batches:
+        rows = b[ids].to_numpy(zero_copy_only=False)
+        known = [x[(x >= 0) & (x < len(token))] if x is not None else () for x in rows]
+        yield _with(b, out, pa.array([" ".join(filter(None, token[x].tolist())) if len(x) else "" for x in known], pa.string()))
+
+
+def _run(docs: DataFrame, spec: Broadcast, steps: list[tuple[Callable, str, str, str]]) -> DataFrame:
+    """Each step (function, input, output, its type) adds a column, one after the other in the same task."""
+    rest = docs.drop(*[out for _, _, out, _ in steps])
+    kinds = T.StructType([*rest.schema.fields, *[T.StructField(out, T.DataType.fromDDL(kind)) for _, _, out, kind in steps]])
+
+    def all_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fn, source, out, _ in steps:
+            batches = fn(batches, spec, source, out)
+        return batches
+
+    return rest.mapInArrow(all_steps, kinds)
+
+
 def encode(docs: DataFrame, spec: Broadcast, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``text`` as ``out`` (array of int), which replaces a column of that name.
 
     Added tokens that stand in a text become their ids; none are put around it; nothing is cut or padded.  A null or empty text has no ids.
     Rows are independent: repeats, other columns and empty tables pass through.  A task remembers up to 2^19 chunks of
-    text between blanks and indexes the new pieces of about a million characters together; a longer text is one such part.
+    text between blanks and indexes the new pieces of about eight million characters together; a longer text is one such part.
     """
-
-    @F.pandas_udf("array<int>")
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = _coder(spec.value)
-        for t in texts:
-            out, part, size = [], [], 0
-            for x in t:
-                part.append(x)
-                size += len(x)
-                if size >= _INDEXED:
-                    out += coder.encode(part)
-                    part, size = [], 0
-            yield pd.Series(out + coder.encode(part), dtype=object)
-
-    return docs.withColumn(out, ids(F.coalesce(F.col(text), F.lit(""))))
+    return _run(docs, spec, [(_encoded, text, out, "array<int>")])
 
 
 def decode(docs: DataFrame, spec: Broadcast, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -211,19 +260,20 @@ def decode(docs: DataFrame, spec: Broadcast, ids: str = "ids", out: str = "decod
 
     The file has no decoder, so tokens stand as they are, with one space between.  Null or no ids give an empty text.
     """
+    return _run(docs, spec, [(_decoded, ids, out, "string")])
 
-    @F.pandas_udf("string")
-    def decoded(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        token = _tokens(spec.value)
-        for r in rows:
-            yield pd.Series([" ".join([token[i] for i in (x if x is not None else ()) if i in token]) for x in r], dtype=object)
 
-    return docs.withColumn(out, decoded(F.col(ids)))
+def round_trip(docs: DataFrame, spec: Broadcast, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """:func:`encode` and then :func:`decode`, in the same tasks."""
+    return _run(docs, spec, [(_encoded, text, ids, "array<int>"), (_decoded, ids, out, "string")])
 
 
 @lru_cache(maxsize=2)
-def _tokens(spec: str) -> dict[int, str]:
+def _tokens(spec: str) -> np.ndarray:
     parsed = json.loads(spec)
     if parsed.get("decoder"):
         raise ValueError("a vocabulary without a decoder is expected")
-    return {i: t for t, i in parsed["model"]["vocab"].items()} | {t["id"]: t["content"] for t in parsed["added_tokens"]}
+    tokens = {i: t for t, i in parsed["model"]["vocab"].items()} | {t["id"]: t["content"] for t in parsed["added_tokens"]}
+    table = np.full(max(tokens) + 1, None, object)
+    table[list(tokens)] = list(tokens.values())
+    return table

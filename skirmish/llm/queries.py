@@ -182,6 +182,6 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = bpe.vocabulary(spark, public_tokenizers.path("word_bpe_49k.json"))
-    docs = bpe.decode(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), spec), spec)
+    docs = bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"), spec)
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))

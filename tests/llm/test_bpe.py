@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skirmish.llm import bpe
@@ -33,7 +34,7 @@ def spec_of(merges, letters="abc"):
 def test_index_equals_one_by_one():
     """Random rules, some of which make pairs of lower rank than their own."""
     r = random.Random(4)
-    lower = 0
+    lower = late = 0
     for _ in range(150):
         tokens, merges = [*"abc", "a.", "b.", "c."], []
         for _ in range(14):
@@ -46,8 +47,9 @@ def test_index_equals_one_by_one():
         made = {into: rank for rank, (_, _, into) in enumerate(m.pairs)}
         lower += any(made.get(x, -1) > rank for rank, (a, b, _) in enumerate(m.pairs) for x in (a, b))
         pieces = ["".join(r.choice("abc") for _ in range(r.randint(1, 14))) for _ in range(25)] + ["", "a", "aaaaaaa", "zaz"]
-        assert m.encode(pieces) == [naive(m, p) for p in pieces]
-    assert lower > 50
+        assert [i.tolist() for i in m.encode(pieces)] == [naive(m, p) for p in pieces]
+        late += len(m.late)
+    assert lower > 50 and late > 50
 
 
 ODD = ["<|endoftext|>a<|startoftext|> <|END|>", "é́ ̈x", "Σας ΟΔΟΣ İ", "日本語 　全角", "'s DON'T we'LL", "😀👍🏽 x‍b", "\x1c\x85\x0b ", "a\u180eb\u1680c\x1fd e", "x\u2000\u0301y\u3000\u0308z", "a" * 3000, prose(30_000, 3)]
@@ -59,7 +61,9 @@ def test_against_the_library(spark, make, odd, monkeypatch):
     rows = odd + [(100 + i, t) for i, t in enumerate(ODD)]
     library = Tokenizer.from_file(PATH)
     spec = bpe.vocabulary(spark, PATH)
-    out = bpe.decode(bpe.encode(make(rows, clash=True), spec), spec).select("doc_id", "text", "ids", "decoded").collect()
+    docs = make(rows, clash=True).withColumn("ids", F.lit(0))
+    out = bpe.round_trip(docs, spec).select("doc_id", "text", "ids", "decoded").collect()
+    assert sorted(out, key=str) == sorted(bpe.decode(bpe.encode(docs, spec), spec).select("doc_id", "text", "ids", "decoded").collect(), key=str)
     assert len(out) == len(rows)
     for r in out:
         want = library.encode(r.text or "", add_special_tokens=False).ids
