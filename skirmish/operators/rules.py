@@ -2,7 +2,8 @@
 
 A rule set is small and known when the plan is built, so every rule becomes column
 expressions and one projection tests all rules on a line; there is no join of lines with
-rules.  Rules that store variables need one ordered scan per dependency level.
+rules.  Rules that store variables need one ordered scan per dependency level; variables that
+decide their own next values go through the functional scan of :mod:`skirmish.operators.machine`.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.functions import chatter, templates, times
+from skirmish.operators.machine import Machine, fact_line, facts_of, replay
 from skirmish.operators.ordered import SPAN, Carry, scan
 
 KEYS = ["stream_id"]
@@ -104,6 +106,8 @@ class _Eval:
         self.results: list[Column] = []
         self.named: dict[str, Column] = {}
         self.positional: list[tuple[Column, dict[str, Column]]] = []
+        # Per condition on text: whether it holds, its named and its numbered captures.
+        self.captured: list[tuple[Column, dict[str, Column], dict[str, Column]]] = []
         for cond in rule["conditions"]:
             self.results.append(F.coalesce(self._condition(cond), F.lit(False)))
 
@@ -118,6 +122,7 @@ class _Eval:
         if c.get("match_type", "regex") == "exact":
             passed, named, numbered = gate & F.contains(text, F.lit(c.get("pattern", ""))), {}, {}
         elif c["compiled"] is None:
+            self.captured.append((F.lit(False), {}, {}))
             return F.lit(False)
         else:
             rx, index = c["compiled"]
@@ -130,6 +135,7 @@ class _Eval:
             named["speaker"] = speaker
         passed = F.coalesce(passed, F.lit(False))
         self.positional.append((passed, numbered))
+        self.captured.append((passed, dict(named), numbered))
         for n, value in named.items():
             mine = F.when(passed, value)
             self.named[n] = F.coalesce(mine, self.named[n]) if n in self.named else mine
@@ -195,48 +201,65 @@ def _writes(rule: dict) -> list[str]:
     return [a["var_name"] for a in rule.get("actions", []) if a["type"] == "store" and a.get("var_name")]
 
 
-def variable_levels(rules: list[dict]) -> list[list[str]]:
-    """Stored variables in an order in which each depends only on earlier levels.
+def variable_levels(rules: list[dict]) -> list[tuple[list[str], bool]]:
+    """Stored variables in an order in which each depends only on earlier levels, or on its own.
 
-    A variable that decides its own next value has no such order; those rules belong to the
-    stateful stream.
+    A level that depends on its own values, by one variable or several that need each other, is marked.
     """
     writers: dict[str, list[dict]] = {}
     for r in rules:
         for v in _writes(r):
             writers.setdefault(v, []).append(r)
     needs = {v: {x for r in rs for x in _reads(r) if x in writers} for v, rs in writers.items()}
-    # A store later in the same rule may read what an earlier action stored.
+    reach = {v: set(n) for v, n in needs.items()}
+    for _ in needs:
+        reach = {v: n | {y for x in n for y in reach[x]} for v, n in reach.items()}
     done: set[str] = set()
     levels = []
     while len(done) < len(needs):
         ready = sorted(v for v, n in needs.items() if v not in done and n <= done)
-        if not ready:
-            raise ValueError(f"variables depend on themselves: {sorted(set(needs) - done)}; use the stateful stream")
-        levels.append(ready)
+        loop = bool(not ready)
+        if loop:
+            ready = next(g for v in sorted(needs) if v not in done for g in [sorted({v} | {x for x in reach[v] if v in reach[x]})] if reach[v] <= done | set(g))
+        levels.append((ready, loop))
         done |= set(ready)
     return levels
 
 
+def _facts(rule: dict, number: int, line: Column, known: dict[str, Column]) -> Column:
+    """The facts of one rule on one line, with the variables that are known already."""
+    texts = {**rule, "conditions": [c for c in rule["conditions"] if c["type"] != "var"]}
+    reads = _reads(rule) | {m for a in rule.get("actions", []) for t in (a.get("message"), a.get("tts_text")) for m in re.findall(r"\{([^}]+)\}", t or "")}
+    return facts_of(rule, number, _Eval(texts, line, {}).captured, {n: v for n, v in known.items() if n in reads})
+
+
 def _resolve_variables(
     lines: DataFrame, rules: list[dict], line: str, seeds: dict[str, str], keys: list[str], order: str, span: int
 ) -> tuple[DataFrame, list[dict[str, Column]]]:
     """Lines with the stored variables as columns, and per rule the values it sees."""
     seen = [{n: F.lit(v) for n, v in seeds.items()} for _ in rules]
-    slot = 0
-    for level in variable_levels(rules):
+    slots: dict[tuple[int, int], str] = {}
+    for level, loop in variable_levels(rules):
         writes: dict[str, list[tuple[int, str]]] = {v: [] for v in level}
+        mine = {}
         for j, rule in enumerate(rules):
-            stores = [a for a in rule.get("actions", []) if a["type"] == "store" and a.get("var_name") in writes]
-            if not stores:
-                continue
-            ev = _Eval(rule, F.col(line), seen[j])
-            fired, values = ev.fired(), ev.values()
-            for a in stores:
-                col = f"_w{slot}"
-                slot += 1
-                lines = lines.withColumn(col, F.when(fired, templates.resolve_template(a.get("value", ""), values)))
-                writes[a["var_name"]].append((j, col))
+            for n, a in enumerate(rule.get("actions", [])):
+                if a["type"] == "store" and a.get("var_name") in writes:
+                    mine[j, n] = slots[j, n] = f"_w{len(slots)}"
+                    writes[a["var_name"]].append((j, slots[j, n]))
+        if loop:
+            # The variables of the loop are state, not known columns.
+            known = [{n: v for n, v in s.items() if n not in writes} for s in seen]
+            events = lines.select(*keys, order, fact_line([_facts(rules[j], j, F.col(line), known[j]) for j in sorted({j for j, _ in mine})]).alias("facts")).filter(F.col("facts").isNotNull())
+            done = replay(events, keys, order, Machine(rules, level), {at: i for i, at in enumerate(mine)}, {v: seeds[v] for v in level if v in seeds}, span)
+            lines = lines.join(done.withColumnRenamed("writes", "_writes"), [*keys, order], "left")
+            lines = lines.withColumns({c: F.get("_writes", F.lit(i)) for i, c in enumerate(mine.values())}).drop("_writes")
+        else:
+            for (j, n), col in mine.items():
+                rule = rules[j]
+                ev = _Eval(rule, F.col(line), seen[j])
+                before = {a["var_name"]: F.col(slots[j, i]) for i, a in enumerate(rule["actions"][:n]) if (j, i) in slots}
+                lines = lines.withColumn(col, F.when(ev.fired(), templates.resolve_template(rule["actions"][n].get("value", ""), ev.values(before))))
         last = {v: F.coalesce(*[F.col(c) for _, c in reversed(ws)]) for v, ws in writes.items()}
         lines = scan(lines, keys, order, [Carry(f"_var_{v}", "last", e, inclusive=False) for v, e in last.items()], span)
         for v, ws in writes.items():
@@ -291,6 +314,17 @@ def apply_rules(
     return out.select(*base, "_a.*").withColumn("fire_ts", F.col("ts") + F.greatest(F.col("delay"), F.lit(0.0)))
 
 
+def rule_facts(lines: DataFrame, rules: list[dict], raw: str = "raw") -> tuple[DataFrame, list[dict]]:
+    """Lines on which a rule may fire, with what they say about the rules as ``facts``, and the compiled rules.
+
+    Nothing here depends on stored variables, so it needs no order and works on a stream; see :class:`skirmish.operators.machine.Machine`.
+    """
+    compiled = compile_rules(rules)
+    rows = lines.withColumn("_text", times.strip_prefix(F.col(raw)))
+    facts = fact_line([_facts(r, j, F.col("_text"), {}) for j, r in enumerate(compiled)])
+    return rows.withColumn("facts", facts).drop("_text").filter(F.col("facts").isNotNull()), compiled
+
+
 def _preview_struct(rule: dict, ev: _Eval) -> Column:
     kinds = [a["type"] for a in rule.get("actions", [])]
     urgent = any(a["type"] == "voice" and a.get("priority") == "emergency" for a in rule.get("actions", []))

@@ -293,6 +293,40 @@ def rules_with_variables(spark, sf):
     return out.select("stream_id", "line_no", "message")
 
 
+# A rule that disarms itself until the next heal, and a lamp that every death switches; both read what they wrote.
+LOOP_RULES = [
+    {"rule_id": 1, "name": "first death", "logic": "all", "conditions": [
+        {"type": "match", "match_type": "regex", "pattern": r" has been slain by (?P<who>.+)!"}, {"type": "var", "var_name": "armed", "op": "equals", "value": "yes"}],
+     "actions": [{"type": "alert", "message": "{who} after {healer}", "delay_secs": 0.5}, {"type": "store", "var_name": "armed", "value": "no"}]},
+    {"rule_id": 2, "name": "arm", "logic": "all", "conditions": [{"type": "match", "match_type": "regex", "pattern": r"^(?P<h>\w+) healed .+ for \d+ hit points"}],
+     "actions": [{"type": "store", "var_name": "armed", "value": "yes"}, {"type": "store", "var_name": "healer", "value": "{h}"}]},
+    {"rule_id": 3, "name": "lit", "logic": "all", "conditions": [
+        {"type": "match", "match_type": "exact", "pattern": " has been slain by "}, {"type": "var", "var_name": "lamp", "op": "equals", "value": "off"}],
+     "actions": [{"type": "store", "var_name": "next", "value": "on"}]},
+    {"rule_id": 4, "name": "dark", "logic": "all", "conditions": [
+        {"type": "match", "match_type": "exact", "pattern": " has been slain by "}, {"type": "var", "var_name": "lamp", "op": "equals", "value": "on"}],
+     "actions": [{"type": "store", "var_name": "next", "value": "off"}]},
+    {"rule_id": 5, "name": "switch", "logic": "all", "conditions": [
+        {"type": "match", "match_type": "exact", "pattern": " has been slain by "}, {"type": "var", "var_name": "next", "op": "isset"}],
+     "actions": [{"type": "store", "var_name": "lamp", "value": "{next}"}, {"type": "notice", "message": "lamp {lamp}"}]},
+]
+LOOP_SEED = {"armed": "yes", "lamp": "off"}
+
+LOOP_SQL = f"""WITH RECURSIVE {_TXT}, e AS (SELECT stream_id, line_no, ts, k = 'slay' AS death, who, row_number() OVER (PARTITION BY stream_id ORDER BY line_no) AS n FROM tx WHERE r3 OR k = 'heal'),
+st AS (SELECT stream_id, 0::BIGINT AS n, NULL::BIGINT AS line_no, NULL::BIGINT AS ts, 'yes' AS armed, 'off' AS lamp, NULL::VARCHAR AS healer, NULL::VARCHAR AS once, NULL::VARCHAR AS said FROM e WHERE n = 1
+UNION ALL SELECT e.stream_id, e.n, e.line_no, e.ts, CASE WHEN death THEN 'no' ELSE 'yes' END, CASE WHEN NOT death THEN lamp WHEN lamp = 'off' THEN 'on' ELSE 'off' END, CASE WHEN death THEN healer ELSE who END,
+  CASE WHEN death AND armed = 'yes' THEN who || ' after ' || coalesce(healer, '{{healer}}') END, CASE WHEN death THEN 'lamp ' || CASE WHEN lamp = 'off' THEN 'on' ELSE 'off' END END
+  FROM st JOIN e ON e.stream_id = st.stream_id AND e.n = st.n + 1)
+SELECT stream_id, line_no, 1 AS rule_id, once AS message, ts + 0.5 AS fire_ts FROM st WHERE once IS NOT NULL
+UNION ALL SELECT stream_id, line_no, 5, said, CAST(ts AS DOUBLE) FROM st WHERE said IS NOT NULL"""
+
+
+@query("rules_that_read_what_they_wrote", LOOP_SQL)
+def rules_that_read_what_they_wrote(spark, sf):
+    out = R.apply_rules(_rule_lines(spark, sf), LOOP_RULES, seeds=LOOP_SEED, span=_SPAN)
+    return out.select("stream_id", "line_no", "rule_id", "message", "fire_ts")
+
+
 @query("chat_condition", f"WITH {BASE} SELECT stream_id, line_no, 'P' || {letters('line_no % 50')} || ' in guild' AS message FROM base WHERE line_no % 36 = 32 AND n >= 10")
 def chat_condition(spark, sf):
     """A guild-chat condition on wide lines; the quoted hit never counts as combat."""

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skirmish.functions import times
 from skirmish.operators import aggregates as A
 from skirmish.operators import instances as I
 from skirmish.operators.ordered import stage
+from skirmish.plans.q_chat import LOOP_RULES, LOOP_SEED, LOOP_SQL
 from skirmish.plans.q_time import folder
 from skirmish.plans.registry import query
-from skirmish.plans.render import EPOCH, combat_events, order_batches
+from skirmish.plans.render import EPOCH, combat_events, combat_lines, order_batches
 from skirmish.plans.sql import BATCH, EV, INST, big
 from skirmish.sources import batches as B
 from skirmish.streaming import live
@@ -124,6 +126,21 @@ def replay_range(spark, sf):
     return _twice(spark, b, F.col("id") < 5000, lambda s: live.replay(s, 1000, 9000))
 
 
+@query("stream_rules", LOOP_SQL)
+def stream_rules(spark, sf):
+    """Self-dependent rules in a stream fed twice; alerts with a delay leave by timers, so it runs on until they have."""
+    rows = combat_lines(spark, sf).withColumn("ts", times.line_epoch(F.col("raw"))).select("stream_id", "line_no", "ts", "raw")
+    live.use_rocksdb(spark)
+    src, out, cp = folder(spark), folder(spark), folder(spark)
+    for part in (F.col("ts") < EPOCH + 10_000, F.col("ts") >= EPOCH + 10_000):
+        rows.filter(part).write.mode("append").parquet(src)
+        stream = live.stream_rules(spark.readStream.schema(rows.schema).parquet(src), LOOP_RULES, seeds=LOOP_SEED)
+        with live.sized(spark):
+            q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        live.stop_when_idle(q, 0.5)
+    return spark.read.parquet(out).select("stream_id", "line_no", "rule_id", "message", "fire_ts")
+
+
 _RESET = 1704067200 + 12_000
 
 

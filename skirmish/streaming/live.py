@@ -7,15 +7,19 @@ micro-batch are handled together, so bound the micro-batch at the source (``maxF
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from skirmish.operators.instances import GAP
+from skirmish.operators.machine import Machine
+from skirmish.operators.rules import rule_facts
 from skirmish.operators.sessions import SESSION_GAP
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -147,6 +151,94 @@ def stream_variables(stores: DataFrame) -> DataFrame:
         _Variables(), "stream_id STRING, line_no BIGINT, pos INT, name STRING, value STRING, before STRING", "Append", "None")
 
 
+class _Rules(StatefulProcessor):
+    """Rules over the lines of one stream; state is its variables and the alerts that wait for their time."""
+
+    def __init__(self, machine: Machine, seeds: dict[str, str]):
+        self.machine, self.seeds = machine, seeds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.vars = handle.getMapState("vars", "name STRING", "value STRING")
+        self.waiting = handle.getMapState("waiting", "at BIGINT", "alerts STRING")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = {k[0]: v[0] for k, v in self.vars.iterator()}
+        state = {**self.seeds, **before}
+        now = timerValues.getCurrentProcessingTimeInMs()
+        batch = pd.concat(list(rows)).sort_values("line_no", kind="stable")
+        out, later = [], {}
+        for line_no, ts, facts in zip(batch["line_no"], batch["ts"], batch["facts"]):
+            for rule, n, a, text in self.machine.step(json.loads(facts), state):
+                sounds, delay = a.get("sounds") or [], max(0.0, float(a.get("delay_secs") or 0.0))
+                if a["type"] == "store" or (a["type"] == "voice" and not text) or (a["type"] == "sound" and not sounds):
+                    continue
+                r = self.machine.rules[rule]
+                row = [key[0], int(line_no), r["rule_id"] or 0, r["name"], n, a["type"], text, a.get("priority", "operational"), delay, sounds, None if pd.isna(ts) else float(ts) + delay]
+                if delay:
+                    later.setdefault(now + int(delay * 1000), []).append(row)
+                else:
+                    out.append(row)
+        for name, value in state.items():
+            if before.get(name) != value:
+                self.vars.updateValue((name,), (value,))
+        for at, alerts in later.items():
+            if self.waiting.containsKey((at,)):
+                alerts = json.loads(self.waiting.getValue((at,))[0]) + alerts
+            else:
+                self.handle.registerTimer(at)
+            self.waiting.updateValue((at,), (json.dumps(alerts),))
+        yield pd.DataFrame(out, columns=_ALERT)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = (expiredTimerInfo.getExpiryTimeInMs(),)
+        alerts = json.loads(self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else []
+        self.waiting.removeKey(at)
+        yield pd.DataFrame(alerts, columns=_ALERT)
+
+    def close(self) -> None:
+        pass
+
+
+_ALERT = ["stream_id", "line_no", "rule_id", "rule", "action", "type", "message", "priority", "delay", "sounds", "fire_ts"]
+
+
+def stream_rules(lines: DataFrame, rules: list[dict], raw: str = "raw", seeds: dict[str, str] | None = None) -> DataFrame:
+    """Alerts of :func:`skirmish.operators.rules.apply_rules` while lines ``(stream_id, line_no, ts, raw)`` arrive.
+
+    Texts are tested as columns; the lines on which a rule may fire meet the variables of their stream, which are state, so rules may
+    read what they wrote.  An alert without delay leaves with its line.  One with a delay waits in the state and leaves
+    by a timer that many seconds later by the clock; ``fire_ts`` is in log time.  Timers fire as long as the stream
+    runs, so a stream that is to stop by itself must be stopped from outside once nothing waits.  State per stream: its variables and what
+    waits.  Lines of a stream must arrive in order from one micro-batch to the next.
+    """
+    rows, compiled = rule_facts(lines, rules, raw)
+    kinds = "stream_id STRING, line_no BIGINT, rule_id INT, rule STRING, action INT, type STRING, message STRING, priority STRING, delay DOUBLE, sounds ARRAY<STRING>, fire_ts DOUBLE"
+    return rows.select("stream_id", "line_no", "ts", "facts").groupBy("stream_id").transformWithStateInPandas(
+        _Rules(Machine(compiled), seeds or {}), kinds, "Append", "ProcessingTime")
+
+
+def stop_when_idle(query: StreamingQuery, seconds: float) -> None:
+    """Stop a query that timers keep going once it has read nothing for so long and then run once more."""
+    last, idle_since, batch = -1, None, None
+    while query.isActive:
+        p = query.lastProgress
+        now = time.monotonic()
+        if p and p.batchId != last:
+            last = p.batchId
+            if p.numInputRows:
+                idle_since = None
+            elif idle_since is None:
+                idle_since = now
+            elif batch is None and now - idle_since > seconds + 0.2:
+                batch = last
+            elif batch is not None and last > batch + 1:
+                query.stop()
+        time.sleep(0.05)
+    if query.exception():
+        raise query.exception()
+
+
 def live_totals(events: DataFrame) -> DataFrame:
     """Running damage per stream and player; write with output mode ``update`` or ``complete``."""
     hit = events.filter(F.col("k").isin("melee", "spell", "dot", "rip", "ds") & ~F.coalesce("tank", F.lit(False)))
