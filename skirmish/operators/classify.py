@@ -39,11 +39,21 @@ def _as_of_cast(parsed: DataFrame, cast: Column, seen: Column, keys: list[str],
     ).select(*keys, order, "ts", F.col("src").alias("name"), by["owner"].alias("owner"), by["line"].alias("cast_line"))
 
 
+def pet_hints() -> dict[str, Column]:
+    """Flags of a parsed row: a cast that buffs a pet or summons one, and a pet seen after such a cast."""
+    p, src = F.col("pattern"), F.col("src")
+    cast = (p == "cast") & ~F.contains(src, F.lit(" "))
+    flags = {
+        "buff_cast": cast & nm.is_pet_buff_spell(F.col("sp")), "summon_cast": cast & nm.is_pet_summon_spell(F.col("sp")),
+        "buff_seen": (p == "berserk") & nm.is_generated_pet_name(src), "summon_seen": p.isin("melee", "miss") & nm.is_generated_pet_name(src),
+    }
+    return {n: F.coalesce(c, F.lit(False)) for n, c in flags.items()}
+
+
 def pet_owner_by_buff(parsed: DataFrame, keys: list[str] = KEYS, order: str = "line_no", span: int = SPAN) -> DataFrame:
     """A generated-name pet going berserk right after a pet-buff cast; a cast is used once."""
-    cast = F.coalesce((F.col("pattern") == "cast") & nm.is_pet_buff_spell(F.col("sp")) & ~F.contains("src", F.lit(" ")), F.lit(False))
-    seen = F.coalesce((F.col("pattern") == "berserk") & nm.is_generated_pet_name(F.col("src")), F.lit(False))
-    hits = _as_of_cast(parsed, cast, seen, keys, order, BUFF_SECS, span)
+    hint = pet_hints()
+    hits = _as_of_cast(parsed, hint["buff_cast"], hint["buff_seen"], keys, order, BUFF_SECS, span)
     first = hits.groupBy(*keys, "cast_line").agg(F.min_by(F.struct(order, "ts", "name", "owner"), order).alias("p"))
     return first.select(*keys, "p.*")
 
@@ -55,9 +65,8 @@ def pet_owner_by_summon(
 
     ``known`` holds pets owned earlier for another reason (name, line).
     """
-    cast = F.coalesce((F.col("pattern") == "cast") & nm.is_pet_summon_spell(F.col("sp")) & ~F.contains("src", F.lit(" ")), F.lit(False))
-    seen = F.coalesce(F.col("pattern").isin("melee", "miss") & nm.is_generated_pet_name(F.col("src")), F.lit(False))
-    hits = _as_of_cast(parsed, cast, seen, keys, order, SUMMON_SECS, span)
+    hint = pet_hints()
+    hits = _as_of_cast(parsed, hint["summon_cast"], hint["summon_seen"], keys, order, SUMMON_SECS, span)
     hits = stage(hits.groupBy(*keys, "cast_line", "name").agg(
         F.min_by(F.struct(order, "ts", "owner"), order).alias("p")).select(*keys, "cast_line", "name", "p.*"))
     before = None
@@ -125,11 +134,12 @@ def attribute_spell(parsed: DataFrame, keys: list[str] = KEYS, order: str = "lin
     return out
 
 
-def _evidence(parsed: DataFrame, pets: DataFrame | None, keys: list[str], order: str) -> DataFrame:
-    p, src, tgt = F.col("pattern"), F.col("src"), F.col("tgt")
+def _category(parsed: DataFrame) -> Column:
+    """What a row says about its source: a player for sure (U), a mob by its verb (H), a swing (C), a spell that was cast (S), a miss (M), a burn (B)."""
+    p, src = F.col("pattern"), F.col("src")
     caster = F.col("caster").isNotNull() if "caster" in parsed.columns else F.lit(False)
     warder = p.isin(*_WARDER) & nm.warder_owner(src).isNotNull()
-    cat = (
+    return (
         F.when(p.isin(*_ALWAYS_PLAYER) | warder | ((p == "has_taken") & (src == F.col("player"))) | ((p == "spell_attr") & caster), "U")
         .when((p == "melee") & F.col("verb").isin("hit", "hits"), "H")
         .when(p.isin(*_EITHER) & src.isNotNull(), "C")
@@ -137,7 +147,11 @@ def _evidence(parsed: DataFrame, pets: DataFrame | None, keys: list[str], order:
         .when(p == "miss", "M")
         .when(p == "shield_burn", "B")
     )
-    out = parsed.select(*keys, order, cat.alias("cat"), "src", "tgt", "player", (p != "miss").alias("hurts")).filter(F.col("cat").isNotNull())
+
+
+def _evidence(parsed: DataFrame, pets: DataFrame | None, keys: list[str], order: str) -> DataFrame:
+    p = F.col("pattern")
+    out = parsed.select(*keys, order, _category(parsed).alias("cat"), "src", "tgt", "player", (p != "miss").alias("hurts")).filter(F.col("cat").isNotNull())
     if pets is not None:
         none = F.lit(None).cast("string")
         out = out.unionByName(pets.select(*keys, order, F.lit("U").alias("cat"), F.col("name").alias("src"), none.alias("tgt"), none.alias("player"), F.lit(False).alias("hurts")))
@@ -229,11 +243,16 @@ def _attributed(parsed: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def _sides(rows: DataFrame, names: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Who strikes in every row, as flags, from a table of names (``k``: player from that line on; other columns join by source)."""
-    line, p = F.col(order), F.col("pattern")
-    src, tgt = F.col("src"), F.col("tgt")
     more = [c for c in names.columns if c not in (*keys, "name", "k")]
     rows = rows.join(small(names.select(*keys, F.col("name").alias("src"), F.col("k").alias("_ks"), *more)), [*keys, "src"], "left")
     rows = rows.join(small(names.filter("k is not null").select(*keys, F.col("name").alias("tgt"), F.col("k").alias("_kt"))), [*keys, "tgt"], "left")
+    return _flags(rows, order)
+
+
+def _flags(rows: DataFrame, order: str) -> DataFrame:
+    """Who strikes, from the lines since which source (``_ks``) and target (``_kt``) are players."""
+    line, p = F.col(order), F.col("pattern")
+    src, tgt = F.col("src"), F.col("tgt")
     not_player = F.col("_ks").isNull() | (line < F.col("_ks"))
     caster = F.col("caster").isNotNull() if "caster" in rows.columns else F.lit(False)
     swing = p.isin(*_EITHER) & src.isNotNull() & ~((p == "has_taken") & (src == F.col("player")))
@@ -262,7 +281,13 @@ def direct(parsed: DataFrame, k: DataFrame, keys: list[str] = KEYS, order: str =
     seen = told.select(*keys, order, F.when(on_src, src).when(on_tgt, tgt).alias("name")).filter(F.col("name").isNotNull())
     mobs = seen.groupBy(*keys, "name").agg(F.min(order).alias("_e"))
     known = stage(k.join(mobs, [*keys, "name"], "full_outer"))
-    rows = _sides(parsed, known, keys, order)
+    return _directed(_sides(parsed, known, keys, order), parsed.columns, order, reasons)
+
+
+def _directed(rows: DataFrame, columns: list[str], order: str, reasons: bool = False) -> DataFrame:
+    """The columns of :func:`classify` from the flags and ``_e``, the line from which the source is a mob."""
+    line, p = F.col(order), F.col("pattern")
+    src, tgt = F.col("src"), F.col("tgt")
     spaced, mine, swing, sure_player = F.col("_spaced"), F.col("_mine"), F.col("_swing"), F.col("_sure")
     earlier = F.coalesce(F.col("_e") < line, F.lit(False))
     is_mob = (
@@ -308,7 +333,7 @@ def direct(parsed: DataFrame, k: DataFrame, keys: list[str] = KEYS, order: str =
             .when(F.col("_player_hit"), "first swing of a player")
             .otherwise("no evidence")
         ),
-    }).select(*parsed.columns, "src_is_mob", "tank", "mob_name", "touch", *(["direction_rule"] if reasons else []))
+    }).select(*columns, "src_is_mob", "tank", "mob_name", "touch", *(["direction_rule"] if reasons else []))
 
 
 def confirmed_mobs(classified: DataFrame, k: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -66,6 +66,14 @@ def stream_instances(spark, sf):
     return _twice(spark, ev, F.col("ts") < EPOCH + 10_000, lambda s: live.stream_instances(s, I.GAP))
 
 
+@query("stream_lines_to_instances", f"WITH {INST} SELECT stream_id, line_no, own AS mob FROM iv WHERE touch OR k = 'slay'")
+def stream_lines_to_instances(spark, sf):
+    """Log text in, instances out: parsing, direction and instances as one stream of two chained states."""
+    rows = combat_lines(spark, sf).withColumn("ts", times.line_epoch(F.col("raw")))
+    build = lambda s: live.stream_instances(live.stream_events(s.drop("ts")), I.GAP)
+    return _twice(spark, rows, F.col("ts") < EPOCH + 10_000, build)
+
+
 @query("stream_seconds", f"WITH {EV} SELECT stream_id, ts, count(*) AS events, min(line_no) AS first_line FROM ev GROUP BY ALL")
 def stream_seconds(spark, sf):
     """Seconds of a stream whose second half holds the early times: however late, no row is lost."""

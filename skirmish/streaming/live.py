@@ -17,8 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from skirmish.operators import classify as C
+from skirmish.operators.classify import BUFF_SECS, SUMMON_SECS
 from skirmish.operators.instances import GAP
 from skirmish.operators.machine import Machine
+from skirmish.operators.parse import parse_lines
 from skirmish.operators.rules import rule_facts
 from skirmish.operators.sessions import SESSION_GAP
 
@@ -151,6 +154,102 @@ def stream_variables(stores: DataFrame) -> DataFrame:
         _Variables(), "stream_id STRING, line_no BIGINT, pos INT, name STRING, value STRING, before STRING", "Append", "None")
 
 
+class _Direction(StatefulProcessor):
+    """Who is a player and who a mob in one stream, line by line.
+
+    State: per name the line from which it is a player and the one from which it is a mob, and a pet's owner; the last
+    casts that may bring a pet.  Only names that a micro-batch mentions are read.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.names = handle.getMapState("names", "name STRING", "player BIGINT, mob BIGINT, owner STRING")
+        self.casts = handle.getMapState("casts", "kind STRING", "owner STRING, ts BIGINT, used BOOLEAN")
+
+    def _pet(self, kind: str, secs: int, name: str, ts: int, casts: dict) -> str | None:
+        owner, at, used = casts.get(kind) or (None, None, True)
+        if used or owner == name or max(ts - at, 0) > secs:
+            return None
+        casts[kind] = owner, at, True
+        return owner
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("line_no", kind="stable")
+        casts = {k[0]: v for k, v in self.casts.iterator()}
+        cache: dict[str, list] = {}
+
+        def known(name: str | None) -> list:
+            """[player from, mob from, owner] of a name."""
+            if name not in cache:
+                cache[name] = list(self.names.getValue((name,))) if name is not None and self.names.containsKey((name,)) else [None, None, None]
+            return cache[name]
+
+        out = []
+        cols = [batch[c] for c in ("line_no", "ts", "cat", "src", "tgt", "mine", "corpse", "hurts", "buff_cast", "summon_cast", "buff_seen", "summon_seen")]
+        for line, ts, cat, src, tgt, mine, corpse, hurts, buff_cast, summon_cast, buff_seen, summon_seen in zip(*cols):
+            line, s, t = int(line), known(src), known(tgt)
+            for kind, cast in (("buff", buff_cast), ("summon", summon_cast)):
+                if cast:
+                    casts[kind] = src, int(ts), False
+            owner = self._pet("buff", BUFF_SECS, src, int(ts), casts) if buff_seen else self._pet("summon", SUMMON_SECS, src, int(ts), casts) if summon_seen and s[2] is None else None
+            if owner is not None:
+                s[2] = owner
+                s[0] = line if s[0] is None else s[0]
+            struck = False
+            if cat == "U":
+                s[0] = line if s[0] is None else s[0]
+                struck = hurts
+            elif cat in ("H", "C", "S"):
+                spaced = " " in src
+                if s[0] is None and (cat == "H" or spaced or (cat == "C" and mine) or s[1] is not None or (t[0] is not None and t[0] < line)):
+                    s[1] = line if s[1] is None else s[1]
+                else:
+                    s[0] = line if s[0] is None else s[0]
+                    struck = True
+            elif cat == "A":  # a spell whose cast was not seen tells nothing of its source
+                struck = s[0] is not None
+            elif cat == "B" or (cat == "M" and s[0] is None and (" " in src or mine or (t[0] is not None and t[0] < line))):
+                s[1] = line if s[1] is None else s[1]
+            if struck and not corpse and tgt is not None:
+                t[1] = line if t[1] is None else t[1]
+            out.append((s[0], t[0], s[1], s[2]))
+        for name, value in cache.items():
+            if name is not None and value != [None, None, None]:
+                self.names.updateValue((name,), tuple(value))
+        for kind, value in casts.items():
+            self.casts.updateValue((kind,), value)
+        found = pd.DataFrame(out, columns=["_ks", "_kt", "_e", "pet_owner"], index=batch.index).astype({"_ks": "Int64", "_kt": "Int64", "_e": "Int64"})
+        yield pd.concat([batch[["stream_id", "line_no", "row"]], found], axis=1)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_direction(parsed: DataFrame) -> DataFrame:
+    """:func:`skirmish.operators.classify.classify` with its pets, while parsed lines arrive; adds ``pet_owner``, the owner of the source as far as known.
+
+    Only what tells who somebody is goes through the state of the stream; the direction itself is made of columns, the same as in
+    batch.  A line without a time counts as of second 0 for pets.  Lines of a stream must arrive in order from one micro-batch to the next; inside
+    one their order does not matter.  Names stay known for good, so state grows with the names of a stream.
+    """
+    tgt = F.col("tgt")
+    known = F.coalesce(F.col("caster").isNotNull(), F.lit(False)) if "caster" in parsed.columns else F.lit(False)
+    cat = F.when((F.col("pattern") == "spell_attr") & ~known, "A").otherwise(C._category(parsed))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    rows = parsed.select(
+        "stream_id", "line_no", F.coalesce("ts", F.lit(0).cast("long")).alias("ts"), cat.alias("cat"), "src", "tgt", flag(tgt == F.col("player")).alias("mine"),
+        flag(tgt.endswith("'s corpse")).alias("corpse"), (F.col("pattern") != "miss").alias("hurts"), *[c.alias(n) for n, c in C.pet_hints().items()],
+        F.to_json(F.struct(*parsed.columns)).alias("row"))
+    told = rows.groupBy("stream_id").transformWithStateInPandas(
+        _Direction(), "stream_id STRING, line_no BIGINT, row STRING, _ks BIGINT, _kt BIGINT, _e BIGINT, pet_owner STRING", "Append", "None")
+    rows = told.select(F.from_json("row", parsed.schema).alias("r"), "_ks", "_kt", "_e", "pet_owner").select("r.*", "_ks", "_kt", "_e", "pet_owner")
+    return C._directed(C._flags(rows, "line_no"), [*parsed.columns, "pet_owner"], "line_no")
+
+
+def stream_events(lines: DataFrame) -> DataFrame:
+    """Typed events with direction from a stream of lines, as :func:`skirmish.sources.tail.tail_logs` or ``stream_logs`` give them."""
+    return stream_direction(parse_lines(lines).filter(F.col("pattern").isNotNull()))
+
+
 class _Rules(StatefulProcessor):
     """Rules over the lines of one stream; state is its variables and the alerts that wait for their time."""
 
