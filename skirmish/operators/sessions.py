@@ -251,6 +251,28 @@ def assign_scope(rows: DataFrame, scopes: DataFrame, keys: list[str] = KEYS, ts:
     return out.withColumn(scope, F.when(inside, F.col("_scope.v"))).drop("_scope")
 
 
+def all_scopes(rows: DataFrame, scopes: DataFrame, keys: list[str] = KEYS, ts: str = "ts", scope: str = "segment") -> DataFrame:
+    """Every row with every scope whose window ``[start_ts, end_ts)`` holds it; rows outside all are left out.
+
+    Windows may overlap in any way, as raids that several viewers marked.  A join on equal keys, not on a range: a window of up to
+    2^n seconds lies in at most two buckets of that width, so windows are listed under their own width and the buckets they touch,
+    and a row looks once in each width that occurs.  A window without end lies in one bucket that holds all time.  However long a window, it is
+    listed twice at most; a stream with many rows or windows spreads over its buckets.  A null or empty window holds nothing.
+    """
+    start, end = F.col("start_ts"), F.col("end_ts")
+    open_ = F.lit(63)
+    width = F.when(end.isNull(), open_).otherwise(F.greatest(F.ceil(F.log2(F.greatest(end - start, F.lit(1)).cast("double"))), F.lit(0))).cast("int")
+    windows = scopes.filter(start.isNotNull() & (end.isNull() | (end > start))).select(*keys, "start_ts", "end_ts", scope, width.alias("_width"))
+    bucket = lambda t, w: F.when(w == open_, F.lit(0).cast("long")).otherwise(F.floor(t / F.pow(F.lit(2.0), w)).cast("long"))
+    w = F.col("_width")
+    listed = windows.withColumn("_bucket", F.explode(F.array_distinct(F.array(bucket(start, w), bucket(F.coalesce(end, start + 1) - 1, w)))))
+    widths = [r["_width"] for r in windows.select("_width").distinct().collect()]
+    name = F.explode(F.array(*[F.struct(F.lit(x).alias("_width"), bucket(F.col(ts), F.lit(x)).alias("_bucket")) for x in widths] or [F.lit(None).cast("struct<_width:int,_bucket:bigint>")]))
+    seen = rows.filter(F.col(ts).isNotNull()).withColumn("_at", name).select("*", "_at._width", "_at._bucket").drop("_at")
+    met = seen.join(listed.withColumnsRenamed({"start_ts": "_start", "end_ts": "_end"}), [*keys, "_width", "_bucket"])
+    return met.filter((F.col(ts) >= F.col("_start")) & (F.col("_end").isNull() | (F.col(ts) < F.col("_end")))).drop("_width", "_bucket", "_start", "_end")
+
+
 def marker_pairs(marks_: DataFrame, keys: list[str] = KEYS, span: int = HOUR) -> DataFrame:
     """Raid windows: each ``raid_start`` to the next raid mark of its stream, open at the end."""
     rows = marks_.filter(F.col("kind").isin("raid_start", "raid_end"))

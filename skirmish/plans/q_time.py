@@ -11,9 +11,10 @@ from skirmish.operators import maintain as M
 from skirmish.operators import sessions as S
 from skirmish.operators.ordered import shared_folder, stage
 from skirmish.plans.registry import query
-from skirmish.plans.render import combat_events, order_batches, streams
+from skirmish.plans.render import EPOCH, combat_events, order_batches, streams
 from skirmish.plans.sql import BATCH, EV, SESS, SESS_GAP, STREAM, big
 from skirmish.sources import batches as B
+from skirmish.sources import positions as P
 from skirmish.sources import tables as T
 
 _SPAN = 1 << 14
@@ -142,6 +143,32 @@ def seek_by_time(spark, sf):
     return order_batches(spark, sf).filter(F.col("log_ts") >= CUT).groupBy("stream_id").agg(F.min("id").alias("id"))
 
 
+@query("seek_positions", f"WITH {EV} SELECT stream_id, min(line_no) AS position, min_by(ts, line_no) AS ts FROM ev WHERE ts >= {EPOCH + 9_000} GROUP BY ALL")
+def seek_positions(spark, sf):
+    """The first stored row of each stream at or after a time, through the position index; stored in parts that overlap."""
+    store, index = folder(spark), folder(spark)
+    ev = combat_events(spark, sf)
+    for part in range(3):
+        B.write_events(ev.filter(F.col("line_no") % 3 == part), store, span=1 << 11)
+        P.update_index(spark, store, index)
+    return P.seek(spark, store, index, ts=EPOCH + 9_000)
+
+
+# Raids as several viewers marked them, from a minute to a day and some without end: windows that overlap.
+_VIEWS = EV + """, vw AS (SELECT stream_id, line_no AS raid, ts AS start_ts, CASE WHEN line_no % 97 > 0 THEN ts + 60 * (1 + (line_no * 7919) % 1440) END AS end_ts FROM ev WHERE k = 'slay' AND line_no % 5 = 0)"""
+
+
+@query("overlapping_raids", f"""WITH {_VIEWS} SELECT vw.stream_id, raid, count(*) AS hits, {big('dmg')} AS dmg FROM vw JOIN ev ON ev.stream_id = vw.stream_id AND ev.ts >= start_ts AND (end_ts IS NULL OR ev.ts < end_ts)
+WHERE ev.k = 'spell' GROUP BY ALL""")
+def overlapping_raids(spark, sf):
+    """Spell damage inside every raid window that holds it, however the windows overlap."""
+    ev = combat_events(spark, sf)
+    start, n = F.col("ts"), F.col("line_no")
+    raids = ev.filter((F.col("k") == "slay") & (n % 5 == 0)).select("stream_id", n.alias("raid"), start.alias("start_ts"), F.when(n % 97 > 0, start + 60 * (1 + (n * 7919) % 1440)).alias("end_ts"))
+    hits = S.all_scopes(ev.filter("k = 'spell'").select("stream_id", "ts", "dmg"), raids, scope="raid")
+    return hits.groupBy("stream_id", "raid").agg(F.count(F.lit(1)).alias("hits"), F.sum("dmg").alias("dmg"))
+
+
 # Marks from the batches: each one opens or closes a raid.
 _MARKS = BATCH + """, mk AS (SELECT stream_id, log_ts AS ts, CASE WHEN id % 2 = 0 THEN 'raid_start' ELSE 'raid_end' END AS kind, min(CAST(id % 100 AS VARCHAR)) AS label
   FROM bt GROUP BY ALL)"""

@@ -83,14 +83,15 @@ def write_events(events: DataFrame, path: str, mode: str = "append", span: int =
 
 def read_events(
     spark: SparkSession, path: str, streams: list[str] | None = None, from_ts: int | None = None, to_ts: int | None = None,
-    from_id: int | None = None, to_id: int | None = None, order: str = "line_no",
+    from_id: int | None = None, to_id: int | None = None, order: str = "line_no", files: list[str] | None = None,
 ) -> DataFrame:
     """Stored events of some streams and of a range of log time or of positions, ends included.
 
     The stream and the day select folders; time and position are pushed to Parquet.  Reads what :func:`write_events`
-    wrote and what a stream ingested.
+    wrote and what a stream ingested.  ``files`` are those to read, of all, see :mod:`skirmish.sources.positions`.
     """
-    df = spark.read.parquet(path).withColumn("stream_id", F.col("stream_id").cast("string")).drop("epoch")
+    df = spark.read.parquet(path).limit(0) if files == [] else spark.read.option("basePath", path).parquet(*(files or [path]))
+    df = df.withColumn("stream_id", F.col("stream_id").cast("string")).drop("epoch")
     if from_id is not None:
         df = df.filter(F.col(order) >= from_id)
     if to_id is not None:
