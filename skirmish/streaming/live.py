@@ -50,11 +50,11 @@ def sized(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
 class _Sessions(StatefulProcessor):
     """Session number per stream; state is the last log time and the number."""
 
-    def __init__(self, gap: int):
-        self.gap = gap
+    def __init__(self, gap: int, keep: int | None):
+        self.gap, self.keep = gap, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts BIGINT, num BIGINT")
+        self.last = handle.getValueState("last", "ts BIGINT, num BIGINT", _millis(self.keep))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ts, num = self.last.get() if self.last.exists() else (None, 0)
@@ -74,20 +74,32 @@ class _Sessions(StatefulProcessor):
         pass
 
 
-def stream_sessions(batches: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
-    """Sessions over a stream of batches ``(stream_id, id, log_ts, login)``."""
+def _millis(keep: int | None) -> int | None:
+    return None if keep is None else keep * 1000
+
+
+def _clock(keep: int | None) -> str:
+    """State that is to be forgotten needs the clock; a stream with it runs on until it is stopped (:func:`stop_when_idle`)."""
+    return "None" if keep is None else "ProcessingTime"
+
+
+def stream_sessions(batches: DataFrame, gap: int = SESSION_GAP, keep: int | None = None) -> DataFrame:
+    """Sessions over a stream of batches ``(stream_id, id, log_ts, login)``.
+
+    With ``keep`` a stream that sent nothing for so many seconds by the clock is forgotten, and numbers from 1 if it comes back.
+    """
     return batches.select("stream_id", "id", "log_ts", "login").groupBy("stream_id").transformWithStateInPandas(
-        _Sessions(gap), "stream_id STRING, id BIGINT, log_ts BIGINT, session BIGINT", "Append", "None")
+        _Sessions(gap, keep), "stream_id STRING, id BIGINT, log_ts BIGINT, session BIGINT", "Append", _clock(keep))
 
 
 class _Instances(StatefulProcessor):
     """Open instance of one mob name: opening line, last time, parked, slain since."""
 
-    def __init__(self, gap: int):
-        self.gap = gap
+    def __init__(self, gap: int, keep: int | None):
+        self.gap, self.keep = gap, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "mob BIGINT, ts BIGINT, parked BOOLEAN, slain BOOLEAN")
+        self.open = handle.getValueState("open", "mob BIGINT, ts BIGINT, parked BOOLEAN, slain BOOLEAN", _millis(self.keep))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.open.get() if self.open.exists() else None
@@ -110,10 +122,12 @@ class _Instances(StatefulProcessor):
         pass
 
 
-def stream_instances(events: DataFrame, gap: int = GAP) -> DataFrame:
+def stream_instances(events: DataFrame, gap: int = GAP, keep: int | None = None) -> DataFrame:
     """Instance of every touch and kill in a stream of classified events.
 
-    Keyed by stream and mob name, so a busy stream spreads over its mob names.
+    Keyed by stream and mob name, so a busy stream spreads over its mob names.  With ``keep`` a name without an event for so many seconds
+    by the clock is forgotten: a later touch opens a new instance, even of a mob that was parked, and a later kill has none.
+    Choose it well over ``gap`` and, where mobs are parked, over the time they may be.
     """
     touch = F.coalesce(F.col("touch"), F.lit(False))
     slay = F.coalesce(F.col("k") == "slay", F.lit(False))
@@ -122,7 +136,7 @@ def stream_instances(events: DataFrame, gap: int = GAP) -> DataFrame:
         "stream_id", F.lower(F.when(touch, F.col("mob_name")).otherwise(F.col("tgt"))).alias("mob_key"), "line_no", "ts",
         touch.alias("touch"), slay.alias("slay"), park.alias("park"))
     return rows.groupBy("stream_id", "mob_key").transformWithStateInPandas(
-        _Instances(gap), "stream_id STRING, line_no BIGINT, mob BIGINT", "Append", "None")
+        _Instances(gap, keep), "stream_id STRING, line_no BIGINT, mob BIGINT", "Append", _clock(keep))
 
 
 class _Variables(StatefulProcessor):
@@ -357,23 +371,56 @@ def batches_by_second(events: DataFrame, late: str | None = None) -> DataFrame:
         "stream_id", F.unix_seconds("window.start").alias("ts"), "events", "first_line")
 
 
-def drop_resent(batches: DataFrame, late: str | None = None) -> DataFrame:
+class _Resent(StatefulProcessor):
+    """Batches of one slice of a stream that were not seen within the time to live of the state."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "id STRING", "here BOOLEAN", _millis(self.keep))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            new = []
+            for name in batch["id"]:
+                new.append(not self.seen.containsKey((name,)))
+                self.seen.updateValue((name,), (True,))
+            yield batch.loc[new, ["row"]]
+
+    def close(self) -> None:
+        pass
+
+
+# Slices of a stream whose keys are remembered side by side.
+_SLICES = 64
+
+
+def drop_resent(batches: DataFrame, late: str | None = None, keep: int | None = None) -> DataFrame:
     """Resent batches dropped while the stream runs (same run, seq and log time).
 
-    State keeps every key; ``late`` bounds it, and a batch resent later than that comes through again.
+    With ``keep`` a batch is remembered for so many seconds by the clock after it was last sent, whatever its log time, so state is bounded
+    by what is sent in that time; one resent later comes through again.  ``late`` bounds it by log time instead, and what
+    is older than that is lost.  Without either, state keeps every key.
     """
+    names = ["stream_id", "run", "seq", "log_ts"]
+    if keep is not None:
+        rows = batches.select("stream_id", F.to_json(F.struct("run", "seq", "log_ts")).alias("id"), F.to_json(F.struct(*batches.columns)).alias("row"))
+        rows = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(_SLICES)).cast("int"))
+        new = rows.groupBy("stream_id", "slice").transformWithStateInPandas(_Resent(keep), "row STRING", "Append", _clock(keep))
+        return new.select(F.from_json("row", batches.schema).alias("r")).select("r.*")
     if not late:
-        return batches.dropDuplicates(["stream_id", "run", "seq", "log_ts"])
+        return batches.dropDuplicates(names)
     rows = batches.withColumn("at", F.timestamp_seconds("log_ts")).withWatermark("at", late)
-    return rows.dropDuplicatesWithinWatermark(["stream_id", "run", "seq", "log_ts"]).drop("at")
+    return rows.dropDuplicatesWithinWatermark(names).drop("at")
 
 
-def ingest(batches: DataFrame, store: str, rejects: str, checkpoint: str, column: str = "batch"):
+def ingest(batches: DataFrame, store: str, rejects: str, checkpoint: str, column: str = "batch", keep: int | None = None):
     """Store the events of a stream of batches; text that is no batch goes to ``rejects``.
 
     The store has the layout of :func:`skirmish.sources.batches.write_events` with the micro-batch below the day, and
     :func:`skirmish.sources.batches.read_events` reads it.  A repeated micro-batch overwrites its own folders.  Batches that
-    carry ``run``, ``seq`` and ``log_ts`` are stored once however often they are sent.  Each micro-batch is parsed once.
+    carry ``run``, ``seq`` and ``log_ts`` are stored once however often they are sent (``keep`` bounds for how long, see :func:`drop_resent`).  Each micro-batch is parsed once.
     """
     from skirmish.sources.batches import _parsed, events_of, rejects_of, with_date
 
@@ -385,7 +432,7 @@ def ingest(batches: DataFrame, store: str, rejects: str, checkpoint: str, column
         parsed.unpersist()
 
     if {"stream_id", "run", "seq", "log_ts"} <= set(batches.columns):
-        batches = drop_resent(batches)
+        batches = drop_resent(batches, keep=keep)
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 

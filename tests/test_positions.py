@@ -47,5 +47,5 @@ def test_all_scopes_against_all_pairs(spark):
     left = spark.createDataFrame(rows, "stream_id string, ts long, i int")
     right = spark.createDataFrame(windows, "stream_id string, start_ts long, end_ts long, segment int")
     got = S.all_scopes(left, right).select("stream_id", "ts", "i", "segment")
-    assert sorted(map(tuple, got.collect())) == want and len(want) > 1000
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 200
     assert S.all_scopes(left, right.limit(0)).count() == 0 and S.all_scopes(left.limit(0), right).count() == 0

@@ -1,5 +1,6 @@
 import random
 import tempfile
+import time
 
 from skirmish.operators import classify as C
 from skirmish.operators import rules as R
@@ -77,3 +78,32 @@ def test_alert_with_a_delay_leaves_by_its_timer(spark):
     # What waits leaves in a later micro-batch than its line, in the same run of the stream.
     epoch = {x[4]: e for x, e in seen.items()}
     assert epoch["now 1"] < epoch["late 1 of yes"] < epoch["now 4"] < epoch["late 4 of yes"] and epoch["now 9"] == epoch["now 1"]
+
+
+def test_state_is_forgotten(spark):
+    """Keys of many rounds: what was resent in time is dropped, and the state stays flat."""
+    schema = "stream_id string, run long, seq long, log_ts long, body string"
+    live.use_rocksdb(spark)
+    src, out, cp = (tempfile.mkdtemp(prefix="spark-") for _ in range(3))
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    write([("a", 1, 0, 0, "x"), ("a", 1, 0, 0, "again"), ("a", 2, 0, 0, "other run"), ("a", None, 0, 0, "null"), ("a", None, 0, 0, "null")])
+    s = live.drop_resent(spark.readStream.schema(schema).parquet(src), keep=3)
+    q = s.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(processingTime="100 milliseconds").start()
+    held, sent = [], 5
+    for n in range(1, 5):
+        while sum(p.numInputRows for p in q.recentProgress) < sent:
+            time.sleep(0.05)
+        done = q.lastProgress.batchId
+        time.sleep(3.5)
+        while q.lastProgress.batchId < done + 2:
+            time.sleep(0.05)
+        held.append(q.lastProgress.stateOperators[0].numRowsTotal)
+        rows = [("a", 1, 100 * n + i, 0, str(i)) for i in range(40)]
+        write(rows + rows)
+        sent += 80
+    while sum(p.numInputRows for p in q.recentProgress) < sent:
+        time.sleep(0.05)
+    live.stop_when_idle(q, 0)
+    got = [r.body for r in spark.read.parquet(out).collect()]
+    assert len(got) == 3 + 4 * 40 and sorted(got)[-2:] == ["other run", "x"]
+    assert max(held) < 40
