@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm import cotrain, decontam, lines, mixing, simhash
+from skirmish.llm import cotrain, decontam, lines, mixing, similar, simhash
 from skirmish.llm.base import read
 from skirmish.operators.ordered import shared_folder
 
@@ -19,22 +19,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps."""
+    """Documents that the co-trained classifier keeps; repeated rows, null and empty texts are judged like others, an empty table gives none."""
     return cotrain.score_quality(docs, read(spark, sf_dir, "labels")).filter("kept").select(*COLUMNS)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that three or more of them hold; ``n_chars`` follows the text."""
+    """All documents, without the lines that three or more of them hold; ``n_chars`` follows the text.  A null text stays null."""
     return lines.drop_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    return simhash.one_per_class(docs).select(*COLUMNS)
+    """One document of each group of near copies: the one with the smallest id.
+
+    First SimHash classes (two bits of three-word shingles), which take exact copies and all but equal texts; of what is left, documents
+    with a Jaccard similarity of 0.8 or more over five-word shingles, every pair verified.  Texts without words are one group; repeated
+    rows are copies; a null id never wins over another; nothing comes of an empty table; other columns than those of documents are dropped.
+    """
+    return similar.one_per_group(simhash.one_per_class(docs)).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an overlap with a benchmark item."""
+    """Documents without an overlap with a benchmark item; null and empty texts have none, and without items all stay."""
     return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
