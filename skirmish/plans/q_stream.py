@@ -9,12 +9,15 @@ from skirmish.functions import times
 from skirmish.operators import aggregates as A
 from skirmish.operators import instances as I
 from skirmish.operators.ordered import stage
+from skirmish.operators.parse import match_lines, parse_coverage
 from skirmish.plans.q_chat import LOOP_RULES, LOOP_SEED, LOOP_SQL
+from skirmish.plans.q_parse import _COV
 from skirmish.plans.q_time import folder
 from skirmish.plans.registry import query
 from skirmish.plans.render import EPOCH, combat_events, combat_lines, order_batches
 from skirmish.plans.sql import BATCH, EV, INST, big
 from skirmish.sources import batches as B
+from skirmish.sources.tail import tail_logs
 from skirmish.streaming import live
 
 GAP = 150 * 86400
@@ -74,6 +77,19 @@ def stream_lines_to_instances(spark, sf):
     return _twice(spark, rows, F.col("ts") < EPOCH + 10_000, build)
 
 
+@query("tailed_lines", _COV)
+def tailed_lines(spark, sf):
+    """Log files that grow in number while a stream follows them, in small splits; every line once, whatever its pattern."""
+    rows = combat_lines(spark, sf)
+    src, out, cp = folder(spark), folder(spark), folder(spark)
+    for part in (F.col("line_no") % 3 > 0, F.col("line_no") % 3 == 0):
+        rows.filter(part).select("raw").write.mode("append").text(src)
+        q = tail_logs(spark, src, "part-*", 1 << 16).writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(processingTime="100 milliseconds").start()
+        q.processAllAvailable()
+        q.stop()
+    return parse_coverage(match_lines(spark.read.parquet(out)))
+
+
 @query("stream_seconds", f"WITH {EV} SELECT stream_id, ts, count(*) AS events, min(line_no) AS first_line FROM ev GROUP BY ALL")
 def stream_seconds(spark, sf):
     """Seconds of a stream whose second half holds the early times: however late, no row is lost."""
