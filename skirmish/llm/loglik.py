@@ -24,14 +24,22 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _neighbors(a: Column, body: Callable[[Column, Column], Column]) -> Column:
-    n = F.greatest(F.size(a) - 1, F.lit(0))
-    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(2), n), body)
+def _neighbors(a: Column, body: Callable[[Column, Column], Column], gap: int = 1) -> Column:
+    n = F.greatest(F.size(a) - gap, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(gap + 1), n), body)
 
 
-def windows(w: Column) -> Column:
-    """A 64-bit hash of every run of ``WINDOW`` words."""
-    return F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
+def _halves(width: int) -> Callable[[Column], Column]:
+    return lambda a: _neighbors(a, lambda x, y: F.xxhash64(x, y), width)
+
+
+def windows(hashes: Column) -> Column:
+    """A 64-bit hash of every run of ``WINDOW`` words, from the words' hashes: runs of one word are joined in pairs to runs of two, four and eight."""
+    width = 1
+    while width < WINDOW:
+        hashes = _let(hashes, _halves(width))
+        width *= 2
+    return hashes
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -53,23 +61,26 @@ def duplicate_lines(text: Column) -> Column:
 
 def shapes(text: Column) -> Column:
     """A text with every run of capitals, other letters or digits as one sign, and runs of one mark as two."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"\p{Lu}{2,}", "^^")
-    out = F.regexp_replace(out, r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+", "a")
+    # Small letters first: what is left is short.
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+", "a")
+    out = F.regexp_replace(out, r"\p{Lu}{2,}", "^^")
     out = F.regexp_replace(out, r"\p{Lu}", "A")
     out = F.regexp_replace(out, r"\p{N}+", "0")
     return F.regexp_replace(out, r"([^\p{L}\p{N}\s])\1+", "$1$1")
 
 
-def ngrams(w: Column, s: Column, buckets: int = BUCKETS) -> Column:
-    """Hash buckets of the text's n-grams: its words in the lower half, pairs of neighboring word shapes in the upper."""
-    half = buckets // 2
-    return F.concat(F.transform(w, lambda x: _bucket(half, 0, x)), _neighbors(s, lambda a, b: _bucket(half, half, a, b)))
-
-
 def _bucket(n: int, first: int, *parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(n)) + first).cast("int")
 
 
+def _log_ratio(hashes: Column, s: Column, weight: Column, buckets: int) -> Column:
+    """The summed weights of a text's n-grams: its words (by their hashes) in the lower half of the buckets, pairs of neighboring word shapes in the upper."""
+    half = buckets // 2
+    of_words = F.aggregate(hashes, F.lit(0.0), lambda a, h: a + F.get(weight, F.pmod(h, F.lit(half)).cast("int")))
+    pairs = _neighbors(s, lambda x, y: F.get(weight, _bucket(half, half, x, y)))
+    return of_words + F.aggregate(pairs, F.lit(0.0), lambda a, b: a + b)
+
+
 def ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> np.ndarray:
     """log p(bucket | trusted) - log p(bucket | all) per bucket, each half its own multinomial, add-one smoothed.
 
@@ -107,18 +118,19 @@ def judge(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     one number per bucket, travel to them.
     """
     weight = F.lit(ratios(docs, trusted, key, text, buckets))
-    w, s, hashes, total = fresh(docs, "w", "s", "hashes", "total")
+    w, s, hashes, runs, total = fresh(docs, "w", "s", "hashes", "runs", "total")
     raw = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumns({w: words(F.col(text)), s: words(shapes(F.col(text)))})
-    out = out.withColumn(hashes, windows(F.col(w)))
+    out = out.withColumn(hashes, F.transform(w, lambda x: F.xxhash64(x)))
+    out = out.withColumn(runs, windows(F.col(hashes)))
     out = out.withColumns({
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(raw, r"[^#*$%&|<>]+", "")).cast("long"),
         "n_dup_lines": duplicate_lines(F.col(text)),
-        "n_repeat_words": repeated_words(F.col(hashes)),
-        total: F.aggregate(ngrams(F.col(w), F.col(s), buckets), F.lit(0.0), lambda a, b: a + F.get(weight, b)),
+        "n_repeat_words": repeated_words(F.col(runs)),
+        total: _log_ratio(F.col(hashes), F.col(s), weight, buckets),
     })
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumns({"base_failed": failed, "score": F.when(F.col("n_words") > 0, F.col(total) / (2 * F.col("n_words") - 1)).otherwise(F.lit(0.0))})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score)).drop(w, s, hashes, total)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score)).drop(w, s, hashes, runs, total)
