@@ -15,6 +15,7 @@ MISSES = 2
 # two masks fits somewhere in the window without touching them (tested exhaustively).
 SEEDS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
 _REACH = WINDOW - 1
+LEAST_CHARS = 12
 
 
 def tokens(text: Column) -> Column:
@@ -63,7 +64,26 @@ def _fits(doc: str, item: str) -> Column:
     )
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_seeds: int = 1_000_000) -> DataFrame:
+def _whole(ids: DataFrame, items: DataFrame, least_chars: int, block_seeds: int) -> list[DataFrame]:
+    """Overlaps (key, item, first, last, best) with items shorter than a window, found as a whole: one hash of the item against one of every run of as many tokens."""
+    short = stage(items.filter((F.size("words") < WINDOW) & (F.length(F.array_join("words", "")) >= least_chars)).select("item", "words").distinct())
+    lengths = [r[0] for r in short.groupBy(F.size("words")).count().orderBy(F.size("words")).collect()]
+    if not lengths:
+        return []
+    blocks = max(1, -(-short.count() // block_seeds))
+    seeds = short.select("item", F.col("words").alias("there"), F.xxhash64("words").alias("hash")).withColumn("block", F.pmod(F.xxhash64("item", "there"), F.lit(blocks)))
+    w = F.col("words")
+    placed = ids.filter(F.size(w) >= lengths[0]).select("key", "words", F.explode(F.sequence(F.lit(0), F.size(w) - 1)).alias("at"))
+    runs = placed.select("key", "words", "at", F.explode(F.array(*map(F.lit, lengths))).alias("n")).filter(F.col("at") + F.col("n") <= F.size(w))
+    hashed = runs.select("key", "at", "n", F.slice(w, F.col("at") + 1, F.col("n")).alias("here")).withColumn("hash", F.xxhash64("here"))
+    found = []
+    for block in range(blocks):
+        hits = hashed.join(F.broadcast(seeds.filter(F.col("block") == block).drop("block")), "hash").filter("here = there")
+        found.append(hits.groupBy("key", "item").agg(F.min("at").alias("first"), F.max(F.col("at") + F.col("n") - 1).alias("last"), F.max("n").alias("best")))
+    return found
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_seeds: int = 1_000_000, least_chars: int = LEAST_CHARS) -> DataFrame:
     """Overlaps of documents with benchmark items: one row (key, item_id, first_word, last_word, best).
 
     An overlap is ``WINDOW`` tokens in line of which at most ``MISSES`` differ.  ``first_word`` and ``last_word`` bound
@@ -75,7 +95,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     bounded by that number, and joined with all documents while they stream by.  A small benchmark is one block.  Documents
     are never shuffled, only found overlaps are.
 
-    Texts that are null or have under ``WINDOW`` tokens overlap nothing.  Null keys and repeated keys are grouped as one
+    An item of under ``WINDOW`` tokens overlaps where all its tokens stand in line, none replaced; ``best`` is their number.
+    With under ``least_chars`` letters and digits in all it is too common to tell anything and overlaps nothing, as
+    do null and empty items.  Texts that are null or empty overlap nothing.  Null keys and repeated keys are grouped as one
     document each; repeated items and ties are harmless.
     """
     items = benchmark.select(F.col(item).alias("item"), tokens(F.col(item_text)).alias("words"))
@@ -90,8 +112,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         hits = _seeded(ids, ["key"]).join(F.broadcast(part), "hash").select("key", "item", "at", _around(F.col("words"), F.col("at")).alias("here"), "there")
         fits = hits.select("key", "item", "at", F.explode(_fits("here", "there")).alias("fit"))
         found.append(fits.groupBy("key", "item").agg(F.min(F.col("at") + F.col("fit.start")).alias("first"), F.max(F.col("at") + F.col("fit.start") + _REACH).alias("last"), F.max("fit.same").alias("best")))
+    found += _whole(ids, items, least_chars, block_seeds)
     both = reduce(DataFrame.unionByName, found)
-    if blocks > 1:
+    if len(found) > 1:
         both = both.groupBy("key", "item").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("best").alias("best"))
     return both.select(F.col("key").alias(key), F.col("item").alias(item), F.col("first").alias("first_word"), F.col("last").alias("last_word"), "best")
 

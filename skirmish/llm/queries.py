@@ -26,7 +26,7 @@ def query(sql: str | None = None):
     return add
 
 
-# Every window of twelve tokens in line, by brute force: equal tokens of all pairs of places, summed along diagonals.
+# Every window of twelve tokens in line, by brute force: equal tokens of all pairs of places, summed along diagonals.  Items are taken as unique.
 OP1_SQL = r"""
 with d as (select doc_id, unnest(w) as t, generate_subscripts(w, 1) - 1 as p, len(w) as n
            from (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents)),
@@ -40,8 +40,13 @@ kept as (select distinct * from starts where start >= 0 and start - diagonal >=
 counted as (select k.doc_id, k.item_id, k.start, count(*) as same
             from kept k join same s on s.doc_id = k.doc_id and s.item_id = k.item_id and s.diagonal = k.diagonal and s.p between k.start and k.start + 11
             group by k.doc_id, k.item_id, k.diagonal, k.start having count(*) >= 10)
-select doc_id, item_id, cast(min(start) as integer) as first_word, cast(max(start) + 11 as integer) as last_word, cast(max(same) as integer) as best
-from counted group by doc_id, item_id
+-- Items under twelve tokens, of twelve letters and digits or more, count where they stand whole.
+short as (select doc_id, item_id, diagonal as start, m from same where m < 12 and item_id in
+            (select item_id from benchmark group by item_id having max(length(array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ''))) >= 12)
+          group by all having count(*) = m),
+found as (select doc_id, item_id, start, start + 11 as final, same from counted union all select doc_id, item_id, start, start + m - 1, m from short)
+select doc_id, item_id, cast(min(start) as integer) as first_word, cast(max(final) as integer) as last_word, cast(max(same) as integer) as best
+from found group by doc_id, item_id
 """
 
 
@@ -108,14 +113,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 with u as (select conv_id, turn, text, len(string_split(coalesce(text, ''), ' ')) as n from conversations where role = 'user'),
-w as (select *, n % 5 = 0 as waits, 'c' || conv_id || '_' || turn as call_id from u),
+w as (select *, n % 5 = 0 as waits, 'call_' || turn as call_id from u),
 linked as (select a.*, b.turn is not null as has_next from w a left join w b on b.conv_id = a.conv_id and b.turn = a.turn + 2),
 ends as (select a.conv_id, a.turn, min(s.turn) as last
          from linked a join linked s on s.conv_id = a.conv_id and s.turn >= a.turn and (s.turn - a.turn) % 2 = 0 and not (s.waits and s.has_next) group by all),
 r as (select conv_id, turn - 1 as turn, min(text) as result, count(*) as n_results from conversations where role = 'assistant' group by all)
 select l.conv_id as conv, l.turn, l.call_id, e.last as rank_turn, cast((e.last - l.turn) / 2 as integer) as rank_hops,
        array_to_string(list_sort(list_filter([case when coalesce(r.n_results, 0) = 0 then 'result: missing' when r.n_results > 1 then 'result: repeated' end,
-                                   case when l.waits and not l.has_next then 'uses c' || l.conv_id || '_' || (l.turn + 2) || ': missing' end], lambda x: x is not null)), '; ') as problems,
+                                   case when l.waits and not l.has_next then 'uses call_' || (l.turn + 2) || ': missing' end], lambda x: x is not null)), '; ') as problems,
        coalesce(r.n_results, 0) = 1 and not (l.waits and not l.has_next) as valid,
        '{"arguments":{"query":' || to_json(l.text)::varchar || ',"words":' || l.n || '},"call_id":"' || l.call_id || '","result":' || coalesce(to_json(r.result)::varchar, 'null')
          || ',"tool":"' || case when l.n > 30 then 'summarise' else 'lookup' end || '"}' as json

@@ -27,9 +27,34 @@ Schemas = dict[str, dict[str, Arg]]
 _KINDS = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DECIMAL", "DOUBLE"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
 
 
+# Parts of JSON text: strings, numbers, the rest.
+_PARTS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++'
+
+
+def _number(x: Column) -> Column:
+    """A number's text in one form: digits without exponent or trailing zeros, or, outside of 38 digits, mantissa and exponent."""
+    trimmed = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    plain = [F.when(x.try_cast(f"decimal(38,{scale})").cast("double") == x.try_cast("double"), x.try_cast(f"decimal(38,{scale})").cast("string")) for scale in (18, 0)]
+    # A decimal of 38 digits or more prints zeros after the point.
+    fraction = F.coalesce(*[F.when(p.contains("."), trimmed(p)).otherwise(p) for p in plain])
+    parts = F.split(x, "[eE]")
+    scientific = F.concat(trimmed(parts[0]), F.lit("e"), F.regexp_replace(F.get(parts, F.lit(1)), r"^\+", ""))
+    out = F.when(x.rlike("[eE]"), F.coalesce(fraction, scientific)).when(x.contains("."), trimmed(x)).otherwise(x)
+    return F.when(out == "-0", F.lit("0")).otherwise(out)
+
+
+def _one_form(json: Column) -> Column:
+    """JSON text with every number in one form; strings stay."""
+    parts = F.transform(F.regexp_extract_all(json, F.lit(_PARTS), F.lit(0)), lambda x: F.when(x.rlike("^-?[0-9]"), _number(x)).otherwise(x))
+    return F.when(json.rlike("[0-9][.eE]|-0"), F.array_join(parts, "")).otherwise(json)
+
+
 def canonical(text: Column) -> Column:
-    """JSON with sorted keys and without blanks; null where ``text`` is not JSON."""
-    return F.to_json(F.try_parse_json(text))
+    """JSON with sorted keys, without blanks, and one form for equal numbers (1, 1.0 and 1e0 are 1); null where ``text`` is not JSON.
+
+    Integers and decimals are exact up to 38 digits; longer ones, and numbers with an exponent, are double-precision.
+    """
+    return _one_form(F.to_json(F.try_parse_json(text)))
 
 
 def _problems(tool: Column, args: Column, schemas: Schemas) -> Column:
@@ -62,13 +87,14 @@ def _problems(tool: Column, args: Column, schemas: Schemas) -> Column:
 
 
 def link_results(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Join calls (conv, turn, call_id, tool, args, uses) with results (call_id, result) by identifier: adds ``result`` and ``n_results``.
+    """Join calls (conv, turn, call_id, tool, args, uses) with results (conv, call_id, result): adds ``result`` and ``n_results``.
 
-    Several results of one call are counted and the least is taken; calls without result have null and 0.
-    Results of no call are left out.  Null identifiers never match.
+    An identifier counts within its conversation, so conversations may use the same ones.  Several results of one call are
+    counted and the least is taken; calls without result have null and 0.  Results of no call are left out.
+    Null identifiers and null conversations never match.
     """
-    one = results.filter("call_id is not null").groupBy("call_id").agg(F.min("result").alias("result"), F.count("*").alias("n_results"))
-    return calls.drop("result", "n_results").join(one, "call_id", "left").withColumn("n_results", F.coalesce("n_results", F.lit(0).cast("long")))
+    one = results.filter("conv is not null and call_id is not null").groupBy("conv", "call_id").agg(F.min("result").alias("result"), F.count("*").alias("n_results"))
+    return calls.drop("result", "n_results").join(one, ["conv", "call_id"], "left").withColumn("n_results", F.coalesce("n_results", F.lit(0).cast("long")))
 
 
 def order_calls(calls: DataFrame) -> DataFrame:
@@ -110,12 +136,13 @@ def order_calls(calls: DataFrame) -> DataFrame:
 def format_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """Link, order, validate and serialise tool calls.
 
-    ``calls``: conv, turn, call_id, tool, args (JSON text), uses (ids whose results the call needs); ``results``: call_id, result.
+    ``calls``: conv, turn, call_id, tool, args (JSON text), uses (ids whose results the call needs); ``results``: conv,
+    call_id, result.
     Returns conv, turn, call_id, ``rank_turn``, ``rank_hops`` (the order within a conversation: every call comes after
     what it uses), ``problems`` (sorted), ``valid`` and ``json``: the call with its result as canonical JSON, keys
-    sorted, no blanks.  Rows are never gathered per conversation.  Null texts are null in the JSON; other columns are dropped.
+    sorted, no blanks, one form for equal numbers.  Rows are never gathered per conversation.  Null texts are null in the JSON; other columns are dropped.
     """
-    linked = order_calls(link_results(calls.select("conv", "turn", "call_id", "tool", "args", "uses"), results.select("call_id", "result")))
+    linked = order_calls(link_results(calls.select("conv", "turn", "call_id", "tool", "args", "uses"), results.select("conv", "call_id", "result")))
     parsed = linked.withColumn("given", F.try_parse_json(F.col("args")))
     is_object = F.schema_of_variant(F.col("given")).startswith("OBJECT")
     parsed = parsed.withColumn("given", F.when(is_object, F.col("given")))
@@ -130,7 +157,7 @@ def format_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> Data
     text = lambda c: F.coalesce(F.to_json(F.to_variant_object(F.array(F.col(c)))), F.lit("[null]"))
     bare = lambda c: F.regexp_replace(text(c), r"(?s)^\[(.*)\]$", "$1")
     json = F.concat(
-        F.lit('{"arguments":'), F.coalesce(F.to_json("given"), F.lit("null")), F.lit(',"call_id":'), bare("call_id"),
+        F.lit('{"arguments":'), F.coalesce(_one_form(F.to_json("given")), F.lit("null")), F.lit(',"call_id":'), bare("call_id"),
         F.lit(',"result":'), bare("result"), F.lit(',"tool":'), bare("tool"), F.lit("}"),
     )
     return checked.select("conv", "turn", "call_id", F.col("rank.turn").alias("rank_turn"), F.col("rank.hops").alias("rank_hops"), "problems", (F.size("problems") == 0).alias("valid"), json.alias("json"))
@@ -146,10 +173,10 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results read off chat turns: every user turn calls a tool on its text and the next turn, if the assistant's, is the result.
 
     Long requests (over 30 words) are summarised, others looked up; one in five (by word count) needs the result of the next
-    user turn, the others that of the one before unless that one waits for them.
+    user turn, the others that of the one before unless that one waits for them.  Identifiers name the turn, so they repeat between conversations.
     """
     n = F.size(F.split(F.coalesce("text", F.lit("")), " "))
-    ident = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
+    ident = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
     quoted = F.to_json(F.to_variant_object(F.struct(F.col("text").alias("query"), n.cast("long").alias("words"))))
     waits = n % 5 == 0
     users = conversations.filter("role = 'user'")
@@ -158,5 +185,5 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("conv_id").alias("conv"), "turn", ident(F.col("turn")).alias("call_id"), F.when(n > 30, "summarise").otherwise("lookup").alias("tool"), quoted.alias("args"),
         F.when(waits, F.array(ident(F.col("turn") + 2))).when(~F.col("waits_before"), F.array(ident(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("uses"),
     )
-    results = conversations.filter("role = 'assistant'").select(ident(F.col("turn") - 1).alias("call_id"), F.col("text").alias("result"))
+    results = conversations.filter("role = 'assistant'").select(F.col("conv_id").alias("conv"), ident(F.col("turn") - 1).alias("call_id"), F.col("text").alias("result"))
     return calls, results

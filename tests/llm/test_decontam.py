@@ -16,6 +16,11 @@ def brute(docs, items):
         d = tok(t)
         for j, u in items:
             b = tok(u)
+            if len(b) < WINDOW and len("".join(b)) >= 12:
+                for s in range(len(d) - len(b) + 1):
+                    if d[s : s + len(b)] == b:
+                        f, la, best = out.get((i, j), (s, s - WINDOW + len(b), len(b)))
+                        out[i, j] = (min(f, s), max(la, s - WINDOW + len(b)), max(best, len(b)))
             for s in range(len(d) - WINDOW + 1):
                 for q in range(len(b) - WINDOW + 1):
                     n = sum(x == y for x, y in zip(d[s : s + WINDOW], b[q : q + WINDOW]))
@@ -45,6 +50,18 @@ def cases():
     return docs, [(0, item), (1, prose(14, 101)), (2, None), (3, "short one"), (4, item), (5, "the " * 13), (None, prose(20, 102))]
 
 
+def test_short_items_are_found_whole(spark, make):
+    six = "Name the tallest mountain on Earth"
+    docs = [(1, prose(40, 1) + " " + six.lower() + ", " + prose(40, 2)), (2, six.replace("tallest", "oldest")), (3, six), (4, six + " " + six), (5, "我们的世界很大而且非常美丽，其他"), (6, "the end of it"), (7, None), (8, ""), (None, six)]
+    items = [(1, six), (2, "我们的世界很大而且非常美丽"), (3, "the end"), (4, ""), (5, None), (6, six), (7, prose(30, 9)), (8, "tallest mountain on Earth")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = rows_of(decontam.find_overlaps(make(docs), bench))
+    assert got == brute(docs, items) and (1, 1, 40, 45, 6) in got and (4, 6, 0, 11, 6) in got and (5, 2, 0, 0, 1) in got
+    assert {r[1] for r in got} == {1, 2, 6, 8} and {r[0] for r in got} == {1, 3, 4, 5, None, 2} - {2}
+    assert rows_of(decontam.find_overlaps(make(docs), bench, block_seeds=1)) == got
+    assert sorted(r.doc_id for r in decontam.decontaminate(make(docs), bench).collect()) == [2, 6, 7, 8]
+
+
 def test_matches_brute_force(spark, make):
     docs, items = cases()
     bench = spark.createDataFrame(items, "item_id long, text string")
