@@ -39,12 +39,12 @@ starts as (select doc_id, item_id, diagonal, n, m, p - unnest(range(0, 3)) as st
 kept as (select distinct * from starts where start >= 0 and start - diagonal >= 0 and start + 12 <= n and start - diagonal + 12 <= m),
 counted as (select k.doc_id, k.item_id, k.start, count(*) as same
             from kept k join same s on s.doc_id = k.doc_id and s.item_id = k.item_id and s.diagonal = k.diagonal and s.p between k.start and k.start + 11
-            group by k.doc_id, k.item_id, k.diagonal, k.start having count(*) >= 10)
+            group by k.doc_id, k.item_id, k.diagonal, k.start having count(*) >= 10),
 -- Items under twelve tokens, of twelve letters and digits or more, count where they stand whole.
-brief as (select doc_id, item_id, diagonal as start, m from same where m < 12 and item_id in
+short_items as (select doc_id, item_id, diagonal as start, m from same where m < 12 and item_id in
             (select item_id from benchmark group by item_id having max(length(array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ''))) >= 12)
           group by all having count(*) = m),
-found as (select doc_id, item_id, start, start + 11 as final, same from counted union all select doc_id, item_id, start, start + m - 1, m from brief)
+found as (select doc_id, item_id, start, start + 11 as final, same from counted union all select doc_id, item_id, start, start + m - 1, m from short_items)
 select doc_id, item_id, cast(min(start) as integer) as first_word, cast(max(final) as integer) as last_word, cast(max(same) as integer) as best
 from found group by doc_id, item_id
 """
