@@ -92,7 +92,7 @@ def test_swapping_identity_terms_changes_little(spark, make):
     docs = make([row(k) for k in range(300)])
     labels = labels_of(spark, [(k, int(k % 3 == 0)) for k in range(300)], "toxic")
     probe = make([(1, "a kind word on muslims today"), (2, "a kind word on hindus today"), (3, "a kind word on people today")])
-    rows = toxicity.training_rows(docs, labels, 1000, "doc_id", "text", "toxic", toxicity.IDENTITY_TERMS)
+    rows = toxicity.training_rows(toxicity.labelled_sample(docs, labels, 1000, "doc_id", "text", "toxic")[0], toxicity.IDENTITY_TERMS)
     texts = [r.text for r in probe.orderBy("doc_id").collect()]
     gap = {}
     for weight in (0.0, 4.0, 40.0):
@@ -102,6 +102,64 @@ def test_swapping_identity_terms_changes_little(spark, make):
     assert gap[40.0] < 0.3 * gap[0.0] and gap[4.0] < gap[0.0] and gap[40.0] < 0.1
 
 
+def test_penalised_loss_is_exact():
+    """Loss and gradient against loops over plain numbers."""
+    import math
+
+    r = random.Random(5)
+    rows = []
+    for k in range(60):
+        x = sorted({r.randint(1, 5) + 10 * (k % 3 == 0) for _ in range(6)} | {100 + r.randint(0, 3)})
+        rows.append((np.array(x, np.int32), np.array([r.randint(11, 15), -r.randint(1, 5)], np.int32) if k % 2 else None, int(k % 3 == 0)))
+    index, p = toxicity.problem(rows, select=50)
+    assert len(index) >= 5 and p.n_swaps == 30
+    w, b, swap_weight, decay = np.array([r.uniform(-1, 1) for _ in index]), 0.3, 3.0, 0.2
+    weight = lambda w: dict(zip(index.tolist(), w))
+
+    def plain(w, b):
+        at = weight(w)
+        logs = [math.log(1 + math.exp(z)) - y * z for x, _, y in rows for z in [b + sum(at.get(int(f), 0) for f in x)]]
+        change = [sum(math.copysign(at.get(abs(int(f)), 0), f) if at.get(abs(int(f)), 0) >= 0 else -math.copysign(-at[abs(int(f))], f) for f in s) ** 2 for _, s, _ in rows if s is not None]
+        return sum(logs) / len(logs) + swap_weight * sum(change) / len(change) + decay / len(index) ** 0.5 / 2 * sum(x * x for x in w)
+
+    value, grad, slope = p.loss(w, b, swap_weight, decay)
+    assert value == pytest.approx(plain(w, b), abs=1e-9)
+    e = 1e-6
+    for k in range(len(w)):
+        d = np.eye(len(w))[k] * e
+        assert grad[k] == pytest.approx((plain(w + d, b) - plain(w - d, b)) / (2 * e), abs=1e-5)
+    assert slope == pytest.approx((plain(w, b + e) - plain(w, b - e)) / (2 * e), abs=1e-5)
+
+
+def test_rare_class_is_drawn(spark, make):
+    rows = [(k, f"{prose(20, k)} grumplish now" if k % 100 == 0 else prose(20, k)) for k in range(1000)]
+    docs, labels = make(rows), labels_of(spark, [(k, int(k % 100 == 0)) for k in range(1500)], "toxic")
+    sample, rate = toxicity.labelled_sample(docs, labels, 200, "doc_id", "text", "toxic")
+    got = [r.y for r in sample.collect()]
+    assert rate == 0.01 and sum(got) == 10 and 190 <= len(got) <= 210
+    whole, none = toxicity.labelled_sample(docs, labels, 5000, "doc_id", "text", "toxic")
+    assert none is None and whole.count() == 1000
+    assert toxicity.suspect_groups(whole.filter("y = 0")) == toxicity.suspect_groups(whole.limit(0)) == ()
+
+
+def test_words_that_lean_are_swapped(spark, make):
+    """A name in half of the toxic texts and a tenth of the others is swapped, the telling word isn't, and the penalty takes the name's weight."""
+    rows = [(k, f"{prose(20, k)} {'grumplish' if k % 5 == 0 and k % 3 else ''} {'Zorbians,' if (k % 10 == 0 if k % 5 == 0 else k % 9 == 0) else ''} {prose(20, k + 2000)}") for k in range(1000)]
+    docs, labels = make(rows), labels_of(spark, [(k, int(k % 5 == 0)) for k in range(1000)], "toxic")
+    sample, _ = toxicity.labelled_sample(docs, labels, 5000, "doc_id", "text", "toxic")
+    groups = toxicity.suspect_groups(sample)
+    assert groups[0][0] == "zorbians" and "grumplish" not in {x for g in groups for x in g} and len({x for g in groups for x in g}) == 2 * len(groups)
+    rows = toxicity.training_rows(sample, groups)
+    _, p = toxicity.problem(rows)
+    assert p.n_swaps > 150 and len(set(p.swap.tolist())) > 150
+    gap = {}
+    for weight in (0.0, 4.0):
+        w = toxicity.fit(rows, swap_weight=weight)
+        s = toxicity.scores(w, w.table(), ["a kind word on zorbians today", f"a kind word on {groups[0][1]} today"])
+        gap[weight] = abs(s[0] - s[1])
+    assert gap[4.0] < 0.5 * gap[0.0]
+
+
 def test_toxicity_without_labels(spark, make):
     docs = make([(1, "some text"), (2, None)])
     none = labels_of(spark, [], "toxic")
