@@ -143,8 +143,8 @@ def test_rare_class_is_drawn(spark, make):
 
 
 def test_words_that_lean_are_swapped(spark, make):
-    """A name in half of the toxic texts and a tenth of the others is swapped, the telling word isn't, and the penalty takes the name's weight."""
-    rows = [(k, f"{prose(20, k)} {'grumplish' if k % 5 == 0 and k % 3 else ''} {'Zorbians,' if (k % 10 == 0 if k % 5 == 0 else k % 9 == 0) else ''} {prose(20, k + 2000)}") for k in range(1000)]
+    """A name in half of the toxic texts and a quarter of the others is swapped, the telling word isn't, and the penalty takes the name's weight."""
+    rows = [(k, f"{prose(20, k)} {'grumplish' if k % 5 == 0 and k % 3 else ''} {'Zorbians,' if (k % 10 == 0 if k % 5 == 0 else k % 4 == 0) else ''} {prose(20, k + 2000)}") for k in range(1000)]
     docs, labels = make(rows), labels_of(spark, [(k, int(k % 5 == 0)) for k in range(1000)], "toxic")
     sample, _ = toxicity.labelled_sample(docs, labels, 5000, "doc_id", "text", "toxic")
     groups = toxicity.suspect_groups(sample)
