@@ -12,6 +12,7 @@ import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,27 +49,43 @@ def sized(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
 
 
 class _Sessions(StatefulProcessor):
-    """Session number per stream; state is the last log time and the number."""
+    """Session numbers of one slice of the streams; state is the last log time and the number of each stream."""
 
     def __init__(self, gap: int, keep: int | None):
         self.gap, self.keep = gap, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts BIGINT, num BIGINT", _millis(self.keep))
+        self.last = handle.getMapState("last", "stream_id STRING", "ts BIGINT, num BIGINT", _millis(self.keep))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ts, num = self.last.get() if self.last.exists() else (None, 0)
-        batch = pd.concat(list(rows)).sort_values("id", kind="stable")
-        nums = []
-        for log_ts, login in zip(batch["log_ts"], batch["login"]):
-            if pd.notna(log_ts):
-                if ts is None or login or log_ts - ts >= self.gap:
-                    num += 1
-                ts = int(log_ts)
-            nums.append(max(num, 1))
-        if ts is not None:
-            self.last.update((ts, num))
-        yield batch.assign(session=nums)[["stream_id", "id", "log_ts", "session"]]
+        batch = pd.concat(list(rows), ignore_index=True)
+        codes, names = pd.factorize(batch["stream_id"], use_na_sentinel=False)
+        names = [None if pd.isna(x) else x for x in names]
+        batch = batch.assign(_code=codes).sort_values(["_code", "id"], kind="stable")
+        seen = self.last.exists()
+        states = [self.last.getValue((x,)) if seen else None for x in names]
+        known = np.array([s is not None for s in states])
+        last = np.array([s[0] if s is not None else 0 for s in states], dtype="int64")
+        nums = np.array([s[1] if s is not None else 0 for s in states], dtype="int64")
+
+        # Rows with a log time meet the one before them in their stream, the first of a stream what the state holds.
+        codes = batch["_code"].to_numpy()
+        timed = batch["log_ts"].notna().to_numpy()
+        of, ts, login = codes[timed], batch["log_ts"].to_numpy()[timed].astype("int64"), (batch["login"] == True).to_numpy()[timed]  # noqa: E712
+        first = np.append(True, of[1:] != of[:-1])[: len(of)]
+        before = np.where(first, last[of], np.append(0, ts[:-1])[: len(ts)])
+        cuts = np.zeros(len(batch), dtype="int64")
+        cuts[timed] = (first & ~known[of]) | login | (ts - before >= self.gap)
+        total = np.cumsum(cuts)
+        start = np.searchsorted(codes, np.arange(len(names)))
+        num = total + (nums - total[start] + cuts[start])[codes]
+        end = np.append(of[1:] != of[:-1], True)[: len(of)]
+        for code, at, n in zip(of[end], ts[end], num[timed][end]):
+            self.last.updateValue((names[code],), (int(at), int(n)))
+        if self.keep is not None:  # heard of, though without a log time
+            for code in set(np.flatnonzero(known)) - set(of):
+                self.last.updateValue((names[code],), states[code])
+        yield batch.assign(session=np.maximum(num, 1))[["stream_id", "id", "log_ts", "session"]]
 
     def close(self) -> None:
         pass
@@ -83,12 +100,14 @@ def _clock(keep: int | None) -> str:
     return "None" if keep is None else "ProcessingTime"
 
 
-def stream_sessions(batches: DataFrame, gap: int = SESSION_GAP, keep: int | None = None) -> DataFrame:
+def stream_sessions(batches: DataFrame, gap: int = SESSION_GAP, keep: int | None = None, slices: int = 1024) -> DataFrame:
     """Sessions over a stream of batches ``(stream_id, id, log_ts, login)``.
 
-    With ``keep`` a stream that sent nothing for so many seconds by the clock is forgotten, and numbers from 1 if it comes back.
+    Streams share groups, ``slices`` in all, as a group costs more than a stream of a few batches; each keeps its own state.  With ``keep`` a stream
+    that sent nothing for so many seconds by the clock is forgotten, and numbers from 1 if it comes back.
     """
-    return batches.select("stream_id", "id", "log_ts", "login").groupBy("stream_id").transformWithStateInPandas(
+    rows = batches.select(F.pmod(F.xxhash64("stream_id"), F.lit(slices)).cast("int").alias("slice"), "stream_id", "id", "log_ts", "login")
+    return rows.groupBy("slice").transformWithStateInPandas(
         _Sessions(gap, keep), "stream_id STRING, id BIGINT, log_ts BIGINT, session BIGINT", "Append", _clock(keep))
 
 

@@ -107,3 +107,19 @@ def test_state_is_forgotten(spark):
     got = [r.body for r in spark.read.parquet(out).collect()]
     assert len(got) == 3 + 4 * 40 and sorted(got)[-2:] == ["other run", "x"]
     assert max(held) < 40
+
+
+def test_sessions_of_many_streams_in_few_groups(spark):
+    """Streams that share a group keep their own sessions, as in batch; times, logins and whole streams may be null."""
+    from skirmish.operators.sessions import sessionize
+
+    schema = "stream_id string, id long, log_ts long, login boolean"
+    r = random.Random(3)
+    rows = [(None if s == 20 else f"s{s}", i, None if r.random() < 0.2 else r.randrange(60), r.choice([True, False, False, False, None])) for s in range(21) for i in range(12)]
+    rows += [("late", 11, None, False), ("none", 1, None, True), ("none", 9, None, None)]
+    r.shuffle(rows)
+    parts = [[x for x in rows if a <= x[1] < b] for a, b in ((0, 4), (4, 5), (5, 12))]
+    got = {(x.stream_id, x.id): x.session for x in feed(spark, parts, lambda s: live.stream_sessions(s, 20, slices=3), schema).collect()}
+    df = spark.createDataFrame(rows, schema).fillna("null", ["stream_id"])
+    want = {(None if x.stream_id == "null" else x.stream_id, x.id): x.session for x in sessionize(df, 20, login=df["login"], span=4).collect()}
+    assert got == want and len(got) == len(rows) and max(got.values()) > 3
