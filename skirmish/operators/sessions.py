@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.functions import names, times
-from skirmish.operators.ordered import SPAN, Carry, as_of, scan, segment
+from skirmish.operators.ordered import SPAN, Carry, as_of, scan, segment, stage
 
 KEYS = ["stream_id"]
 
@@ -273,6 +273,30 @@ def all_scopes(rows: DataFrame, scopes: DataFrame, keys: list[str] = KEYS, ts: s
     return met.filter((F.col(ts) >= F.col("_start")) & (F.col("_end").isNull() | (F.col(ts) < F.col("_end")))).drop("_width", "_bucket", "_start", "_end")
 
 
+def scope_totals(rows: DataFrame, scopes: DataFrame, value: str, keys: list[str] = KEYS, ts: str = "ts", span: int = HOUR, scope: str = "segment") -> DataFrame:
+    """Rows and the sum of whole numbers ``value`` in every scope ``[start_ts, end_ts)``: (keys, scope, rows, total); none for a scope without rows.
+
+    As :func:`all_scopes` with an aggregate, but no row meets a scope: what a scope holds is what came before its end less what
+    came before its start.  The work grows with rows and scopes, however many scopes hold a row.
+    """
+    start, end = F.col("start_ts"), F.col("end_ts")
+    seconds = rows.filter(F.col(ts).isNotNull()).groupBy(*keys, F.col(ts).alias("_t")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count(value).alias("_m"), F.sum(F.col(value).cast("decimal(20,0)")).alias("_v"))
+    windows = scopes.filter(start.isNotNull() & (end.isNull() | (end > start)))
+    # A window without end is read off after all time.
+    after = F.lit((1 << 62) - 1).cast("long")
+    bounds = windows.select(*keys, scope, F.inline(F.array(
+        F.struct(start.cast("long").alias("_t"), F.lit(-1).alias("_sign")), F.struct(F.coalesce(end.cast("long"), after).alias("_t"), F.lit(1).alias("_sign")))))
+    times_ = bounds.groupBy(*keys, "_t").agg(F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_m"), F.lit(0).cast("decimal(30,0)").alias("_v"))
+    line = seconds.withColumn("_v", F.coalesce(F.col("_v").cast("decimal(30,0)"), F.lit(0).cast("decimal(30,0)"))).unionByName(times_)
+    line = stage(line.groupBy(*keys, "_t").agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m"), F.sum("_v").cast("decimal(30,0)").alias("_v"), F.max(F.col("_n") == 0).alias("_bound")))
+    run = scan(line, keys, "_t", [Carry(f"_r{c}", "sum", F.col(f"_{c}"), inclusive=False) for c in "nmv"], span)
+    met = bounds.join(run.filter("_bound").select(*keys, "_t", "_rn", "_rm", "_rv"), [*keys, "_t"])
+    less = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0)) * F.col("_sign"))
+    out = met.groupBy(*keys, scope).agg(less("_rn").alias("rows"), less("_rm").alias("_m"), less("_rv").alias("_v"))
+    return out.filter("rows > 0").select(*keys, scope, "rows", F.when(F.col("_m") > 0, F.col("_v").cast("long")).alias("total"))
+
+
 def marker_pairs(marks_: DataFrame, keys: list[str] = KEYS, span: int = HOUR) -> DataFrame:
     """Raid windows: each ``raid_start`` to the next raid mark of its stream, open at the end."""
     rows = marks_.filter(F.col("kind").isin("raid_start", "raid_end"))

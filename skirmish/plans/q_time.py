@@ -165,8 +165,8 @@ def overlapping_raids(spark, sf):
     ev = combat_events(spark, sf)
     start, n = F.col("ts"), F.col("line_no")
     raids = ev.filter((F.col("k") == "slay") & (n % 5 == 0)).select("stream_id", n.alias("raid"), start.alias("start_ts"), F.when(n % 97 > 0, start + 60 * (1 + (n * 7919) % 1440)).alias("end_ts"))
-    hits = S.all_scopes(ev.filter("k = 'spell'").select("stream_id", "ts", "dmg"), raids, scope="raid")
-    return hits.groupBy("stream_id", "raid").agg(F.count(F.lit(1)).alias("hits"), F.sum("dmg").alias("dmg"))
+    hits = S.scope_totals(ev.filter("k = 'spell'").select("stream_id", "ts", "dmg"), raids, "dmg", scope="raid")
+    return hits.withColumnsRenamed({"rows": "hits", "total": "dmg"})
 
 
 # Marks from the batches: each one opens or closes a raid.

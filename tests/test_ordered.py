@@ -72,3 +72,24 @@ def test_hot_key_is_split(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert any("hashpartitioning" in x and "_chunk" in x for x in plan.splitlines())
     assert out.agg(F.max("n")).first()[0] == 10_000
+
+
+def test_totals_of_overlapping_scopes_equal_rows_met(spark):
+    """Sums and counts of overlapping, empty, null and endless windows, without any row meeting a window."""
+    from skirmish.operators import sessions as S
+
+    r = random.Random(5)
+    rows = [(r.choice("ab"), r.choice([None, *range(-40, 40)]), r.choice([None, -3, 5, 7])) for _ in range(300)] + [("c", 3, 9), ("d", 1, None), *[("a", -41, 2**62)] * 3]
+    scopes = [(r.choice("abc"), i // 2, a, r.choice([None, a, a + r.randrange(-3, 50)])) for i in range(120) for a in [r.randrange(-45, 45)]] + [("a", 500, None, 9), ("d", 501, 0, 5)]
+    ev = spark.createDataFrame(rows, "stream_id string, ts long, dmg long")
+    sc = spark.createDataFrame(scopes, "stream_id string, raid long, start_ts long, end_ts long")
+    want: dict = {}
+    for s, raid, a, b in scopes:
+        for s2, t, d in rows:
+            if s == s2 and None not in (t, a) and t >= a and (b is None or t < b):
+                want.setdefault((s, raid), []).append(d)
+    want = {k: (len(v), sum(x for x in v if x is not None) if any(x is not None for x in v) else None) for k, v in want.items()}
+    want = {k: v for k, v in want.items() if v[1] is None or abs(v[1]) < 2**63}
+    keep = spark.createDataFrame(list(want), "stream_id string, raid long")
+    got = S.scope_totals(ev, sc.join(keep, ["stream_id", "raid"], "left_semi"), "dmg", span=7, scope="raid").collect()
+    assert {(x.stream_id, x.raid): (x.rows, x.total) for x in got} == want and len(got) == len(want) > 30
