@@ -48,7 +48,7 @@ def throttle_heartbeats(events: DataFrame, keys: list[str] = KEYS, order: str =
 
 
 def sessionize(
-    batches: DataFrame, gap: int = SESSION_GAP, keys: list[str] = KEYS, order: str = "id", login: Column | None = None, span: int = SPAN
+    batches: DataFrame, gap: int = SESSION_GAP, keys: list[str] = KEYS, order: str = "id", login: Column | None = None, span: int | None = SPAN
 ) -> DataFrame:
     """Session number of each stored batch: cut at a login, or a jump of the log clock.
 
@@ -64,7 +64,7 @@ def sessionize(
     ).withColumn("session", F.greatest("session", F.lit(1)))
 
 
-def sessions(sessionized: DataFrame, keys: list[str] = KEYS, order: str = "id", offset: int = 0) -> DataFrame:
+def sessions(sessionized: DataFrame, keys: list[str] = KEYS, order: str = "id", offset: int = 0, span: int | None = SPAN) -> DataFrame:
     """Session table: first batch, start times, label, batch count, and end."""
     out = sessionized.groupBy(*keys, F.col("session").alias("num")).agg(
         F.min(order).alias("start_batch_id"),
@@ -74,7 +74,7 @@ def sessions(sessionized: DataFrame, keys: list[str] = KEYS, order: str = "id",
         F.count(F.lit(1)).alias("batches"),
     )
     out = out.withColumn("label", times.session_label(F.col("start_log_ts"), offset))
-    out = scan(out, keys, "num", [Carry("_next", "next", F.col("start_log_ts"))])
+    out = scan(out, keys, "num", [Carry("_next", "next", F.col("start_log_ts"))], span)
     out = out.withColumn("end_log_ts", F.coalesce("_next", "_last"))
     return out.withColumn("duration", F.greatest(F.col("end_log_ts") - F.col("start_log_ts"), F.lit(0))).drop("_next", "_last")
 
@@ -180,7 +180,7 @@ def zone_instance_changes(parsed: DataFrame, keys: list[str] = KEYS, order: str
         *keys, order, "ts", F.lit("raid_mark").alias("k"), F.lit("instance").alias("kind"), label.alias("label"))
 
 
-def segments(sessions_: DataFrame, marks_: DataFrame, keys: list[str] = KEYS, span: int = HOUR) -> DataFrame:
+def segments(sessions_: DataFrame, marks_: DataFrame, keys: list[str] = KEYS, span: int | None = HOUR) -> DataFrame:
     """Timeline of each stream: sessions, and inside them raids and zone instances.
 
     Every session start and mark opens a segment that lasts to the next one; ``raid_end`` opens
@@ -192,7 +192,7 @@ def segments(sessions_: DataFrame, marks_: DataFrame, keys: list[str] = KEYS, sp
         marks_.select(*keys, F.col("ts").alias("start_ts"), "kind", "label"))
     rows = rows.withColumn("_pos", F.col("start_ts") * 4 + rank).groupBy(*keys, "_pos").agg(
         F.first("start_ts").alias("start_ts"), F.first("kind").alias("kind"), F.min("label").alias("label"))
-    return scan(rows, keys, "_pos", [Carry("end_ts", "next", F.col("start_ts")), Carry("segment", "sum", F.lit(1).cast("long"))], span * 4).drop("_pos")
+    return scan(rows, keys, "_pos", [Carry("end_ts", "next", F.col("start_ts")), Carry("segment", "sum", F.lit(1).cast("long"))], span and span * 4).drop("_pos")
 
 
 # Scopes by level: what opens one, and what ends it.
@@ -203,7 +203,7 @@ _LEVELS = {
 }
 
 
-def nested_scopes(sessions_: DataFrame, marks_: DataFrame, keys: list[str] = KEYS, span: int = HOUR) -> DataFrame:
+def nested_scopes(sessions_: DataFrame, marks_: DataFrame, keys: list[str] = KEYS, span: int | None = HOUR) -> DataFrame:
     """Sessions, raids and zone instances as scopes that hold each other: (keys, level, scope, start_ts, end_ts, label).
 
     A raid lasts to the next raid mark and a zone instance to the next instance, both at most to the next session, so
@@ -217,20 +217,24 @@ def nested_scopes(sessions_: DataFrame, marks_: DataFrame, keys: list[str] = KEY
     for level, (opens, ends) in _LEVELS.items():
         opening = F.col("kind") == opens
         part = scan(rows.filter(F.col("kind").isin(*ends)), keys, "_pos", [
-            Carry("end_ts", "next", F.col("start_ts")), Carry("scope", "sum", F.when(opening, F.lit(1).cast("long")))], span * 4)
+            Carry("end_ts", "next", F.col("start_ts")), Carry("scope", "sum", F.when(opening, F.lit(1).cast("long")))], span and span * 4)
         out.append(part.filter(opening).select(*keys, F.lit(level).alias("level"), "scope", "start_ts", "end_ts", "label"))
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-def assign_scopes(rows: DataFrame, scopes: DataFrame, keys: list[str] = KEYS, ts: str = "ts", span: int = HOUR) -> DataFrame:
+def assign_scopes(rows: DataFrame, scopes: DataFrame, keys: list[str] = KEYS, ts: str = "ts", span: int | None = HOUR) -> DataFrame:
     """Add ``session``, ``raid`` and ``instance``: the scope of each level that holds the row, null outside all."""
-    for level in _LEVELS:
-        own = scopes.filter(F.col("level") == level).select(*keys, "start_ts", "end_ts", F.col("scope").alias(level))
-        rows = assign_scope(rows, own, keys, ts, span, level)
-    return rows
+    value = F.struct(F.col("end_ts").alias("e"), F.col("scope").alias("v"))
+    starts = scopes.filter(F.col("end_ts").isNull() | (F.col("end_ts") > F.col("start_ts"))).select(
+        *keys, (F.col("start_ts") * 2).cast("long").alias("_pos"), F.col("level").alias("_level"), value.alias("_val"))
+    both = rows.withColumns({"_pos": (F.col(ts) * 2 + 1).cast("long"), "_left": F.lit(True)}).unionByName(starts, allowMissingColumns=True)
+    # Scopes of several levels may start together; a carry sees one level, and every row comes after them.
+    out = scan(both, keys, "_pos", [Carry(f"_{x}", "last", F.when(F.col("_level") == x, F.col("_val"))) for x in _LEVELS], span and span * 2).filter("_left")
+    held = lambda x: F.when(x["e"].isNull() | (F.col(ts) < x["e"]), x["v"])
+    return out.withColumns({x: held(F.col(f"_{x}")) for x in _LEVELS}).drop("_pos", "_left", "_level", "_val", *[f"_{x}" for x in _LEVELS])
 
 
-def number_pulls(rows: DataFrame, within: list[str], keys: list[str] = KEYS, pull: str = "pull", span: int = SPAN) -> DataFrame:
+def number_pulls(rows: DataFrame, within: list[str], keys: list[str] = KEYS, pull: str = "pull", span: int | None = SPAN) -> DataFrame:
     """Add ``number``: pulls counted from 1 in every scope of ``within`` (columns of scopes) of the stream."""
     some = rows.select(*keys, *within, pull).filter(F.col(pull).isNotNull()).distinct()
     # Null scopes are a scope of their own.
@@ -240,7 +244,7 @@ def number_pulls(rows: DataFrame, within: list[str], keys: list[str] = KEYS, pul
     return rows.select("*", *safe).join(numbered, [*by, pull], "left").drop(*[f"_{c}" for c in within])
 
 
-def assign_scope(rows: DataFrame, scopes: DataFrame, keys: list[str] = KEYS, ts: str = "ts", span: int = HOUR, scope: str = "segment") -> DataFrame:
+def assign_scope(rows: DataFrame, scopes: DataFrame, keys: list[str] = KEYS, ts: str = "ts", span: int | None = HOUR, scope: str = "segment") -> DataFrame:
     """Add the scope whose window ``[start_ts, end_ts)`` holds each row; null outside all.
 
     Windows of one stream do not overlap, so the latest start decides.

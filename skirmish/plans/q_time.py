@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skirmish.operators import aggregates as A
 from skirmish.operators import maintain as M
 from skirmish.operators import sessions as S
-from skirmish.operators.ordered import shared_folder, stage
+from skirmish.operators.ordered import shared_folder, span_for, stage
 from skirmish.plans.registry import query
 from skirmish.plans.render import EPOCH, combat_events, order_batches, streams
 from skirmish.plans.sql import BATCH, EV, SESS, SESS_GAP, STREAM, big
@@ -27,8 +27,26 @@ def folder(spark) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def sessioned(spark, sf):
-    return S.sessionize(order_batches(spark, sf), SESS_GAP, login=F.col("login"), span=_SPAN)
+def sessioned(spark, sf, span=_SPAN):
+    return S.sessionize(order_batches(spark, sf), SESS_GAP, login=F.col("login"), span=span)
+
+
+def _session_table(spark, sf):
+    """The sessions and the span of log times for what follows: None, and nothing staged, where every stream is one window."""
+    span = span_for(order_batches(spark, sf), S.KEYS, _SPAN)
+    if span is None:
+        return S.sessions(sessioned(spark, sf, None), span=None), None
+    return stage(S.sessions(sessioned(spark, sf))), 1 << 26
+
+
+def _segments(spark, sf):
+    ss, span = _session_table(spark, sf)
+    return S.segments(ss, _marks(spark, sf), span=span), span
+
+
+def _scopes(spark, sf):
+    ss, span = _session_table(spark, sf)
+    return stage(S.nested_scopes(stage(ss), _three_marks(spark, sf), span=span)), span
 
 
 @query("sessionize", f"WITH {SESS} SELECT stream_id, id, log_ts, CAST(session AS BIGINT) AS session FROM sx")
@@ -195,15 +213,16 @@ sg AS (SELECT stream_id, start_ts, kind, label, lead(start_ts) OVER w AS end_ts,
 
 @query("segments", f"WITH {_SEGS} SELECT * FROM sg")
 def segments(spark, sf):
-    return S.segments(stage(S.sessions(sessioned(spark, sf))), _marks(spark, sf), span=1 << 26)
+    return _segments(spark, sf)[0]
 
 
 @query("assign_scope", f"""WITH {_SEGS}, f AS (SELECT * FROM sg WHERE end_ts IS NULL OR end_ts > start_ts)
 SELECT bt.stream_id, bt.id, f.segment FROM bt ASOF LEFT JOIN f ON bt.stream_id = f.stream_id AND bt.log_ts >= f.start_ts""")
 def assign_scope(spark, sf):
     """Segment of every batch, by log time."""
-    seg = stage(S.segments(stage(S.sessions(sessioned(spark, sf))), _marks(spark, sf), span=1 << 26))
-    return S.assign_scope(order_batches(spark, sf), seg, ts="log_ts", span=1 << 26).select("stream_id", "id", "segment")
+    seg, span = _segments(spark, sf)
+    seg = seg if span is None else stage(seg)
+    return S.assign_scope(order_batches(spark, sf), seg, ts="log_ts", span=span).select("stream_id", "id", "segment")
 
 
 @query("segment_totals", f"""WITH {_SEGS}, f AS (SELECT * FROM sg WHERE end_ts IS NULL OR end_ts > start_ts),
@@ -211,9 +230,10 @@ j AS (SELECT bt.stream_id, f.segment, f.kind, bt.id FROM bt ASOF LEFT JOIN f ON
 SELECT kind, count(*) AS batches FROM j GROUP BY ALL""")
 def segment_totals(spark, sf):
     """Batches per kind of segment."""
-    seg = stage(S.segments(stage(S.sessions(sessioned(spark, sf))), _marks(spark, sf), span=1 << 26))
-    rows = S.assign_scope(order_batches(spark, sf), seg, ts="log_ts", span=1 << 26)
-    return rows.join(seg.select("stream_id", "segment", "kind"), ["stream_id", "segment"], "left").groupBy("kind").agg(F.count(F.lit(1)).alias("batches"))
+    seg, span = _segments(spark, sf)
+    seg = seg if span is None else stage(seg)
+    rows = S.assign_scope(order_batches(spark, sf), seg, ts="log_ts", span=span, scope="kind")
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("batches"))
 
 
 def _three_marks(spark, sf):
@@ -244,17 +264,17 @@ _VALS = ", ".join(f"CASE WHEN {x[0]}.end_ts IS NULL OR bt.log_ts < {x[0]}.end_ts
 @query("raid_totals", f"WITH {_NEST}, x AS (SELECT bt.stream_id, {_VALS} FROM bt {_IN}) SELECT stream_id, raid, count(*) AS batches, count(DISTINCT instance) AS instances FROM x WHERE raid IS NOT NULL GROUP BY ALL")
 def raid_totals(spark, sf):
     """Batches of every raid, over all the zone instances inside it."""
-    sc = stage(S.nested_scopes(stage(S.sessions(sessioned(spark, sf))), _three_marks(spark, sf), span=1 << 26))
-    rows = S.assign_scopes(order_batches(spark, sf), sc, ts="log_ts", span=1 << 26)
+    sc, span = _scopes(spark, sf)
+    rows = S.assign_scopes(order_batches(spark, sf), sc, ts="log_ts", span=span)
     return rows.filter("raid is not null").groupBy("stream_id", "raid").agg(F.count("*").alias("batches"), F.count_distinct("instance").alias("instances"))
 
 
 @query("numbered_pulls", f"WITH {_NEST}, x AS (SELECT bt.stream_id, bt.id // 3 AS pull, {_VALS} FROM bt {_IN}), d AS (SELECT DISTINCT stream_id, session, raid, pull FROM x) SELECT *, row_number() OVER (PARTITION BY stream_id, session, raid ORDER BY pull) AS number FROM d")
 def numbered_pulls(spark, sf):
     """Pulls (three batches each) counted anew in every session and raid."""
-    sc = stage(S.nested_scopes(stage(S.sessions(sessioned(spark, sf))), _three_marks(spark, sf), span=1 << 26))
-    rows = S.assign_scopes(order_batches(spark, sf).withColumn("pull", F.expr("id div 3")), sc, ts="log_ts", span=1 << 26)
-    return S.number_pulls(stage(rows.select("stream_id", "session", "raid", "pull").distinct()), ["session", "raid"], span=1 << 20)
+    sc, span = _scopes(spark, sf)
+    rows = S.assign_scopes(order_batches(spark, sf).withColumn("pull", F.expr("id div 3")), sc, ts="log_ts", span=span)
+    return S.number_pulls(stage(rows.select("stream_id", "session", "raid", "pull").distinct()), ["session", "raid"], span=span and 1 << 20)
 
 
 @query("add_markers", f"""WITH {_MARKS}, old AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts) AS id FROM mk WHERE kind = 'raid_start'),

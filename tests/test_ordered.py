@@ -93,3 +93,17 @@ def test_totals_of_overlapping_scopes_equal_rows_met(spark):
     keep = spark.createDataFrame(list(want), "stream_id string, raid long")
     got = S.scope_totals(ev, sc.join(keep, ["stream_id", "raid"], "left_semi"), "dmg", span=7, scope="raid").collect()
     assert {(x.stream_id, x.raid): (x.rows, x.total) for x in got} == want and len(got) == len(want) > 30
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_window_equals_chunks(spark, seed):
+    """Without a span a sequence is one window, with the results of chunks; the span is kept where a key has more rows."""
+    from skirmish.operators.ordered import span_for
+
+    df = spark.createDataFrame(rows_for(seed), "k string, pos long, v long, flag boolean")
+    carries = [Carry("l", "last", F.col("v")), Carry("p", "last", F.col("v"), inclusive=False), Carry("n", "next", F.col("v")), Carry("s", "sum", F.col("v"), inclusive=False), Carry("m", "max", F.col("v"))]
+    seg = lambda d, span: segment(d, ["k"], "pos", F.struct("v"), lambda a, b: b["v"] - a["v"] > 20, member=F.col("v").isNotNull(), breaker=F.col("flag"), span=span)
+    for f in (lambda s: scan(df, ["k"], "pos", carries, s), lambda s: seg(df, s), lambda s: as_of(df, df.filter("flag"), ["k"], "pos", "pos", "at", F.col("v"), s)):
+        assert sorted(map(str, f(None).collect())) == sorted(map(str, f(16).collect()))
+    most = max(r["count"] for r in df.groupBy("k").count().collect())
+    assert span_for(df, ["k"], 16, most) is None and span_for(df, ["k"], 16, most - 1) == 16
