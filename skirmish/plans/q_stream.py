@@ -36,6 +36,26 @@ def _twice(spark: SparkSession, df: DataFrame, first, build, mode: str = "append
     return spark.read.parquet(out)
 
 
+def _in_order(spark: SparkSession, df: DataFrame, build, rows: int = 2_000_000, order: str = "line_no") -> DataFrame:
+    """Feed the rows to one stream in the order of their lines, two runs at least and at most about ``rows`` rows each, and read its sink.
+
+    A micro-batch holds the rows of a stream together, so its size is bounded here, and the memory of a task with it.
+    """
+    live.use_rocksdb(spark)
+    src, out, cp = folder(spark), folder(spark), folder(spark)
+    n = max(2, -(-df.count() // rows))
+    cuts = sorted({int(x) for x in df.approxQuantile(order, [i / n for i in range(1, n)], 0.1 / n)})
+    at = F.col(order)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df if low is None else df.filter(at >= low)
+        (part if high is None else part.filter(at < high)).write.mode("append").parquet(src)
+        stream = build(spark.readStream.schema(df.schema).parquet(src))
+        with live.sized(spark):
+            q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return spark.read.parquet(out)
+
+
 def _merged(spark: SparkSession, df: DataFrame, first, build, keys: list[str]) -> DataFrame:
     """As ``_twice`` in output mode update: the last row of every key."""
     live.use_rocksdb(spark)
@@ -66,15 +86,13 @@ def stream_sessions(spark, sf):
 @query("stream_instances", f"WITH {INST} SELECT stream_id, line_no, own AS mob FROM iv WHERE touch OR k = 'slay'")
 def stream_instances(spark, sf):
     ev = combat_events(spark, sf).select("stream_id", "line_no", "ts", "k", "tgt", "off", "mob_name", "touch")
-    return _twice(spark, ev, F.col("ts") < EPOCH + 10_000, lambda s: live.stream_instances(s, I.GAP))
+    return _in_order(spark, ev, lambda s: live.stream_instances(s, I.GAP))
 
 
 @query("stream_lines_to_instances", f"WITH {INST} SELECT stream_id, line_no, own AS mob FROM iv WHERE touch OR k = 'slay'")
 def stream_lines_to_instances(spark, sf):
     """Log text in, instances out: parsing, direction and instances as one stream of two chained states."""
-    rows = combat_lines(spark, sf).withColumn("ts", times.line_epoch(F.col("raw")))
-    build = lambda s: live.stream_instances(live.stream_events(s.drop("ts")), I.GAP)
-    return _twice(spark, rows, F.col("ts") < EPOCH + 10_000, build)
+    return _in_order(spark, combat_lines(spark, sf), lambda s: live.stream_instances(live.stream_events(s), I.GAP))
 
 
 @query("tailed_lines", _COV)

@@ -123,3 +123,21 @@ def test_sessions_of_many_streams_in_few_groups(spark):
     df = spark.createDataFrame(rows, schema).fillna("null", ["stream_id"])
     want = {(None if x.stream_id == "null" else x.stream_id, x.id): x.session for x in sessionize(df, 20, login=df["login"], span=4).collect()}
     assert got == want and len(got) == len(rows) and max(got.values()) > 3
+
+
+def test_lines_fed_in_order_and_in_bounded_runs(spark):
+    """Runs hold about as many rows as asked for, in the order of the lines, and no row is lost."""
+    from pyspark.sql import functions as F
+
+    from skirmish.plans import q_stream
+
+    n, runs = 90, []
+
+    def build(s):
+        runs.append(0)
+        return s.withColumn("run", F.lit(len(runs)))
+
+    df = spark.range(n).select(F.lit("a").alias("stream_id"), ((F.col("id") * 37) % n).alias("line_no"))
+    out = sorted((r.line_no, r.run) for r in q_stream._in_order(spark, df, build, rows=30).collect())
+    assert [x for x, _ in out] == list(range(n)) and [x for _, x in out] == sorted(x for _, x in out)
+    assert len(runs) == 3 and max(sum(x == i for _, x in out) for i in (1, 2, 3)) <= 40
