@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,11 +32,20 @@ def _map(values: dict[str, Column]) -> Column:
     return F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")
 
 
+def reads_of(rule: dict) -> set[str]:
+    """Names that conditions on variables and texts of actions of a rule look up."""
+    conds = [c for c in rule["conditions"] if c["type"] == "var"]
+    texts = [c.get("value") for c in conds] + [a.get(t) for a in rule.get("actions") or [] for t in ("value", "message", "tts_text")]
+    return {c.get("var_name") or "" for c in conds} | {n for t in texts for n in templates._PLACEHOLDER.findall(t or "")}
+
+
 def facts_of(rule: dict, number: int, captured: list[tuple[Column, dict[str, Column], dict[str, Column]]], known: dict[str, Column]) -> Column:
     """What a line says about one rule, as a struct; null where the rule can't fire whatever its variables are.
 
-    ``captured`` holds, for each condition on text, whether it holds and its named and numbered captures.
+    ``captured`` holds, for each condition on text, whether it holds and its named and numbered captures; only those that
+    the rule reads are kept.
     """
+    read = reads_of(rule)
     tests = [c["type"] == "var" for c in rule["conditions"]]
     if rule.get("logic", "all") == "any":
         may = F.lit(any(tests) or not tests)
@@ -45,7 +55,8 @@ def facts_of(rule: dict, number: int, captured: list[tuple[Column, dict[str, Col
         may = F.lit(True)
         for passed, _, _ in captured:
             may = may & passed
-    conds = [F.struct(p.alias("p"), _map(n).alias("n"), _map(g).alias("g")) for p, n, g in captured]
+    some = lambda values: _map({n: v for n, v in values.items() if n in read})
+    conds = [F.struct(p.alias("p"), some(n).alias("n"), some(g).alias("g")) for p, n, g in captured]
     conds = F.array(*conds) if conds else F.lit(None).cast("array<struct<p:boolean,n:map<string,string>,g:map<string,string>>>")
     return F.when(may, F.struct(F.lit(number).alias("r"), conds.alias("c"), _map(known).alias("v")))
 
@@ -56,6 +67,12 @@ def fact_line(structs: list[Column]) -> Column:
     return F.when(F.size(found) > 0, F.to_json(found))
 
 
+@lru_cache(1 << 16)
+def facts_in(text: str) -> list[dict]:
+    """The facts of a line; lines that say the same share them."""
+    return json.loads(text)
+
+
 class Machine:
     """Applies rules to the facts of one line after the other, over a state of stored variables."""
 
@@ -68,7 +85,7 @@ class Machine:
 
     @staticmethod
     def _fill(template: str, find) -> str:
-        return templates._PLACEHOLDER.sub(lambda m: m[0] if (v := find(m[1])) is None else v, template)
+        return template if "{" not in template else templates._PLACEHOLDER.sub(lambda m: m[0] if (v := find(m[1])) is None else v, template)
 
     def _holds(self, c: dict, find) -> bool:
         stored, value = find(c["var_name"] or ""), self._fill(c["value"] or "", find)
@@ -153,7 +170,7 @@ def _ends(events: DataFrame, starts: DataFrame, machine: Machine, nth: int) -> D
                     states.append(json.loads(body))
                     names.append([body])
                     continue
-                line = json.loads(body)
+                line = facts_in(body)
                 for s in states:
                     for _ in machine.step(line, s):
                         pass
@@ -234,7 +251,7 @@ def replay(events: DataFrame, keys: list[str], order: str, machine: Machine, slo
                     state = json.loads(body)
                     continue
                 writes: list[str | None] = [None] * len(slots)
-                for rule, n, a, value in machine.step(json.loads(body), state):
+                for rule, n, a, value in machine.step(facts_in(body), state):
                     if (rule, n) in slots:
                         writes[slots[rule, n]] = value
                 if any(w is not None for w in writes):

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from skirmish.operators import classify as C
 from skirmish.operators.classify import BUFF_SECS, SUMMON_SECS
 from skirmish.operators.instances import GAP
-from skirmish.operators.machine import Machine
+from skirmish.operators.machine import Machine, facts_in
 from skirmish.operators.parse import parse_lines
 from skirmish.operators.rules import rule_facts
 from skirmish.operators.sessions import SESSION_GAP
@@ -301,7 +301,7 @@ class _Rules(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values("line_no", kind="stable")
         out, later = [], {}
         for line_no, ts, facts in zip(batch["line_no"], batch["ts"], batch["facts"]):
-            for rule, n, a, text in self.machine.step(json.loads(facts), state):
+            for rule, n, a, text in self.machine.step(facts_in(facts), state):
                 sounds, delay = a.get("sounds") or [], max(0.0, float(a.get("delay_secs") or 0.0))
                 if a["type"] == "store" or (a["type"] == "voice" and not text) or (a["type"] == "sound" and not sounds):
                     continue
