@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.functions import chatter, templates, times
-from skirmish.operators.machine import Machine, fact_line, facts_of, replay
-from skirmish.operators.ordered import SPAN, Carry, scan
+from skirmish.operators.machine import Machine, fact_line, facts_of, reads_of, replay
+from skirmish.operators.ordered import SPAN, Carry, scan, stage
 
 KEYS = ["stream_id"]
 
@@ -229,17 +229,28 @@ def variable_levels(rules: list[dict]) -> list[tuple[list[str], bool]]:
 def _facts(rule: dict, number: int, line: Column, known: dict[str, Column]) -> Column:
     """The facts of one rule on one line, with the variables that are known already."""
     texts = {**rule, "conditions": [c for c in rule["conditions"] if c["type"] != "var"]}
-    reads = _reads(rule) | {m for a in rule.get("actions", []) for t in (a.get("message"), a.get("tts_text")) for m in re.findall(r"\{([^}]+)\}", t or "")}
+    reads = reads_of(rule)
     return facts_of(rule, number, _Eval(texts, line, {}).captured, {n: v for n, v in known.items() if n in reads})
 
 
+def _may_fire(rule: dict, line: Column) -> Column:
+    """Whether the texts of a line let a rule fire, whatever its variables are."""
+    texts = [c for c in rule["conditions"] if c["type"] != "var"]
+    passed = [p for p, _, _ in _Eval({**rule, "conditions": texts}, line, {}).captured]
+    if rule.get("logic", "all") == "any":
+        return reduce(lambda a, b: a | b, passed, F.lit(len(passed) < len(rule["conditions"]) or not passed))
+    return reduce(lambda a, b: a & b, passed, F.lit(True))
+
+
 def _resolve_variables(
     lines: DataFrame, rules: list[dict], line: str, seeds: dict[str, str], keys: list[str], order: str, span: int
 ) -> tuple[DataFrame, list[dict[str, Column]]]:
     """Lines with the stored variables as columns, and per rule the values it sees."""
     seen = [{n: F.lit(v) for n, v in seeds.items()} for _ in rules]
     slots: dict[tuple[int, int], str] = {}
-    for level, loop in variable_levels(rules):
+    for nth, (level, loop) in enumerate(variable_levels(rules)):
+        # Every level reads its lines several times over.
+        lines = stage(lines) if nth else lines
         writes: dict[str, list[tuple[int, str]]] = {v: [] for v in level}
         mine = {}
         for j, rule in enumerate(rules):
@@ -273,6 +284,8 @@ def _resolve_variables(
 def _evaluated(lines, rules, raw, seeds, keys, order, span):
     compiled = compile_rules(rules)
     rows = lines.withColumn("_text", times.strip_prefix(F.col(raw)))
+    if variable_levels(compiled):  # the other lines store nothing and fire nothing
+        rows = stage(rows.filter(reduce(lambda a, b: a | b, [_may_fire(r, F.col("_text")) for r in compiled])))
     rows, seen = _resolve_variables(rows, compiled, "_text", seeds or {}, keys, order, span)
     return rows, compiled, [_Eval(r, F.col("_text"), seen[j]) for j, r in enumerate(compiled)]
 

@@ -229,3 +229,27 @@ def test_escaped_backslash_is_no_reference():
     assert to_java(r"a\\1")[0] == r"(?d)a\\1"
     with pytest.raises(ValueError):
         to_java(r"(a)\1")
+
+
+def test_facts_hold_only_what_a_rule_reads(spark):
+    from skirmish.operators.rules import rule_facts
+
+    rule = {"rule_id": 1, "name": "x", "logic": "all", "conditions": [{"type": "match", "match_type": "regex", "pattern": r"(?P<who>\w+) hits (?P<mob>\w+) for (\d+)"}],
+            "actions": [{"type": "alert", "message": "{who} {3}"}, {"type": "store", "var_name": "last", "value": "{who}"}]}
+    df = spark.createDataFrame([("Pab hits rat for 7",), ("nothing",)], "raw string")
+    (row,) = rule_facts(df, [rule])[0].collect()
+    assert '"who":"Pab"' in row.facts and '"3":"7"' in row.facts and "rat" not in row.facts
+
+
+def test_lines_that_say_nothing_are_left_out_before_the_scans(spark):
+    """Only lines on which a rule may fire go through the scans of variables; an any-rule with a variable keeps all."""
+    from pyspark.sql import functions as F
+
+    from skirmish.operators.rules import _may_fire, compile_rules
+
+    text = {"type": "match", "match_type": "exact", "pattern": "hit"}
+    var = {"type": "var", "var_name": "v", "op": "isset"}
+    rules = compile_rules([{"name": str(i), "logic": logic, "conditions": c, "actions": []} for i, (logic, c) in enumerate([("all", [text, var]), ("any", [text, var]), ("any", [text]), ("all", [var]), ("any", [])])])
+    df = spark.createDataFrame([("a hit",), ("none",)], "raw string")
+    rows = df.select(*[_may_fire(r, F.col("raw")).alias(str(i)) for i, r in enumerate(rules)]).collect()
+    assert [tuple(r) for r in rows] == [(True,) * 5, (False, True, False, True, True)]
