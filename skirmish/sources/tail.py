@@ -17,6 +17,8 @@ from skirmish.functions.names import player_from_filename, server_from_filename
 from skirmish.sources.logs import LOG_GLOB
 
 _BLOCK = 1 << 20
+# Splits of one batch, beyond one for each file; those of a larger backlog are wider.
+_TASKS = 512
 # Bits of a line number that hold the byte in the file; the rest is the minute in which the log began.
 _BYTES = 36
 _MONTHS = {m: i for i, m in enumerate("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split())}
@@ -76,13 +78,15 @@ class _Tail(DataSourceStreamReader):
         return 0
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        out: list[InputPartition] = []
+        ranges = []
         for path, (stop, head, minute) in sorted(end.items()):
             begun, known, _ = start.get(path, [0, head, minute])
             # Another first line, or an end before the last one: the file was begun anew.
             first = begun if known == head and begun <= stop else 0
-            out += [_Split(path, a, min(a + self.split, stop), stop, first, minute) for a in range(first, stop, self.split)]
-        return out
+            ranges.append((path, first, stop, minute))
+        # A large backlog has wider splits rather than more and more tasks.
+        width = max(self.split, sum(stop - first for _, first, stop, _ in ranges) // _TASKS)
+        return [_Split(path, a, min(a + width, stop), stop, first, minute) for path, first, stop, minute in ranges for a in range(first, stop, width)]
 
     def read(self, partition: _Split) -> Iterator[pa.RecordBatch]:
         p = partition
@@ -139,7 +143,7 @@ def tail_logs(spark: SparkSession, path: str, pattern: str = LOG_GLOB, split_byt
 
     A batch reads each file from the byte where the last one ended to its last line end; the half line behind it waits.  A file
     that became shorter or got another first line was begun anew and is read from its start.  New bytes are
-    read in splits of ``split_bytes``, so a large backlog spreads over tasks; nothing bounds the lines of a file.  ``line_no`` is the byte where
+    read in splits of ``split_bytes``, or wider ones where there would be over 512, so a large backlog spreads over tasks; nothing bounds the lines of a file.  ``line_no`` is the byte where
     the line starts, below the minute of the log's first stamp, so lines of a log that was begun anew come after those before;
     two logs begun in one minute, or without stamps, would share numbers.  Empty lines are dropped, and bytes that are no text become marks.
 

@@ -55,3 +55,17 @@ def test_no_line_limit_and_empty_folder(spark):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("tailed").collect()] == [("eqlog_B_x", 1_200_001, 3_000_000)]
+
+
+def test_large_backlog_has_wider_splits():
+    """The splits of a batch stay few, cover every byte once, and small backlogs keep the width asked for."""
+    from skirmish.sources.tail import _Tail
+
+    tail = _Tail({"path": "/tmp", "splitBytes": "65536"})
+    end = {"a": [10**10, "x", 0], "b": [3 * 10**9, "y", 0], "c": [70_000, "z", 0]}
+    parts = tail.partitions({"b": [10**9, "y", 0]}, end)
+    assert len(parts) <= 512 + 3
+    for path, first in (("a", 0), ("b", 10**9), ("c", 0)):
+        mine = [(p.start, p.stop) for p in parts if p.path == path]
+        assert mine[0][0] == first and mine[-1][1] == end[path][0] and all(x[1] == y[0] for x, y in zip(mine, mine[1:]))
+    assert [(p.start, p.stop) for p in tail.partitions({}, {"c": end["c"]})] == [(0, 65536), (65536, 70_000)]
