@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skirmish.llm import cotrain, decontam, lines, mixing, similar, simhash
 from skirmish.llm.base import read
-from skirmish.operators.ordered import shared_folder
+from skirmish.operators.ordered import shared_folder, shuffles_removed, store
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,8 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     First SimHash classes (two bits of three-word shingles), which take exact copies and all but equal texts; of what is left, documents
     with a Jaccard similarity of 0.8 or more over five-word shingles, every pair verified.  Texts without words are one group; repeated
     rows are copies; a null id never wins over another; nothing comes of an empty table; other columns than those of documents are dropped.
+    What the first leaves is stored, since the second reads it three times.
     """
-    return similar.one_per_group(simhash.one_per_class(docs)).select(*COLUMNS)
+    return similar.one_per_group(store(simhash.one_per_class(docs))).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{n}")
+            with shuffles_removed(spark):
+                docs.select("*").write.parquet(f"{folder}/{n}")
             docs = spark.read.parquet(f"{folder}/{n}")
     return docs

@@ -63,3 +63,8 @@ def test_run(spark, folder):
 
 def test_names():
     assert len(corpus_pipeline.STAGES) == 5 and len({n for n, _ in corpus_pipeline.STAGES}) == 5
+
+
+def test_near_duplicates_store_what_simhash_leaves(spark, folder):
+    near = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert near.inputFiles() and all("/stored-" in f for f in near.inputFiles())

@@ -107,3 +107,26 @@ def test_one_window_equals_chunks(spark, seed):
         assert sorted(map(str, f(None).collect())) == sorted(map(str, f(16).collect()))
     most = max(r["count"] for r in df.groupBy("k").count().collect())
     assert span_for(df, ["k"], 16, most) is None and span_for(df, ["k"], 16, most - 1) == 16
+
+
+def test_stage_and_store_leave_no_shuffle_files(spark):
+    import time
+
+    from skirmish.operators.ordered import stage, store
+
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f.rsplit("/", 1)[-1] for f in files.split("\n") if "/shuffle_" in f}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    asked = spark.conf.get(setting)
+    rows = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.sum("id").alias("s"))
+    for keep in (stage, store):
+        before = shuffles()
+        kept = keep(rows)
+        end = time.time() + 10
+        while shuffles() - before and time.time() < end:
+            time.sleep(0.2)
+        assert not shuffles() - before
+        assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows.collect()))
+    assert spark.conf.get(setting) == asked
