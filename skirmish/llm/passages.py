@@ -80,7 +80,8 @@ class Paragraphs:
         ends[tails[flat.lengths > 0]] = True
         close = np.flatnonzero(ends)
         length = np.diff(np.concatenate([[-1], close]))
-        tail = _mix(words[close] + words[np.maximum(close - 1, 0)] * _Q)
+        # The word before the first of a text is none, not that of the text before.
+        tail = _mix(words[close] + np.where(close > heads[flat.doc[close]], words[close - 1], np.uint64(0)) * _Q)
         cut = (length >= _LONG) | (tail % np.uint64(2) == 0)
         cut[np.isin(close, tails[flat.lengths > 0])] = True
         last = close[cut]
@@ -88,7 +89,7 @@ class Paragraphs:
         size = last - first + 1
         # The order of the words counts: positions weigh in.
         sh = words.copy()
-        for k in range(1, SHINGLE):
+        for k in range(1, min(SHINGLE, n)):
             sh[: n - k] = _mix(sh[: n - k]) + words[k:]
         sh = _mix(sh)
         para = np.repeat(np.arange(len(first)), size)
@@ -182,17 +183,18 @@ def _links(docs: DataFrame, distinct: DataFrame, bands: int, bucket: int) -> Dat
 
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            codes, sets = [], []
-            for text, want in zip(b["text"], b["want"]):
-                p = Paragraphs([text])
-                need = set(np.asarray(want, np.int64).tolist())
-                starts = np.append(np.searchsorted(p.owner, np.arange(len(p.code))), len(p.owner))
-                for k, c in enumerate(p.code.view(np.int64).tolist()):
-                    if c in need:
-                        need.discard(c)
-                        codes.append(c)
-                        sets.append(np.unique(p.shingles[starts[k] : starts[k + 1]]).view(np.int64))
-            yield pd.DataFrame({"code": pd.Series(codes, dtype="int64"), "set": pd.Series(sets, dtype=object)})
+            at = 0
+            for run in chunks(list(b["text"])):
+                p = Paragraphs(run)
+                # Equal codes are equal words, so any paragraph of the run with a wanted code will do.
+                want = np.concatenate([np.asarray(w, np.int64) for w in b["want"].iloc[at : at + len(run)]])
+                code = p.code.view(np.int64)
+                codes, some = np.unique(code, return_index=True)
+                some = some[np.isin(codes, want)]
+                starts = np.append(np.searchsorted(p.owner, np.arange(len(code))), len(p.owner))
+                sets = [np.unique(p.shingles[starts[k] : starts[k + 1]]).view(np.int64) for k in some]
+                yield pd.DataFrame({"code": code[some], "set": pd.Series(sets, dtype=object)})
+                at += len(run)
 
     sets = docs.join(exemplars, docs["key"] == F.col("of")).select("text", "want").mapInPandas(shingle, "code long, set array<long>")
     sets = stage(sets.dropDuplicates(["code"]))
@@ -346,7 +348,7 @@ def shared_runs(ids: DataFrame) -> DataFrame:
     told = spelled.select("doc", F.explode(F.arrays_zip("code", "open")).alias("x")).select("doc", "x.code", "x.open")
     known = told.groupBy("code").agg(F.min("doc").alias("keeper"), F.max("doc").alias("most"), F.max("open").alias("open")).filter("open and keeper <> most").select("code", "keeper")
     wanted = spelled.select("doc", F.explode(F.filter(F.arrays_zip("at", "code", "open"), lambda x: x["open"])).alias("x")).select("doc", "x.at", "x.code")
-    found = wanted.join(known, "code").select("doc", "at", "keeper")
+    found = stage(wanted.join(known, "code").select("doc", "at", "keeper"))
     return hits.unionByName(found).select("doc", F.col("at").alias("first"), (F.col("at") + GRAM - 1).alias("last"), "keeper")
 
 

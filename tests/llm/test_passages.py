@@ -156,3 +156,22 @@ def test_whole_passages_keep_one_copy(make):
         before = next(x[1] for x in rows if x[0] == r.doc_id)
         assert len((before or "").split()) - len((r.text or "").split()) == lost.get(r.doc_id, 0)
     assert lost[1] == 0 and lost[2] >= 68 and passages.whole_passages(make([])).count() == 0
+
+
+def test_shared_runs_end_in_a_stored_frame(make):
+    text = prose(80, 1)
+    docs = make([(1, text), (2, "x " + text), (3, prose(80, 2))])
+    runs = passages.shared_runs(docs.selectExpr("doc_id AS key", "text"))
+    assert "Exchange" not in runs._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc for r in runs.collect()} == {1, 2}
+
+
+def test_paragraphs_do_not_depend_on_the_texts_beside_them():
+    texts = [f"{w}. {prose(30, k)}" for k, w in enumerate(["Stop", "Go", "Wait", "Now", "Here", "There"] * 3)]
+    together, alone = passages.Paragraphs(texts), [passages.Paragraphs([t]) for t in texts]
+    for k, p in enumerate(alone):
+        assert together.code[together.doc == k].tolist() == p.code.tolist()
+
+
+def test_very_short_texts_alone_have_no_paragraph():
+    assert not len(passages.Paragraphs(["one"]).code) and not len(passages.Paragraphs(["one two.", None]).code)
