@@ -71,6 +71,7 @@ def parse_lines(
     raw: str = "raw",
     zone: str | Column = "UTC",
     skew: int = 0,
+    only: list[str] | None = None,
     **options: bool,
 ) -> DataFrame:
     """Typed rows before attribution, one per line (:func:`match_lines` plus meaning).
@@ -79,7 +80,8 @@ def parse_lines(
     direction still open), ``src``, ``tgt``, ``dmg``, ``amt``, ``typ``, ``sp``, ``item``,
     ``qty``, ``copper``, ``result``, ``name``, ``classes``, ``level``, ``kind``, ``label``,
     ``off``, ``mods``.  The option ``spell_before_melee`` adds ``plain``, which
-    :func:`skirmish.operators.classify.attribute_spell` uses up.
+    :func:`skirmish.operators.classify.attribute_spell` uses up.  With ``only``, no other of these columns are made; a caller
+    who needs few saves the rest, since what ``once`` makes is made whole.
     """
     m = match_lines(lines, raw, **options)
     who = F.col(player)
@@ -181,6 +183,9 @@ def parse_lines(
             n(v["src"]).alias("src"), n(v["tgt"]).alias("tgt"), F.coalesce(v["num"].try_cast("long"), F.lit(0).cast("long")).alias("dmg"),
             names.normalize_verb(v["x"]).alias("typ"), v["x"].alias("verb")))
     drop = {"_mark", "c_plain", *[f"c_{f}" for f in FIELDS]}
+    if only is not None:
+        cols = {n: x for n, x in cols.items() if n in only}
+        drop |= {"classes"} - set(only)
     return once(out, **cols).drop(*drop)
 
 

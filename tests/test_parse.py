@@ -207,3 +207,11 @@ def test_generated_code_reads_the_same(spark, lines):
         assert sorted(map(str, parse_lines(df).collect())) == plain
     finally:
         spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
+def test_only_the_columns_asked_for_are_made(spark):
+    raw = "[Mon Jan 01 00:00:00 2024] --You have looted a gem from a rat's corpse.--"
+    lines = spark.createDataFrame([(raw, "Izzin")], "raw string, player string")
+    few, every = parse_lines(lines, only=["k", "item", "tgt"]), parse_lines(lines)
+    assert {"k", "item", "tgt"} <= set(few.columns) and not {"src", "copper", "classes"} & set(few.columns)
+    assert few.select("k", "item", "tgt").collect() == every.select("k", "item", "tgt").collect()
