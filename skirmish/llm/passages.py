@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skirmish.llm.base import components, fresh, stage
-from skirmish.llm.grams import chunks, flatten, word_hashes
+from skirmish.llm.base import components, fresh, small, stage
+from skirmish.llm.grams import Flat, chunks, flatten, powers, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -24,13 +25,17 @@ GRAM = 8
 _SPREAD = 32
 # Words between two shared runs that may differ.
 GAP = 4
+# Bits of a stretch's hash that hold its length, at most _SPREAD.
+_STEP = 63
+# Characters hashed at once; arrays of so many stay in a processor's cache.
+_RUN = 1 << 18
 # Paragraphs to look up in their documents that may be broadcast, 8 bytes each; more are joined by document.
 _BROADCAST = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 # Marks that end a sentence, and marks that do not count in comparisons.
 _ENDS = np.frombuffer(b".!?", np.uint8)
-_MARKS = np.frombuffer(b".,;:!?\"'()", np.uint8)
+_MARKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\"'()", np.uint8))
 
 
 def tune(similarity: float = SIMILARITY, recall: float = 0.99, most: int = 32) -> tuple[int, int]:
@@ -47,6 +52,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class Words:
+    """The words of some texts: ``flat``, ``code`` (a 64-bit hash of each, case and marks aside) and ``heads`` (first word of every text)."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        self.texts = texts
+        self.flat = flatten(texts)
+        letters = np.where(_MARKS[self.flat.data], np.uint8(32), self.flat.data)
+        self.code = word_hashes(Flat(letters, self.flat.starts, self.flat.doc, self.flat.lengths, self.flat.bounds))
+        self.heads = np.cumsum(self.flat.lengths) - self.flat.lengths
+
+
 class Paragraphs:
     """The paragraphs of some texts, as flat arrays: ``doc``, ``number`` in the document, ``first`` word, ``size`` in words,
     ``code`` (a 64-bit hash of the words), and the shingle hashes with their owners.
@@ -56,26 +72,20 @@ class Paragraphs:
     falls into the same paragraphs wherever it stands, but for its first and last.
     """
 
-    def __init__(self, texts: list[str | None]) -> None:
-        flat = flatten(texts)
-        raw = b" " + b" ".join((t.lower() if t else "").encode("utf-8", "surrogatepass") for t in texts) + b" "
-        newline = np.frombuffer(raw, np.uint8) == 10
-        marks = np.isin(flat.data, _MARKS)
+    def __init__(self, texts: list[str | None] | Words) -> None:
+        given = texts if isinstance(texts, Words) else Words(texts)
+        flat, words, heads = given.flat, given.code, given.heads
         n = len(flat.starts)
         self.doc, self.number, self.first, self.size = (np.zeros(0, np.int64) for _ in range(4))
         self.code, self.shingles, self.owner = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if not n:
             return
-        letters = flat.data.copy()
-        letters[marks] = 32
-        words = word_hashes(type(flat)(letters, flat.starts, flat.doc, flat.lengths, flat.bounds))
-        limits = np.append(flat.starts[1:], len(flat.data))
-        blanks = np.cumsum(flat.data == 32)
-        last_letter = limits - 1 - (blanks[limits - 1] - blanks[flat.starts])  # one blank or more follow every word
+        raw = b" " + b" ".join((t.lower() if t else "").encode("utf-8", "surrogatepass") for t in given.texts) + b" "
+        gaps = np.flatnonzero(flat.data == 32)
+        last_letter = gaps[np.searchsorted(gaps, flat.starts)] - 1
         ends = np.isin(flat.data[last_letter], _ENDS)
-        nl = np.cumsum(newline)
-        ends |= nl[limits - 1] > nl[flat.starts]
-        heads = np.cumsum(flat.lengths) - flat.lengths
+        newlines = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+        ends[np.searchsorted(flat.starts, newlines[newlines > flat.starts[0]], "right") - 1] = True
         tails = heads + flat.lengths - 1
         ends[tails[flat.lengths > 0]] = True
         close = np.flatnonzero(ends)
@@ -112,15 +122,23 @@ class Paragraphs:
         return [np.minimum.reduceat(_mix(self.shingles * np.uint64(int(_P) * (2 * k + 1) % (1 << 64)) + np.uint64(k)), starts) for k in range(count)]
 
 
-def _distinct(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """One row per distinct paragraph: code, its least and largest document, and a hash for every band."""
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    """A list per text from flat values."""
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
+
+
+def _marks(ids: DataFrame) -> DataFrame:
+    """One stored row per document of ``ids`` (key, text), all that is compared first: its paragraphs (``first``, ``size``, ``para``, a hash
+    for every band) and its anchors (``at``, ``code``, and ``link``, the hash of the words from an anchor to the end of the next, 0 for the last)."""
+    bands, rows = tune()
     names = [f"b{k}" for k in range(bands)]
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for run in chunks(list(b["text"])):
-                p = Paragraphs(run)
+            for run in chunks(b.column("text").to_pylist(), _RUN):
+                w = Words(run)
+                p = Paragraphs(w)
                 least = p.minhashes(bands * rows)
                 keys = []
                 for k in range(bands):
@@ -128,13 +146,23 @@ def _distinct(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     for m in least[k * rows : (k + 1) * rows]:
                         key = _mix(key * _Q + m)
                     keys.append(key.view(np.int64))
-                out = pd.DataFrame({"code": p.code.view(np.int64), "doc": b["key"].to_numpy()[at + p.doc], **dict(zip(names, keys))})
-                yield out.drop_duplicates(["code", "doc"])
+                every = np.arange(len(run) + 1)
+                paras = np.searchsorted(p.doc, every)
+                doc, place, code = _grams(w)
+                some = _anchors(doc, code)
+                doc, place, code = doc[some], place[some], code[some]
+                grams = np.searchsorted(doc, every)
+                columns = [p.first.astype(np.int32), p.size.astype(np.int32), p.code.view(np.int64), *keys]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("key").slice(at, len(run)), *(_lists(c, paras) for c in columns)]
+                    + [_lists(c, grams) for c in (place.astype(np.int32), code.view(np.int64), _stretches(w, doc, place).view(np.int64))],
+                    ["doc", "first", "size", "para", *names, "at", "code", "link"],
+                )
                 at += len(run)
 
-    kind = docs.schema["key"].dataType.simpleString()
-    made = docs.mapInPandas(sign, f"code long, doc {kind}, " + ", ".join(f"{n} long" for n in names))
-    return made.groupBy("code").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), *(F.min(n).alias(n) for n in names))
+    kind = ids.schema["key"].dataType.simpleString()
+    arrays = ", ".join(f"{n} array<long>" for n in names)
+    return stage(ids.mapInArrow(mark, f"doc {kind}, first array<int>, size array<int>, para array<long>, {arrays}, at array<int>, code array<long>, link array<long>"))
 
 
 def _forest(codes: list[int], sets: list[np.ndarray], groups: list[int]) -> list[tuple[int, int]]:
@@ -167,16 +195,28 @@ def _forest(codes: list[int], sets: list[np.ndarray], groups: list[int]) -> list
     return out
 
 
-def _links(docs: DataFrame, distinct: DataFrame, bands: int, bucket: int) -> DataFrame:
+def _paragraphs(marks: DataFrame) -> DataFrame:
+    names = [c for c in marks.columns if c in ("first", "size", "para") or c[0] == "b"]
+    return marks.select("doc", F.posexplode(F.arrays_zip(*names)).alias("number", "x")).select("doc", "number", "x.*")
+
+
+def _members(marks: DataFrame) -> DataFrame:
+    """(band, code): the distinct paragraphs that share a band with another one."""
+    paras = _paragraphs(marks)
+    keyed = paras.select(F.col("para").alias("code"), F.explode(F.array(*(c for c in paras.columns if c[0] == "b"))).alias("band"))
+    shared = stage(keyed.groupBy("band").agg(F.min("code").alias("low"), F.max("code").alias("high")).filter("low <> high").select("band"))
+    return stage(keyed.join(small(shared), "band").select("band", "code").distinct())
+
+
+def _links(docs: DataFrame, members: DataFrame, distinct: DataFrame, bucket: int) -> DataFrame:
     """Verified links (a, b) between distinct paragraphs that share a band.
 
     A bucket is compared within one row of at most ``bucket`` paragraphs; larger ones are cut into blocks by code and every
     pair of blocks is such a row, so all pairs are compared and no group is gathered whole.
     """
-    keyed = distinct.select("code", "least", F.explode(F.array(*(F.col(f"b{k}") for k in range(bands)))).alias("band"))
-    sizes = keyed.groupBy("band").count().filter("count > 1")
-    members = stage(keyed.join(sizes, "band").withColumn("blocks", F.ceil(F.col("count") / bucket)))
-    wanted = members.select(F.col("least").alias("of"), F.col("code").alias("want")).distinct()
+    sizes = members.groupBy("band").count()
+    members = members.join(sizes, "band").withColumn("blocks", F.ceil(F.col("count") / bucket))
+    wanted = distinct.filter("near").select(F.col("least").alias("of"), F.col("code").alias("want"))
     exemplars = wanted.groupBy("of").agg(F.collect_list("want").alias("want"))
     if wanted.limit(_BROADCAST + 1).count() <= _BROADCAST:
         exemplars = F.broadcast(exemplars)
@@ -184,7 +224,7 @@ def _links(docs: DataFrame, distinct: DataFrame, bands: int, bucket: int) -> Dat
     def shingle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             at = 0
-            for run in chunks(list(b["text"])):
+            for run in chunks(list(b["text"]), _RUN):
                 p = Paragraphs(run)
                 # Equal codes are equal words, so any paragraph of the run with a wanted code will do.
                 want = np.concatenate([np.asarray(w, np.int64) for w in b["want"].iloc[at : at + len(run)]])
@@ -223,51 +263,58 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_RUN, bucket: int = 2
     Paragraphs are told apart by 64-bit hashes; those under ``SHINGLE`` words are left out.
     """
     ids = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    bands, rows = tune()
-    distinct = stage(_distinct(ids, bands, rows))
-    roots = components(_links(ids, distinct, bands, bucket))
+    return _similar_runs(ids, _marks(ids), min_words, bucket).withColumnRenamed("doc", key)
+
+
+def _similar_runs(ids: DataFrame, marks: DataFrame, min_words: int, bucket: int) -> DataFrame:
+    """``repeated_passages`` of ``ids`` (key, text) by their ``_marks``."""
+    members = _members(marks)
+    near = small(members.select("code").distinct()).withColumn("near", F.lit(True))
+    paras = _paragraphs(marks).select("doc", "number", "first", "size", F.col("para").alias("code"))
+    # Only what another document or another paragraph's band may share.
+    distinct = stage(paras.groupBy("code").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).join(near, "code", "left").filter("near or least <> most"))
+    roots = components(_links(ids, members, distinct, bucket))
     placed = distinct.select("code", "least", "most").join(roots, F.col("code") == F.col("node"), "left").select("code", "least", "most", F.coalesce("root", "code").alias("root"))
     linked = placed.join(roots.select("root").distinct(), "root", "left_semi")
     classes = linked.groupBy("root").agg(F.min("least").alias("keeper"), F.max("most").alias("most")).filter("keeper <> most").select("root", "keeper")
     near = linked.join(classes, "root").select("code", "keeper")
     exact = placed.join(roots.select("root").distinct(), "root", "left_anti").filter("least <> most").select("code", F.col("least").alias("keeper"))
     shared = stage(near.unionByName(exact))
-    kind = ids.schema["key"].dataType.simpleString()
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            at = 0
-            for run in chunks(list(b["text"])):
-                p = Paragraphs(run)
-                yield pd.DataFrame({"doc": b["key"].to_numpy()[at + p.doc], "number": p.number, "first": p.first, "size": p.size, "code": p.code.view(np.int64)})
-                at += len(run)
-
-    held = ids.mapInPandas(place, f"doc {kind}, number int, first int, size int, code long").join(shared, "code").drop("code").distinct()
+    held = paras.join(small(shared), "code").drop("code").distinct()
     run = F.col("number") - F.row_number().over(Window.partitionBy("doc").orderBy("number"))
     passages = held.withColumn("run", run).groupBy("doc", "run").agg(
         F.min("first").alias("first_word"), F.max(F.col("first") + F.col("size") - 1).alias("last_word"), F.sum("size").alias("n_words"),
         F.sum(F.when(F.col("keeper") != F.col("doc"), F.col("size")).otherwise(0)).alias("removed_words"), F.sort_array(F.collect_set("keeper")).alias("kept_in"),
         F.sort_array(F.collect_list(F.when(F.col("keeper") != F.col("doc"), F.struct("first", (F.col("first") + F.col("size") - 1).alias("last"))))).alias("removed"),
     )
-    return passages.filter(F.col("n_words") >= min_words).select(F.col("doc").alias(key), "first_word", "last_word", "n_words", "removed_words", "kept_in", "removed")
+    return passages.filter(F.col("n_words") >= min_words).select("doc", "first_word", "last_word", "n_words", "removed_words", "kept_in", "removed")
 
 
-def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _grams(given: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, place, hash) of every run of ``GRAM`` words, case and marks aside, in order; places are word numbers."""
-    flat = flatten(texts)
-    letters = flat.data.copy()
-    letters[np.isin(letters, _MARKS)] = 32
-    words = word_hashes(type(flat)(letters, flat.starts, flat.doc, flat.lengths, flat.bounds))
+    words, docs = given.code, given.flat.doc
     n = len(words) - GRAM + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     code = words.copy()
     for k in range(1, GRAM):
         code[: len(words) - k] = _mix(code[: len(words) - k]) + words[k:]
-    inside = np.flatnonzero(flat.doc[:n] == flat.doc[GRAM - 1 :])
-    doc = flat.doc[inside]
-    heads = np.cumsum(flat.lengths) - flat.lengths
-    return doc, inside - heads[doc], _mix(code[inside])
+    inside = np.flatnonzero(docs[:n] == docs[GRAM - 1 :])
+    doc = docs[inside]
+    return doc, inside - given.heads[doc], _mix(code[inside])
+
+
+def _stretches(given: Words, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each anchor the hash of all words from its first to the last of the document's next anchor, the words between the two
+    places in its lowest bits; 0 if there is none."""
+    out = np.zeros(len(doc), np.uint64)
+    at = np.flatnonzero(doc[1:] == doc[:-1])
+    up, down = powers(len(given.code) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(given.code * up[: len(given.code)], dtype=np.uint64)])
+    first = given.heads[doc[at]] + place[at]
+    step = place[at + 1] - place[at]
+    out[at] = _mix((total[first + step + GRAM] - total[first]) * down[first]) & ~np.uint64(_STEP) | step.astype(np.uint64)
+    return out
 
 
 def _anchors(doc: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -289,67 +336,79 @@ def _anchors(doc: np.ndarray, code: np.ndarray) -> np.ndarray:
     return np.flatnonzero(high == code)
 
 
-def _around(hits: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of ``places`` grams of a document with shared anchors at ``hits`` (sorted): those within ``_SPREAD`` of one, and
-    whether each is open, that is not between two anchors with at most ``GAP`` words between them."""
-    every = np.arange(places)
-    after = np.searchsorted(hits, every)
-    left, right = hits[np.maximum(after - 1, 0)], hits[np.minimum(after, len(hits) - 1)]
-    near = (np.abs(every - left) <= _SPREAD) | (np.abs(right - every) <= _SPREAD)
-    closed = (right == every) | ((left < every) & (every < right) & (right - left <= GRAM + GAP))
-    return every[near], ~closed[near]
-
-
-def shared_runs(ids: DataFrame) -> DataFrame:
-    """Runs of words (doc, first, last, keeper) of ``ids`` (key, text) that another document holds too, ``keeper`` the smallest.
-
-    Anchors are compared first.  Around shared ones every gram is, so a stretch of ``GRAM + _SPREAD - 1`` shared words or more is
-    covered from its first to its last word, whatever its marks; at most ``GAP`` words between two shared anchors go unchecked.
+def _beside(hits: np.ndarray, left: np.ndarray, right: np.ndarray, places: int) -> np.ndarray:
+    """Of ``places`` grams of a document those within ``_SPREAD + GAP`` of a shared anchor on a side where its stretch is not shared by all (0)."""
+    edge = np.zeros(places + 1, np.int64)
+    for first, last in ((hits[left == 0] - _SPREAD - GAP, hits[left == 0]), (hits[right == 0] + 1, hits[right == 0] + _SPREAD + GAP + 1)):
+        np.add.at(edge, np.clip(first, 0, places), 1)
+        np.add.at(edge, np.clip(last, 0, places), -1)
+    return np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans (doc, keeper, first, last) sorted by these, merged where they meet; what two batches hold of one stays in two."""
+    for b in batches:
+        first, last = b.column("first").to_numpy(), b.column("last").to_numpy()
+        if not len(first):
+            continue
+        new = np.ones(len(first), bool)
+        new[1:] = False
+        for name in ("doc", "keeper"):
+            code = b.column(name).dictionary_encode().indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        # Ends so far, each (doc, keeper) above all of the one before.
+        base = np.cumsum(new) * (int(last.max()) + 2 + GRAM)
+        reach = np.maximum.accumulate(last + base)
+        new[1:] |= first[1:] + base[1:] > reach[:-1] + 1
+        heads = np.flatnonzero(new)
+        ends = np.append(heads[1:], len(new)) - 1
+        out = b.take(pa.array(heads))
+        yield pa.RecordBatch.from_arrays([out.column("doc"), out.column("keeper"), out.column("first"), pa.array((reach[ends] - base[ends]).astype(np.int32))], ["doc", "keeper", "first", "last"])
+
+
+def shared_runs(ids: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """Runs of words (doc, keeper, first, last) of ``ids`` (key, text) that another document holds too, ``keeper`` the smallest.
+
+    Anchors are compared first.  Where all places of a shared anchor go on alike to the next anchor (or back to the one before), one hash
+    tells that all words between are shared.  On the other sides every gram is compared, so a stretch of ``GRAM + _SPREAD - 1`` shared
+    words or more is covered from its first to its last word, whatever its marks.
     Only hashes, documents and places are shuffled, and counted by hash, so no group is gathered and no pair is made.
     """
     kind = ids.schema["key"].dataType.simpleString()
-
-    def lists(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-        return [values[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            at = 0
-            for run in chunks(list(b["text"])):
-                doc, place, code = _grams(run)
-                some = _anchors(doc, code)
-                bounds = np.searchsorted(doc[some], np.arange(len(run) + 1))
-                yield pd.DataFrame({"doc": b["key"].to_numpy()[at : at + len(run)], "at": lists(place[some].astype(np.int32), bounds), "code": lists(code[some].view(np.int64), bounds)})
-                at += len(run)
-
-    # One row per document is stored: 12 or 13 bytes a gram.
-    anchors = stage(ids.mapInPandas(mark, f"doc {kind}, at array<int>, code array<long>").filter("size(code) > 0"))
-    each = anchors.select("doc", F.explode(F.arrays_zip("at", "code")).alias("x")).select("doc", "x.at", "x.code")
-    common = anchors.select("doc", F.explode("code").alias("code")).groupBy("code").agg(F.min("doc").alias("keeper"), F.max("doc").alias("most")).filter("keeper <> most").select("code", "keeper")
-    hits = stage(each.join(common, "code").select("doc", "at", "keeper"))
-    marked = hits.groupBy(F.col("doc").alias("of")).agg(F.sort_array(F.collect_set("at")).alias("hits"))
-
-    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    marks = _marks(ids) if marks is None else marks
+    before = F.concat(F.array(F.lit(0).cast("long")), "link")
+    each = marks.filter("size(code) > 0").select("doc", F.explode(F.arrays_zip("at", "code", F.col("link").alias("right"), before.alias("left"))).alias("x")).filter("x.code is not null").select("doc", "x.*")
+    ends = [f(c).alias(f"{c}_{n}") for c in ("left", "right") for n, f in (("low", F.min), ("high", F.max))]
+    steps = [F.when(F.col(f"{c}_low") == F.col(f"{c}_high"), F.col(f"{c}_low").bitwiseAND(_STEP)).otherwise(0).cast("int").alias(c) for c in ("left", "right")]
+    common = each.groupBy("code").agg(F.min("doc").alias("keeper"), F.max("doc").alias("most"), *ends).filter("keeper <> most").select("code", "keeper", *steps)
+    hits = stage(each.select("doc", "at", "code").join(common, "code").select("doc", "at", "keeper", "left", "right"))
+    marked = hits.filter("left = 0 or right = 0").groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("at", "left", "right")).alias("hits"))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = 0
-            for run in chunks(list(b["text"])):
-                doc, _, code = _grams(run)
+            n = 0
+            lists = b.column("hits")
+            at, left, right = (lists.flatten().field(k).to_numpy() for k in range(3))
+            limits = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            for run in chunks(b.column("text").to_pylist(), _RUN):
+                doc, _, code = _grams(Words(run))
                 bounds = np.searchsorted(doc, np.arange(len(run) + 1))
-                places, codes, opens = [], [], []
-                for own, hit in zip(lists(code, bounds), b["hits"].iloc[at : at + len(run)]):
-                    place, is_open = _around(np.asarray(hit, np.int64), len(own))
-                    places.append(place.astype(np.int32))
-                    codes.append(own[place].view(np.int64))
-                    opens.append(is_open)
-                yield pd.DataFrame({"doc": b["key"].to_numpy()[at : at + len(run)], "at": places, "code": codes, "open": opens})
-                at += len(run)
-
-    spelled = stage(ids.join(marked, F.col("key") == F.col("of")).select("key", "text", "hits").mapInPandas(spell, f"doc {kind}, at array<int>, code array<long>, open array<boolean>"))
-    told = spelled.select("doc", F.explode(F.arrays_zip("code", "open")).alias("x")).select("doc", "x.code", "x.open")
-    known = told.groupBy("code").agg(F.min("doc").alias("keeper"), F.max("doc").alias("most"), F.max("open").alias("open")).filter("open and keeper <> most").select("code", "keeper")
-    wanted = spelled.select("doc", F.explode(F.filter(F.arrays_zip("at", "code", "open"), lambda x: x["open"])).alias("x")).select("doc", "x.at", "x.code")
-    found = stage(wanted.join(known, "code").select("doc", "at", "keeper"))
-    return hits.unionByName(found).select("doc", F.col("at").alias("first"), (F.col("at") + GRAM - 1).alias("last"), "keeper")
+                places = []
+                for x, y, i, j in zip(bounds[:-1], bounds[1:], limits[n:], limits[n + 1 :]):
+                    places.append(_beside(at[i:j], left[i:j], right[i:j], y - x))
+                cuts = np.concatenate([[0], np.cumsum([len(p) for p in places])])
+                flat = np.concatenate(places)
+                code = code[flat + np.repeat(bounds[:-1], np.diff(cuts))]
+                yield pa.RecordBatch.from_arrays([b.column("key").slice(n, len(run)), _lists(flat.astype(np.int32), cuts), _lists(code.view(np.int64), cuts)], ["doc", "at", "code"])
+                n += len(run)
+
+    spelled = stage(ids.join(marked, F.col("key") == F.col("of")).select("key", "text", "hits").mapInArrow(spell, f"doc {kind}, at array<int>, code array<long>"))
+    known = spelled.select("doc", F.explode("code").alias("code")).groupBy("code").agg(F.min("doc").alias("keeper"), F.max("doc").alias("most")).filter("keeper <> most").select("code", "keeper")
+    wanted = spelled.select("doc", F.explode(F.arrays_zip("at", "code")).alias("x")).select("doc", "x.at", "x.code")
+    found = wanted.join(known, "code").select("doc", "keeper", F.col("at").alias("first"), (F.col("at") + GRAM - 1).alias("last"))
+    sure = hits.select("doc", "keeper", (F.col("at") - F.col("left")).alias("first"), (F.col("at") + F.col("right") + GRAM - 1).alias("last"))
+    spans = sure.unionByName(found).repartition("doc").sortWithinPartitions("doc", "keeper", "first")
+    return stage(spans.mapInArrow(_unite, f"doc {kind}, keeper {kind}, first int, last int"))
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -375,10 +434,11 @@ def whole_passages(docs: DataFrame, least: int = WHOLE, min_words: int = MIN_RUN
     ids = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = ids.schema["key"].dataType.simpleString()
     mine = F.col("keeper") == F.col("doc")
-    runs = shared_runs(ids).groupBy("doc", "keeper").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    marks = _marks(ids)
+    runs = shared_runs(ids, marks).groupBy("doc", "keeper").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     runs = runs.select("doc", "spans", F.when(mine, F.array().cast("array<struct<first:int,last:int>>")).otherwise(F.col("spans")).alias("removed"), F.array("keeper").alias("kept_in"), F.lit(False).alias("sure"))
-    near = repeated_passages(ids, 1, bucket, "key", "text").select(
-        F.col("key").alias("doc"), F.array(F.struct(F.col("first_word").alias("first"), F.col("last_word").cast("int").alias("last"))).alias("spans"),
+    near = _similar_runs(ids, marks, 1, bucket).select(
+        "doc", F.array(F.struct(F.col("first_word").alias("first"), F.col("last_word").cast("int").alias("last"))).alias("spans"),
         F.col("removed").cast("array<struct<first:int,last:int>>").alias("removed"), "kept_in", (F.col("n_words") >= min_words).alias("sure"),
     )
     parts = runs.unionByName(near).groupBy("doc").agg(F.collect_list(F.struct("spans", "removed", "kept_in", "sure")).alias("parts"))

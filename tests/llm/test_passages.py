@@ -175,3 +175,44 @@ def test_paragraphs_do_not_depend_on_the_texts_beside_them():
 
 def test_very_short_texts_alone_have_no_paragraph():
     assert not len(passages.Paragraphs(["one"]).code) and not len(passages.Paragraphs(["one two.", None]).code)
+
+
+def test_only_the_ends_of_shared_words_are_compared_gram_by_gram(make, monkeypatch):
+    text = prose(6_000, 11)
+    kept, stage = [], passages.stage
+
+    def counted(df):
+        out = stage(df)
+        if "code array<bigint>" in " ".join(f"{n} {t}" for n, t in out.dtypes):
+            kept.append(sum(len(r.code) for r in out.select("code").collect()))
+        return out
+
+    monkeypatch.setattr(passages, "stage", counted)
+    docs = make([(k, f"{prose(20, 500 + k)} {text} {prose(20, 600 + k)}") for k in range(3)])
+    got = passages.shared_runs(docs.selectExpr("doc_id AS key", "text")).collect()
+    assert sum(kept) < 3 * 6_000 / 4
+    for k in range(3):
+        words = {w for r in got if r.doc == k for w in range(r.first, r.last + 1)}
+        assert words >= set(range(20, 6_020)) and len(words) <= 6_008 and all(r.keeper == 0 for r in got)
+
+
+def test_words_of_nested_runs_stay_in_their_smallest_document_only(make):
+    a, b, c, d = (prose(n, 700 + n) for n in (45, 61, 52, 70))
+    texts = [f"{a} {b}", f"{a} {b} {c}", f"{b} {c} {d}", f"{d} {b} {c}", f"{a} {b} {c} {d}", b, f"{prose(33, 1)} {c} {d}"]
+    rows = [(k, f"{prose(25 + k, 800 + k)} {t} {prose(30 + k, 900 + k)}") for k, t in enumerate(texts)]
+    size, held = passages.GRAM + 31, {}
+    for k, t in rows:
+        w = [x.lower().strip(".") for x in t.split()]
+        for i in range(len(w) - size + 1):
+            held.setdefault(tuple(w[i : i + size]), []).append((k, i))
+    gone = {(k, i + n) for at in held.values() for k, i in at if k > min(at)[0] for n in range(size)}
+    found = passages.whole_passages(make(rows)).collect()
+    removed = {(r.doc_id, w) for r in found for s in r.removed for w in range(s["first"], s["last"] + 1)}
+    assert gone and gone <= removed and len(removed) <= len(gone) + 6 * 2 * (passages.GRAM + passages.GAP)
+
+
+def test_rows_that_repeat_a_key_and_odd_texts(make, odd):
+    got = passages.whole_passages(make(odd)).collect()
+    # 5 and 6 hold the same words, 1 and 10 too but for one word that 10 has otherwise.
+    assert {r.doc_id for r in got} >= {5, 6} and {r.doc_id for r in got} <= {1, 5, 6, 10}
+    assert all(r.first_word == 0 and r.n_words == 60 and r.kept_in == [5] for r in got if r.doc_id in (5, 6))
