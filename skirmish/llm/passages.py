@@ -380,7 +380,8 @@ def shared_runs(ids: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     each = marks.filter("size(code) > 0").select("doc", F.explode(F.arrays_zip("at", "code", F.col("link").alias("right"), before.alias("left"))).alias("x")).filter("x.code is not null").select("doc", "x.*")
     ends = [f(c).alias(f"{c}_{n}") for c in ("left", "right") for n, f in (("low", F.min), ("high", F.max))]
     steps = [F.when(F.col(f"{c}_low") == F.col(f"{c}_high"), F.col(f"{c}_low").bitwiseAND(_STEP)).otherwise(0).cast("int").alias(c) for c in ("left", "right")]
-    common = each.groupBy("code").agg(F.min("doc").alias("keeper"), F.max("doc").alias("most"), *ends).filter("keeper <> most").select("code", "keeper", *steps)
+    # Stored, so that the join with all places has an exchange of its own, whose large partitions Spark splits: a hash may be in very many documents.
+    common = stage(each.groupBy("code").agg(F.min("doc").alias("keeper"), F.max("doc").alias("most"), *ends).filter("keeper <> most").select("code", "keeper", *steps))
     hits = stage(each.select("doc", "at", "code").join(common, "code").select("doc", "at", "keeper", "left", "right"))
     marked = hits.filter("left = 0 or right = 0").groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("at", "left", "right")).alias("hits"))
 
@@ -403,7 +404,7 @@ def shared_runs(ids: DataFrame, marks: DataFrame | None = None) -> DataFrame:
                 n += len(run)
 
     spelled = stage(ids.join(marked, F.col("key") == F.col("of")).select("key", "text", "hits").mapInArrow(spell, f"doc {kind}, at array<int>, code array<long>"))
-    known = spelled.select("doc", F.explode("code").alias("code")).groupBy("code").agg(F.min("doc").alias("keeper"), F.max("doc").alias("most")).filter("keeper <> most").select("code", "keeper")
+    known = stage(spelled.select("doc", F.explode("code").alias("code")).groupBy("code").agg(F.min("doc").alias("keeper"), F.max("doc").alias("most")).filter("keeper <> most").select("code", "keeper"))
     wanted = spelled.select("doc", F.explode(F.arrays_zip("at", "code")).alias("x")).select("doc", "x.at", "x.code")
     found = wanted.join(known, "code").select("doc", "keeper", F.col("at").alias("first"), (F.col("at") + GRAM - 1).alias("last"))
     sure = hits.select("doc", "keeper", (F.col("at") - F.col("left")).alias("first"), (F.col("at") + F.col("right") + GRAM - 1).alias("last"))
