@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.functions import names as nm
-from skirmish.operators.once import once
+from skirmish.operators.once import in_turn, once
 from skirmish.operators.ordered import SPAN, Carry, scan, small, stage
 
 KEYS = ["stream_id"]
@@ -260,9 +260,8 @@ def _flags(rows: DataFrame, order: str) -> DataFrame:
     sure_player = p.isin(*_ALWAYS_PLAYER) | (p == "spell_attr") | ((p == "has_taken") & (src == F.col("player")))
     mob_hit = ((swing | (p == "spell_hit")) & not_player) & ~lost
     player_hit = ((swing | sure_player | (p == "spell_hit")) & ~mob_hit) & ~lost
-    return rows.withColumns({
-        "_mob_hit": F.coalesce(mob_hit, F.lit(False)), "_player_hit": F.coalesce(player_hit, F.lit(False)), "_lost": F.coalesce(lost, F.lit(False)),
-        "_np": not_player, "_tp": F.coalesce(F.col("_kt") < line, F.lit(False)), "_swing": swing, "_sure": sure_player,
+    return in_turn(rows, {"_mob_hit": F.coalesce(mob_hit, F.lit(False))}, {"_player_hit": F.coalesce(player_hit, F.lit(False))}, {
+        "_lost": F.coalesce(lost, F.lit(False)), "_np": not_player, "_tp": F.coalesce(F.col("_kt") < line, F.lit(False)), "_swing": swing, "_sure": sure_player,
         "_spaced": F.coalesce(F.contains(src, F.lit(" ")), F.lit(False)), "_mine": F.coalesce(tgt == F.col("player"), F.lit(False)),
     })
 
@@ -296,7 +295,7 @@ def _directed(rows: DataFrame, columns: list[str], order: str, reasons: bool = F
         .when(p == "heal", F.col("_np") & (earlier | (spaced & (src == tgt))))
         .otherwise(F.col("_mob_hit"))
     )
-    rows = rows.withColumn("src_is_mob", F.coalesce(is_mob, F.lit(False)))
+    rows = once(rows, src_is_mob=F.coalesce(is_mob, F.lit(False)))
     m = F.col("src_is_mob")
     # A name that is a player by now is no mob; that includes one who just struck itself.
     tracked = ~F.coalesce(tgt.endswith("'s corpse"), F.lit(True)) & ~F.coalesce(F.col("_kt") <= line, F.lit(False))
@@ -313,27 +312,25 @@ def _directed(rows: DataFrame, columns: list[str], order: str, reasons: bool = F
         .when(dmg_mob & p.isin("riposte", "damage_shield", "has_taken"), "spell")
         .otherwise(F.col("k"))
     )
-    return rows.withColumns({
-        "k": kind,
+    rule = (
+        F.when(p == "shield_burn", "burns the owner")
+        .when(sure_player, "only players do this")
+        .when(~(swing | p.isin("miss", "heal", "spell_hit")), F.lit(None))
+        .when(F.col("_ks") < line, "known player")
+        .when((p == "melee") & F.col("verb").isin("hit", "hits") & m, "verb of mobs")
+        .when(spaced & m, "blank in the name")
+        .when(earlier & m, "seen as a mob")
+        .when(F.col("_tp") & m, "target is a player")
+        .when(mine & m, "target is the owner")
+        .when(F.col("_player_hit"), "first swing of a player")
+        .otherwise("no evidence")
+    )
+    rows = in_turn(rows, {"mob_name": about}, {"k": kind}, {
         "tank": dmg_mob | (p == "shield_burn"),
         "sp": F.when(dmg_mob & (p == "riposte"), "riposte").when(dmg_mob & (p == "damage_shield"), "ds").otherwise(F.col("sp")),
         "typ": F.when(dmg_mob & (p == "hit_by_spell"), "hit").otherwise(F.col("typ")),
-        "mob_name": about,
-        "touch": about.isNotNull(),
-        "direction_rule": (
-            F.when(p == "shield_burn", "burns the owner")
-            .when(sure_player, "only players do this")
-            .when(~(swing | p.isin("miss", "heal", "spell_hit")), F.lit(None))
-            .when(F.col("_ks") < line, "known player")
-            .when((p == "melee") & F.col("verb").isin("hit", "hits") & m, "verb of mobs")
-            .when(spaced & m, "blank in the name")
-            .when(earlier & m, "seen as a mob")
-            .when(F.col("_tp") & m, "target is a player")
-            .when(mine & m, "target is the owner")
-            .when(F.col("_player_hit"), "first swing of a player")
-            .otherwise("no evidence")
-        ),
-    }).select(*columns, "src_is_mob", "tank", "mob_name", "touch", *(["direction_rule"] if reasons else []))
+    }, {"direction_rule": rule} if reasons else {})
+    return rows.withColumn("touch", F.col("mob_name").isNotNull()).select(*columns, "src_is_mob", "tank", "mob_name", "touch", *(["direction_rule"] if reasons else []))
 
 
 def confirmed_mobs(classified: DataFrame, k: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skirmish.functions import chatter, mods, names, times
-from skirmish.operators.once import once
+from skirmish.operators.once import in_turn, once
 from skirmish.operators.patterns import FIELDS, LOGIN_LINE, ZONE_PATTERNS, Pattern, cascade
 
 _SEP = "\u0001"
+# Patterns tested in one place of the generated code.
+_FEW = 4
 
 
 def _test(line: Column, p: Pattern) -> Column:
@@ -43,18 +45,24 @@ def match_lines(lines: DataFrame, raw: str = "raw", spell_before_melee: bool = F
     name = F.when(body == LOGIN_LINE, "login")
     for p in ZONE_PATTERNS:
         name = name.when(_test(body, p), p.name)
-    name = name.when(chatter.is_chat(body), "chat")
-    for p in combat:
-        name = name.when(_test(line, p), p.name)
-    out = once(out, pattern=name)
-
+    out = once(out, pattern=name.when(chatter.is_chat(body), "chat"))
     pat = F.col("pattern")
+    # A few patterns at a time, as in ``in_turn``.
+    for i in range(0, len(combat), _FEW):
+        name = F.when(pat.isNotNull(), pat)
+        for p in combat[i:i + _FEW]:
+            name = name.when(_test(line, p), p.name)
+        out = once(out, pattern=name)
+
     caps = F
     for p in ZONE_PATTERNS:
         caps = caps.when(pat == p.name, _captures(body, p))
-    for p in combat:
-        caps = caps.when(pat == p.name, _captures(line, p))
     out = once(out, _caps=caps)
+    for i in range(0, len(combat), _FEW):
+        caps = F.when(F.col("_caps").isNotNull(), F.col("_caps"))
+        for p in combat[i:i + _FEW]:
+            caps = caps.when(pat == p.name, _captures(line, p))
+        out = once(out, _caps=caps)
     fields = [F.nullif(F.col("_caps")[i], F.lit("")).alias(f"c_{f}") for i, f in enumerate(FIELDS)]
     if spell_before_melee:
         # What the line says as plain melee, for when its words name no spell that anybody cast.
@@ -93,21 +101,22 @@ def parse_lines(
     by, your = c["x"], c["y"].isNotNull()
     by_name = F.nullif(F.regexp_replace(F.trim(by), r"\.+$", ""), F.lit(""))
     taken_spell = F.regexp_replace(F.trim(c["sp"]), r"\.+$", "")
+    named = F.col("_src")
     src = (
-        F.when(is_("has_taken"), F.when(your, who).when(by.isNotNull(), n(by_name)).otherwise(n(c["src"])))
-        .when(is_("extra_damage"), F.when(your, who).otherwise(n(c["src"])))
-        .when(is_("shield_proc", "resist"), F.coalesce(n(c["src"]), who))
+        F.when(is_("has_taken"), F.when(your, who).when(by.isNotNull(), n(by_name)).otherwise(named))
+        .when(is_("extra_damage"), F.when(your, who).otherwise(named))
+        .when(is_("shield_proc", "resist"), F.coalesce(named, who))
         .when(is_("fizzle", "slay_you"), who)
         .when(is_("slain_by", "owner_slain"), names.article_case(F.trim(c["src"])))
         .when(is_("berserk", "who", "instance_create"), c["src"])
         .when(is_("slay_has", "cast", "absorb_skin", "miss", "heal", "hit_by_spell", "melee", "spell_attr", "dot",
-                  "riposte", "damage_shield", "shield_burn", "cc_wake"), n(c["src"]))
+                  "riposte", "damage_shield", "shield_burn", "cc_wake"), named)
     )
     tgt_raw = F.when(is_("heal"), F.regexp_replace(F.trim(c["tgt"]), r"( over time)+$", "")).otherwise(c["tgt"])
     tgt = (
         F.when(is_("shield_burn"), who)
         .when(is_("absorb_skin"), F.coalesce(n(c["tgt"]), who))
-        .when(is_("heal") & tgt_raw.isin("himself", "herself", "itself", "yourself"), n(c["src"]))
+        .when(is_("heal") & tgt_raw.isin("himself", "herself", "itself", "yourself"), named)
         .when(is_("slay_you", "slay_has", "slain_by", "died", "resist", "loot_kept", "loot_sold", "loot_hoard", "loot_enhance"),
               names.article_case(c["tgt"]))
         .when(tgt_raw.isNotNull(), n(tgt_raw))
@@ -147,12 +156,13 @@ def parse_lines(
         .when(is_("merge"), "item_merge")
         .when(is_("absorb_skin", "absorb_rune"), "absorb")
     )
-    chat = chatter.chat_parts(F.col("body"))
+    chat = F.col("_chat")
     mark = F.when(is_("chat") & (chat["speaker"] == "You"), chatter.raid_mark(chat["msg"]))
     classes = F.when(is_("who"), names.parse_who_classes(c["sp"]))
     damage = is_("hit_by_spell", "melee", "spell_attr", "spell_hit", "dot", "riposte", "damage_shield",
                  "shield_proc", "shield_burn", "has_taken", "extra_damage")
-    out = once(m, _mark=mark, classes=classes)
+    out = once(m, _src=n(c["src"]), _chat=F.when(is_("chat"), chatter.chat_parts(F.col("body"))))
+    out = once(once(out, _mark=mark), classes=classes)
     mark = F.col("_mark")
     kept = F.size(F.col("classes")) > 0
     cols = {
@@ -182,11 +192,14 @@ def parse_lines(
         cols["plain"] = F.when(v.isNotNull(), F.struct(
             n(v["src"]).alias("src"), n(v["tgt"]).alias("tgt"), F.coalesce(v["num"].try_cast("long"), F.lit(0).cast("long")).alias("dmg"),
             names.normalize_verb(v["x"]).alias("typ"), v["x"].alias("verb")))
-    drop = {"_mark", "c_plain", *[f"c_{f}" for f in FIELDS]}
+    drop = {"_mark", "_chat", "_src", "c_plain", *[f"c_{f}" for f in FIELDS]}
     if only is not None:
         cols = {n: x for n, x in cols.items() if n in only}
         drop |= {"classes"} - set(only)
-    return once(out, **cols).drop(*drop)
+    apart = [n for n in ("ts", "k", "src", "tgt", "sp", "typ") if n in cols]
+    rest = {n: x for n, x in cols.items() if n not in apart}
+    made = in_turn(out, *[{n: cols[n]} for n in apart], rest)
+    return made.select(*[c for c in made.columns if c not in cols], *cols).drop(*drop)
 
 
 def carry_ts(parsed: DataFrame, keys: list[str] | None = None, order: str = "line_no", **kw) -> DataFrame:

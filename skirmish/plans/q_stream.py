@@ -14,7 +14,7 @@ from skirmish.plans.q_chat import LOOP_RULES, LOOP_SEED, LOOP_SQL
 from skirmish.plans.q_parse import _COV
 from skirmish.plans.q_time import folder
 from skirmish.plans.registry import query
-from skirmish.plans.render import EPOCH, combat_events, combat_lines, order_batches
+from skirmish.plans.render import EPOCH, base_events, combat_events, combat_lines, order_batches
 from skirmish.plans.sql import BATCH, EV, INST, big
 from skirmish.sources import batches as B
 from skirmish.sources.tail import tail_logs
@@ -36,20 +36,23 @@ def _twice(spark: SparkSession, df: DataFrame, first, build, mode: str = "append
     return spark.read.parquet(out)
 
 
-def _in_order(spark: SparkSession, df: DataFrame, build, rows: int = 2_000_000, order: str = "line_no") -> DataFrame:
+def _in_order(spark: SparkSession, df: DataFrame, build, rows: int = 2_000_000, order: str = "line_no", numbers: DataFrame | None = None, same: bool = False) -> DataFrame:
     """Feed the rows to one stream in the order of their lines, two runs at least and at most about ``rows`` rows each, and read its sink.
 
-    A micro-batch holds the rows of a stream together, so its size is bounded here, and the memory of a task with it.
+    A micro-batch holds the rows of a stream together, so its size is bounded here, and the memory of a task with it.  ``numbers`` has the lines'
+    numbers where that is less work than to make the rows.  With ``same`` the stream is built for the first run and started again for the others.
     """
     live.use_rocksdb(spark)
     src, out, cp = folder(spark), folder(spark), folder(spark)
-    n = max(2, -(-df.count() // rows))
-    cuts = sorted({int(x) for x in df.approxQuantile(order, [i / n for i in range(1, n)], 0.1 / n)})
-    at = F.col(order)
+    numbers = (df if numbers is None else numbers).select(order)
+    n = max(2, -(-numbers.count() // rows))
+    cuts = sorted({int(x) for x in numbers.approxQuantile(order, [i / n for i in range(1, n)], 0.1 / n)})
+    at, stream = F.col(order), None
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = df if low is None else df.filter(at >= low)
         (part if high is None else part.filter(at < high)).write.mode("append").parquet(src)
-        stream = build(spark.readStream.schema(df.schema).parquet(src))
+        if stream is None or not same:
+            stream = build(spark.readStream.schema(df.schema).parquet(src))
         with live.sized(spark):
             q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
         q.awaitTermination()
@@ -92,7 +95,10 @@ def stream_instances(spark, sf):
 @query("stream_lines_to_instances", f"WITH {INST} SELECT stream_id, line_no, own AS mob FROM iv WHERE touch OR k = 'slay'")
 def stream_lines_to_instances(spark, sf):
     """Log text in, instances out: parsing, direction and instances as one stream of two chained states."""
-    return _in_order(spark, combat_lines(spark, sf), lambda s: live.stream_instances(live.stream_events(s), I.GAP))
+    build = lambda s: live.stream_instances(live.stream_events(s, only=["off"]), I.GAP)
+    # A run's lines lie close together in the table; dealt out, every core renders and parses some of them.
+    lines = combat_lines(spark, sf, spark.sparkContext.defaultParallelism)
+    return _in_order(spark, lines, build, numbers=base_events(spark, sf), same=True)
 
 
 @query("tailed_lines", _COV)

@@ -66,9 +66,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to ``skirmish.spread`` tasks where a session sets it, as a bench on one unsplittable file does."""
-    tasks = df.sparkSession.conf.get("skirmish.spread", None)
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Deal rows out to so many tasks, or to ``skirmish.spread`` where a session sets it, as a bench on one unsplittable file does."""
+    tasks = tasks or df.sparkSession.conf.get("skirmish.spread", None)
     return df.repartition(int(tasks)) if tasks else df
 
 
@@ -146,9 +146,9 @@ def _cap(name: Column) -> Column:
     return F.concat(F.upper(F.substring(name, 1, 1)), F.substr(name, F.lit(2)))
 
 
-def combat_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Log text of the ``events`` table, first person for the owner's own rows."""
-    b = spread(base_events(spark, sf))
+def combat_lines(spark: SparkSession, sf: str, tasks: int | None = None) -> DataFrame:
+    """Log text of the ``events`` table, first person for the owner's own rows, made by so many tasks."""
+    b = spread(base_events(spark, sf), tasks)
     et, i, mine = F.col("et"), F.col("line_no"), F.col("mine")
     who, you = F.col("actor"), F.when(mine, "YOU").otherwise(F.col("actor"))
     mob, big, n = F.col("mobn"), _cap(F.col("mobn")), F.col("n").cast("string")

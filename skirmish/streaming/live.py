@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import json
 import time
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from skirmish.operators import classify as C
 from skirmish.operators.classify import BUFF_SECS, SUMMON_SECS
@@ -48,6 +51,64 @@ def sized(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+# Rows of a task that are packed together, about, and rows of a batch that leaves a task.
+_PACK = 1 << 17
+_OUT = 1 << 14
+
+
+def _blocks(table: pa.Table, keys: list[str]) -> pa.RecordBatch:
+    """One row per value of ``keys``: the key and its rows as a block, in their order."""
+    codes = np.zeros(table.num_rows, dtype="int64")
+    for name in keys:
+        values = table[name].combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = codes * len(values.dictionary) + values.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(codes[order])) + 1, len(codes))
+    starts = np.append(0, ends[:-1])
+    rows = table.take(pa.array(order)).combine_chunks()
+    heads = rows.select(keys).take(pa.array(starts)).combine_chunks().to_batches()[0]
+    blocks = pa.array([_block(rows.slice(a, b - a)) for a, b in zip(starts, ends)], pa.binary())
+    return pa.RecordBatch.from_arrays([*heads.columns, blocks], [*keys, "block"])
+
+
+def _block(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _rows(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
+
+
+def packed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows as ``(keys, block)``, many in a block, since state in Python costs by the row that comes in rather than by its size."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= _PACK:
+                yield _blocks(pa.Table.from_batches(held), keys)
+                held, n = [], 0
+        if n:
+            yield _blocks(pa.Table.from_batches(held), keys)
+
+    return rows.mapInArrow(pack, StructType([rows.schema[k] for k in keys]).add("block", "binary"))
+
+
+def unpacked(blocks: DataFrame, schema: StructType) -> DataFrame:
+    """The rows of ``block``, which have the columns of ``schema``."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch["block"]:
+                yield from _rows(block.as_py()).to_batches(max_chunksize=_OUT)
+
+    return blocks.select("block").mapInArrow(unpack, schema)
+
+
 class _Sessions(StatefulProcessor):
     """Session numbers of one slice of the streams; state is the last log time and the number of each stream."""
 
@@ -122,20 +183,34 @@ class _Instances(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.open.get() if self.open.exists() else None
-        batch = pd.concat(list(rows)).sort_values("line_no", kind="stable")
-        mobs = []
-        for line, ts, touch, slay, park in zip(batch["line_no"], batch["ts"], batch["touch"], batch["slay"], batch["park"]):
-            if slay and state is not None:
-                state = (*state[:3], True)
-            if touch:
-                if state is None or state[3] or (not state[2] and ts - state[1] >= self.gap):
-                    state = (int(line), int(ts), bool(park), False)
-                else:
-                    state = (state[0], int(ts), bool(park), False)
-            mobs.append(state[0] if state is not None else None)
+        batch = pa.concat_tables(_rows(x) for part in rows for x in part["block"]).select(["line_no", "ts", "touch", "slay", "park"])
+        batch = batch.to_pandas().sort_values("line_no", kind="stable")
+        lines, timed = batch["line_no"].to_numpy(), batch["ts"].notna().to_numpy()
+        ts = batch["ts"].fillna(0).to_numpy().astype("int64")
+        touch, park = batch["touch"].to_numpy(), batch["park"].to_numpy()
+        kills = np.cumsum(batch["slay"].to_numpy())
+
+        # Each touch meets the one before it, the first what the state holds.
+        at = np.flatnonzero(touch)
+        mob, last, parked, slain = state or (None, None, False, False)
+        before = lambda first, values: np.append(first, values[at])[: len(at)]
+        idle = (ts[at] - before(last or 0, ts) >= self.gap) & timed[at] & before(last is not None, timed).astype(bool)
+        cut = (np.diff(kills[at], prepend=-1 if slain else 0) > 0) | (idle & ~before(parked, park).astype(bool))
+        if state is None:
+            cut[:1] = True
+        opened = np.append(0 if mob is None else mob, np.where(cut, lines[at], 0))
+        number = np.maximum.accumulate(np.where(np.append(True, cut), np.arange(len(opened)), 0))
+        mobs = pd.array(opened[number[np.cumsum(touch)]], dtype="Int64")
+        if state is None:
+            mobs[np.cumsum(touch) == 0] = pd.NA
+        if len(at):
+            end = at[-1]
+            state = (int(mobs[end]), int(ts[end]) if timed[end] else None, bool(park[end]), bool(kills[-1] > kills[end]))
+        elif state is not None:
+            state = (*state[:3], bool(slain or kills[-1] > 0))
         if state is not None:
             self.open.update(state)
-        yield batch.assign(mob=pd.array(mobs, dtype="Int64"))[["stream_id", "line_no", "mob"]]
+        yield pd.DataFrame({"stream_id": key[0], "line_no": lines, "mob": mobs})
 
     def close(self) -> None:
         pass
@@ -154,7 +229,7 @@ def stream_instances(events: DataFrame, gap: int = GAP, keep: int | None = None)
     rows = events.filter(touch | slay).select(
         "stream_id", F.lower(F.when(touch, F.col("mob_name")).otherwise(F.col("tgt"))).alias("mob_key"), "line_no", "ts",
         touch.alias("touch"), slay.alias("slay"), park.alias("park"))
-    return rows.groupBy("stream_id", "mob_key").transformWithStateInPandas(
+    return packed(rows, ["stream_id", "mob_key"]).groupBy("stream_id", "mob_key").transformWithStateInPandas(
         _Instances(gap, keep), "stream_id STRING, line_no BIGINT, mob BIGINT", "Append", _clock(keep))
 
 
@@ -187,15 +262,26 @@ def stream_variables(stores: DataFrame) -> DataFrame:
         _Variables(), "stream_id STRING, line_no BIGINT, pos INT, name STRING, value STRING, before STRING", "Append", "None")
 
 
+_NEVER = np.iinfo("int64").min
+
+# Slices of what a stream remembers side by side: its names, or the keys of its batches.
+_SLICES = 64
+
+
 class _Direction(StatefulProcessor):
     """Who is a player and who a mob in one stream, line by line.
 
     State: per name the line from which it is a player and the one from which it is a mob, and a pet's owner; the last
-    casts that may bring a pet.  Only names that a micro-batch mentions are read.
+    casts that may bring a pet.  Only the slices of names that a micro-batch mentions are read.  A name is settled once and for good, so most
+    lines can tell nothing new; these are found as columns, and only the others are gone through.
     """
 
+    def __init__(self, stretch: int = 4096):
+        self.stretch = stretch
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.names = handle.getMapState("names", "name STRING", "player BIGINT, mob BIGINT, owner STRING")
+        # A call costs far more than what it carries, so names are kept by slice, as JSON.
+        self.names = handle.getMapState("names", "slice INT", "names STRING")
         self.casts = handle.getMapState("casts", "kind STRING", "owner STRING, ts BIGINT, used BOOLEAN")
 
     def _pet(self, kind: str, secs: int, name: str, ts: int, casts: dict) -> str | None:
@@ -206,57 +292,140 @@ class _Direction(StatefulProcessor):
         return owner
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("line_no", kind="stable")
+        tables = [_rows(x) for part in rows for x in part["block"]]
+        batch = pa.concat_tables([t.select(["line_no", "src", "tgt", *_TELLS]) for t in tables])
+        line = batch["line_no"].to_numpy()
+        order = np.argsort(line, kind="stable")
+        line = line[order]
+        n = len(line)
+        col = {c: batch[c].to_numpy()[order] for c in _TELLS}
+        cat, mine, casting, seen = col["_cat"], col["_mine"], col["_buff_cast"] | col["_summon_cast"], col["_buff_seen"] | col["_summon_seen"]
+
+        # Names as numbers, the last one for none.  What is known of each, with its place in this micro-batch.
+        both = pa.chunked_array([*batch["src"].chunks, *batch["tgt"].chunks], batch["src"].type).combine_chunks().dictionary_encode()
+        names = both.dictionary.to_pylist()
+        none = len(names)
+        code = both.indices.fill_null(none).to_numpy()
+        src, tgt = code[:n][order], code[n:][order]
+        slices = [zlib.crc32(x.encode()) % _SLICES for x in names]
+        held = {k: self.names.getValue((k,)) for k in set(slices)} if self.names.exists() else {}
+        held = {k: json.loads(held[k][0]) if held.get(k) else {} for k in set(slices)}
+        before = [tuple(held[k].get(x, (None, None, None))) for x, k in zip(names, slices)]
+        since = np.full((2, none + 1), _NEVER)
+        for i in (0, 1):
+            since[i, :none] = [_NEVER if x[i] is None else x[i] for x in before]
+        place = np.where(since == _NEVER, n, -1)
+        player, mob = since
+        owner: list[str | None] = [x[2] for x in before] + [None]
+        owned: dict[int, list[tuple[int, str]]] = {}
+        spaced = np.array([" " in x for x in names] + [False])
         casts = {k[0]: v for k, v in self.casts.iterator()}
-        cache: dict[str, list] = {}
-
-        def known(name: str | None) -> list:
-            """[player from, mob from, owner] of a name."""
-            if name not in cache:
-                cache[name] = list(self.names.getValue((name,))) if name is not None and self.names.containsKey((name,)) else [None, None, None]
-            return cache[name]
-
-        out = []
-        cols = [batch[c] for c in ("line_no", "ts", "cat", "src", "tgt", "mine", "corpse", "hurts", "buff_cast", "summon_cast", "buff_seen", "summon_seen")]
-        for line, ts, cat, src, tgt, mine, corpse, hurts, buff_cast, summon_cast, buff_seen, summon_seen in zip(*cols):
-            line, s, t = int(line), known(src), known(tgt)
-            for kind, cast in (("buff", buff_cast), ("summon", summon_cast)):
-                if cast:
-                    casts[kind] = src, int(ts), False
-            owner = self._pet("buff", BUFF_SECS, src, int(ts), casts) if buff_seen else self._pet("summon", SUMMON_SECS, src, int(ts), casts) if summon_seen and s[2] is None else None
-            if owner is not None:
-                s[2] = owner
-                s[0] = line if s[0] is None else s[0]
+        casts_before = dict(casts)
+
+        def settle(what: int, name: int, i: int) -> None:
+            if name != none and since[what, name] == _NEVER:
+                since[what, name], place[what, name] = line[i], i
+
+        def tell(i: int) -> None:
+            s, t, c = src[i], tgt[i], cat[i]
+            for kind in ("buff", "summon"):
+                if col[f"_{kind}_cast"][i]:
+                    casts[kind] = names[s] if s != none else None, int(col["_ts"][i]), False
+            pet = None
+            if seen[i] and s != none:
+                if col["_buff_seen"][i]:
+                    pet = self._pet("buff", BUFF_SECS, names[s], int(col["_ts"][i]), casts)
+                elif owner[s] is None:
+                    pet = self._pet("summon", SUMMON_SECS, names[s], int(col["_ts"][i]), casts)
+            if pet is not None:
+                owner[s] = pet
+                owned.setdefault(int(s), []).append((i, pet))
+                settle(0, s, i)
             struck = False
-            if cat == "U":
-                s[0] = line if s[0] is None else s[0]
-                struck = hurts
-            elif cat in ("H", "C", "S"):
-                spaced = " " in src
-                if s[0] is None and (cat == "H" or spaced or (cat == "C" and mine) or s[1] is not None or (t[0] is not None and t[0] < line)):
-                    s[1] = line if s[1] is None else s[1]
-                else:
-                    s[0] = line if s[0] is None else s[0]
-                    struck = True
-            elif cat == "A":  # a spell whose cast was not seen tells nothing of its source
-                struck = s[0] is not None
-            elif cat == "B" or (cat == "M" and s[0] is None and (" " in src or mine or (t[0] is not None and t[0] < line))):
-                s[1] = line if s[1] is None else s[1]
-            if struck and not corpse and tgt is not None:
-                t[1] = line if t[1] is None else t[1]
-            out.append((s[0], t[0], s[1], s[2]))
-        for name, value in cache.items():
-            if name is not None and value != [None, None, None]:
-                self.names.updateValue((name,), tuple(value))
+            known, met = player[s] != _NEVER, player[t] != _NEVER and player[t] < line[i]
+            if c == "U":
+                settle(0, s, i)
+                struck = col["_hurts"][i]
+            elif c in ("H", "C", "S"):
+                struck = known or not (c == "H" or spaced[s] or (c == "C" and mine[i]) or mob[s] != _NEVER or met)
+                settle(0 if struck else 1, s, i)
+            elif c == "A":  # a spell whose cast was not seen tells nothing of its source
+                struck = known
+            elif c == "B" or (c == "M" and not known and (spaced[s] or mine[i] or met)):
+                settle(1, s, i)
+            if struck and not col["_corpse"][i]:
+                settle(1, t, i)
+
+        # Stretches that double in length: what one settles need not be looked at in the next.
+        kinds = {c: cat == c for c in "UHCSAMB"}
+        swing, open_tgt = kinds["H"] | kinds["C"] | kinds["S"], (tgt != none) & ~col["_corpse"]
+        low, high = 0, min(n, self.stretch)
+        while low < n:
+            at = slice(low, high)
+            s, t = src[at], tgt[at]
+            new_tgt = open_tgt[at] & (mob[t] == _NEVER)
+            no_player, no_mob = player == _NEVER, mob == _NEVER
+            # Names that are players by the end of this stretch, or may be.
+            may = ~no_player
+            may[s[(kinds["U"] | seen)[at]]] = True
+            may[s[swing[at] & no_mob[s]]] = True
+            fresh, unmet = no_player[s], no_mob[s]
+            news = (
+                (casting | seen)[at]
+                | (kinds["U"][at] & (fresh | (new_tgt & col["_hurts"][at])))
+                | (swing[at] & ((fresh & unmet) | (new_tgt & may[s])))
+                | (kinds["A"][at] & new_tgt & may[s])
+                | (kinds["M"][at] & fresh & unmet)
+                | (kinds["B"][at] & unmet)
+            )
+            for i in np.flatnonzero(news) + low:
+                tell(int(i))
+            low, high = high, min(n, high + (high - low) * 2)
+
+        changed = set()
+        for x, k, old, now in zip(names, slices, before, zip(player, mob, owner)):
+            now = tuple(None if v == _NEVER else int(v) for v in now[:2]) + now[2:]
+            if now != old:
+                held[k][x] = now
+                changed.add(k)
+        for k in changed:
+            self.names.updateValue((k,), (json.dumps(held[k]),))
         for kind, value in casts.items():
-            self.casts.updateValue((kind,), value)
-        found = pd.DataFrame(out, columns=["_ks", "_kt", "_e", "pet_owner"], index=batch.index).astype({"_ks": "Int64", "_kt": "Int64", "_e": "Int64"})
-        yield pd.concat([batch[["stream_id", "line_no", "row"]], found], axis=1)
+            if casts_before.get(kind) != value:
+                self.casts.updateValue((kind,), value)
+
+        # What was known at each line, in the order the rows came in.
+        back = np.empty(n, dtype="int64")
+        back[order] = np.arange(n)
+        as_of = lambda what, name: pa.array(since[what][name][back], mask=(place[what][name] > np.arange(n))[back])
+        found = [as_of(0, src), as_of(0, tgt), as_of(1, src), self._owners(src, [x[2] for x in before] + [None], owned, back)]
+        start = 0
+        for t in tables:
+            t, told = t.drop_columns(_TELLS), [x.slice(start, len(t)) for x in found]
+            start += len(t)
+            for name, values in zip(_TOLD, told):
+                t = t.append_column(name, values)
+            yield pd.DataFrame({"block": [_block(t)]})
+
+    def _owners(self, src: np.ndarray, before: list[str | None], owned: dict[int, list[tuple[int, str]]], back: np.ndarray) -> pa.Array:
+        """Owner of the source as far as known at each line."""
+        values = [*before, *(pet for x in owned.values() for _, pet in x)]
+        at, new = src.astype("int64"), len(before)
+        for name, got in owned.items():
+            mine = np.flatnonzero(src == name)
+            number = np.searchsorted([i for i, _ in got], mine, side="right")
+            at[mine] = np.where(number > 0, new + number - 1, name)
+            new += len(got)
+        return pa.array(values, pa.string()).take(pa.array(at[back]))
 
     def close(self) -> None:
         pass
 
 
+_TELLS = ["_ts", "_cat", "_mine", "_corpse", "_hurts", "_buff_cast", "_summon_cast", "_buff_seen", "_summon_seen"]
+_TOLD = ["_ks", "_kt", "_e", "pet_owner"]
+
+
 def stream_direction(parsed: DataFrame) -> DataFrame:
     """:func:`skirmish.operators.classify.classify` with its pets, while parsed lines arrive; adds ``pet_owner``, the owner of the source as far as known.
 
@@ -268,19 +437,27 @@ def stream_direction(parsed: DataFrame) -> DataFrame:
     known = F.coalesce(F.col("caster").isNotNull(), F.lit(False)) if "caster" in parsed.columns else F.lit(False)
     cat = F.when((F.col("pattern") == "spell_attr") & ~known, "A").otherwise(C._category(parsed))
     flag = lambda c: F.coalesce(c, F.lit(False))
-    rows = parsed.select(
-        "stream_id", "line_no", F.coalesce("ts", F.lit(0).cast("long")).alias("ts"), cat.alias("cat"), "src", "tgt", flag(tgt == F.col("player")).alias("mine"),
-        flag(tgt.endswith("'s corpse")).alias("corpse"), (F.col("pattern") != "miss").alias("hurts"), *[c.alias(n) for n, c in C.pet_hints().items()],
-        F.to_json(F.struct(*parsed.columns)).alias("row"))
-    told = rows.groupBy("stream_id").transformWithStateInPandas(
-        _Direction(), "stream_id STRING, line_no BIGINT, row STRING, _ks BIGINT, _kt BIGINT, _e BIGINT, pet_owner STRING", "Append", "None")
-    rows = told.select(F.from_json("row", parsed.schema).alias("r"), "_ks", "_kt", "_e", "pet_owner").select("r.*", "_ks", "_kt", "_e", "pet_owner")
-    return C._directed(C._flags(rows, "line_no"), [*parsed.columns, "pet_owner"], "line_no")
+    tells = [F.coalesce("ts", F.lit(0).cast("long")), F.coalesce(cat, F.lit("")), flag(tgt == F.col("player")), flag(tgt.endswith("'s corpse")), flag(F.col("pattern") != "miss"), *C.pet_hints().values()]
+    rows = packed(parsed.select("*", *[c.alias(n) for n, c in zip(_TELLS, tells)]), ["stream_id"])
+    told = rows.groupBy("stream_id").transformWithStateInPandas(_Direction(), "block BINARY", "Append", "None")
+    schema = StructType([*parsed.schema.fields, *[StructField(n, StringType() if n == "pet_owner" else LongType()) for n in _TOLD]])
+    return C._directed(C._flags(unpacked(told, schema), "line_no"), [*parsed.columns, "pet_owner"], "line_no")
+
+
+# Columns of parsed lines that make the direction.
+_PARSED = ["ts", "k", "src", "tgt", "sp", "typ", "verb"]
+
 
+def stream_events(lines: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """Typed events with direction from a stream of lines, as :func:`skirmish.sources.tail.tail_logs` or ``stream_logs`` give them.
 
-def stream_events(lines: DataFrame) -> DataFrame:
-    """Typed events with direction from a stream of lines, as :func:`skirmish.sources.tail.tail_logs` or ``stream_logs`` give them."""
-    return stream_direction(parse_lines(lines).filter(F.col("pattern").isNotNull()))
+    With ``only``, no other columns of :func:`skirmish.operators.parse.parse_lines` are made and carried than these and those that make the direction.
+    """
+    if only is None:
+        return stream_direction(parse_lines(lines).filter(F.col("pattern").isNotNull()))
+    some = [*_PARSED, *[c for c in only if c not in _PARSED]]
+    parsed = parse_lines(lines, only=some).filter(F.col("pattern").isNotNull())
+    return stream_direction(parsed.select("stream_id", "player", "line_no", "pattern", *some))
 
 
 class _Rules(StatefulProcessor):
@@ -411,10 +588,6 @@ class _Resent(StatefulProcessor):
         pass
 
 
-# Slices of a stream whose keys are remembered side by side.
-_SLICES = 64
-
-
 def drop_resent(batches: DataFrame, late: str | None = None, keep: int | None = None) -> DataFrame:
     """Resent batches dropped while the stream runs (same run, seq and log time).
 

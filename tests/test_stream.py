@@ -141,3 +141,166 @@ def test_lines_fed_in_order_and_in_bounded_runs(spark):
     out = sorted((r.line_no, r.run) for r in q_stream._in_order(spark, df, build, rows=30).collect())
     assert [x for x, _ in out] == list(range(n)) and [x for _, x in out] == sorted(x for _, x in out)
     assert len(runs) == 3 and max(sum(x == i for _, x in out) for i in (1, 2, 3)) <= 40
+
+
+class _Map(dict):
+    """A map state as the states use it."""
+
+    def exists(self):
+        return bool(self)
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class _Value:
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+class _Handle:
+    def __init__(self):
+        self.made = {}
+
+    def getMapState(self, name, *_):
+        return self.made.setdefault(name, _Map())
+
+    def getValueState(self, name, *_):
+        return self.made.setdefault(name, _Value())
+
+
+def _told_one_by_one(rows, names, casts):
+    """The rules of direction, a line at a time: (player from, mob from, owner) per name, and what is known at each line."""
+    out = []
+    for line, src, tgt, ts, cat, mine, corpse, hurts, buff_cast, summon_cast, buff_seen, summon_seen in sorted(rows):
+        s, t = (names.setdefault(x, [None, None, None]) if x is not None else [None, None, None] for x in (src, tgt))
+        for kind, cast in (("buff", buff_cast), ("summon", summon_cast)):
+            if cast:
+                casts[kind] = [src, ts, False]
+        kind = "buff" if buff_seen else "summon" if summon_seen and s[2] is None else None
+        owner, at, used = casts.get(kind) or (None, None, True)
+        if kind and src is not None and not used and owner != src and max(ts - at, 0) <= (live.BUFF_SECS if kind == "buff" else live.SUMMON_SECS):
+            casts[kind][2] = True
+            if owner is not None:
+                s[2], s[0] = owner, line if s[0] is None else s[0]
+        known, met = s[0] is not None, t[0] is not None and t[0] < line
+        struck = False
+        if cat == "U":
+            s[0], struck = line if s[0] is None else s[0], hurts
+        elif cat in ("H", "C", "S"):
+            mob = not known and (cat == "H" or " " in (src or "") or (cat == "C" and mine) or s[1] is not None or met)
+            s[1 if mob else 0] = line if s[1 if mob else 0] is None else s[1 if mob else 0]
+            struck = not mob
+        elif cat == "A":
+            struck = known
+        elif cat == "B" or (cat == "M" and not known and (" " in (src or "") or mine or met)):
+            s[1] = line if s[1] is None else s[1]
+        if struck and not corpse and tgt is not None:
+            t[1] = line if t[1] is None else t[1]
+        s, t = names.get(src, [None, None, None]), names.get(tgt, [None, None, None])
+        out.append((line, s[0], t[0], s[1], s[2]))
+    return out
+
+
+def test_direction_goes_through_the_lines_that_tell_alone():
+    """Blocks of rows in any order, looked at in stretches of many lengths, against one line at a time."""
+    import pandas as pd
+    import pyarrow as pa
+
+    for seed in range(30):
+        r = random.Random(seed)
+        people = ["Aa", "Bb", "Cc", "Gober", "Kabn", "a rat", "an orc", None]
+        rows = []
+        for line in range(300):
+            flags = [r.random() < p for p in (0.2, 0.1, 0.8, 0.02, 0.02, 0.02, 0.05)]
+            rows.append((line, r.choice(people[: 2 + line // 30]) if r.random() < 0.9 else None, r.choice(people), line // 3, r.choice(["", "U", "H", "C", "C", "S", "M", "B", "A"]) if r.random() < 0.7 else "", *flags))
+        names, casts, handle = {}, {}, _Handle()
+        state = live._Direction(stretch=1 + seed % 7)
+        state.init(handle)
+        for low, high in ((0, 120), (120, 121), (121, 300)):
+            part = rows[low:high]
+            want = _told_one_by_one(part, names, casts)
+            r.shuffle(part)
+            cols = dict(zip(["line_no", "src", "tgt", *live._TELLS], zip(*part)))
+            kinds = {"line_no": pa.int64(), "src": pa.string(), "tgt": pa.string(), "_ts": pa.int64(), "_cat": pa.string()}
+            table = pa.table({n: pa.array(v, kinds.get(n, pa.bool_())) for n, v in cols.items()})
+            blocks = [live._block(table.slice(i, 50)) for i in range(0, len(part), 50)]
+            found = [live._rows(b) for x in state.handleInputRows(("s",), iter([pd.DataFrame({"block": blocks})]), None) for b in x["block"]]
+            got = [tuple(x[c] for c in ("line_no", *live._TOLD)) for t in found for x in t.to_pylist()]
+            assert [x[0] for x in got] == [x[0] for x in part] and sorted(got, key=lambda x: x[0]) == want
+
+
+def test_instances_of_blocks_as_one_by_one():
+    """Touches, kills and parked mobs in micro-batches of many sizes, against one row at a time; a row without a time is no gap."""
+    import pandas as pd
+    import pyarrow as pa
+
+    for seed in range(30):
+        r = random.Random(seed)
+        rows, ts = [], 0
+        for line in range(200):
+            ts += r.choice([0, 1, 5, 20])
+            touch, slay = r.choice([(True, False), (True, False), (True, False), (False, True), (True, True)])
+            rows.append((line, None if seed % 2 and r.random() < 0.2 else ts, touch, slay, touch and r.random() < 0.2))
+        want, open_ = [], None
+        for line, ts, touch, slay, park in rows:
+            if slay and open_ is not None:
+                open_ = (*open_[:3], True)
+            if touch:
+                idle = open_ is not None and None not in (ts, open_[1]) and ts - open_[1] >= 15
+                new = open_ is None or open_[3] or (not open_[2] and idle)
+                open_ = (line if new else open_[0], ts, park, False)
+            want.append((line, open_[0] if open_ is not None else None))
+        handle = _Handle()
+        state, got = live._Instances(15, None), []
+        state.init(handle)
+        cuts = [0, 1, 2, 5, 60, 61, 200]
+        for low, high in zip(cuts, cuts[1:]):
+            part = rows[low:high]
+            r.shuffle(part)
+            kinds = {"line_no": pa.int64(), "ts": pa.int64(), "touch": pa.bool_(), "slay": pa.bool_(), "park": pa.bool_()}
+            table = pa.table({n: pa.array(v, k) for (n, k), v in zip(kinds.items(), zip(*part))})
+            blocks = [live._block(table.slice(i, 20)) for i in range(0, len(part), 20)]
+            for x in state.handleInputRows(("s", "a rat"), iter([pd.DataFrame({"block": blocks})]), None):
+                got += [(line, None if pd.isna(mob) else mob) for line, mob in zip(x["line_no"], x["mob"])]
+        assert got == want and len({m for _, m in want}) > 10
+
+
+def test_no_row_comes_alone_to_a_state(spark):
+    """What is handed to Python state is blocks, one per key and task, that hold all rows in order."""
+    rows = [("a" if i % 5 else None, i, [str(i)], {"x": i}) for i in range(3000)]
+    df = spark.createDataFrame(rows, "stream_id string, line_no long, words array<string>, more map<string, int>").coalesce(2)
+    blocks = live.packed(df, ["stream_id"])
+    assert blocks.count() <= 4
+    assert sorted((x.stream_id or "", x.line_no, x.words, x.more) for x in live.unpacked(blocks, df.schema).collect()) == sorted((x[0] or "", *x[1:]) for x in rows)
+
+
+def test_generated_code_is_short_enough_to_be_compiled(spark, capsys):
+    """The JVM never compiles a method of over 8,000 bytes, so none of parsing or direction may be that long."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    lines = spark.createDataFrame([("s", "Own", 1, "x")], LINES)
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    try:
+        events = parse_lines(lines, only=["off", *live._PARSED]).withColumns({"_ks": F.col("line_no"), "_kt": F.col("line_no"), "_e": F.col("line_no")})
+        for df in (parse_lines(lines), C._directed(C._flags(events, "line_no"), events.columns, "line_no")):
+            df.explain("codegen")
+            assert 0 < max(int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)) <= 8000
+    finally:
+        spark.conf.set("spark.sql.codegen.wholeStage", "false")
